@@ -1,6 +1,6 @@
 """All registered queries; importing the modules fills the registry."""
 
-from drivescope.plans import series_queries  # noqa: F401
+from drivescope.plans import catalog_queries, scalar_queries, series_queries  # noqa: F401
 from drivescope.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -215,3 +215,41 @@ def v_sites(v):
         (F.lit(300) + s % 5).cast("string").alias("eci"), ((s * 36) % 360).alias("azimuth"),
         F.when(s % 4 == 0, 360).otherwise(65).cast("long").alias("beam"),
     )
+
+
+# Message texts of the signalling probe.
+MESSAGES = [
+    "CM_SERVICE_REQUEST", "SETUP", "CALL_PROCEEDING", "CONNECT", "DISCONNECT", "RELEASE", "RRC_CONNECTION_REQUEST",
+    "RRC_CONNECTION_SETUP", "RRC_CONNECTION_SETUP_COMPLETE", "RRC_CONNECTION_RELEASE", "RAB_ASSIGNMENT_REQUEST",
+    "RAB_ASSIGNMENT_COMPLETE", "RAB RELEASE", "RADIO LINK FAILURE", "IU RELEASE", "CM_SERVICE_REJECT", "CALL_REJECT",
+    "HANDOVER FAILURE", "MeasurementReport", "A3/A5 Event", "Handover Complete", "RRCConnectionReconfigurationComplete",
+    "Cell_Update", "Paging",
+]
+CAUSE_TEXTS = ["Normal", "Abnormal release", "N/A", "-", "RLF error"]
+
+SQL["v_msgs"] = (
+    "v_msgs AS (SELECT user_id % 5 AS log_id, ts_ms, event_id AS seq, user_id, ["
+    + ", ".join(f"'{m}'" for m in MESSAGES)
+    + f"][(event_id * 7 + k) % {len(MESSAGES)} + 1] AS message, ["
+    + ", ".join(f"'{m}'" for m in CAUSE_TEXTS)
+    + """][k % 5 + 1] AS cause, CASE k % 4 WHEN 0 THEN 'Call Id: ' || (k % 11) WHEN 1 THEN 'x IMSI=60400' || lpad(CAST(user_id AS VARCHAR), 6, '0')
+        || CASE WHEN k % 3 = 0 THEN ' tmsi: A1B2C' || (k % 10) ELSE '' END WHEN 2 THEN 'TMSI=A1B2C' || (k % 10) ELSE 'none' END AS details, k FROM ev)"""
+)
+_NEEDS["v_msgs"] = ["ev"]
+
+
+def v_msgs(v):
+    e, k = F.col("event_id"), F.col("k")
+    pick = lambda texts, i: F.element_at(F.array(*[F.lit(t) for t in texts]), (i + 1).cast("int"))
+    details = (
+        F.when(k % 4 == 0, F.concat(F.lit("Call Id: "), (k % 11).cast("string")))
+        .when(k % 4 == 1, F.concat(
+            F.lit("x IMSI=60400"), F.lpad(F.col("user_id").cast("string"), 6, "0"),
+            F.when(k % 3 == 0, F.concat(F.lit(" tmsi: A1B2C"), (k % 10).cast("string"))).otherwise("")))
+        .when(k % 4 == 2, F.concat(F.lit("TMSI=A1B2C"), (k % 10).cast("string"))).otherwise("none")
+    )
+    return ev(v).select(
+        _mod("user_id", 5).alias("log_id"), "ts_ms", e.alias("seq"), "user_id",
+        pick(MESSAGES, (e * 7 + k) % len(MESSAGES)).alias("message"), pick(CAUSE_TEXTS, k % 5).alias("cause"),
+        details.alias("details"), "k",
+    )
