@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drivescope.operators import ordered, quantiles
+from drivescope.operators.staging import materialize
 from drivescope.operators.timejoin import exact_second_join, nearest_join
 
 RUN_KEYS = ("run_id", "name")
@@ -218,7 +219,7 @@ def throughput_report(
 ) -> DataFrame:
     """One row per (run, series): unit, summary, dips, map coverage and the radio/application verdict."""
     keys = [*run_keys, name]
-    norm = normalize_throughput(series, keys, value)
+    norm = materialize(normalize_throughput(series, keys, value), "throughput")
     summary = throughput_summary(norm, keys, "value_mbps", low_threshold)
     unit = norm.groupBy(*keys).agg(F.max("divisor").alias("divisor"), F.max("unit_label").alias("unit_label"))
     dips = detect_dips(norm, keys, low_threshold, min_dip_sec, "value_mbps").groupBy(*keys).agg(
