@@ -233,3 +233,24 @@ def exact_second_join(
         .join(last, [*keys, "sec"])
         .drop("sec")
     )
+
+
+def span_join(
+    anchors: DataFrame, rows: DataFrame, keys: Sequence[str], start: str, end: str, bucket_ms: int, *, row_ts: str = "ts_ms",
+    how: str = "inner", row: str = "row", condition: Column | None = None,
+) -> DataFrame:
+    """All (anchor, row) pairs with row time in the anchor's own [start, end]; anchors without both ends match nothing."""
+    a = anchors.withColumn(
+        "_bucket", F.explode_outer(F.when(F.col(end) >= F.col(start), F.sequence(block_of(start, bucket_ms), block_of(end, bucket_ms))))
+    )
+    r = rows.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], block_of(row_ts, bucket_ms).alias("_row_bucket"),
+        F.col(row_ts).alias("_row_ts"), F.struct(*rows.columns).alias(row),
+    )
+    cond = F.col("_bucket") == F.col("_row_bucket")
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"_k_{k}"))
+    cond = cond & (F.col("_row_ts") >= F.col(start)) & (F.col("_row_ts") <= F.col(end))
+    if condition is not None:
+        cond = cond & condition
+    return a.join(r, cond, how).drop("_bucket", "_row_bucket", "_row_ts", *[f"_k_{k}" for k in keys])

@@ -1,6 +1,12 @@
 """All registered queries; importing the modules fills the registry."""
 
-from drivescope.plans import catalog_queries, handover_queries, scalar_queries, series_queries  # noqa: F401
+from drivescope.plans import (  # noqa: F401
+    catalog_queries,
+    handover_queries,
+    scalar_queries,
+    series_queries,
+    session_queries,
+)
 from drivescope.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

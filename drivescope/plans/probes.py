@@ -253,3 +253,27 @@ def v_msgs(v):
         pick(MESSAGES, (e * 7 + k) % len(MESSAGES)).alias("message"), pick(CAUSE_TEXTS, k % 5).alias("cause"),
         details.alias("details"), "k",
     )
+
+
+DEVICE_HEADERS = ["RRCSM", "SHO", "L3SM", "CAD", "CAF", "RRC"]
+SQL["v_devents"] = (
+    "v_devents AS (SELECT user_id % 10 AS device_id, ts_ms, event_id AS seq, ["
+    + ", ".join(f"'{h}'" for h in DEVICE_HEADERS)
+    + "][event_id % 6 + 1] AS header, ["
+    + ", ".join(f"'{h}'" for h in DEVICE_HEADERS)
+    + "][event_id % 6 + 1] || ',' || ["
+    + ", ".join(f"'{m}'" for m in MESSAGES)
+    + f"][(event_id * 7 + k) % {len(MESSAGES)} + 1] AS raw, user_id * 100 + day(ts) AS call_id FROM ev)"
+)
+_NEEDS["v_devents"] = ["ev"]
+
+
+def v_devents(v):
+    e, k = F.col("event_id"), F.col("k")
+    pick = lambda texts, i: F.element_at(F.array(*[F.lit(t) for t in texts]), (i + 1).cast("int"))
+    header = pick(DEVICE_HEADERS, e % 6)
+    return ev(v).select(
+        _mod("user_id", 10).alias("device_id"), "ts_ms", e.alias("seq"), header.alias("header"),
+        F.concat(header, F.lit(","), pick(MESSAGES, (e * 7 + k) % len(MESSAGES))).alias("raw"),
+        (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("call_id"),
+    )
