@@ -396,13 +396,13 @@ def grid_bucket_neighbors(
     mean = lambda c: F.round(F.avg(c), 1).alias(c)
     rows = slots.groupBy(*pid, "expanded", "group_key").agg(
         F.max("pci").alias("pci"), mean("rsrp"), mean("rsrq"), mean("cinr"), F.count("*").alias("sample_count"),
-        F.min_by("pos", F.struct("bucket", "pos")).alias("source_pos"))
+        F.min_by("pos", F.struct("bucket", "pos")).alias("source_pos"), F.min("bucket").alias("first_bucket"))
     votes = slots.where("earfcn is not null").groupBy(*pid, "group_key", "earfcn").agg(F.count("*").alias("_c")).groupBy(*pid, "group_key").agg(
         F.min_by("earfcn", F.struct(-F.col("_c"), F.col("earfcn"))).alias("earfcn"))
     rows = rows.join(votes, [*pid, "group_key"], "left")
     backed = Window.partitionBy(*pid)
     rows = rows.withColumn("_b", F.count("pci").over(backed)).where("_b = 0 or pci is not null").drop("_b")
-    return rank_neighbors(rows, pid, [F.coalesce("rsrp", F.lit(-999.0)), F.col("sample_count")], ["pci", "source_pos"])
+    return rank_neighbors(rows, pid, [F.coalesce("rsrp", F.lit(-999.0)), F.col("sample_count")], ["pci", "source_pos", "first_bucket"])
 
 
 # ---- A3 evaluation --------------------------------------------------------------------------------------------------------

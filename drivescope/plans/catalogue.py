@@ -3,6 +3,7 @@
 from drivescope.plans import (  # noqa: F401
     catalog_queries,
     handover_queries,
+    ingest_queries,
     neighbor_queries,
     scalar_queries,
     series_queries,

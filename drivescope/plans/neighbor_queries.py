@@ -276,10 +276,10 @@ def _(v):
 , ps AS (SELECT *, row_number() OVER (PARTITION BY run_id, time_id, bucket, field ORDER BY t, seq) - 1 AS pos FROM d)
 , sl AS (SELECT run_id, time_id, expanded, bucket, pos, max(v) FILTER (WHERE field = 'pci') AS pci, max(v) FILTER (WHERE field = 'rsrp') AS rsrp, max(v) FILTER (WHERE field = 'rsrq') AS rsrq, max(v) FILTER (WHERE field = 'cinr') AS cinr, max(v) FILTER (WHERE field = 'earfcn') AS earfcn FROM ps GROUP BY ALL)
 , sk AS (SELECT *, count(pci) OVER (PARTITION BY run_id, time_id, bucket) AS has FROM sl), sf AS (SELECT *, CASE WHEN pci IS NOT NULL THEN 'pci:' || CAST(pci AS BIGINT) ELSE 'pos:' || bucket || ':' || pos END AS gk FROM sk WHERE has = 0 OR pci IS NOT NULL)
-, g AS (SELECT run_id, time_id, expanded, gk, CAST(max(pci) AS BIGINT) AS pci, round(avg(rsrp), 1) AS rsrp, round(avg(rsrq), 1) AS rsrq, round(avg(cinr), 1) AS cinr, count(*) AS sample_count, arg_min(pos, (bucket, pos)) AS sp FROM sf GROUP BY ALL)
+, g AS (SELECT run_id, time_id, expanded, gk, CAST(max(pci) AS BIGINT) AS pci, round(avg(rsrp), 1) AS rsrp, round(avg(rsrq), 1) AS rsrq, round(avg(cinr), 1) AS cinr, count(*) AS sample_count, arg_min(pos, (bucket, pos)) AS sp, min(bucket) AS fb FROM sf GROUP BY ALL)
 , vt AS (SELECT run_id, time_id, gk, earfcn, row_number() OVER (PARTITION BY run_id, time_id, gk ORDER BY count(*) DESC, earfcn) AS rn FROM sf WHERE earfcn IS NOT NULL GROUP BY run_id, time_id, gk, earfcn)
 , f AS (SELECT g.*, CAST(vt.earfcn AS BIGINT) // 2 AS earfcn, count(pci) OVER (PARTITION BY g.run_id, g.time_id) AS b FROM g LEFT JOIN vt ON vt.run_id = g.run_id AND vt.time_id = g.time_id AND vt.gk = g.gk AND rn = 1)
-SELECT run_id, time_id AS point_id, expanded, gk AS group_key, pci, rsrp, rsrq, cinr, earfcn, sample_count, row_number() OVER (PARTITION BY run_id, time_id ORDER BY coalesce(rsrp, -999) DESC, sample_count DESC, pci, sp) AS rank FROM f WHERE b = 0 OR pci IS NOT NULL
+SELECT run_id, time_id AS point_id, expanded, gk AS group_key, pci, rsrp, rsrq, cinr, earfcn, sample_count, row_number() OVER (PARTITION BY run_id, time_id ORDER BY coalesce(rsrp, -999) DESC, sample_count DESC, pci, sp, fb) AS rank FROM f WHERE b = 0 OR pci IS NOT NULL
 """)
 def _(v):
     s = neighbor_samples(v)
