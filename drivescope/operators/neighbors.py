@@ -155,7 +155,7 @@ def decode_reports(messages: DataFrame, json: str = "decoded") -> DataFrame:
     """Measurement reports from decoded JSON: measId, serving indices and the neighbour list of all RATs."""
     nested = "$.message.c1.measurementReport.criticalExtensions.c1.measurementReport-r8.measResults"
     text = F.coalesce(F.get_json_object(json, nested), F.get_json_object(json, "$.measResults"))
-    d = messages.withColumn("_r", F.from_json(text, _RESULTS)).where("_r is not null")
+    d = messages.withColumn("_r", F.explode(F.array_compact(F.array(F.from_json(text, _RESULTS)))))
     empty = F.array().cast(d.select(F.array(_neighbor(rat=F.lit("LTE"))).alias("x")).schema["x"].dataType)
     either = lambda name: F.coalesce(F.col(f"_r.measResultNeighCells.{name}"), F.col(f"_r.{name}"))
     block = F.lit("measResultNeighCells")

@@ -8,6 +8,7 @@ from drivescope.plans import (  # noqa: F401
     scalar_queries,
     series_queries,
     session_queries,
+    wide_queries,
 )
 from drivescope.plans.registry import ORACLES, QUERIES
 

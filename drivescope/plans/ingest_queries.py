@@ -83,7 +83,7 @@ def cell_line():
     """UMTS (three tuples) and LTE (two blocks) cell measurements."""
     e = F.col("event_id")
     tup = lambda i, st: csv(s(F.lit(st)), "60401", "3032", s((k() + i * 40) % 500), s(F.lit(-70.0) - (e * (i + 1)) % 40), s(F.lit(-60.0)), s(F.lit(-6.0) - (k() + i) % 15))
-    umts = csv("CELLMEAS", F.col("tod"), "", "5", "0", s(F.lit(1) + k() % 3), s(k() % 2), "3032", "-65.0", tup(0, 0), tup(1, 1), tup(2, 2))
+    umts = csv("CELLMEAS", F.col("tod"), "", "5", "0", s(F.lit(1) + k() % 3), s(k() % 2), "3032", "-65.0", "60401", "3032", s(k() % 500), "-6.5", tup(0, 0), tup(1, 1), tup(2, 2))
     blk = lambda i: csv("0", "3", s(F.lit(1320) + i * 1730), s((k() + i) % 504), "-50.0", s(F.lit(-80.0) - (e * (i + 3)) % 50), s(F.lit(-5.0) - (e % 10)), "777", "1", "0", s((e % 25).cast("double")))
     lte = csv("CELLMEAS", F.col("tod"), "", "7", "0", "1", "1", blk(0), blk(1))
     return F.when(e % 2 == 0, umts).otherwise(lte)

@@ -238,7 +238,9 @@ def umts_cellmeas(records: DataFrame) -> DataFrame:
     wide = F.col("serving_rscp") - F.col("serving_ecno")
     d = d.withColumn("rssi", F.when(F.abs(F.col("_field") - wide) <= 4, F.col("_field")).otherwise(wide))
     nb = F.transform("_b", lambda b: b.withField("is_serving", _near(b["freq"], sf) & F.coalesce(b["sc"] == F.col("serving_sc"), F.lit(False))))
-    return d.withColumn("neighbors", nb).withColumn("band", S.band_from_uarfcn("serving_freq")).drop("_b", "_m", "_s", "_field", "parts", "raw", "header")
+    d = d.withColumn("neighbors", nb).withColumn("band", S.band_from_uarfcn("serving_freq")).drop("_b", "_m", "_s", "_field", "parts", "raw", "header")
+    # a filter on the parsed arrays would be pushed into the scan of the fields and evaluate it again and again
+    return materialize(d, "cells")
 
 
 def label_neighbors(cells: DataFrame) -> DataFrame:
@@ -287,7 +289,8 @@ def lte_cellmeas(records: DataFrame) -> DataFrame:
     better = lambda a, b: (a["rsrp"] > b["rsrp"]) | ((a["rsrp"] == b["rsrp"]) & (a["k"] < b["k"]))
     best = F.filter("_b", lambda b: ~F.exists("_b", lambda c: same(c, b) & better(c, b)))
     marked = F.transform(best, lambda b: b.withField("is_serving", (b["freq"] == F.col("serving_freq")) & (b["pci"] == F.col("serving_pci"))))
-    return d.withColumn("neighbors", marked).withColumn("band", S.band_from_earfcn("serving_freq")).drop("_b", "parts", "raw", "header")
+    d = d.withColumn("neighbors", marked).withColumn("band", S.band_from_earfcn("serving_freq")).drop("_b", "parts", "raw", "header")
+    return materialize(d, "cells")
 
 
 def cellmeas_dominance(records: DataFrame) -> DataFrame:
@@ -295,11 +298,12 @@ def cellmeas_dominance(records: DataFrame) -> DataFrame:
     d = records.where((F.col("header") == "CELLMEAS") & (integer(part(3)) == 5))
     n = F.size("parts")
     span = F.when(n >= 7, F.sequence(F.lit(0), n - 7)).otherwise(F.array().cast("array<int>"))
-    d = d.withColumn("_b", _dedupe(F.filter(F.transform(span, lambda k: _tuple_at(k, True, 511)), lambda b: b.isNotNull())))
+    d = d.withColumn("_all", F.filter(F.transform(span, lambda k: _tuple_at(k, True, 511)), lambda b: b.isNotNull()))
+    d = d.withColumn("_b", _dedupe(F.col("_all")))
     levels = F.sort_array(F.transform(F.filter("_b", lambda b: b["subtype"] == "A"), lambda b: b["rscp"]), asc=False)
     count = lambda s: F.size(F.filter("_b", lambda b: b["subtype"] == s)).cast("long")
     d = d.withColumn("subtype_a", count("A")).withColumn("subtype_b", count("B")).withColumn("neighbor_count", F.size("_b").cast("long"))
-    return d.withColumn("gap", F.try_element_at(levels, F.lit(1)) - F.try_element_at(levels, F.lit(2))).drop("_b", "parts", "raw", "header")
+    return d.withColumn("gap", F.try_element_at(levels, F.lit(1)) - F.try_element_at(levels, F.lit(2))).drop("_all", "_b", "parts", "raw", "header")
 
 
 def flatten_neighbors(cells: DataFrame, value: Sequence[str] = ("sc", "rscp", "ecno", "freq"), slots: int = 16) -> DataFrame:
@@ -453,7 +457,7 @@ def identity_track(records: DataFrame) -> DataFrame:
         .when((h == "RRD") & part(6).isin("1", "5"), st(source=F.lit("RRD_EVENT"), event=F.when(part(6) == "1", "Call Drop").otherwise("Call Fail")))
     )
     base = [c for c in records.columns if c not in ("parts", "raw", "header")]
-    return d.select(*base, state.alias("s")).where("s is not null").select(*base, "s.*")
+    return d.select(*base, F.explode(F.array_compact(F.array(state))).alias("s")).select(*base, "s.*")
 
 
 def event_1a_history(records: DataFrame) -> DataFrame:
