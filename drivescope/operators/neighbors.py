@@ -520,3 +520,43 @@ def join_decoded(events: DataFrame, patches: DataFrame, on: Sequence[str] = ("ru
     merged = F.when(F.col("patch").isNull(), F.col("params_map")).otherwise(
         F.map_concat(F.map_filter("params_map", lambda k, _: ~F.array_contains(F.map_keys("patch"), k)), F.col("patch")))
     return events.join(patches, list(on), "left").withColumn("params_map", merged).drop("patch")
+
+
+_CONFIG = (
+    "struct<measIdToRemoveList:array<bigint>,measIdToAddModList:array<struct<measId:bigint,measObjectId:bigint,reportConfigId:bigint>>,"
+    "measObjectToRemoveList:array<bigint>,measObjectToAddModList:array<struct<measObjectId:bigint,measObject:struct<"
+    "measObjectEUTRA:struct<carrierFreq:bigint,cellsToAddModList:array<struct<physCellId:string>>>,"
+    "measObjectUTRA:struct<carrierFreq:bigint,cellsToAddModList:array<struct<physCellId:string>>>,"
+    "measObjectGERAN:struct<carrierFreq:bigint,cellsToAddModList:array<struct<physCellId:string,bsic:string>>>>>>,"
+    "reportConfigToRemoveList:array<bigint>,reportConfigToAddModList:array<struct<reportConfigId:bigint,reportConfig:string>>>"
+)
+
+
+def config_operations(messages: DataFrame, keys: Sequence[str] = RUN, json: str = "decoded") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(measId, object, report) add/remove operations of decoded reconfigurations, as :func:`config_validity` reads them."""
+    path = "$.message.c1.rrcConnectionReconfiguration.criticalExtensions.c1.rrcConnectionReconfiguration-r8.measConfig"
+    text = F.coalesce(F.get_json_object(json, path), F.get_json_object(json, "$.measConfig"))
+    d = messages.withColumn("_c", F.explode(F.array_compact(F.array(F.from_json(text, _CONFIG)))))
+    base = [*keys, "ts_ms", "seq"]
+
+    def ops(removed: str, added: str, key: str, id_field: str, payload: dict[str, Column]) -> DataFrame:
+        out = d.select(*base, F.explode(F.col(f"_c.{added}")).alias("x")).select(
+            *base, F.lit("add").alias("op"), F.col(f"x.{id_field}").alias(key), *[c.alias(n) for n, c in payload.items()])
+        gone = d.select(*base, F.explode(F.col(f"_c.{removed}")).alias(key)).withColumn("op", F.lit("remove"))
+        return out.unionByName(gone, allowMissingColumns=True).where(F.col(key).isNotNull())
+
+    x = lambda rat, f: F.col(f"x.measObject.measObject{rat}.{f}")
+    names = lambda rat, f: F.transform(x(rat, "cellsToAddModList"), f)
+    lte = F.filter(names("EUTRA", lambda c: c["physCellId"]), lambda p: p.try_cast("long").between(0, 503))
+    utra = F.filter(names("UTRA", lambda c: S.utra_psc(c["physCellId"]).cast("string")), lambda p: p.try_cast("long").between(0, 511))
+    geran = F.filter(names("GERAN", lambda c: F.coalesce(S.normalize_bsic(c["bsic"]), S.normalize_bsic(c["physCellId"]))), lambda p: p.isNotNull())
+    cells = F.array_sort(F.array_distinct(F.coalesce(lte, utra, geran, F.array().cast("array<string>"))))
+    has = lambda rat: F.col(f"x.measObject.measObject{rat}").isNotNull()
+    event = F.regexp_extract("x.reportConfig", "(eventA[1-5])", 1)
+    return (
+        ops("measIdToRemoveList", "measIdToAddModList", "meas_id", "measId", {"object_id": F.col("x.measObjectId"), "report_id": F.col("x.reportConfigId")}),
+        ops("measObjectToRemoveList", "measObjectToAddModList", "object_id", "measObjectId", {
+            "rat": F.when(has("EUTRA"), "LTE").when(has("UTRA"), "UTRA").when(has("GERAN"), "GERAN").otherwise("UNKNOWN"), "earfcn": x("EUTRA", "carrierFreq"),
+            "uarfcn": x("UTRA", "carrierFreq"), "arfcn": x("GERAN", "carrierFreq"), "cells": cells}),
+        ops("reportConfigToRemoveList", "reportConfigToAddModList", "report_id", "reportConfigId", {"event_type": F.when(event != "", event)}),
+    )

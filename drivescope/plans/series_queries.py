@@ -195,7 +195,7 @@ def _(v):
 
 
 @query("A12_pearson", "v_series", SLOW + PAIRS + """
-SELECT run_id, round(corr(a, b), 6) AS correlation, count(*) AS pairs FROM pr GROUP BY run_id
+SELECT run_id, CASE WHEN count(*) >= 3 AND var_pop(a) > 0 AND var_pop(b) > 0 THEN round(corr(a, b), 6) END AS correlation, count(*) AS pairs FROM pr GROUP BY run_id
 """)
 def _(v):
     a, b = slow_pair(v)
@@ -204,7 +204,7 @@ def _(v):
 
 
 VERDICT = f"""
-, vd AS (SELECT run_id, count(*) FILTER (WHERE b < a * 0.7) / count(*) * 100 AS app_lt_70_pct, corr(a, b) AS correlation,
+, vd AS (SELECT run_id, count(*) FILTER (WHERE b < a * 0.7) / count(*) * 100 AS app_lt_70_pct, CASE WHEN count(*) >= 3 AND var_pop(a) > 0 AND var_pop(b) > 0 THEN corr(a, b) END AS correlation,
    count(*) AS pairs, {floor_pick(0.5)} AS ratio_median FROM (SELECT *, b / a AS x FROM pr WHERE a > 0) GROUP BY run_id)
 """
 

@@ -94,7 +94,7 @@ def _(v):
     base = staging.staging_dir(v.spark)
     path = f"{base}/drivescope/track-{uuid.uuid4().hex}"
     p.write.text(path)
-    return tables.read_track(v.spark, path).select("ts_ms", "lat", "lon", "alt")
+    return tables.read_track(v.spark, path, one_per_line=True).select("ts_ms", "lat", "lon", "alt")
 
 
 @query("S15_write_analysis", "v_series", """

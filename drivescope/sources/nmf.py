@@ -243,15 +243,21 @@ def umts_cellmeas(records: DataFrame) -> DataFrame:
     return materialize(d, "cells")
 
 
-def label_neighbors(cells: DataFrame) -> DataFrame:
-    """Active (A2..), monitored (M1..) and detected (D1..) labels for the neighbours of each row, at most 16 of each."""
+def label_neighbors(cells: DataFrame, slots_from_set_types: bool = False) -> DataFrame:
+    """Active (A2..), monitored (M1..) and detected (D1..) labels for the neighbours of each row, at most 16 of each.
+
+    The reported active-set size says how many active neighbours there are; where it names only the serving cell, or with
+    ``slots_from_set_types``, every candidate by set type counts.
+    """
     nb = F.filter("neighbors", lambda x: ~x["is_serving"])
     single, context = F.col("as_size") <= 1, F.col("ms_size") > 0
     candidate = lambda x: (x["set_type"] == 0) | (~single & (x["set_type"] == 1))
     by_level = lambda a, b: F.when(a["rscp"] > b["rscp"], -1).when(a["rscp"] < b["rscp"], 1).when(a["k"] < b["k"], -1).otherwise(1)
     by_place = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
     d = cells.withColumn("_n", nb).withColumn("_a", F.array_sort(F.filter("_n", candidate), by_level))
-    slots = F.greatest(F.lit(0), F.col("as_size") - 1, F.size("_a")).cast("int")
+    inferred = F.size("_a")
+    told = F.greatest(F.col("as_size") - 1, inferred) if slots_from_set_types else F.when(~single, F.col("as_size") - 1).otherwise(inferred)
+    slots = F.greatest(F.lit(0), told).cast("int")
     d = d.withColumn("_slots", slots)
     over = F.slice("_a", F.col("_slots") + 1, F.greatest(F.size("_a") - F.col("_slots"), F.lit(0)))
     inter = lambda x: F.abs(x["freq"] - F.col("serving_freq")) >= 1

@@ -17,10 +17,13 @@ def read_tabular(spark: SparkSession, path: str, keep: Sequence[str] = ()) -> Da
     return tabular_points(df, keep)
 
 
-def read_track(spark: SparkSession, path: str, row_tag: str = "trkpt") -> DataFrame:
-    """GPX points (``trkpt``, ``wpt`` or ``point``): time, position, altitude, speed."""
+def read_track(spark: SparkSession, path: str, row_tag: str = "trkpt", one_per_line: bool = False) -> DataFrame:
+    """GPX points (``trkpt``, ``wpt`` or ``point``): time, position, altitude, speed.
+
+    ``one_per_line`` reads files that hold one element per line and can be split between tasks.
+    """
     schema = "_lat double, _lon double, time string, ele double, speed double"
-    d = spark.read.format("xml").option("rowTag", row_tag).option("multiLine", False).schema(schema).load(path)
+    d = spark.read.format("xml").option("rowTag", row_tag).option("multiLine", not one_per_line).schema(schema).load(path)
     return d.where("_lat is not null and _lon is not null").select(
         S.parse_ts("time").alias("ts_ms"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), F.col("ele").alias("alt"), "speed")
 
