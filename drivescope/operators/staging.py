@@ -1,42 +1,36 @@
 """Cut a plan that several branches read: write it once, read it back as a columnar table.
 
-The table goes to the shared folder of ``spark.checkpoint.dir``, so a lost executor costs nothing and every branch
-scans only the columns it needs. A local session without that setting gets a temporary folder; a cluster without it
-keeps the plan uncut (same result, more work).
+The table goes to the shared folder of ``spark.checkpoint.dir``; where a session has no such setting, to a folder of the
+warehouse, which every session has and all executors share. Losing an executor costs nothing, and every branch scans only
+the columns it needs. The file system deletes the tables when the driver ends.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
-_local: list[str] = []
 
 
-def staging_dir(spark: SparkSession) -> str | None:
-    """The shared staging folder, or None where none may be used."""
+def staging_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables."""
     named = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING, None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return None
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="drivescope-"))
-        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
-    return _local[0]
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging").rstrip("/")
+
+
+def staging_path(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder, deleted when the driver ends."""
+    path = f"{staging_dir(spark)}/drivescope/{label}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """The same rows, read back from a table written once."""
     spark = df.sparkSession
-    base = staging_dir(spark)
-    if base is None:
-        return df
-    path = f"{base}/drivescope/{label}-{uuid.uuid4().hex}"
+    path = staging_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
