@@ -32,9 +32,12 @@ class Recent:
     def __init__(self, size: int):
         self.size, self.young, self.old = size, {}, {}
 
+    def turn(self) -> None:
+        self.old, self.young = self.young, {}
+
     def put(self, key, value) -> None:
         if len(self.young) >= self.size:
-            self.old, self.young = self.young, {}
+            self.turn()
         self.young[key] = value
 
 

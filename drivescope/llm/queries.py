@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from drivescope.llm import sql
+from drivescope.llm.bitslice import top_k
 from drivescope.llm.bpe import bpe_encode
 from drivescope.llm.edits import edited_likeness
 from drivescope.llm.frames import id_and_text, table
 from drivescope.llm.hilbert import hilbert_shards, text_order
+from drivescope.llm.idcoder import read_id_files, write_id_files
 from drivescope.llm.licenses import scan_licenses
 from drivescope.llm.mixing import mix, sized
+from drivescope.llm.quality import CUT_SCORE, ranked_documents
+from drivescope.operators.staging import staging_path
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +29,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.encode(F.col("k").cast("string"), "UTF-8")) % 5
+    ranked = ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), where=remainder != 0)
+    held = F.crc32(F.encode(F.coalesce(F.col("id").cast("string"), F.lit("")), "UTF-8")) % 5 == 0
+    return ranked.select(F.col("id").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= CUT_SCORE).cast("int").alias("predicted"), "quantile")
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     raw = F.encode("text", "UTF-8")
@@ -35,6 +49,21 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def _checksum(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes())
+
+
+def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging_path(spark, "ids")
+    write_id_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path, end_id=0)
+    return read_id_files(spark, path, _checksum, "ids_crc32").withColumnRenamed("id", "doc_id")
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -44,7 +73,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op4_hilbert_shards, op5_simhash, op9_license_scan, op10_mix)
+    f.__name__: f for f in (op1_bpe, op2_quality, op4_hilbert_shards, op5_simhash, op7_id_files, op8_top_k, op9_license_scan, op10_mix)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_top_k": sql.TOP_K}
