@@ -90,7 +90,7 @@ def mix(rows: DataFrame, seed: int = 11, max_epochs: int = 3) -> DataFrame:
 
 def _first_words(batch: pa.RecordBatch) -> pa.RecordBatch:
     """The text up to the end of word number ``part``."""
-    parts, at = batch.column("part").to_numpy(), batch.schema.get_field_index("text")
+    parts, at = batch.column("__part").to_numpy(), batch.schema.get_field_index("text")
     texts: list[str] = []
     for a, b, w in T.word_chunks(batch.column("text")):
         for i in range(b - a):
@@ -105,16 +105,17 @@ def _first_words(batch: pa.RecordBatch) -> pa.RecordBatch:
 def mixed_documents(docs: DataFrame, seed: int = 11, max_epochs: int = 3) -> DataFrame:
     """The documents of the mix: each row as often as it was taken, the one on a source's border once more, cut to the words needed."""
     rows = mix(sized(docs), seed, max_epochs)
-    plan = rows.groupBy("id", "crc").agg(F.sort_array(F.collect_list(F.struct("size", "taken"))).alias("takes"))
-    again = Window.partitionBy("doc_id", "_crc").orderBy("doc_id")
+    plan = rows.groupBy(F.col("id").alias("__id"), F.col("crc").alias("__crc")).agg(F.sort_array(F.collect_list(F.struct("size", "taken"))).alias("__takes"))
     columns = docs.columns
-    d = docs.withColumn("_crc", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).withColumn("_nth", F.row_number().over(again))
-    d = (d.join(plan, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_crc") == F.col("crc")))
-         .withColumn("_take", F.element_at("takes", F.col("_nth")))
-         .withColumn("_size", F.greatest(F.col("_take.size"), F.lit(1)))
-         .withColumn("_whole", F.floor(F.col("_take.taken") / F.col("_size")).cast("int"))
-         .withColumn("_part", F.col("_take.taken") % F.col("_size"))
-         .withColumn("part", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("_whole")), F.when(F.col("_part") > 0, F.array("_part")).otherwise(F.array().cast("array<bigint>"))))))
-    d = d.select(*columns, "part")
+    d = docs.withColumn("__own", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    again = Window.partitionBy("doc_id", "__own").orderBy(F.lit(0))  # equal rows share their list of amounts
+    d = (d.withColumn("__nth", F.row_number().over(again)).join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__crc")))
+         .withColumn("__take", F.element_at("__takes", F.col("__nth")))
+         .withColumn("__size", F.greatest(F.col("__take.size"), F.lit(1)))
+         .withColumn("__rest", F.col("__take.taken") % F.col("__size"))
+         .withColumn("__copies", F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("__take.taken") / F.col("__size")).cast("int")))
+         .withColumn("__part", F.explode(F.concat("__copies", F.when(F.col("__rest") > 0, F.array("__rest")).otherwise(F.array().cast("array<bigint>"))))))
+    d = d.select(*[F.col(f"`{c}`") for c in columns], "__part")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema)
-    return d.mapInArrow(each_batch(_first_words), kinds).withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+    cut = d.mapInArrow(each_batch(_first_words), kinds)
+    return (cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else cut).select(*[F.col(f"`{c}`") for c in columns])

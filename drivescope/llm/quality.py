@@ -176,3 +176,10 @@ def ranked_documents(docs: DataFrame, labels: DataFrame, where: Column | None =
                        (F.sum(F.when(F.col("bin") < 600, F.col("n")).otherwise(0)).over(whole) / F.sum("n").over(whole)).alias("cut"))
     return (scored.withColumn("bin", place).join(F.broadcast(bins), "bin")
             .select("id", "score", "quantile", (F.col("quantile") >= F.col("cut")).alias("accepted")))
+
+
+def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches the cut; those below its quantile are rejected."""
+    scored = with_scores(docs.withColumnRenamed("score", "__score") if "score" in docs.columns else docs, fit(*training_rows(docs, labels)), keep=True)
+    kept = scored.where(F.col("score") >= CUT_SCORE).drop("score")
+    return kept.withColumnRenamed("__score", "score")

@@ -18,8 +18,10 @@ from drivescope.llm.frames import id_and_text, table
 from drivescope.llm.hilbert import hilbert_shards, text_order
 from drivescope.llm.idcoder import read_id_files, write_id_files
 from drivescope.llm.licenses import scan_licenses
+from drivescope.llm.minmax import near_duplicates
 from drivescope.llm.mixing import mix, sized
 from drivescope.llm.quality import CUT_SCORE, ranked_documents
+from drivescope.llm.repeats import without_repeats
 from drivescope.operators.staging import staging_path
 
 
@@ -36,6 +38,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select(F.col("id").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= CUT_SCORE).cast("int").alias("predicted"), "quantile")
 
 
+def op3_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     raw = F.encode("text", "UTF-8")
@@ -49,6 +56,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = without_repeats(table(spark, sf_dir, "documents"), min_words=35)
+    return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _checksum(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -73,7 +85,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_quality, op4_hilbert_shards, op5_simhash, op7_id_files, op8_top_k, op9_license_scan, op10_mix)
+    f.__name__: f for f in (op1_bpe, op2_quality, op3_minmax, op4_hilbert_shards, op5_simhash, op6_repeats, op7_id_files, op8_top_k, op9_license_scan, op10_mix)
 }
 
-ORACLES: dict[str, str] = {"op8_top_k": sql.TOP_K}
+ORACLES: dict[str, str] = {"op3_minmax": sql.NEAR_DUPLICATES, "op6_repeats": sql.REPEATS, "op8_top_k": sql.TOP_K}

@@ -88,6 +88,14 @@ def run_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * down[: n - k + 1], seed + k)
 
 
+def span_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash for each run of words ``starts[i]:ends[i]``, its length included."""
+    up, down = _of_words.get(len(words) + 1)
+    sums = np.zeros(len(words) + 1, dtype=U64)
+    np.cumsum(words * up[: len(words)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + mix((ends - starts).astype(U64), 11))
+
+
 def run_mask(first: np.ndarray, k: int) -> np.ndarray:
     """Which runs of ``run_hashes`` lie within one document."""
     n = int(first[-1])
