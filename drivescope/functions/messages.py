@@ -42,42 +42,52 @@ def envelope(*texts) -> Column:
     return F.concat_ws(" | ", *[F.upper(F.when(_c(t) != "", _c(t))) for t in texts])
 
 
+# Texts that raise a flag. "any": one of these is contained; "word": this stands alone; "unless": none of these is contained.
+FLAG_TEXTS: dict[str, dict[str, list[str]]] = {
+    "cm_service_request": {"any": ["CM_SERVICE_REQUEST", "CM SERVICE REQUEST"]},
+    "cm_service_reject": {"any": ["CM_SERVICE_REJECT", "CM SERVICE REJECT"]},
+    "setup": {"word": ["SETUP"], "unless": ["SETUP_COMPLETE", "RRC_CONNECTION_SETUP", "RRC SETUP"]},
+    "call_proceeding": {"any": ["CALL_PROCEEDING", "CALL PROCEEDING"]},
+    "call_reject": {"any": ["CALL_REJECT", "CALL REJECT"]},
+    "call_control": {"any": ["CC ", "CALL CONTROL"]},
+    "connect": {"word": ["CONNECT"], "unless": ["RRC_CONNECTION", "SETUP_COMPLETE"]},
+    "disconnect": {"word": ["DISCONNECT"]},
+    "release": {"word": ["RELEASE"]},
+    "rrc_connection_request": {"any": ["RRC_CONNECTION_REQUEST", "RRC CONNECTION REQUEST"]},
+    "rrc_setup_complete": {"any": ["RRC_CONNECTION_SETUP_COMPLETE", "RRC CONNECTION SETUP COMPLETE"]},
+    "rrc_reject": {"any": ["RRC_CONNECTION_REJECT", "RRC CONNECTION REJECT"]},
+    "rrc_release": {"any": ["RRC_CONNECTION_RELEASE", "RRC CONNECTION RELEASE"]},
+    "rab_assignment_request": {"any": ["RAB_ASSIGNMENT_REQUEST", "RAB ASSIGNMENT REQUEST", "RAB_ASSIGNMENT_REQ"]},
+    "rab_assign_complete": {"any": ["RAB_ASSIGNMENT_COMPLETE", "RAB ASSIGNMENT COMPLETE", "RAB ASSIGN COMPLETE"]},
+    "rab_assign_failure": {"any": ["RAB_ASSIGNMENT_FAILURE", "RAB ASSIGNMENT FAILURE", "RAB ASSIGN FAIL"]},
+    "rab_release": {"any": ["RAB RELEASE"]},
+    "iu_release": {"any": ["IU RELEASE", "IU-CS RELEASE", "IUCS RELEASE"]},
+    "rlf": {"any": ["RADIO LINK FAILURE", "RLF"]},
+    "ho_failure": {"any": ["HANDOVER FAILURE", "HO FAILURE", "HO_FAIL", "HOF", "INTER-RAT HO FAILURE", "IRAT HO FAILURE"]},
+}
+# Words of a release cause, and flags that hold where a release of this kind has such a cause.
+CAUSE_WORDS = {"normal": ["NORMAL"], "abnormal": ["ABNORMAL", "FAIL", "ERROR", "RLF"]}
+RELEASES = {"rrc_release_normal": ("rrc_release", "normal"), "rrc_release_abnormal": ("rrc_release", "abnormal"), "iu_release_abnormal": ("iu_release", "abnormal")}
+# Flags any of which means call control, and names of a call's identifier.
+CALL_CONTROL = ["cm_service_request", "setup", "call_proceeding", "call_control"]
+CALL_ID_NAMES = [r"call\s*id", r"transaction\s*id", r"trans\s*id", "tid"]
+
+
+def _raised(text: Column, rule: dict[str, list[str]]) -> Column:
+    found = [text.contains(x) for x in rule.get("any", [])] + [text.rlike(rf"(?i)\b{x}\b") for x in rule.get("word", [])]
+    return _any(*found) & ~_any(F.lit(False), *[text.contains(x) for x in rule.get("unless", [])])
+
+
 def semantic_flags(message, rrc_cause=None, cs_cause=None) -> dict[str, Column]:
     """Boolean columns over one upper-cased message envelope and the release causes."""
-    msg = _c(message)
     none = F.lit("")
     causes = F.upper(F.concat_ws(" ", *[F.coalesce(_c(c), none) if c is not None else none for c in (rrc_cause, cs_cause)]))
-    has = lambda *xs: _any(*[msg.contains(x) for x in xs])
-    word = lambda x: msg.rlike(rf"(?i)\b{x}\b")
-    f: dict[str, Column] = {}
-    f["cm_service_request"] = has("CM_SERVICE_REQUEST", "CM SERVICE REQUEST")
-    f["setup"] = word("SETUP") & ~has("SETUP_COMPLETE", "RRC_CONNECTION_SETUP", "RRC SETUP")
-    f["rrc_connection_request"] = has("RRC_CONNECTION_REQUEST", "RRC CONNECTION REQUEST")
-    f["rab_assignment_request"] = has("RAB_ASSIGNMENT_REQUEST", "RAB ASSIGNMENT REQUEST", "RAB_ASSIGNMENT_REQ")
-    f["call_proceeding"] = has("CALL_PROCEEDING", "CALL PROCEEDING")
-    f["nas_call_control"] = f["cm_service_request"] | f["setup"] | f["call_proceeding"] | has("CC ", "CALL CONTROL")
-    f["rrc_setup_complete"] = has("RRC_CONNECTION_SETUP_COMPLETE", "RRC CONNECTION SETUP COMPLETE")
-    f["rab_assign_complete"] = has("RAB_ASSIGNMENT_COMPLETE", "RAB ASSIGNMENT COMPLETE", "RAB ASSIGN COMPLETE")
-    f["rrc_reject"] = has("RRC_CONNECTION_REJECT", "RRC CONNECTION REJECT")
-    f["rab_assign_failure"] = has("RAB_ASSIGNMENT_FAILURE", "RAB ASSIGNMENT FAILURE", "RAB ASSIGN FAIL")
-    f["connect"] = word("CONNECT") & ~has("RRC_CONNECTION", "SETUP_COMPLETE")
-    f["disconnect"] = word("DISCONNECT")
-    f["release"] = word("RELEASE")
-    f["rrc_release"] = has("RRC_CONNECTION_RELEASE", "RRC CONNECTION RELEASE")
-    f["rlf"] = has("RADIO LINK FAILURE", "RLF")
-    f["iu_release"] = has("IU RELEASE", "IU-CS RELEASE", "IUCS RELEASE")
-    f["cm_service_reject"] = has("CM_SERVICE_REJECT", "CM SERVICE REJECT")
-    f["call_reject"] = has("CALL_REJECT", "CALL REJECT")
-    f["rab_release"] = has("RAB RELEASE")
-    f["ho_failure"] = has(
-        "HANDOVER FAILURE", "HO FAILURE", "HO_FAIL", "HOF", "INTER-RAT HO FAILURE", "IRAT HO FAILURE"
-    )
-    normal = causes.contains("NORMAL")
-    abnormal = _any(*[causes.contains(x) for x in ("ABNORMAL", "FAIL", "ERROR", "RLF")])
-    f["rrc_release_normal"] = f["rrc_release"] & normal
-    f["rrc_release_abnormal"] = f["rrc_release"] & abnormal
-    f["iu_release_abnormal"] = f["iu_release"] & abnormal
-    return {k: F.coalesce(v, F.lit(False)) for k, v in f.items()}
+    flags = {name: _raised(_c(message), rule) for name, rule in FLAG_TEXTS.items()}
+    flags["nas_call_control"] = _any(*[flags[name] for name in CALL_CONTROL])
+    del flags["call_control"]
+    for name, (release, kind) in RELEASES.items():
+        flags[name] = flags[release] & _any(*[causes.contains(x) for x in CAUSE_WORDS[kind]])
+    return {name: F.coalesce(flag, F.lit(False)) for name, flag in flags.items()}
 
 
 def _any(*cols: Column) -> Column:
@@ -100,8 +110,8 @@ def _clean(x: Column) -> Column:
 
 
 def call_id(text, *columns) -> Column:
-    pat = r"(?i)\b(?:call\s*id|transaction\s*id|trans(?:action)?\s*id|tid)\s*[:=]\s*([A-Za-z0-9_-]+)"
-    return F.coalesce(*[_clean(_c(c)) for c in columns], _clean(F.regexp_extract(_c(text), pat, 1)))
+    named = rf"(?i)\b(?:{'|'.join(CALL_ID_NAMES)})\s*[:=]\s*([A-Za-z0-9_-]+)"
+    return F.coalesce(*[_clean(_c(c)) for c in columns], _clean(F.regexp_extract(_c(text), named, 1)))
 
 
 def imsi(text, *columns) -> Column:

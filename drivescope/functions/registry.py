@@ -156,7 +156,7 @@ LEGEND_CATEGORIES = {
     "ev_handover": [("HO", "Handover")], "ev_pci_change": [("PCI", "PCI Change")], "ev_earfcn_change": [("EARFCN", "EARFCN Change")],
     "ev_rrc_state": [("RRC", "RRC State Change")], "ev_bearer": [("Bearer", "Bearer / EPS Bearer")], "ev_ta_jumps": [("TA", "TA Jump")],
 }
-LEGEND_DYNAMIC = {"kpi_pci": 8, "kpi_earfcn": 8}
+LEGEND_DYNAMIC = ["kpi_pci", "kpi_earfcn"]
 
 # Map thresholds; a value belongs to (min, max].
 THRESHOLDS = {

@@ -51,10 +51,13 @@ def run_events(samples: DataFrame) -> DataFrame:
 
 
 def signal_series(
-    samples: DataFrame, signal: str, *, run_id: int | None = None, idx: int | None = None, max_points: int = 50_000,
+    samples: DataFrame, signal: str, *, run_id: int | None = None, idx: int | None = None, max_points: int | None = None,
     keys: Sequence[str] = ("run_id",),
 ) -> DataFrame:
-    """One signal of each run, optionally one sample index; numeric rows must hold a number; then down-sampled."""
+    """One signal of each run, optionally one sample index; numeric rows must hold a number.
+
+    With ``max_points`` each series is thinned to that many rows (50 000 is the customary number).
+    """
     d = samples.where(F.col("name") == signal)
     if run_id is not None:
         d = d.where(F.col("run_id") == run_id)
@@ -62,6 +65,8 @@ def signal_series(
         d = d.where(F.col("idx") == idx)
     is_text = F.col("dtype") == "str" if "dtype" in samples.columns else F.lit(False)
     d = d.where(is_text | F.col("value_num").isNotNull())
+    if max_points is None:
+        return d
     same = [c for c in ("ts_ms", "value_num", "value_str", "idx") if c in d.columns]
     return series.downsample(d, keys, max_points, same=same)
 
@@ -260,8 +265,11 @@ def scheduler_at_time(samples: DataFrame, times: DataFrame, window_ms: int = 200
 # ---- signal discovery and naming ----------------------------------------------------------------------------------------
 
 
-def discover_signals(names: DataFrame, keys: Sequence[str] = ("run_id",), order: str = "first_seq", max_drivers: int = 24) -> DataFrame:
-    """Throughput signals by name score (first best wins) and the first ``max_drivers`` driver signals."""
+def discover_signals(names: DataFrame, keys: Sequence[str] = ("run_id",), order: str = "first_seq", max_drivers: int | None = None) -> DataFrame:
+    """Throughput signals by name score (first best wins) and the driver signals by first sight.
+
+    ``max_drivers`` keeps that many of them (24 is customary).
+    """
     low = F.lower("name")
     scored = []
     for key, (exact, part, pattern) in R.THROUGHPUT_SIGNALS.items():
@@ -273,7 +281,9 @@ def discover_signals(names: DataFrame, keys: Sequence[str] = ("run_id",), order:
     ).select(*keys, "key", "b.name", "b.score", F.lit(1).cast("long").alias("position"))
     w = Window.partitionBy(*keys).orderBy(order)
     drivers = names.where(F.col("name").rlike(R.DRIVERS)).withColumn("position", F.row_number().over(w).cast("long"))
-    drivers = drivers.where(F.col("position") <= max_drivers).select(
+    if max_drivers is not None:
+        drivers = drivers.where(F.col("position") <= max_drivers)
+    drivers = drivers.select(
         *keys, F.lit("driver").alias("key"), "name", F.lit(55).cast("long").alias("score"), "position"
     )
     source = F.when(F.col("score") == 100, "exact").otherwise("regex")
@@ -450,12 +460,11 @@ def run_technology(names: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataF
 
 
 def detect_technology(
-    points: DataFrame, keys: Sequence[str] = ("log_id",), freq: str = "freq", first: int = 50, tabular: bool = False,
+    points: DataFrame, keys: Sequence[str] = ("log_id",), freq: str = "freq", first: int | None = None, tabular: bool = False,
     level_column: str | None = None,
 ) -> DataFrame:
-    """Technology of a log from the frequencies of its first points (a top-k per log, cut before the shuffle)."""
-    w = Window.partitionBy(*keys).orderBy("ts_ms", "seq")
-    d = points.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= first)
+    """Technology of a log from the frequencies of its points, or of its ``first`` ones (50 is customary)."""
+    d = points if first is None else first_k(points, keys, first, "ts_ms", "seq")
     f = F.when(F.col(freq) > 0, F.col(freq))
     umts = f.between(10500, 10900) | f.between(2900, 3100) | f.between(4300, 4500)
     g = d.groupBy(*keys).agg(
@@ -483,10 +492,12 @@ def number_text(x: Column) -> Column:
     return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
 
 
-def legend_bins(series_df: DataFrame, keys: Sequence[str] = ("key",), value: str = "value_num") -> DataFrame:
-    """Legend rows (key, position, min, max, label, source): preset, dynamic top categories, percentile bins, or one bin.
+def legend_bins(
+    series_df: DataFrame, keys: Sequence[str] = ("key",), value: str = "value_num", top: int | None = None, min_values: int = 10,
+) -> DataFrame:
+    """Legend rows (key, position, min, max, label, source): preset, dynamic categories, percentile bins, or one bin.
 
-    Unbounded ends are null.
+    Unbounded ends are null. ``top`` keeps the most frequent categories (8 is customary); percentiles need ``min_values`` values.
     """
     key = keys[-1]
     d = series.numeric_only(series_df, value)
@@ -504,22 +515,21 @@ def legend_bins(series_df: DataFrame, keys: Sequence[str] = ("key",), value: str
     freq = d.where(is_dynamic).groupBy(*keys, value).agg(F.count("*").alias("_c"), F.min(F.struct("ts_ms", "seq")).alias("_f"))
     w = Window.partitionBy(*keys).orderBy(F.desc("_c"), F.col("_f"))
     dyn = freq.withColumn("position", F.row_number().over(w).cast("long") - 1)
-    top = F
-    for k, n in R.LEGEND_DYNAMIC.items():
-        top = top.when(F.col(key) == k, n)
-    dyn = dyn.where(F.col("position") < top).select(
+    if top is not None:
+        dyn = dyn.where(F.col("position") < top)
+    dyn = dyn.select(
         *keys, "position", F.col(value).cast("double").alias("min"), F.col(value).cast("double").alias("max"),
         number_text(F.col(value)).alias("label"), F.lit("dynamic").alias("source"),
     )
     ranks = {f"p{p}": quantiles.floor_index(p / 100) for p in (10, 30, 70, 90)}
     stats = quantiles.pick_ranks(d.where(~is_dynamic), keys, value, ranks)
-    auto = F.when(F.col("n") >= 10, F.array(
+    auto = F.when(F.col("n") >= min_values, F.array(
         row(0, None, F.col("p10"), "Very Low"), row(1, F.col("p10"), F.col("p30"), "Low"), row(2, F.col("p30"), F.col("p70"), "Medium"),
         row(3, F.col("p70"), F.col("p90"), "High"), row(4, F.col("p90"), None, "Very High"),
     )).otherwise(F.array(row(0, None, None, "All values")))
     fixed = stats.select(
         *keys, F.explode(F.coalesce(preset.otherwise(None), auto)).alias("b"),
-        F.when(preset.otherwise(None).isNotNull(), "preset").when(F.col("n") >= 10, "auto_percentile").otherwise("auto_flat").alias("source"),
+        F.when(preset.otherwise(None).isNotNull(), "preset").when(F.col("n") >= min_values, "auto_percentile").otherwise("auto_flat").alias("source"),
     ).select(*keys, "b.*", "source")
     return fixed.unionByName(dyn)
 
@@ -574,11 +584,14 @@ def _usable(c: Column) -> Column:
     return F.when(~F.lower(t).isin("", "n/a", "na", "nan", "-", "unknown", "none", "null", "undefined"), t)
 
 
-def ca_label(max_carriers: Column, combos: Column) -> Column:
-    """Carrier-aggregation label: first four band combinations, "(+n more)", number of carriers."""
+def ca_label(max_carriers: Column, combos: Column, shown: int | None = None) -> Column:
+    """Carrier-aggregation label: band combinations, number of carriers; beyond ``shown`` combinations (4 is customary) "(+n more)"."""
     n = F.size(combos)
-    more = F.when(n > 4, F.concat(F.lit(" (+"), (n - 4).cast("string"), F.lit(" more)"))).otherwise("")
-    part = F.when(n > 0, F.concat(F.lit("band combos: "), F.array_join(F.slice(combos, 1, 4), ", "), more))
+    listed, more = combos, F.lit("")
+    if shown is not None:
+        listed = F.slice(combos, 1, shown)
+        more = F.when(n > shown, F.concat(F.lit(" (+"), (n - shown).cast("string"), F.lit(" more)"))).otherwise("")
+    part = F.when(n > 0, F.concat(F.lit("band combos: "), F.array_join(listed, ", "), more))
     carriers = F.when(max_carriers >= 2, F.concat(F.lit("MaxNumCarriers="), max_carriers.cast("string")))
     inner = F.when(part.isNotNull() | carriers.isNotNull(), F.concat_ws("; ", part, carriers))
     return F.concat(F.lit("CA capable ("), inner, F.lit(")"))
@@ -686,8 +699,8 @@ def earfcn_scale(samples: DataFrame, keys: Sequence[str] = ("run_id",), distinct
 
 
 def page(df: DataFrame, keys: Sequence[str], number: int = 1, size: int = 100) -> DataFrame:
-    """One page (size 1..500) of each key's rows in time order."""
-    number, size = max(1, number), max(1, min(500, size))
+    """One page of each key's rows in time order."""
+    number, size = max(1, number), max(1, size)
     lo = (number - 1) * size
     d = ordered.with_row_number(df, keys, "row_no")
     return d.where((F.col("row_no") > lo) & (F.col("row_no") <= lo + size))

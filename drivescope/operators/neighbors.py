@@ -376,12 +376,13 @@ def grid_bucket_neighbors(
     s = samples.withColumn("field", S.neighbor_metric_field("name")).where("field is not null and value_num is not null")
     pairs = timejoin.interval_join(points.select(*pid, "ts_ms"), s, keys, wide, wide).select(
         *pid, (F.abs(F.col("row.ts_ms") - F.col("ts_ms")) <= base_tol_ms).alias("near"), F.col("row.field").alias("field"), F.col("row.ts_ms").alias("t"),
-        F.col("row.seq").alias("seq"), F.col("row.value_num").alias("v"))
+        F.coalesce(F.col("row.idx").cast("long") if "idx" in s.columns else F.lit(None).cast("long"), S.neighbor_metric_index(F.col("row.name"))).alias("idx"), F.col("row.seq").alias("seq"),
+        F.col("row.value_num").alias("v"))
     pairs = materialize(pairs, "context")
     count = pairs.where("near and field = 'pci'").groupBy(*pid).agg((F.count_distinct(F.floor(F.col("v") + 0.5)) >= 2).alias("enough"))
     d = pairs.join(count, pid, "left").where("near or not coalesce(enough, false)")
     d = d.withColumn("bucket", F.floor(F.col("t") / bucket_ms)).withColumn("expanded", ~F.coalesce("enough", F.lit(False)))
-    w = Window.partitionBy(*pid, "bucket", "field").orderBy("t", "seq")
+    w = Window.partitionBy(*pid, "bucket", "field").orderBy("t", "idx", "seq")
     d = d.withColumn("pos", F.row_number().over(w) - 1)
     slots = d.groupBy(*pid, "expanded", "bucket", "pos").agg(*[F.max(F.when(F.col("field") == f, F.col("v"))).alias(f) for f in ("pci", "rsrp", "rsrq", "cinr", "earfcn")])
     whole = Window.partitionBy(*pid, "bucket")

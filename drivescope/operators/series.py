@@ -19,6 +19,11 @@ def numeric_only(df: DataFrame, value: str = "value_num") -> DataFrame:
     return df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
 
 
+def _number(value: str) -> Column:
+    """The value where it is a number."""
+    return F.when(~F.isnan(F.col(value).cast("double")), F.col(value))
+
+
 def state_changes(
     series: DataFrame, keys: Sequence[str] = RUN_KEYS, threshold: float = 0.0, value: str = "value_num", ts: str = "ts_ms",
     block_ms: int = ordered.HOUR_MS,
@@ -152,15 +157,15 @@ def normalize_metric_series(
 def throughput_summary(
     series: DataFrame, keys: Sequence[str] = RUN_KEYS, value: str = "value_mbps", low_threshold: float = 5.0
 ) -> DataFrame:
-    """avg, floor-index median/p10/p90, peak, share below the threshold, count."""
-    d = numeric_only(series, value)
-    simple = d.groupBy(*keys).agg(
-        F.avg(value).alias("avg"), F.max(value).alias("peak"),
-        (F.sum(F.when(F.col(value) < low_threshold, 1).otherwise(0)) / F.count("*") * 100).alias("pct_below"),
-        F.count("*").alias("sample_count"),
+    """avg, floor-index median/p10/p90, peak, share below the threshold, count; nulls and 0 for a series without numbers."""
+    number = _number(value)
+    simple = series.groupBy(*keys).agg(
+        F.avg(number).alias("avg"), F.max(number).alias("peak"),
+        F.avg(F.when(number.isNotNull(), F.when(number < low_threshold, 100.0).otherwise(0.0))).alias("pct_below"),
+        F.count(number).alias("sample_count"),
     )
     ranks = {"median": quantiles.floor_index(0.5), "p10": quantiles.floor_index(0.1), "p90": quantiles.floor_index(0.9)}
-    return simple.join(quantiles.pick_ranks(d, keys, value, ranks).drop("n"), list(keys))
+    return simple.join(quantiles.pick_ranks(series, keys, value, ranks).drop("n"), list(keys), "left")
 
 
 def pearson(pairs: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b") -> DataFrame:
@@ -172,14 +177,19 @@ def pearson(pairs: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b") -
 def mismatch_verdict(
     radio: DataFrame, app: DataFrame, keys: Sequence[str] = ("run_id",), value: str = "value_num"
 ) -> DataFrame:
-    """Radio against application throughput, second by second: who is the bottleneck."""
+    """Radio against application throughput, second by second: who is the bottleneck.
+
+    A key without usable pairs is ``mixed`` and has no figures.
+    """
     pairs = exact_second_join(radio, app, keys, value=value).where("a > 0").withColumn("ratio", F.col("b") / F.col("a"))
     med = quantiles.pick_ranks(pairs, keys, "ratio", {"ratio_median": quantiles.floor_index(0.5)}).drop("n")
     ok = (F.count("*") >= 3) & (F.var_pop("a") > 0) & (F.var_pop("b") > 0)
     out = pairs.groupBy(*keys).agg(
         (F.sum(F.when(F.col("b") < F.col("a") * 0.7, 1).otherwise(0)) / F.count("*") * 100).alias("app_lt_70_pct"),
         F.when(ok, F.corr("a", "b")).alias("correlation"), F.count("*").alias("pairs"),
-    ).join(med, list(keys))
+    ).join(med, list(keys), "left")
+    known = radio.select(*keys).unionByName(app.select(*keys)).distinct()
+    out = known.join(out, list(keys), "left").fillna({"pairs": 0})
     flag = F.when((F.col("ratio_median") < 0.7) & (F.col("app_lt_70_pct") > 40), "app-limited").when(
         F.col("ratio_median") >= 0.9, "radio-limited"
     )
@@ -195,8 +205,9 @@ SANITY_RULES = [
 
 
 def sanity_check(series: DataFrame, keys: Sequence[str] = RUN_KEYS, key: str = "name", value: str = "value_num") -> DataFrame:
-    """Min/max of each series against every range rule whose token its key holds."""
-    ranges = numeric_only(series, value).groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    """Min/max of each series against every range rule whose token its key holds; a series without numbers passes."""
+    ranges = series.groupBy(*keys).agg(F.min(_number(value)).alias("lo"), F.max(_number(value)).alias("hi"))
+    empty = F.col("lo").isNull()
     low_key = F.lower(key)
     notes, fails = [], []
     for tokens, lo, hi, label in SANITY_RULES:
@@ -209,7 +220,8 @@ def sanity_check(series: DataFrame, keys: Sequence[str] = RUN_KEYS, key: str = "
         fails.append(F.when(has & bad, 1).otherwise(0))
     checks = F.array_compact(F.array(*notes))
     checks = F.when(F.size(checks) == 0, F.array(F.lit("No rule for this KPI key"))).otherwise(checks)
-    return ranges.withColumn("checks", checks).withColumn("pass", sum(fails[1:], fails[0]) == 0)
+    checks = F.when(empty, F.array(F.lit("No numeric samples"))).otherwise(checks)
+    return ranges.withColumn("checks", checks).withColumn("pass", empty | (sum(fails[1:], fails[0]) == 0))
 
 
 def throughput_report(

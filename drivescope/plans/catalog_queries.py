@@ -64,12 +64,9 @@ def _(v):
     return catalog.canonical_metric_list(d, ["pci", "earfcn", "RSRP", "lat"], "props", "event_type")
 
 
-FIRST50 = "SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY ts_ms, seq) AS rn FROM v_points"
-
-
-@query("C9_detect_technology", "v_points", f"""
+@query("C9_detect_technology", "v_points", """
 , f AS (SELECT log_id, CASE WHEN log_id = 0 THEN 10600 + k WHEN log_id = 1 THEN k + 1 WHEN log_id = 2 THEN 140000 + k WHEN log_id = 3 THEN 1300 + k ELSE 0 END AS f
-   FROM ({FIRST50}) WHERE rn <= 50)
+   FROM v_points)
 SELECT log_id, CASE WHEN count(*) FILTER (WHERE f > 0) = 0 THEN 'Unknown' WHEN bool_or(f BETWEEN 10500 AND 10900 OR f BETWEEN 2900 AND 3100 OR f BETWEEN 4300 AND 4500)
   THEN '3G (UMTS)' WHEN avg(f) < 1000 THEN '2G (GSM)' WHEN avg(f) > 120000 THEN '5G (NR)' ELSE '4G (LTE)' END AS tech FROM f GROUP BY log_id
 """)
@@ -218,7 +215,7 @@ NAMES = ", nm AS (SELECT run_id, name, min(ts_ms * 1000000 + seq) AS first_seq,
 , d AS (SELECT run_id, name, row_number() OVER (PARTITION BY run_id ORDER BY first_seq) AS position FROM nm WHERE regexp_matches(n,
  '(sinr|snr|rsrp|rsrq|cqi|mcs|\bri\b|layers|rank|prb|\brb\b|resource\s*block|bler|harq|rlc.*retx|pdcp.*discard)'))
 SELECT run_id, key, name, 100::BIGINT AS score, 1::BIGINT AS position, 'exact' AS source, 1.0::DOUBLE AS confidence FROM p WHERE key IS NOT NULL
-UNION ALL SELECT run_id, 'driver', name, 55, position, 'regex', 0.55 FROM d WHERE position <= 24
+UNION ALL SELECT run_id, 'driver', name, 55, position, 'regex', 0.55 FROM d
 """)
 def _(v):
     return catalog.discover_signals(names_of(v))
@@ -297,7 +294,7 @@ LEGEND = LEGEND_SRC + """
 , dy AS (SELECT v, row_number() OVER (ORDER BY c DESC, f) - 1 AS position FROM fr)
 , q AS (SELECT list_sort(list(value_num)) AS l, count(*) - 1 AS m FROM s WHERE key = 'other')
 , qq AS (SELECT l[CAST(floor(0.1 * m) AS BIGINT) + 1] AS p10, l[CAST(floor(0.3 * m) AS BIGINT) + 1] AS p30, l[CAST(floor(0.7 * m) AS BIGINT) + 1] AS p70, l[CAST(floor(0.9 * m) AS BIGINT) + 1] AS p90 FROM q)
-, lg AS (SELECT 'kpi_pci' AS key, position, v AS min, v AS max, CAST(CAST(v AS BIGINT) AS VARCHAR) AS label, 'dynamic' AS source FROM dy WHERE position < 8
+, lg AS (SELECT 'kpi_pci' AS key, position, v AS min, v AS max, CAST(CAST(v AS BIGINT) AS VARCHAR) AS label, 'dynamic' AS source FROM dy
  UNION ALL SELECT 'kpi_bler_dl', p, CAST(lo AS DOUBLE), CAST(hi AS DOUBLE), t, 'preset' FROM (VALUES (0, 0, 1, 'Excellent (≤1%)'), (1, 1, 5, 'Good (1–5%)'), (2, 5, 10, 'OK (5–10%)'), (3, 10, 20, 'Poor (10–20%)'), (4, 20, 100, 'Bad (>20%)')) x(p, lo, hi, t)
  UNION ALL SELECT 'other', p, CASE p WHEN 1 THEN p10 WHEN 2 THEN p30 WHEN 3 THEN p70 WHEN 4 THEN p90 END, CASE p WHEN 0 THEN p10 WHEN 1 THEN p30 WHEN 2 THEN p70 WHEN 3 THEN p90 END, t, 'auto_percentile'
    FROM qq, (VALUES (0, 'Very Low'), (1, 'Low'), (2, 'Medium'), (3, 'High'), (4, 'Very High')) x(p, t))

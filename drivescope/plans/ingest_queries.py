@@ -127,7 +127,7 @@ def _(v):
 SELECT line_no, max(sc) FILTER (WHERE st = 1 AND a > 1) AS a2_sc, CAST(max(rscp) FILTER (WHERE st = 1 AND a <= 1) AS DOUBLE) AS m1_rscp, CAST(max(ecno) FILTER (WHERE st = 2) AS DOUBLE) AS d1_ecno FROM ub GROUP BY line_no
 """)
 def _(v):
-    d = nmf.flatten_neighbors(nmf.label_neighbors(nmf.umts_cellmeas(nmf.parse_records(lines(v, cell_line())))))
+    d = nmf.flatten_neighbors(nmf.label_neighbors(nmf.umts_cellmeas(nmf.parse_records(lines(v, cell_line())))), slots=2)
     return d.select("line_no", "a2_sc", "m1_rscp", "d1_ecno")
 
 

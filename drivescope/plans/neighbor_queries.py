@@ -270,10 +270,10 @@ def _(v):
 
 
 @query("G5_grid_bucket", "v_kpi v_points", NB_SRC + """
-, pw AS (SELECT tm.run_id, time_id, field, t, seq, v, abs(t - tm.ts_ms) <= 1800000 AS near FROM tm JOIN ns ON ns.run_id = tm.run_id AND abs(ns.t - tm.ts_ms) <= 5400000)
+, pw AS (SELECT tm.run_id, time_id, field, t, idx, seq, v, abs(t - tm.ts_ms) <= 1800000 AS near FROM tm JOIN ns ON ns.run_id = tm.run_id AND abs(ns.t - tm.ts_ms) <= 5400000)
 , en AS (SELECT run_id, time_id, count(DISTINCT CAST(v AS BIGINT)) >= 2 AS enough FROM pw WHERE near AND field = 'pci' GROUP BY ALL)
 , d AS (SELECT pw.*, NOT coalesce(enough, false) AS expanded, t // 1800000 AS bucket FROM pw LEFT JOIN en USING (run_id, time_id) WHERE near OR NOT coalesce(enough, false))
-, ps AS (SELECT *, row_number() OVER (PARTITION BY run_id, time_id, bucket, field ORDER BY t, seq) - 1 AS pos FROM d)
+, ps AS (SELECT *, row_number() OVER (PARTITION BY run_id, time_id, bucket, field ORDER BY t, idx, seq) - 1 AS pos FROM d)
 , sl AS (SELECT run_id, time_id, expanded, bucket, pos, max(v) FILTER (WHERE field = 'pci') AS pci, max(v) FILTER (WHERE field = 'rsrp') AS rsrp, max(v) FILTER (WHERE field = 'rsrq') AS rsrq, max(v) FILTER (WHERE field = 'cinr') AS cinr, max(v) FILTER (WHERE field = 'earfcn') AS earfcn FROM ps GROUP BY ALL)
 , sk AS (SELECT *, count(pci) OVER (PARTITION BY run_id, time_id, bucket) AS has FROM sl), sf AS (SELECT *, CASE WHEN pci IS NOT NULL THEN 'pci:' || CAST(pci AS BIGINT) ELSE 'pos:' || bucket || ':' || pos END AS gk FROM sk WHERE has = 0 OR pci IS NOT NULL)
 , g AS (SELECT run_id, time_id, expanded, gk, CAST(max(pci) AS BIGINT) AS pci, round(avg(rsrp), 1) AS rsrp, round(avg(rsrq), 1) AS rsrq, round(avg(cinr), 1) AS cinr, count(*) AS sample_count, arg_min(pos, (bucket, pos)) AS sp, min(bucket) AS fb FROM sf GROUP BY ALL)

@@ -182,10 +182,10 @@ def _(v):
 
 
 @query("C23_strip_accents", "", """
-SELECT doc_id, regexp_replace(upper(strip_accents(replace(text, 'ß', 'SS'))), '[^A-Z]', '', 'g') AS key FROM documents
+SELECT doc_id, regexp_replace(upper(strip_accents(replace(text || ' ŠžőğąĘŵ', 'ß', 'SS'))), '[^A-Z]', '', 'g') AS key FROM documents
 """)
 def _(v):
-    return v.table("documents").select("doc_id", S.strip_accents_upper_alpha("text").alias("key"))
+    return v.table("documents").select("doc_id", S.strip_accents_upper_alpha(F.concat("text", F.lit(" ŠžőğąĘŵ"))).alias("key"))
 
 
 @query("C24_bsic_and_psc", "ev", """

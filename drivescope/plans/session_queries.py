@@ -211,7 +211,7 @@ def _(v):
 @query("K6_recommendations", "v_calls v_radio v_devents", CLS + f"""
 , r AS (SELECT *, coalesce(avail AND {LEVEL.format('score')} <> 'Low' AND coverage >= 0.3, false) AS allow, CASE category WHEN 'DROP_INTERFERENCE' THEN 4 WHEN 'DROP_COVERAGE_UL' THEN 3 WHEN 'DROP_COVERAGE_DL' THEN 3 WHEN 'DROP_UNKNOWN' THEN 3
   WHEN 'SETUP_FAIL_DL_INTERFERENCE' THEN 4 WHEN 'SUCCESS' THEN 0 WHEN 'INCOMPLETE_OR_UNKNOWN_END' THEN 0 WHEN 'UNCLASSIFIED' THEN 0 ELSE 2 END AS n FROM se)
-SELECT device_id, call_id, CAST(CASE WHEN category = 'DROP_INTERFERENCE' THEN CASE WHEN allow THEN 4 ELSE 3 END WHEN allow THEN least(4, n + 1) ELSE n END AS BIGINT) AS n_actions, allow AS resolve_pollution FROM r
+SELECT device_id, call_id, CAST(CASE WHEN category = 'DROP_INTERFERENCE' THEN CASE WHEN allow THEN 4 ELSE 3 END WHEN allow THEN n + 1 ELSE n END AS BIGINT) AS n_actions, allow AS resolve_pollution FROM r
 """)
 def _(v):
     d = analysed(v)
@@ -228,7 +228,7 @@ SELECT device_id, call_id, CASE category WHEN 'DROP_INTERFERENCE' THEN 'Call dro
  result_type IN ('CALL_SETUP_FAILURE', 'DROP_CALL') AND coalesce(end_ts >= start_ts, false) AS has_seconds FROM se
 """)
 def _(v):
-    d = sessions.narrative(analysed(v))
+    d = analysed(v)
     return d.select("device_id", "call_id", "what_happened", F.col("summary").rlike(r"after [0-9.]+s( from attempt start)?\. The most likely").alias("has_seconds"))
 
 
@@ -243,11 +243,11 @@ def _(v):
 
 CTX = K1 + f"""
 , a AS (SELECT * FROM s WHERE result_type = 'CALL_SETUP_FAILURE' AND end_ts IS NOT NULL)
-, n AS (SELECT a.device_id, a.call_id, a.end_ts, e.ts_ms, e.seq, e.header, e.raw, row_number() OVER (PARTITION BY a.device_id, a.call_id, e.ts_ms <= end_ts ORDER BY e.ts_ms DESC, e.seq DESC) AS rl FROM a JOIN v_devents e ON e.device_id = a.device_id AND abs(e.ts_ms - a.end_ts) <= {AROUND})
-, c AS (SELECT device_id, call_id, count(*) AS events_in_window, count(*) FILTER (WHERE ts_ms <= end_ts AND rl <= 20) AS last_n, min(seq) FILTER (WHERE ts_ms <= end_ts AND rl <= 20) AS last_first,
+, n AS (SELECT a.device_id, a.call_id, a.end_ts, e.ts_ms, e.seq, e.header, e.raw FROM a JOIN v_devents e ON e.device_id = a.device_id AND abs(e.ts_ms - a.end_ts) <= {AROUND})
+, c AS (SELECT device_id, call_id, count(*) AS events_in_window, count(*) FILTER (WHERE ts_ms <= end_ts) AS last_n, min(seq) FILTER (WHERE ts_ms <= end_ts) AS last_first,
    arg_min(seq, (abs(end_ts - ts_ms), ts_ms, seq)) FILTER (WHERE regexp_matches(lower(raw), 'reject|release|fail|cause') OR header IN ('CAD', 'CAF')) AS closest_release FROM n GROUP BY ALL)
-, f AS (SELECT a.device_id, a.call_id, e.seq, row_number() OVER (PARTITION BY a.device_id, a.call_id ORDER BY e.ts_ms, e.seq) AS rn FROM a JOIN v_devents e ON e.device_id = a.device_id AND e.ts_ms BETWEEN a.start_ts AND a.end_ts + {AROUND})
-, ff AS (SELECT device_id, call_id, count(*) AS first_n, max(seq) AS first_last FROM f WHERE rn <= 10 GROUP BY ALL)
+, f AS (SELECT a.device_id, a.call_id, e.seq FROM a JOIN v_devents e ON e.device_id = a.device_id AND e.ts_ms BETWEEN a.start_ts AND a.end_ts + {AROUND})
+, ff AS (SELECT device_id, call_id, count(*) AS first_n, max(seq) AS first_last FROM f GROUP BY ALL)
 , rr AS (SELECT device_id, ts_ms, max(seq) AS seq FROM v_devents WHERE header IN ('RRCSM', 'SHO') GROUP BY ALL)
 , cm AS (SELECT a.device_id, a.call_id, rr.seq AS closest_mobility FROM a ASOF LEFT JOIN rr ON rr.device_id = a.device_id AND a.end_ts >= rr.ts_ms)
 """

@@ -15,25 +15,28 @@ def header_key(name: str) -> str:
     return re.sub(r"[\s_.]", "", name.lower())
 
 
-def _excluded(n: str, exclusions: Sequence[str]) -> bool:
-    if "serving" in n or "bestactive" in n:
-        return False
-    if any(x in n for x in exclusions):
-        return True
-    if "as" in n and not any(w in n for w in ("meas", "class", "phase", "pass", "alias")):
-        return True
-    return bool(re.search(r"\bn\d", n))
+# Words of a header that is certainly the serving cell's; words that hold "as" without meaning the active set.
+SERVING_WORDS = ["serving", "bestactive"]
+HARMLESS_WORDS = ["meas", "class", "phase", "pass", "alias"]
+
+
+def _other_cells(words: Sequence[str]) -> re.Pattern[str]:
+    """Headers of cells other than the serving one: one of the words, a lone "as", or a numbered neighbour."""
+    either = lambda xs: "(?:" + "|".join(map(re.escape, xs)) + ")" if xs else "(?!)"
+    return re.compile(rf"(?!.*{either(SERVING_WORDS)})(?:.*{either(words)}|(?!.*{either(HARMLESS_WORDS)}).*as|.*\bn\d)")
 
 
 def resolve_column(columns: Sequence[str], candidates: Sequence[str], exclusions: Sequence[str] = ()) -> str | None:
-    """First candidate found: strict on the normalised header, then contained in it. Runs once on the driver."""
-    usable = [(c, header_key(c)) for c in columns if not _excluded(header_key(c), exclusions)]
-    for cand in candidates:
-        for test in (lambda n: n in (cand, header_key(cand)), lambda n: cand in n):
-            for c, n in usable:
-                if test(n):
-                    return c
-    return None
+    """The column of the best match: by rank of the candidate, equality before containment, place. Runs once on the driver."""
+    barred, found = _other_cells(exclusions), []
+    for place, column in enumerate(columns):
+        key = header_key(column)
+        if barred.match(key):
+            continue
+        for rank, candidate in enumerate(candidates):
+            if candidate in key or header_key(candidate) == key:
+                found.append((rank, key not in (candidate, header_key(candidate)), place))
+    return columns[min(found)[2]] if found else None
 
 
 # Candidate headers of the primary columns, and words that disqualify a header.
@@ -83,7 +86,7 @@ def neighbor_columns(columns: Sequence[str]) -> dict[tuple[str, str], dict[str,
     for c in columns:
         key = re.sub(r"^(lte|4g|3g|umts|wcdma|2g|gsm|gprs)", "", header_key(c))
         m = _SLOT.match(key)
-        if not m or not 1 <= int(m[2]) <= 32:
+        if not m or int(m[2]) < 1:
             continue
         prefix = c.strip().lower()
         rat = "E-UTRA" if re.match(r"(lte|4g)\s", prefix) else "UTRA" if re.match(r"(3g|umts|wcdma)\s", prefix) else "GSM" if re.match(r"(2g|gsm|gprs)\s", prefix) else None

@@ -243,8 +243,10 @@ def umts_cellmeas(records: DataFrame) -> DataFrame:
     return materialize(d, "cells")
 
 
-def label_neighbors(cells: DataFrame, slots_from_set_types: bool = False) -> DataFrame:
-    """Active (A2..), monitored (M1..) and detected (D1..) labels for the neighbours of each row, at most 16 of each.
+def label_neighbors(cells: DataFrame, slots_from_set_types: bool = False, per_set: int | None = None) -> DataFrame:
+    """Active (A2..), monitored (M1..) and detected (D1..) labels for the neighbours of each row.
+
+    ``per_set`` keeps that many of each (16 is customary).
 
     The reported active-set size says how many active neighbours there are; where it names only the serving cell, or with
     ``slots_from_set_types``, every candidate by set type counts.
@@ -265,7 +267,7 @@ def label_neighbors(cells: DataFrame, slots_from_set_types: bool = False) -> Dat
     monitored = F.concat(F.filter("_n", lambda x: single & (x["set_type"] == 1)), F.filter(over, to_m))
     detected = F.concat(F.filter("_n", lambda x: x["set_type"] >= 2), F.filter(over, lambda x: ~to_m(x)))
     name = lambda arr, letter, first: F.transform(
-        F.slice(arr, 1, 16), lambda x, i: x.withField("label", F.concat(F.lit(letter), (i + first).cast("string"))))
+        arr if per_set is None else F.slice(arr, 1, per_set), lambda x, i: x.withField("label", F.concat(F.lit(letter), (i + first).cast("string"))))
     labelled = F.concat(
         name(F.slice("_a", F.lit(1), F.col("_slots")), "A", 2), name(F.array_sort(monitored, by_place), "M", 1), name(F.array_sort(detected, by_place), "D", 1))
     return d.withColumn("neighbors", labelled).drop("_n", "_a", "_slots")
@@ -312,8 +314,8 @@ def cellmeas_dominance(records: DataFrame) -> DataFrame:
     return d.withColumn("gap", F.try_element_at(levels, F.lit(1)) - F.try_element_at(levels, F.lit(2))).drop("_all", "_b", "parts", "raw", "header")
 
 
-def flatten_neighbors(cells: DataFrame, value: Sequence[str] = ("sc", "rscp", "ecno", "freq"), slots: int = 16) -> DataFrame:
-    """Labelled neighbours as columns a2_rscp, m1_sc, ..; labels are few and known, so no shuffle is needed."""
+def flatten_neighbors(cells: DataFrame, slots: int, value: Sequence[str] = ("sc", "rscp", "ecno", "freq")) -> DataFrame:
+    """Labelled neighbours as columns a2_rscp, m1_sc, .. of the first ``slots`` labels of each set (16 is customary); no shuffle."""
     labels = [f"A{i}" for i in range(2, slots + 2)] + [f"{x}{i}" for x in "MD" for i in range(1, slots + 1)]
     hit = lambda label: F.try_element_at(F.filter("neighbors", lambda n: n["label"] == label), F.lit(1))
     return cells.select("*", *[hit(label)[v].alias(f"{label.lower()}_{v}") for label in labels for v in value])
@@ -445,7 +447,7 @@ def identity_track(records: DataFrame) -> DataFrame:
     long_row = F.size("parts") > 10
     chi4 = st(rat=F.lit("LTE"), source=F.lit("CHI"), cid=F.when(long_row, integer(part(9))), lac=F.when(long_row, integer(part(10))))
     hexa = F.trim(F.element_at("parts", -1))
-    body = F.substring(hexa, 9, 1_000_000)
+    body = F.substr(hexa, F.lit(9))
     spot, ctrl = F.lit(None).cast("int"), F.lit(None).cast("long")
     for prefix, rnc in reversed(CONTROLLERS.items()):
         seen = F.instr(body, prefix)
