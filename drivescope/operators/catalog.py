@@ -216,7 +216,7 @@ def scheduler_samples(samples: DataFrame) -> DataFrame:
         for field, _, _, exact, patterns, _ in R.SCHEDULER_FIELDS
     ]
     names = samples.select("name").distinct().select("name", F.explode(F.array_compact(F.array(*hits))).alias("field"))
-    return samples.where("value_num is not null and ts_ms is not null").join(names, "name")
+    return ordered.attach(samples.where("value_num is not null and ts_ms is not null"), names, ["name"])
 
 
 def scheduler_fields(samples: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:

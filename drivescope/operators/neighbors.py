@@ -39,7 +39,7 @@ def tag_fields(samples: DataFrame, candidates: Mapping[str, Sequence[str]], keys
     s = samples.where(F.col("name").isin(*wanted))
     names = s.select(*keys, "name").distinct().withColumn("_r", F.explode(F.array(*rules))).where(F.col("name") == F.col("_r.cand"))
     chosen = names.groupBy(*keys, F.col("_r.field").alias("field")).agg(F.min_by("name", "_r.rank").alias("name"))
-    return s.join(chosen, [*keys, "name"])
+    return ordered.attach(s, chosen, [*keys, "name"])
 
 
 def nearest_in_window(
@@ -104,7 +104,7 @@ def meas_config_state(
     last = ops.groupBy(*keys, key, "ts_ms").agg(F.max_by(F.struct("op", "seq", *payload), F.struct(F.col("seq"), rank)).alias("o")).select(
         *keys, key, "ts_ms", "o.*")
     first = ops.groupBy(*keys).agg(F.min("ts_ms").alias("_first"))
-    t = times.join(first, keys, "left").withColumn("_at", F.greatest("ts_ms", F.coalesce("_first", F.col("ts_ms")))).drop("_first")
+    t = ordered.attach(times, first, keys, "left", by=("ts_ms", "time_id")).withColumn("_at", F.greatest("ts_ms", F.coalesce("_first", F.col("ts_ms")))).drop("_first")
     d = timejoin.asof_backward(t, last, [*keys, key], left_ts="_at", left_seq="time_id", value="_cfg", block_ms=block_ms)
     live = F.col("_cfg.op") == "add"
     return d.select(*times.columns, *[F.when(live, F.col(f"_cfg.{p}")).alias(p) for p in payload])
@@ -244,7 +244,7 @@ def neighbors_at_time(
     # open intervals end with the last asked time; the config table is small, its rows per bucket are the live objects
     horizon = times.groupBy(*keys).agg(F.max("ts_ms").alias("_last"))
     state = state.join(horizon, keys).withColumn("_end", F.coalesce(F.col("valid_to") - 1, F.greatest("_last", "valid_from")))
-    asked = d.select(*keys, "time_id", "ts_ms", "serving_earfcn").join(first, keys).withColumn("_at", F.greatest("ts_ms", "_first"))
+    asked = ordered.attach(d.select(*keys, "time_id", "ts_ms", "serving_earfcn"), first, keys, by=("ts_ms", "time_id")).withColumn("_at", F.greatest("ts_ms", "_first"))
     conf = timejoin.span_join(state, asked.drop("_first"), keys, "valid_from", "_end", block_ms, row_ts="_at")
     conf = conf.select(*keys, F.col("row.time_id").alias("time_id"), F.col("row.serving_earfcn").alias("serving_earfcn"), *obj, F.posexplode("cells").alias("pos", "cell"))
     num = F.col("cell").try_cast("long")
@@ -313,7 +313,7 @@ def pair_by_position(
         *[F.max(F.when(F.col("field") == f, F.col("v"))).alias(f) for f in ("rsrp", "rsrq", "cinr", "earfcn")])
     rows = pci.join(vals.withColumnRenamed("pb", "bucket"), [*tid, "bucket", "pos"], "left").withColumn("earfcn", F.bround("earfcn", 0).cast("long"))
     if scale is not None:
-        rows = rows.join(scale.select(*keys, "scale_div"), keys, "left")
+        rows = ordered.attach(rows, scale.select(*keys, "scale_div"), keys, "left", by=("bucket", "pos", "time_id"))
         rows = rows.withColumn("earfcn", F.when((F.col("scale_div") == 2) & (F.col("earfcn") % 2 == 0), F.floor(F.col("earfcn") / 2)).otherwise(F.col("earfcn"))).drop("scale_div")
     low = F.lit(float("-inf"))
     score = F.struct(F.col("rsrp").isNotNull().cast("int"), F.coalesce("rsrp", low), F.coalesce("cinr", low), -F.col("center"), -F.col("bucket"), -F.col("pos"))
@@ -389,7 +389,7 @@ def grid_bucket_neighbors(
     slots = slots.withColumn("_any", F.count("pci").over(whole)).where("_any = 0 or pci is not null")
     slots = slots.withColumn("pci", F.floor(F.col("pci") + 0.5)).withColumn("earfcn", F.floor(F.col("earfcn") + 0.5))
     if scale is not None:
-        slots = slots.join(scale.select(*keys, "scale_div"), keys, "left").withColumn(
+        slots = ordered.attach(slots, scale.select(*keys, "scale_div"), keys, "left", by=("bucket", "pos", "point_id")).withColumn(
             "earfcn", F.when((F.col("scale_div") == 2) & (F.col("earfcn") % 2 == 0), F.floor(F.col("earfcn") / 2)).otherwise(F.col("earfcn"))).drop("scale_div")
     group = F.when(F.col("pci").isNotNull(), F.concat(F.lit("pci:"), F.col("pci").cast("string"))).otherwise(
         F.concat(F.lit("pos:"), F.col("bucket").cast("string"), F.lit(":"), F.col("pos").cast("string")))

@@ -77,7 +77,7 @@ def downsample(
         return series
     d = ordered.with_row_number(series, keys, "_pos", ts=ts, block_ms=block_ms)
     sizes = series.groupBy(*keys).agg(F.count("*").alias("_n"))
-    d = d.join(sizes, list(keys))
+    d = ordered.attach(d, sizes, keys, by=(ts, "seq"))
     pos, n = F.col("_pos") - 1, F.col("_n")
     if max_points < 3:
         keep = (pos == 0) | (pos == n - 1)
@@ -122,7 +122,7 @@ def normalize_throughput(series: DataFrame, keys: Sequence[str] = RUN_KEYS, valu
     """Divide by 1e6, 1e3 or 1 by the upper median of the positive values of the key."""
     d = numeric_only(series, value)
     med = quantiles.pick_ranks(d.where(F.col(value) > 0), keys, value, {"_median": quantiles.upper_median()}).drop("n")
-    d = d.join(med, list(keys), "left")
+    d = ordered.attach(d, med, keys, "left")
     m = F.coalesce(F.col("_median"), F.lit(0.0))
     return (
         d.withColumn("divisor", throughput_divisor(m))
@@ -138,7 +138,7 @@ def normalize_metric_series(
     """Unit rule per series (``Mbps``, ``percent``, ``ms``, other) decided on the lower-middle median."""
     d = numeric_only(series, value)
     med = quantiles.pick_ranks(d, keys, value, {"raw_median": quantiles.floor_index(0.5)}).drop("n")
-    d = d.join(med, list(keys)).withColumn("_norm", normalization)
+    d = ordered.attach(d, med, keys).withColumn("_norm", normalization)
     m, y = F.col("raw_median"), F.col(value)
     mbps, pct, ms = (F.col("_norm") == x for x in ("Mbps", "percent", "ms"))
     conversion = (

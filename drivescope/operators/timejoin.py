@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drivescope.operators.ordered import HOUR_MS, block_of, with_last_known
+from drivescope.operators.ordered import HOUR_MS, attach, block_of, with_last_known
 
 _SIDE = "_side"
 
@@ -122,7 +122,7 @@ def asof_backward(
         first = right.groupBy(*keys).agg(
             F.min_by(F.struct(*right.columns), F.struct(F.col(right_ts), F.col(right_seq))).alias("_first")
         )
-        d = d.join(first, list(keys), "left").withColumn(value, F.coalesce(F.col(value), F.col("_first")))
+        d = attach(d, first, keys, "left", by=("_t", "_s")).withColumn(value, F.coalesce(F.col(value), F.col("_first")))
     return d.select("_l.*", value)
 
 
