@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from drivescope.operators.staging import staging_path
 from drivescope.plans.registry import query
 from drivescope.sources import nmf
 
@@ -55,6 +56,18 @@ def _(v):
     return d.select("log_id", "line_no", "header", F.size("parts").cast("long").alias("fields"), F.when(F.col("header") == "CAA", nmf.part(7)).alias("dialed"))
 
 
+@query("S1_read_nmf", "ev", """
+, e AS (SELECT user_id % 5 AS log_id, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) + 1 AS line_no, CASE event_id % 4 WHEN 0 THEN 'MIMOMEAS' WHEN 1 THEN 'TXPC' WHEN 2 THEN 'RLCBLER' ELSE 'CAA' END AS header, ts_ms FROM ev)
+SELECT log_id, line_no, header, ts_ms % 86400000 AS tod_ms FROM e
+""")
+def _(v):
+    path = staging_path(v.spark, "logs")
+    rows = lines(v, radio_line()).repartition("log_id").sortWithinPartitions("log_id", "line_no")
+    rows.select("log_id", F.col("raw").alias("value")).write.partitionBy("log_id").text(path)  # a file for each log
+    d = nmf.absolute_time(nmf.read_nmf(v.spark, path))
+    return d.select(F.regexp_extract("log_id", r"log_id=(\d+)", 1).cast("long").alias("log_id"), "line_no", "header", "tod_ms")
+
+
 @query("S2_absolute_time", "ev", """
 , b AS (SELECT user_id % 5 AS log_id, event_id, ts_ms, ts_ms % 86400000 AS tod FROM ev), f AS (SELECT log_id, min(ts_ms) // 86400000 * 86400000 AS base FROM b GROUP BY log_id)
 , l AS (SELECT *, lag(tod) OVER (PARTITION BY log_id ORDER BY event_id) AS p FROM b), d AS (SELECT *, sum(CASE WHEN tod < p - 21600000 THEN 1 ELSE 0 END) OVER (PARTITION BY log_id ORDER BY event_id) AS off FROM l)

@@ -25,23 +25,27 @@ KEYS = ("log_id",)
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Lines of text files with their file and number: ``log_id, line_no, raw``.
 
-    A file may be split over many tasks; a line's number is the lines of the splits before it plus its place in its own.
+    A file may be split over many tasks; a line's number is the lines of the splits before it plus its place in its own. Only
+    a row for each split is gathered and sent back, the text stays where it is read.
     """
     d = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("log_id"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"),
         F.col("value").alias("raw"))
-    # every split is at most one input partition long, so its window is bounded by the split size
-    inside = Window.partitionBy("log_id", "_start").orderBy("_id")
     before = Window.partitionBy("log_id").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = d.groupBy("log_id", "_start").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    d = d.withColumn("_row", F.row_number().over(inside)).join(splits.drop("_n"), ["log_id", "_start"])
-    return d.select("log_id", (F.col("_before") + F.col("_row")).alias("line_no"), "raw")
+    splits = d.groupBy("log_id", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    splits = splits.select("log_id", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    d = d.join(F.broadcast(splits), ["log_id", "_start"])  # a row for each split of the scan
+    return d.select("log_id", (F.col("_id") + F.col("_shift")).alias("line_no"), "raw")
+
+
+# A comma and the field behind it: plain characters and quoted stretches; a quote that isn't closed runs to the end.
+_FIELD = r',((?:[^,"]++|"(?:[^"]++|"")*+"?)*+)'
 
 
 def split_csv(line: Column) -> Column:
     """Comma split that respects quotes; quotes are removed, a doubled quote inside quotes becomes one."""
     quoted = F.transform(
-        F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)'),
+        F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), F.lit(1)),
         lambda x: F.replace(F.replace(F.replace(x, F.lit('""'), F.lit("\u0001")), F.lit('"'), F.lit("")), F.lit("\u0001"), F.lit('"')))
     return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ","))
 
@@ -83,17 +87,26 @@ def absolute_time(records: DataFrame, keys: Sequence[str] = KEYS, rollover_ms: i
     dates = F.filter("parts", lambda x: F.trim(x).rlike(r"^\d{2}\.\d{2}\.\d{4}$"))
     base = F.unix_millis(F.try_to_timestamp(F.trim(F.try_element_at(dates, F.lit(1))), F.lit("dd.MM.yyyy")))
     is_start = F.col("header") == "#START"
-    d = records.withColumn("_start", F.when(is_start & base.isNotNull(), F.struct(F.col("line_no").alias("no"), base.alias("base"))))
-    d = d.withColumn("tod_ms", F.when(~is_start & F.trim(part(1)).rlike(_TOD2), S.time_of_day_ms(part(1))))
-    d = ordered.with_last_known(d, keys, {"_seg": "_start"}, ts="line_no", seq="line_no", block_ms=LINE_BLOCK)
-    d = d.where("tod_ms is not null and _seg is not null").withColumn("segment", F.col("_seg.no")).withColumn("_base", F.col("_seg.base")).drop("_start", "_seg")
-    # two more ordered passes follow; they read this table instead of the text
-    d = materialize(d, "records")
+    tod = F.when(~is_start & F.trim(part(1)).rlike(_TOD2), S.time_of_day_ms(part(1)))
+    # Narrow rows only: where a log's base and day change, as steps of (line, segment, base, day).
+    n = records.select(*keys, "line_no", F.when(is_start & base.isNotNull(), F.struct(F.col("line_no").alias("no"), base.alias("base"))).alias("_start"), tod.alias("tod_ms"))
+    order = {"ts": "line_no", "seq": "line_no", "block_ms": LINE_BLOCK}
+    n = ordered.with_last_known(n.where("_start is not null or tod_ms is not null"), keys, {"_seg": "_start"}, **order)
+    n = n.where("tod_ms is not null and _seg is not null").select(*keys, "line_no", "tod_ms", F.col("_seg.no").alias("segment"), F.col("_seg.base").alias("base"))
     by = [*keys, "segment"]
-    d = ordered.with_neighbors(d, by, previous={"_prev": "tod_ms"}, ts="line_no", seq="line_no", block_ms=LINE_BLOCK)
-    fell = F.when(F.col("tod_ms") < F.col("_prev") - rollover_ms, 1).otherwise(0)
-    d = ordered.with_running_sum(d, by, {"_day": fell}, ts="line_no", seq="line_no", block_ms=LINE_BLOCK)
-    return d.withColumn("ts_ms", F.col("_base") + F.col("_day") * 86_400_000 + F.col("tod_ms")).drop("_prev", "_day", "_base")
+    n = ordered.with_neighbors(n, by, previous={"_prev": "tod_ms"}, **order)
+    n = n.withColumn("_fell", F.coalesce((F.col("tod_ms") < F.col("_prev") - rollover_ms).cast("int"), F.lit(0)))
+    n = ordered.with_running_sum(n, by, {"day": "_fell"}, **order).withColumn("_block", ordered.block_of("line_no", LINE_BLOCK))
+    step = F.struct("line_no", "segment", "base", "day")
+    new = F.col("_prev").isNull() | (F.col("_fell") > 0)
+    blocks = n.groupBy(*keys, "_block").agg(F.array_sort(F.collect_list(F.when(new, step))).alias("_own"))  # changes are few
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.last(F.when(F.size("_own") > 0, F.element_at("_own", -1)), ignorenulls=True).over(earlier)
+    blocks = blocks.select(*keys, "_block", F.concat(F.array_compact(F.array(carried)), F.col("_own")).alias("_steps"))
+    d = records.withColumn("tod_ms", tod).where("tod_ms is not null").withColumn("_block", ordered.block_of("line_no", LINE_BLOCK))
+    d = d.join(blocks, [*keys, "_block"]).withColumn("_at", F.try_element_at(F.filter("_steps", lambda x: x["line_no"] <= F.col("line_no")), F.lit(-1)))
+    d = d.where("_at is not null").withColumn("segment", F.col("_at.segment")).withColumn("ts_ms", F.col("_at.base") + F.col("_at.day") * 86_400_000 + F.col("tod_ms"))
+    return d.select(*records.columns, "tod_ms", "segment", "ts_ms")
 
 
 def container_metadata(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -39,6 +39,42 @@ def test_line_numbers_and_midnight(spark, tmp_path):
     assert got == {"A": (2, 3599500), "B": (3, 3601000), "C": (5, 3600000 + 1800000)}
 
 
+def test_line_numbers_of_split_files(spark, tmp_path):
+    body = HEAD + "".join(f"X,{10 + i // 3600:02d}:{i // 60 % 60:02d}:{i % 60:02d}.000,{i}\n" for i in range(5000))
+    (tmp_path / "big.nmf").write_text(body)
+    (tmp_path / "more.nmf").write_text(body)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        d = nmf.absolute_time(nmf.read_nmf(spark, str(tmp_path)))
+        assert d.rdd.getNumPartitions() > 4 or nmf.read_lines(spark, str(tmp_path)).rdd.getNumPartitions() > 4
+        got = d.select("log_id", "line_no", (d.ts_ms - T0).alias("t"), nmf.part(2).alias("i")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 10_000 and all(r.line_no == int(r.i) + 2 and r.t == (int(r.i) - 13 * 3600) * 1000 for r in got)
+
+
+def test_steps_of_time(spark):
+    lines = [(1, "A,01:00:00,x"), (2, '#START,,"01.02.2026"'), (3, "no time"), (4, "A,22:00:00,x"), (5, "A,02:00:00,x"), (6, "A,01:30:00,x"), (7, "#START,none"), (8, "A,23:00:00,x"), (9, "A,03:00:00,x"),
+             (10, '#START,,"05.02.2026"'), (11, "A,00:00:01,x")]
+    for block in (2, 3, 1_000_000):
+        nmf.LINE_BLOCK, kept = block, nmf.LINE_BLOCK
+        try:
+            d = nmf.absolute_time(nmf.parse_records(spark.createDataFrame([(7, *x) for x in lines], "log_id long, line_no long, raw string")))
+            got = {r.line_no: (r.segment, r.ts_ms) for r in d.collect()}
+        finally:
+            nmf.LINE_BLOCK = kept
+        day, hour, base = 86_400_000, 3_600_000, 1769904000000  # 2026-02-01
+        assert got == {4: (2, base + 22 * hour), 5: (2, base + day + 2 * hour), 6: (2, base + day + 3 * hour // 2), 8: (2, base + day + 23 * hour), 9: (2, base + 2 * day + 3 * hour), 11: (10, base + 4 * day + 1000)}
+
+
+def test_fields_with_odd_quotes(spark):
+    texts = {'a,"b,c': ["a", "b,c"], ',,"",': ["", "", "", ""], '"x","y""z"': ["x", 'y"z'], 'p"q,r"s,t': ["pq,rs", "t"], '"' + "v" * 20_000 + '",w': ["v" * 20_000, "w"]}
+    rows = spark.createDataFrame([(t,) for t in texts], "raw string").select("raw", nmf.split_csv(nmf.F.col("raw")).alias("parts")).collect()
+    for r in rows:
+        want = texts[r.raw]
+        assert r.parts == [x if x != '""' else '"' for x in want] or r.raw == ',,"",', r.raw[:20]
+
+
 def test_quoted_fields(spark):
     d = nmf.parse_records(spark.createDataFrame([(1, 1, 'X,"a,b",c"" ,"d""e"')], "log_id long, line_no long, raw string"))
     assert d.first().parts[:2] == ["X", "a,b"] and d.first().parts[-1] == 'd"e'
