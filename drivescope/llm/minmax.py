@@ -8,8 +8,8 @@ Documents with equal sets are one class, known by the sums of their hashes. A bu
 members only, the first one and the one with most company in all its buckets; each comparison is exact, on full sets. After
 that the classes of most buckets are one component, and no further comparison could add anything. For the buckets that
 still hold several components, all pairs across components must be known; they come from an exact join: two sets as alike as
-asked share one of their rarest shingles (prefix filter), and shingles that no other candidate has bound how alike a
-document can be to anything and hence the size of possible partners. Copies with many own edits thus have no candidates, and
+asked share one of their rarest shingles (prefix filter), the places of the first shared one bound what can be common
+(position filter), and shingles that no other candidate has bound the size of possible partners. Copies with many own edits thus have no candidates, and
 groups of copies are never paired off among themselves.
 
 Defined results: null and empty texts, and texts without words, have no shingles and are linked with nothing; a text with
@@ -145,14 +145,19 @@ def _candidates(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     most = F.floor(common * ((100 + percent) / percent) + 1e-6).cast("long") - F.col("n")
     prefix = F.col("n") - F.ceil(F.col("n") * t - 1e-6) + 1 - (F.col("n") - common)  # the rarest of all come first
     held = known.withColumn("low", F.ceil(F.col("n") * t - 1e-6).cast("long")).withColumn("high", F.least(F.floor(F.col("n") / t + 1e-6).cast("long"), most)).where(prefix > 0).where("high >= low")
-    held = held.withColumn("head", F.filter(F.slice("known", F.lit(1), F.greatest(F.lit(0), prefix.cast("int"))), lambda x: x["across"]))
-    held = materialize(held.select("node", "component", "n", "low", "high", F.explode("head.token").alias("token")), "prefixes")
+    placed = F.transform(F.slice("known", F.lit(1), F.greatest(F.lit(0), prefix.cast("int"))),
+                         lambda x, i: F.struct(x["token"].alias("token"), (F.col("n") - common + i + 1).alias("pos"), x["across"].alias("across")))
+    held = held.select("node", "component", "n", "low", "high", F.inline(F.filter(placed, lambda x: x["across"])))
+    held = materialize(held.drop("across"), "prefixes")
     step = math.log(1.03)
     klass = lambda c: F.floor(F.log(c.cast("double")) / step).cast("int")
-    smaller = held.where("high >= n").select("token", klass(F.col("n")).alias("size"), *[F.col(c).alias(f"y_{c}") for c in ("node", "component", "n", "high")])
+    smaller = held.where("high >= n").select("token", klass(F.col("n")).alias("size"), *[F.col(c).alias(f"y_{c}") for c in ("node", "component", "n", "high", "pos")])
     greater = held.withColumn("top", F.least("high", "n")).where("top >= low").withColumn("size", F.explode(F.sequence(klass(F.col("low")), klass(F.col("top")))))
     fits = ((F.col("component") != F.col("y_component")) & F.col("y_n").between(F.col("low"), F.col("top")) & (F.col("n") <= F.col("y_high"))
             & ((F.col("n") > F.col("y_n")) | (F.col("node") > F.col("y_node"))))
+    # Of the first shingle that two sets share in this order: what stands before it in either can't be common.
+    shared_at_most = 1 + F.least(F.col("n") - F.col("pos"), F.col("y_n") - F.col("y_pos"))
+    fits = fits & (100 * shared_at_most >= percent * (F.col("n") + F.col("y_n") - shared_at_most))
     found = greater.join(smaller, ["token", "size"]).where(fits)
     return found.select("node", F.col("y_node").alias("hub")).distinct()
 
