@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from drivescope.llm.bpe import Recent
+from drivescope.llm import text as T
 from drivescope.llm.frames import id_and_text
 from drivescope.llm.neighbours import in_blocks
 
@@ -35,8 +35,9 @@ MAGIC, VERSION = b"DIDC", 1
 HEADER = struct.Struct("<4sBIIIHI")  # magic, version, documents, ids, vocabulary, lanes, checksum of what follows
 BLOCK_IDS, MAX_LANES, STEPS = 1 << 20, 4096, 64
 _PARTS, _LEAST = 12, 16  # flags share 2**12 parts, 16 at least each
-_HASH_BITS, _TOP = 18, 7
-_GAIN, _ROUND = 24, 8
+_HASH_BITS, _TRUST = 18, 3
+_TOP = (1 << _TRUST) - 1
+_GAIN, _ROUND = 24, 16
 _WORD = U64(32)
 _LOW = U64(0xFFFFFFFF)
 
@@ -48,22 +49,25 @@ class Model:
         self.counts = np.ones(vocabulary, dtype=U64)
         self.below = np.arange(vocabulary + 1, dtype=U64)
         self.missed: list[np.ndarray] = []
-        self.next_1, self.sure_1 = np.full(vocabulary + 1, -1, dtype=np.int32), np.zeros(vocabulary + 1, dtype=np.int32)
-        self.next_2, self.sure_2 = np.full(1 << _HASH_BITS, -1, dtype=np.int32), np.zeros(1 << _HASH_BITS, dtype=np.int32)
-        self.flags = np.tile(np.array([2, 1, 3], dtype=np.int64), (2 * (_TOP + 1) ** 2, 1))
-        self.previous = self.before = np.full(lanes, vocabulary, dtype=np.int64)
+        # An id and a confidence in one number for each context; none at first.
+        self.after_1 = np.full(vocabulary + 1, -1 << _TRUST, dtype=np.int32)
+        self.after_2 = np.full(1 << _HASH_BITS, -1 << _TRUST, dtype=np.int32)
+        self.flags = np.tile(np.array([2, 1, 3], dtype=np.int64), (2 << 2 * _TRUST, 1))
+        self.previous = np.full(lanes, vocabulary, dtype=np.int64)
+        self.turned = self.previous * 0x9E3779B1
+        self.learners = slice(None, None, max(1, lanes // 1024))  # counts of flags look at some of the lanes
         self.step = 0
 
     def predict(self) -> None:
         """Ids ``two`` and ``one`` of order 2 and 1, and ``borders``: four for each flag context ``at``, in parts."""
-        self.slot = (self.previous * 0x2545F491 + self.before * 0x9E3779B1 >> 7) & ((1 << _HASH_BITS) - 1)
-        self.two, self.one = self.next_2[self.slot], self.next_1[self.previous]
-        self.trust_2, self.trust_1 = self.sure_2[self.slot], self.sure_1[self.previous]
-        self.context = (self.trust_2 * (_TOP + 1) + self.trust_1) * 2 + (self.two == self.one)
+        self.slot = ((self.previous * 0x2545F491 + self.turned) >> 7) & ((1 << _HASH_BITS) - 1)
+        self.held_2, self.held_1 = self.after_2[self.slot], self.after_1[self.previous]
+        self.two, self.one = self.held_2 >> _TRUST, self.held_1 >> _TRUST
+        self.context = (((self.held_2 & _TOP) << _TRUST | (self.held_1 & _TOP)) << 1) + (self.two == self.one)
         parts = _LEAST + self.flags * ((1 << _PARTS) - 3 * _LEAST) // self.flags.sum(axis=1, keepdims=True)
         borders = np.zeros((len(parts), 4), dtype=U64)
         borders[:, 1], borders[:, 2], borders[:, 3] = parts[:, 0], parts[:, 0] + parts[:, 1], 1 << _PARTS
-        self.borders, self.at = borders.reshape(-1), self.context * 4
+        self.borders, self.at = borders.reshape(-1), self.context << 2
 
     def narrow(self, low: np.ndarray, span: np.ndarray, part: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The interval of a flag."""
@@ -73,16 +77,15 @@ class Model:
 
     def learn(self, ids: np.ndarray, kind: np.ndarray, escaped: np.ndarray) -> None:
         """``kind``: 0 and 1 where order 2 or 1 was right, else 2."""
-        self.flags += 2 * np.bincount(self.context * 3 + kind, minlength=self.flags.size).reshape(self.flags.shape)
-        if self.flags.max() > 1 << 20:
+        some = self.learners
+        self.flags += 2 * np.bincount(self.context[some] * 3 + kind[some], minlength=self.flags.size).reshape(self.flags.shape)
+        if self.step % 64 == 0 and self.flags.max() > 1 << 20:
             self.flags = (self.flags >> 1) + 1
-        for table, sure, at, guess, trust in ((self.next_2, self.sure_2, self.slot, self.two, self.trust_2), (self.next_1, self.sure_1, self.previous, self.one, self.trust_1)):
-            right = guess == ids
-            trust = np.where(right, np.minimum(trust + 1, _TOP), trust >> 1)
-            renew = np.flatnonzero(trust == 0)  # never where right
-            trust[renew] = 1
-            table[at[renew]] = ids[renew]
-            sure[at] = trust
+        new = ids << _TRUST | 1
+        for table, at, held, guess in ((self.after_2, self.slot, self.held_2, self.two), (self.after_1, self.previous, self.held_1, self.one)):
+            trust = held & _TOP
+            worse = held - trust + (trust >> 1)  # half the confidence; at none the new id takes the place
+            table[at] = np.where(guess == ids, held + (trust < _TOP), np.where(trust > 1, worse, new))
         self.missed.append(ids[escaped])
         self.step += 1
         if self.step % _ROUND == 0 or self.step < _ROUND:
@@ -92,7 +95,8 @@ class Model:
             if int(self.below[-1]) + _GAIN * len(missed) > 1 << 23:
                 self.counts = (self.counts + U64(1)) >> U64(1)
             np.cumsum(self.counts, out=self.below[1:])
-        self.before, self.previous = self.previous, ids.astype(np.int64)
+        self.turned = self.previous * 0x9E3779B1
+        self.previous = ids.astype(np.int64)
 
 
 def _lanes(n: int) -> int:
@@ -205,15 +209,24 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, lengths, decode_ids(bytes(body[4 + size :]), n, vocabulary) if n else np.zeros(0, dtype=np.int32)
 
 
+# Bytes of Latin letters: A-Z, a-z, and of two-byte characters from U+00C0 on (two signs among them excepted below).
+_LETTERS = np.zeros(256, dtype=bool)
+_LETTERS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = True
+
+
 class Tokens:
     """Ids of whole texts by the tokenizers library, which sees each stretch of a text once while it is remembered.
 
-    The file's pattern never joins characters across the borders of ``stretches`` (Latin letters before white space, an ASCII
-    sign or a digit; else all up to the next white space), so their ids in a row are the text's ids. Texts with a special
-    token's string go to the library whole.
+    The file's pattern never joins characters across the borders of stretches, so their ids in a row are the text's ids. A
+    stretch is what stands between white space, with one space before it, cut once where Latin letters end at an ASCII sign or
+    digit; a run of white space is a stretch without its last character, which is the next one's space or stands alone.
+    Texts with a special token's string or with white space beyond ASCII go to the library whole.
+
+    Stretches are known by a 128-bit hash in a table of fixed size; their ids lie in one array, which is dropped together
+    with the table when it is full.
     """
 
-    def __init__(self, path: str, kept: int = 400_000):
+    def __init__(self, path: str, slots: int = 1 << 21, kept_ids: int = 1 << 23):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -221,30 +234,88 @@ class Tokens:
         self.library.no_padding()
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.stretches = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[\s!-@\[-`{-~]|\Z)| ?[^\s]+|\s+(?!\S)|\s+").findall
-        self.odd = re.compile("[\x1c-\x1f]").search  # white space to Python only
-        self.recent = Recent(kept)
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("i", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.odd = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+        self.slots, self.kept_ids = slots, kept_ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros((self.slots, 2), dtype=U64)
+        self.place, self.length = np.zeros(self.slots, dtype=np.int64), np.full(self.slots, -1, dtype=np.int32)
+        self.ids, self.used = np.zeros(self.kept_ids, dtype=np.int32), 0
+
+    def whole(self, texts: list[str]) -> list[array]:
+        return [array("i", e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def stretches(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Byte spans of the stretches of documents ``data[offsets[i]:offsets[i + 1]]``, and each document's first one."""
+        w = T.words_of(data, offsets)
+        doc = np.repeat(np.arange(len(offsets) - 1), w.counts())
+        before = np.r_[np.int64(0), w.ends[:-1]][: len(w.starts)]  # where the white space ahead begins
+        before = np.maximum(before, offsets[:-1][doc])
+        begin = w.starts - ((w.starts > before) & (data[w.starts - 1] == 32))
+        other = ~_LETTERS[data]
+        if len(data) > 1:
+            other[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))  # the signs of multiplication and division
+        other = np.r_[np.flatnonzero(other), len(data)]
+        stop = other[np.searchsorted(other, w.starts)]
+        two = (stop > w.starts) & (stop < w.ends) & (data[np.minimum(stop, max(0, len(data) - 1))] < 128)
+        middle = np.where(two, stop, w.ends)
+        last = w.starts - 1  # the white space's last character
+        alone = (w.starts > before) & (begin == w.starts)
+        run = last > before
+        tail = np.maximum(np.r_[w.ends, 0][np.maximum(w.first[1:] - 1, 0)], offsets[:-1])
+        tail = np.where(w.counts() > 0, tail, offsets[:-1])
+        rest = offsets[1:] > tail
+        starts = np.concatenate([begin, stop[two], before[run], last[alone], tail[rest]])
+        ends = np.concatenate([middle, w.ends[two], last[run], w.starts[alone], offsets[1:][rest]])
+        order = np.argsort(starts, kind="stable")
+        starts, ends = starts[order], ends[order]
+        return starts, ends, np.searchsorted(starts, offsets)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text as 32-bit integers."""
-        plain = [not any(s in t for s in self.special) and not self.odd(t) for t in texts]
-        cut = [self.stretches(t) if p else [] for t, p in zip(texts, plain, strict=True)]
-        recent = self.recent
-        if len(recent.young) >= recent.size:
-            recent.turn()
-        young, old = recent.young, recent.old
-        missing = {s for c in cut for s in c if s not in young}
-        young |= {s: old[s] for s in missing if s in old}
-        new = [s for s in missing if s not in young]
-        young |= zip(new, self.whole(new), strict=True)
-        out = [b"".join([young[s] for s in c]) for c in cut]
-        if not all(plain):
-            rest = [i for i, p in enumerate(plain) if not p]
-            for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
-                out[i] = ids
+        strings = texts.to_pylist()
+        data, offsets = T.bounds(texts)
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        starts, ends, first = self.stretches(data, offsets)
+        keys = np.stack([T.piece_hashes(data, starts, ends, seed) for seed in (61, 62)], axis=1)
+        slot = (keys[:, 0] & U64(self.slots - 1)).astype(np.int64)
+        known = (self.keys[slot] == keys).all(axis=1) & (self.length[slot] >= 0)
+        place, length = self.place[slot], self.length[slot].astype(np.int64)
+        gaps = np.flatnonzero(~known)
+        if len(gaps):
+            _, chosen, back = np.unique(keys[gaps, 0], return_index=True, return_inverse=True)
+            chosen = gaps[chosen]
+            raw = data.tobytes()
+            got = self.whole([raw[a:b].decode() for a, b in zip(starts[chosen].tolist(), ends[chosen].tolist(), strict=True)])
+            sizes = np.array([len(g) for g in got], dtype=np.int64)
+            total = int(sizes.sum())
+            if self.used + total > len(self.ids):
+                held = self.ids
+                self._forget()
+                if total > len(self.ids):
+                    self.ids = np.zeros(total, dtype=np.int32)
+                hits = np.flatnonzero(known)  # what was known stays readable for this batch
+                place[hits] += total
+                pool = np.concatenate([np.zeros(total, dtype=np.int32), held])
+            else:
+                pool = self.ids
+            at = self.used + np.cumsum(sizes) - sizes
+            fresh = np.frombuffer(b"".join([g.tobytes() for g in got]), dtype=np.int32)
+            self.ids[self.used : self.used + total] = fresh
+            pool[self.used : self.used + total] = fresh
+            self.used += total
+            self.keys[slot[chosen]], self.place[slot[chosen]], self.length[slot[chosen]] = keys[chosen], at, sizes
+            place[gaps], length[gaps] = at[back], sizes[back]
+        else:
+            pool = self.ids
+        ahead = np.r_[0, np.cumsum(length)]
+        flat = pool[np.repeat(place - ahead[:-1], length) + np.arange(ahead[-1])]
+        cuts = ahead[first].tolist()
+        out = [flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+        odd = [i for i, t in enumerate(strings) if self.odd(t) or any(s in t for s in self.special)]
+        for i, ids in zip(odd, self.whole([strings[i] for i in odd]), strict=True):
+            out[i] = ids.tobytes()
         return out
 
 
@@ -258,7 +329,7 @@ def tokens(path: str) -> Tokens:
     return _tokens[path]
 
 
-def write_id_files(docs: DataFrame, vocabulary_file: str, path: str, end_id: int = 0, block_ids: int = BLOCK_IDS, id_col: str = "doc_id", text_col: str = "text", rows: int = 512) -> None:
+def write_id_files(docs: DataFrame, vocabulary_file: str, path: str, end_id: int = 0, block_ids: int = BLOCK_IDS, id_col: str = "doc_id", text_col: str = "text", rows: int = 256) -> None:
     """Writes the ids of all texts, ``end_id`` after each, in ascending order of whole-number ids; rows without id are an error.
 
     Null texts count as empty. Rows of one id are ordered by their text's checksum.
@@ -281,7 +352,7 @@ def write_id_files(docs: DataFrame, vocabulary_file: str, path: str, end_id: int
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 piece = batch.slice(at, rows)
-                for i, got, b in zip(piece.column("id").to_pylist(), own.encode(piece.column("text").to_pylist()), piece.column("block").to_pylist(), strict=True):
+                for i, got, b in zip(piece.column("id").to_pylist(), own.encode(piece.column("text")), piece.column("block").to_pylist(), strict=True):
                     if ids and (b != part or size >= block_ids):
                         yield block()
                         seq = seq + 1 if b == part else 0

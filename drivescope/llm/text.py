@@ -77,6 +77,14 @@ class Words:
         return np.diff(self.first)
 
 
+def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A hash for each span of bytes; other seeds are independent of each other."""
+    up, down = _of_bytes.get(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=U64)
+    np.cumsum(mix(np.arange(256, dtype=U64), seed)[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts], seed)
+
+
 def run_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """A hash for each run of ``k`` consecutive words of the array, runs over document borders included."""
     n = len(words)
@@ -109,7 +117,7 @@ def run_mask(first: np.ndarray, k: int) -> np.ndarray:
     return np.cumsum(ok)[: n - k + 1].astype(bool)
 
 
-def _bounds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def bounds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string array and its offsets; null counts as empty."""
     if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type):
         width = np.int64
@@ -124,7 +132,7 @@ def _bounds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_chunks(texts: pa.Array, word_bytes: np.ndarray = WORD_BYTES, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
     """(first row, row after the last, words) for runs of whole documents of about ``chunk_bytes``."""
-    data, offsets = _bounds(texts)
+    data, offsets = bounds(texts)
     row, n = 0, len(offsets) - 1
     while row < n:
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + chunk_bytes, side="right")) - 1)

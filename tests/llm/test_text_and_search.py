@@ -91,12 +91,13 @@ def test_id_blocks_round_trip_and_checksum():
 
 def test_tokens_equal_the_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
-    library, own = Tokenizer.from_file(path), idcoder.Tokens(path, kept=4)
+    library = Tokenizer.from_file(path)
     rng = random.Random(5)
-    texts = ODD + ["".join(rng.choice(" \n\tab's.é²1_-Á") for _ in range(40)) for _ in range(300)]
-    for at in range(0, len(texts), 7):
-        for t, ids in zip(texts[at : at + 7], own.encode(texts[at : at + 7]), strict=True):
-            assert np.frombuffer(ids, dtype=np.int32).tolist() == library.encode(t, add_special_tokens=False).ids, t
+    texts = ODD + ["".join(rng.choice(" \n\tab's.é²1_-Á×÷ẞ\u00a0ñ") for _ in range(40)) for _ in range(300)] + ["".join(rng.choice("  \n\tab's.é²1_-Á×ñ") for _ in range(60)) for _ in range(600)]
+    for own in (idcoder.Tokens(path, slots=16, kept_ids=200), idcoder.Tokens(path)):
+        for at in range(0, len(texts), 7):
+            for t, ids in zip(texts[at : at + 7], own.encode(pa.array(texts[at : at + 7])), strict=True):
+                assert np.frombuffer(ids, dtype=np.int32).tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
 def test_id_files(spark, odd, empty, tmp_path):
