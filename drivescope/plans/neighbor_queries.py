@@ -329,7 +329,38 @@ def asked(v):
     return N.neighbors_at_time(t.unionByName(exact).dropDuplicates(["run_id", "time_id"]), reps, v.v_cfg, object_ops(v), hints, 3600000)
 
 
-@query("J15_neighbors_at_time")
+@query("J15_neighbors_at_time", "v_cfg v_points", TIMES + """
+, q AS (SELECT * FROM tm UNION SELECT run_id, seq, ts_ms FROM v_cfg WHERE event_type = 'click' AND k % 9 = 1)
+, qd AS (SELECT run_id, time_id, min(ts_ms) AS ts_ms FROM q GROUP BY ALL)
+, io AS (SELECT run_id, meas_id, ts_ms, arg_max(op, (seq, op <> 'remove')) AS op, arg_max(object_id, (seq, op <> 'remove')) AS object_id FROM v_cfg GROUP BY ALL)
+, fi AS (SELECT run_id, min(ts_ms) AS f FROM v_cfg GROUP BY run_id), fo AS (SELECT run_id, min(ts_ms) AS f FROM v_cfg WHERE event_type IN ('view', 'error') GROUP BY run_id)
+, ob AS (SELECT run_id, object_id, ts_ms, arg_max(op, (seq, op <> 'remove')) AS op, arg_max(k, (seq, op <> 'remove')) AS k, arg_max(earfcn, (seq, op <> 'remove')) AS e FROM v_cfg WHERE event_type IN ('view', 'error') GROUP BY ALL)
+, m1 AS (SELECT c.run_id, c.ts_ms, c.seq, c.k, c.meas_id, greatest(c.ts_ms, fi.f) AS at, greatest(c.ts_ms, coalesce(fo.f, c.ts_ms)) AS at2 FROM v_cfg c JOIN fi ON fi.run_id = c.run_id LEFT JOIN fo ON fo.run_id = c.run_id WHERE c.event_type = 'click')
+, m2 AS (SELECT m1.*, CASE WHEN io.op = 'add' THEN io.object_id END AS oid FROM m1 ASOF LEFT JOIN io ON io.run_id = m1.run_id AND io.meas_id = m1.meas_id AND m1.at >= io.ts_ms)
+, m AS (SELECT m2.run_id, m2.ts_ms, m2.seq, m2.k, CASE WHEN ob.op = 'add' THEN CASE WHEN ob.k % 5 = 0 THEN 'UTRA' ELSE 'LTE' END END AS orat, CASE WHEN ob.op = 'add' AND ob.k % 5 <> 0 THEN ob.e END AS oearf
+   FROM m2 ASOF LEFT JOIN ob ON ob.run_id = m2.run_id AND ob.object_id = m2.oid AND m2.at2 >= ob.ts_ms)
+, p AS (SELECT qd.run_id, qd.time_id, min(m.seq) FILTER (WHERE m.ts_ms = qd.ts_ms) AS ex, arg_min(m.seq, (abs(m.ts_ms - qd.ts_ms), m.ts_ms, m.seq)) AS nr FROM qd JOIN m ON m.run_id = qd.run_id AND abs(m.ts_ms - qd.ts_ms) <= 3600000 GROUP BY ALL)
+, ht AS (SELECT run_id, ts_ms, max(seq) AS seq FROM v_cfg WHERE event_type = 'purchase' GROUP BY ALL)
+, h AS (SELECT qd.*, ht.seq AS hseq FROM qd ASOF LEFT JOIN ht ON ht.run_id = qd.run_id AND qd.ts_ms >= ht.ts_ms)
+, a AS (SELECT h.run_id, h.time_id, h.ts_ms, p.ex, coalesce(p.ex, p.nr) AS src, coalesce(c.earfcn, CASE WHEN s.orat = 'LTE' THEN s.oearf END) AS se FROM h LEFT JOIN p ON p.run_id = h.run_id AND p.time_id = h.time_id
+   LEFT JOIN v_cfg c ON c.seq = h.hseq LEFT JOIN m s ON s.seq = coalesce(p.ex, p.nr))
+, mm AS (SELECT a.run_id, a.time_id, a.se, CASE WHEN ex IS NOT NULL THEN 2 ELSE 1 END AS layer, m.seq AS e, m.k, abs(m.ts_ms - a.ts_ms) AS delta, orat, oearf FROM a JOIN m ON m.seq = a.src)
+, vd AS (SELECT run_id, object_id, ts_ms AS vf, lead(ts_ms) OVER (PARTITION BY run_id, object_id ORDER BY ts_ms) AS vt, op, k, e FROM ob)
+, cv AS (SELECT vd.*, coalesce(vt - 1, greatest(l, vf)) AS ve FROM vd JOIN (SELECT run_id, max(ts_ms) AS l FROM qd GROUP BY run_id) z ON z.run_id = vd.run_id WHERE op <> 'remove')
+, cf AS (SELECT a.run_id, a.time_id, a.se, cv.k, CASE WHEN cv.k % 5 <> 0 THEN cv.e END AS e FROM a JOIN fo ON fo.run_id = a.run_id JOIN cv ON cv.run_id = a.run_id AND greatest(a.ts_ms, fo.f) BETWEEN vf AND ve)
+, al AS (
+ SELECT run_id, time_id, layer, pos, 'LTE' AS rat, (k + 1 + pos) % 7 AS pci, NULL::BIGINT AS psc, oearf AS earfcn, NULL::BIGINT AS uarfcn,
+  CAST(CASE WHEN pos = 0 THEN -140 + (e * 7) % 97 WHEN (e * 13) % 120 <= 97 THEN -140 + (e * 13) % 120 END AS DOUBLE) AS rsrp, NULL::DOUBLE AS rscp,
+  CASE WHEN orat IS NULL THEN 'unknown' WHEN orat <> 'LTE' THEN 'inter-RAT' WHEN oearf IS NULL OR se IS NULL THEN 'unknown' WHEN oearf = se THEN 'intra-frequency' ELSE 'inter-frequency' END AS type,
+  CASE layer WHEN 2 THEN 'MR' ELSE 'MR_NEAREST' END AS source, delta AS delta_ms FROM mm, (VALUES (0), (1)) x(pos) WHERE k % 4 <> 0
+ UNION ALL SELECT run_id, time_id, layer, 0, 'UTRA', NULL, k, NULL, 10613, NULL, CAST(CASE WHEN e % 100 <= 96 THEN -120 + e % 100 END AS DOUBLE), 'inter-RAT', CASE layer WHEN 2 THEN 'MR' ELSE 'MR_NEAREST' END, delta FROM mm WHERE k % 4 = 0
+ UNION ALL SELECT run_id, time_id, 0, pos, CASE WHEN k % 5 = 0 THEN 'UTRA' ELSE 'LTE' END, CASE WHEN k % 5 <> 0 THEN cell END, CASE WHEN k % 5 = 0 THEN cell END, e, CASE WHEN k % 5 = 0 THEN 10663 END, NULL, NULL,
+  CASE WHEN k % 5 = 0 THEN 'inter-RAT' WHEN e IS NULL OR se IS NULL THEN 'unknown' WHEN e = se THEN 'intra-frequency' ELSE 'inter-frequency' END, 'CONFIG', NULL
+  FROM (SELECT *, CASE pos WHEN 0 THEN k % 11 ELSE k % 7 + 20 END AS cell FROM cf, (VALUES (0), (1)) x(pos)))
+, ky AS (SELECT *, CASE WHEN rat = 'UTRA' THEN 'UTRA:' || coalesce(CAST(uarfcn AS VARCHAR), 'None') || ':' || coalesce(CAST(psc AS VARCHAR), 'None') ELSE rat || ':' || coalesce(CAST(earfcn AS VARCHAR), 'None') || ':' || coalesce(CAST(pci AS VARCHAR), 'None') END AS key FROM al)
+, rk AS (SELECT *, row_number() OVER (PARTITION BY run_id, time_id, key ORDER BY layer DESC, pos DESC) AS rn FROM ky)
+SELECT run_id, time_id, key, rat, pci, psc, earfcn, uarfcn, rsrp, rscp, type, source, delta_ms FROM rk WHERE rn = 1
+""")
 def _(v):
     _, merged = asked(v)
     return merged.select("run_id", "time_id", "key", "rat", "pci", "psc", "earfcn", "uarfcn", "rsrp", "rscp", "type", "source", "delta_ms")
