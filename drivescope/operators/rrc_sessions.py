@@ -1,8 +1,9 @@
 """Generic RRC/call sessions from signalling rows: a state machine per correlation key.
 
-Rows without identity join the only key with an open session, so the keys of a log depend on each other and a log is one
-sequence. Spark derives the flags, partitions by log and sorts; the machine then streams over the sorted batches and keeps
-only the open sessions in memory, never a log.
+A row with an identity looks at its own key's sessions and state only; a row without one joins the only key with an open
+session. So in a log whose rows all have an identity the keys are independent, and each is a sequence of its own; a log with
+other rows is one sequence. Spark derives the flags, deals out the sequences and sorts them; the machine streams over the
+sorted batches and keeps only open sessions in memory. Sessions are numbered afterwards, by the row that opened them.
 """
 
 from __future__ import annotations
@@ -15,14 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drivescope.functions import messages as M
+from drivescope.operators import ordered
 
 ANON = "__ANON__"
 IDLE = ("IDLE", "CELL_PCH", "URA_PCH")
 
 OUTPUT = (
-    "log_id long, session_no long, key string, call_id string, imsi string, tmsi string, start_ts long, end_ts long, duration_ms long, start_trigger string, "
+    "log_id long, key string, call_id string, imsi string, tmsi string, start_ts long, end_ts long, duration_ms long, start_trigger string, "
     "end_trigger string, end_type string, result_type string, drop boolean, setup_failure boolean, ignored boolean, incomplete boolean, has_connect boolean, "
-    "failure_code string, records long"
+    "failure_code string, records long, opened_ts long, opened_seq long"
 )
 
 
@@ -35,11 +37,11 @@ class Timers:
 
 @dataclass
 class _Session:
-    no: int
     key: str
     start: int
     end: int
     trigger: str
+    opened: tuple[int, int]
     ids: dict = field(default_factory=dict)
     seen: set = field(default_factory=set)
     records: int = 0
@@ -87,12 +89,12 @@ class _Log:
     """Open sessions and radio state of one log."""
 
     def __init__(self, log_id, timers: Timers):
-        self.log_id, self.timers, self.count = log_id, timers, 0
+        self.log_id, self.timers = log_id, timers
         self.state: dict[str, str] = {}
         self.pending: dict[str, int] = {}
         self.open: dict[str, _Session] = {}
 
-    def _start(self, key: str, ts: int, f: frozenset, was_idle: bool) -> _Session | None:
+    def _start(self, key: str, ts: int, seq: int, f: frozenset, was_idle: bool) -> _Session | None:
         asked = self.pending.get(key)
         follows = asked is not None and "nas_call_control" in f and 0 <= ts - asked <= self.timers.rrc_nas_ms
         triggers = (
@@ -102,13 +104,12 @@ class _Log:
         )
         for hit, trigger, start in triggers:
             if hit:
-                self.count += 1
                 self.pending.pop(key, None)
-                self.open[key] = _Session(self.count, key, start, start, trigger)
+                self.open[key] = _Session(key, start, start, trigger, (ts, seq))
                 return self.open[key]
         return None
 
-    def feed(self, ts: int, key: str, f: frozenset, rrc: str | None, ids: dict) -> dict | None:
+    def feed(self, ts: int, seq: int, key: str, f: frozenset, rrc: str | None, ids: dict) -> dict | None:
         if key == ANON:
             named = [k for k in self.open if k != ANON]
             key = named[0] if len(named) == 1 else ANON
@@ -120,7 +121,7 @@ class _Log:
         if s is None:
             if was_idle and "rrc_connection_request" in f:
                 self.pending[key] = ts
-            s = self._start(key, ts, f, was_idle)
+            s = self._start(key, ts, seq, f, was_idle)
         if s is None:
             return None
         s.records += 1
@@ -158,7 +159,7 @@ class _Log:
         else:
             end_type = {"normal": "NORMAL", "loss": "CALL_SETUP_FAILURE", "fail": "CALL_SETUP_FAILURE"}.get(kind)
         return {
-            "log_id": self.log_id, "session_no": s.no, "key": s.key, "call_id": s.ids.get("call_id"), "imsi": s.ids.get("imsi"), "tmsi": s.ids.get("tmsi"), "start_ts": s.start,
+            "log_id": self.log_id, "opened_ts": s.opened[0], "opened_seq": s.opened[1], "key": s.key, "call_id": s.ids.get("call_id"), "imsi": s.ids.get("imsi"), "tmsi": s.ids.get("tmsi"), "start_ts": s.start,
             "end_ts": s.end, "duration_ms": length if ended else None, "start_trigger": s.trigger, "end_trigger": trigger, "end_type": end_type,
             "result_type": "RRC_SESSION_ABNORMAL_END" if drop else "RRC_SESSION", "drop": drop and s.connected, "setup_failure": failed, "ignored": short, "incomplete": long,
             "has_connect": s.connected, "failure_code": _failure(s.seen) if failed else None, "records": s.records}
@@ -173,17 +174,18 @@ _COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
 def _machine(names: list[str], timers: Timers):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         log: _Log | None = None
+        now = None
         flags: dict[int, frozenset] = {}
         for batch in batches:
             rows = []
-            cols = (batch[c].tolist() for c in ("log_id", "ts_ms", "key", "mask", "rrc", "call_id", "imsi", "tmsi"))
-            for log_id, ts, key, mask, rrc, call, imsi, tmsi in zip(*cols):
-                if log is None or log.log_id != log_id:
+            cols = (batch[c].tolist() for c in ("log_id", "sequence", "ts_ms", "seq", "key", "mask", "rrc", "call_id", "imsi", "tmsi"))
+            for log_id, sequence, ts, seq, key, mask, rrc, call, imsi, tmsi in zip(*cols):
+                if log is None or now != (log_id, sequence):
                     rows += log.close() if log else []
-                    log = _Log(log_id, timers)
+                    log, now = _Log(log_id, timers), (log_id, sequence)
                 if mask not in flags:
                     flags[mask] = frozenset(n for i, n in enumerate(names) if mask >> i & 1)
-                done = log.feed(ts, key, flags[mask], rrc, {"call_id": call, "imsi": imsi, "tmsi": tmsi})
+                done = log.feed(ts, seq, key, flags[mask], rrc, {"call_id": call, "imsi": imsi, "tmsi": tmsi})
                 if done:
                     rows.append(done)
             if rows:
@@ -196,9 +198,12 @@ def _machine(names: list[str], timers: Timers):
 
 def rrc_session_machine(
     rows: DataFrame, *, message: str = "message", details: str | None = None, state: str | None = None, rrc_cause: str | None = None, cs_cause: str | None = None,
-    timers: Timers = Timers(), extra_text: Sequence[str] = (),
+    timers: Timers = Timers(), extra_text: Sequence[str] = (), by_key: bool = True, block_ms: int = ordered.HOUR_MS,
 ) -> DataFrame:
-    """Sessions of every log from its time-ordered signalling rows (``log_id, ts_ms, seq`` and texts)."""
+    """Sessions of every log from its time-ordered signalling rows (``log_id, ts_ms, seq`` and texts).
+
+    ``by_key=False`` runs every log as one sequence, with the same result.
+    """
     texts = [message, *([details] if details else []), *extra_text]
     flags = M.semantic_flags(M.envelope(*texts), rrc_cause, cs_cause)
     names = list(flags)
@@ -210,5 +215,11 @@ def rrc_session_machine(
         F.col("log_id").cast("long").alias("log_id"), "ts_ms", "seq", M.call_id(pool).alias("call_id"), M.imsi(pool).alias("imsi"), M.tmsi(pool).alias("tmsi"), mask.alias("mask"),
         M.rrc_state(message, state).alias("rrc")).where("ts_ms is not null")
     d = d.withColumn("key", M.correlation_key("call_id", "imsi", "tmsi"))
-    d = d.repartition("log_id").sortWithinPartitions("log_id", "ts_ms", "seq")
-    return d.mapInPandas(_machine(names, timers), OUTPUT)
+    if by_key:
+        one = d.groupBy("log_id").agg(F.max(F.col("key") == ANON).alias("_one"))
+        d = ordered.attach(d, one, ["log_id"]).withColumn("sequence", F.when(F.col("_one"), "").otherwise(F.col("key"))).drop("_one")
+    else:
+        d = d.withColumn("sequence", F.lit(""))
+    d = d.repartition("log_id", "sequence").sortWithinPartitions("log_id", "sequence", "ts_ms", "seq")
+    found = ordered.with_row_number(d.mapInPandas(_machine(names, timers), OUTPUT), ["log_id"], "session_no", ts="opened_ts", seq="opened_seq", block_ms=block_ms)
+    return found.drop("opened_ts", "opened_seq")

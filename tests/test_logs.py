@@ -1,5 +1,7 @@
 """Text logs end to end: records, calls, context, cell measurements, containers, tracks, generic sessions."""
 
+import random
+
 from drivescope.operators import radio, rrc_sessions, sessions
 from drivescope.sources import nmf, tables
 
@@ -156,3 +158,20 @@ def test_generic_session_without_call_is_no_drop(spark):
     assert (a.call_id, a.drop, a.end_trigger, a.result_type, a.records) == (None, False, "RRC_IDLE_TRANSITION", "RRC_SESSION", 3)
     assert (b.setup_failure, b.failure_code, b.end_type, b.call_id) == (True, "RRC_FAILURE", "CALL_SETUP_FAILURE", "7")
     assert (c.drop, c.end_type, c.end_trigger, c.records) == (True, "DROP", "RADIO_LINK_FAILURE", 3)
+
+
+def test_sessions_by_key_equal_sessions_by_log(spark):
+    rng = random.Random(8)
+    texts = ["CM_SERVICE_REQUEST", "SETUP", "CONNECT", "DISCONNECT RELEASE", "RRC_CONNECTION_RELEASE", "RRC_CONNECTION_REQUEST", "RAB_ASSIGNMENT_REQUEST", "RADIO LINK FAILURE", "CALL_REJECT", "PAGING", "IU RELEASE"]
+    rows = []
+    for log in range(4):
+        for i in range(250):
+            who = f" call id: {rng.randrange(4)}" if log != 3 or rng.random() < 0.8 else ""
+            rows.append((log, 10_000 * log + 700 * i, i, rng.choice(texts) + who, rng.choice([None, "normal", "abnormal"])))
+    d = spark.createDataFrame(rows, "log_id long, ts_ms long, seq long, message string, cause string")
+    one, many = (sorted(str(sorted(r.asDict().items())) for r in rrc_sessions.rrc_session_machine(d, rrc_cause="cause", by_key=by_key, block_ms=5_000).collect()) for by_key in (False, True))
+    assert one == many and len(one) > 100
+    numbers = {}
+    for r in rrc_sessions.rrc_session_machine(d, rrc_cause="cause").collect():
+        numbers.setdefault(r.log_id, []).append(r.session_no)
+    assert set(numbers) == set(range(4)) and all(sorted(n) == list(range(1, len(n) + 1)) for n in numbers.values())
