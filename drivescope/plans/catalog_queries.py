@@ -347,11 +347,11 @@ INFO_NAMES = ["Pocket.General.Device.MaxNumCarriers", "Radio.Lte.ServingSystem.M
 
 
 @query("A28_run_info", "v_kpi", f"""
-, s AS (SELECT run_id, ts_ms, seq, {INFO_NAMES}[seq % 6 + 1] AS name, CAST(k % 5 AS DOUBLE) AS v, k FROM v_kpi WHERE run_id <> 4 OR seq % 6 <> 3)
+, s AS (SELECT run_id, ts_ms, seq, CASE WHEN run_id = 4 AND seq % 6 = 3 THEN 'Radio.Lte.Other' ELSE {INFO_NAMES}[seq % 6 + 1] END AS name, CAST(k % 5 AS DOUBLE) AS v, k FROM v_kpi)
 , c AS (SELECT run_id, ts_ms, 'Cat ' || (k % 10 + 1) AS cat, CASE WHEN k % 3 = 0 THEN '2x2' END AS mimo, seq,
-   1 + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS score FROM v_kpi WHERE k % 50 = 3 AND run_id < 2)
+   1 + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS score FROM v_kpi WHERE k % 5 = 3 AND run_id < 2)
 , cb AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, ts_ms DESC, seq) AS rn FROM c)
-, sib AS (SELECT run_id, arg_max(8000 + k, (ts_ms, seq)) AS tac FROM v_kpi WHERE k % 50 = 4 AND run_id = 3 GROUP BY run_id)
+, sib AS (SELECT run_id, arg_max(8000 + k, (ts_ms, seq)) AS tac FROM v_kpi WHERE k % 5 = 4 AND run_id = 3 GROUP BY run_id)
 , k AS (SELECT run_id, CAST(arg_max(v, (ts_ms, seq)) FILTER (WHERE name LIKE '%MaxNumCarriers') AS BIGINT) AS n, max(v) FILTER (WHERE name LIKE '%Rank4%') AS r4, max(v) FILTER (WHERE name LIKE '%Rank2%') AS r2 FROM s GROUP BY run_id)
 , md AS (SELECT run_id, name, CAST(v AS BIGINT) AS v, row_number() OVER (PARTITION BY run_id, name ORDER BY count(*) DESC, v) AS rn FROM s WHERE name LIKE '%Tac' GROUP BY run_id, name, v)
 , kt AS (SELECT run_id, arg_min(v, CASE WHEN name LIKE '%System.Tac' THEN 0 ELSE 1 END) AS t FROM md WHERE rn = 1 AND v <> 0 GROUP BY run_id)
@@ -364,16 +364,14 @@ SELECT k.run_id, cb.cat AS ue_category, cb.mimo AS mimo_capability, CASE WHEN cb
 def _(v):
     k = F.col("k")
     name = F.element_at(F.array(*[F.lit(n) for n in INFO_NAMES]), (F.col("seq") % 6 + 1).cast("int"))
-    samples = v.v_kpi.where("run_id <> 4 or seq % 6 <> 3").select("run_id", "ts_ms", "seq", name.alias("name"), (k % 5).cast("double").alias("value_num"))
+    name = F.when((F.col("run_id") == 4) & (F.col("seq") % 6 == 3), "Radio.Lte.Other").otherwise(name)  # a run without rank 4
+    samples = v.v_kpi.select("run_id", "ts_ms", "seq", name.alias("name"), (k % 5).cast("double").alias("value_num"))
     p = lambda i, val: F.struct(F.lit(i).alias("param_id"), val.alias("param_value"))
-    cap = v.v_kpi.where("k % 50 = 3 and run_id < 2").select(
-        "run_id", "ts_ms", "seq", F.lit("Message.Layer3.Errc.DcchUl.UeCapabilityInformation").alias("event_name"),
-        F.array(p("ue_cap_info_summary", F.concat(
-            F.lit('{"ueCategory": '), (k % 10 + 1).cast("string"), F.when(k % 3 == 0, ', "mimoCapability": "2x2"').otherwise(""), F.lit("}")))).alias("params"))
-    sib = v.v_kpi.where("k % 50 = 4 and run_id = 3").select(
-        "run_id", "ts_ms", "seq", F.lit("Message.Layer3.Errc.Sib.SystemInformationBlockType1").alias("event_name"),
-        F.array(p("sib1_summary", F.concat(F.lit('{"trackingAreaCode": "0x'), F.hex(F.lit(8000) + k), F.lit('"}')))).alias("params"))
-    d = catalog.run_info(samples, cap.unionByName(sib))
+    is_cap, is_sib = (k % 5 == 3) & (F.col("run_id") < 2), (k % 5 == 4) & (F.col("run_id") == 3)
+    event = F.when(is_cap, "Message.Layer3.Errc.DcchUl.UeCapabilityInformation").when(is_sib, "Message.Layer3.Errc.Sib.SystemInformationBlockType1").otherwise("Message.Other")
+    params = F.when(is_sib, F.array(p("sib1_summary", F.concat(F.lit('{"trackingAreaCode": "0x'), F.hex(F.lit(8000) + k), F.lit('"}'))))).otherwise(F.array(p("ue_cap_info_summary", F.concat(
+            F.lit('{"ueCategory": '), (k % 10 + 1).cast("string"), F.when(k % 3 == 0, ', "mimoCapability": "2x2"').otherwise(""), F.lit("}")))))
+    d = catalog.run_info(samples, v.v_kpi.select("run_id", "ts_ms", "seq", event.alias("event_name"), params.alias("params")))
     return d.select("run_id", "ue_category", "mimo_capability", "mimo_capability_inferred", "ca_capability_inferred", "ue_category_inferred", "tac")
 
 
@@ -439,14 +437,14 @@ def _(v):
 
 
 @query("L5_overwrite_merge", "v_points", """
-, u AS (SELECT 0 AS layer, log_id, pci, max(rsrp) AS rsrp, 'configured' AS src FROM v_points WHERE k % 3 = 0 GROUP BY log_id, pci UNION ALL
- SELECT 1, log_id, pci, max(rsrp), 'nearest' FROM v_points WHERE k % 5 = 0 AND pci < 5 GROUP BY log_id, pci UNION ALL SELECT 2, log_id, pci, max(rsrp), 'exact' FROM v_points WHERE k % 11 = 0 AND pci < 3 GROUP BY log_id, pci)
+, u AS (SELECT 0 AS layer, log_id, pci, max(rsrp) AS rsrp, 'configured' AS src FROM v_points GROUP BY log_id, pci UNION ALL
+ SELECT 1, log_id, pci, max(rsrp), 'nearest' FROM v_points WHERE pci < 5 GROUP BY log_id, pci UNION ALL SELECT 2, log_id, pci, max(rsrp), 'exact' FROM v_points WHERE pci < 3 GROUP BY log_id, pci)
 SELECT log_id, pci, arg_max(rsrp, layer) AS rsrp, arg_max(src, layer) AS src FROM u GROUP BY log_id, pci
 """)
 def _(v):
     p = v.v_points
     one = lambda cond, src: p.where(cond).groupBy("log_id", "pci").agg(F.max("rsrp").alias("rsrp")).withColumn("src", F.lit(src))
-    return catalog.overwrite_merge([one("k % 3 = 0", "configured"), one("k % 5 = 0 and pci < 5", "nearest"), one("k % 11 = 0 and pci < 3", "exact")], ["log_id", "pci"])
+    return catalog.overwrite_merge([one("true", "configured"), one("pci < 5", "nearest"), one("pci < 3", "exact")], ["log_id", "pci"])
 
 
 @query("L6_drop_serving", "v_points", """
@@ -471,5 +469,6 @@ FROM (SELECT device_id, call_id, min(CASE WHEN header = 'CAA' THEN ts_ms END) AS
 """)
 def _(v):
     d = v.v_calls.groupBy("device_id", "call_id").agg(F.min(F.when(F.col("header") == "CAA", F.col("ts_ms"))).alias("start_ms"))
-    d = d.withColumn("_t", F.coalesce("start_ms", F.lit(1 << 60)))
+    # sessions without a start come last, by id; their blocks are as even as the ids
+    d = d.withColumn("_t", F.coalesce("start_ms", F.lit(1 << 60) + F.col("call_id") * ordered.HOUR_MS))
     return ordered.with_row_number(d, ["device_id"], "position", ts="_t", seq="call_id").drop("_t")

@@ -19,7 +19,7 @@ TIMES = ", tm AS (SELECT log_id AS run_id, seq AS time_id, ts_ms FROM v_points W
 
 SERVING_NAMES = ["Radio.Lte.ServingCellTotal.Pci", "Radio.Lte.ServingCell[8].Rsrp", "Radio.Lte.ServingCellTotal.Rsrp", "Radio.Lte.ServingCell[8].CellIdentity"]
 SRV = TIMES + f"""
-, sv AS (SELECT run_id, ts_ms, seq, idx, {SERVING_NAMES}[k % 4 + 1] AS name, CASE WHEN k % 4 = 3 THEN 70000.0 + k ELSE CAST(k % 60 AS DOUBLE) END AS value_num FROM v_kpi WHERE NOT (run_id = 2 AND k % 4 = 1))
+, sv AS (SELECT run_id, ts_ms, seq, idx, CASE WHEN run_id = 2 AND k % 4 = 1 THEN 'Radio.Lte.Other' ELSE {SERVING_NAMES}[k % 4 + 1] END AS name, CASE WHEN k % 4 = 3 THEN 70000.0 + k ELSE CAST(k % 60 AS DOUBLE) END AS value_num FROM v_kpi)
 , ch AS (SELECT run_id, 'pci' AS field, 'Radio.Lte.ServingCellTotal.Pci' AS name FROM (SELECT DISTINCT run_id FROM sv) UNION ALL
    SELECT run_id, 'rsrp', CASE WHEN run_id = 2 THEN 'Radio.Lte.ServingCellTotal.Rsrp' ELSE 'Radio.Lte.ServingCell[8].Rsrp' END FROM (SELECT DISTINCT run_id FROM sv) UNION ALL
    SELECT run_id, 'eci', 'Radio.Lte.ServingCell[8].CellIdentity' FROM (SELECT DISTINCT run_id FROM sv))
@@ -32,7 +32,8 @@ def serving_samples(v):
     k = F.col("k")
     name = F.element_at(F.array(*[F.lit(n) for n in SERVING_NAMES]), (k % 4 + 1).cast("int"))
     val = F.when(k % 4 == 3, F.lit(70000.0) + k).otherwise((k % 60).cast("double"))
-    return v.v_kpi.where("not (run_id = 2 and k % 4 = 1)").select("run_id", "ts_ms", "seq", "idx", name.alias("name"), val.alias("value_num"))
+    name = F.when((F.col("run_id") == 2) & (k % 4 == 1), "Radio.Lte.Other").otherwise(name)  # a run without the first candidate
+    return v.v_kpi.select("run_id", "ts_ms", "seq", "idx", name.alias("name"), val.alias("value_num"))
 
 
 @query("J2_nearest_in_window", "v_kpi v_points", SRV + """

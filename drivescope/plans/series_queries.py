@@ -178,15 +178,18 @@ PAIRS = """
 , pr AS (SELECT a0.run_id, a0.ts_ms, a0.seq, a0.value_num AS a, lb.b FROM a0 JOIN lb ON a0.run_id = lb.run_id AND a0.ts_ms // 1000 = lb.sec)
 """
 # One simulated second is a quarter of an hour, so that the sparse probe rows meet.
+# Every series has a side: three kinds of events are looked up among the other two.
+LEFT = "name IN ('click', 'signup', 'error')"
+RIGHT = "name IN ('view', 'purchase')"
 SLOW = """
-, a0 AS (SELECT run_id, ts_ms // 900 AS ts_ms, seq, value_num FROM v_series WHERE name = 'click')
-, b0 AS (SELECT run_id, ts_ms // 900 AS ts_ms, seq, value_num FROM v_series WHERE name = 'view')
+, a0 AS (SELECT run_id, ts_ms // 900 AS ts_ms, seq, value_num FROM v_series WHERE name IN ('click', 'signup', 'error'))
+, b0 AS (SELECT run_id, ts_ms // 900 AS ts_ms, seq, value_num FROM v_series WHERE name IN ('view', 'purchase'))
 """
 
 
 def slow_pair(v):
     s = v.v_series.withColumn("ts_ms", F.floor(F.col("ts_ms") / 900))
-    return s.where("name = 'click'"), s.where("name = 'view'")
+    return s.where(LEFT), s.where(RIGHT)
 
 
 @query("J12_exact_second_join", "v_series", SLOW + PAIRS + "SELECT * FROM pr")
@@ -223,8 +226,8 @@ def _(v):
 
 
 LR = """
-, l AS (SELECT run_id, ts_ms, seq FROM v_series WHERE name = 'click')
-, r AS (SELECT run_id, ts_ms, seq, value_num FROM v_series WHERE name = 'view')
+, l AS (SELECT run_id, ts_ms, seq FROM v_series WHERE name IN ('click', 'signup', 'error'))
+, r AS (SELECT run_id, ts_ms, seq, value_num FROM v_series WHERE name IN ('view', 'purchase'))
 """
 
 
@@ -244,7 +247,7 @@ FROM bst JOIN r ON r.seq = m_seq WHERE abs(delta) <= 900000
 """)
 def _(v):
     s = v.v_series
-    left, right = s.where("name = 'click'").select("run_id", "ts_ms", "seq"), s.where("name = 'view'").select(
+    left, right = s.where(LEFT).select("run_id", "ts_ms", "seq"), s.where(RIGHT).select(
         "run_id", "ts_ms", "seq", "value_num"
     )
     d = timejoin.nearest_join(left, right, ["run_id"], 900000)
@@ -253,17 +256,17 @@ def _(v):
 
 
 @query("J3_asof_backward", "v_cfg v_series", """
-, l AS (SELECT run_id, ts_ms, seq FROM v_series WHERE name = 'click')
-, r AS (SELECT run_id, ts_ms, max(seq) AS seq FROM v_cfg WHERE op = 'add' AND meas_id = 3 GROUP BY run_id, ts_ms)
-, f AS (SELECT run_id, arg_min(seq, (ts_ms, seq)) AS fseq FROM r GROUP BY run_id)
+, l AS (SELECT run_id, (k + 1) % 8 AS meas_id, ts_ms, seq FROM v_series)
+, r AS (SELECT run_id, meas_id, ts_ms, max(seq) AS seq FROM v_cfg WHERE op = 'add' GROUP BY run_id, meas_id, ts_ms)
+, f AS (SELECT run_id, meas_id, arg_min(seq, (ts_ms, seq)) AS fseq FROM (SELECT run_id, meas_id, ts_ms, min(seq) AS seq FROM v_cfg WHERE op = 'add' GROUP BY run_id, meas_id, ts_ms) GROUP BY run_id, meas_id)
 SELECT l.run_id, l.ts_ms, l.seq, r.seq AS serving_seq, coalesce(r.seq, f.fseq) AS config_seq
-FROM l ASOF LEFT JOIN r ON l.run_id = r.run_id AND l.ts_ms >= r.ts_ms LEFT JOIN f ON f.run_id = l.run_id
+FROM l ASOF LEFT JOIN r ON l.run_id = r.run_id AND l.meas_id = r.meas_id AND l.ts_ms >= r.ts_ms LEFT JOIN f ON f.run_id = l.run_id AND f.meas_id = l.meas_id
 """)
 def _(v):
-    left = v.v_series.where("name = 'click'").select("run_id", "ts_ms", "seq")
-    right = v.v_cfg.where("op = 'add' and meas_id = 3").select("run_id", "ts_ms", "seq")
-    d = timejoin.asof_backward(left, right, ["run_id"], value="serving")
-    d = timejoin.asof_backward(d, right, ["run_id"], value="config", before_first="first")
+    left = v.v_series.select("run_id", ((F.col("k") + 1) % 8).alias("meas_id"), "ts_ms", "seq")
+    right = v.v_cfg.where("op = 'add'").select("run_id", "meas_id", "ts_ms", "seq")
+    d = timejoin.asof_backward(left, right, ["run_id", "meas_id"], value="serving")
+    d = timejoin.asof_backward(d, right, ["run_id", "meas_id"], value="config", before_first="first")
     return d.select("run_id", "ts_ms", "seq", F.col("serving.seq").alias("serving_seq"), F.col("config.seq").alias("config_seq"))
 
 
@@ -273,7 +276,7 @@ AND r.ts_ms >= l.ts_ms - 1800000 AND r.ts_ms <= l.ts_ms + 600000
 """)
 def _(v):
     s = v.v_series.select("run_id", "ts_ms", "seq", "name")
-    d = timejoin.interval_join(s.where("name = 'click'"), s.where("name = 'view'"), ["run_id"], 1800000, 600000)
+    d = timejoin.interval_join(s.where(LEFT), s.where(RIGHT), ["run_id"], 1800000, 600000)
     return d.select("run_id", "seq", "ts_ms", F.col("row.seq").alias("row_seq"), (F.col("row.ts_ms") - F.col("ts_ms")).alias("delta_ms"))
 
 
