@@ -74,16 +74,16 @@ def _(v):
 
 
 @query("J9_meas_id_resolve", "v_cfg", """
-, l AS (SELECT run_id, ts_ms // 3600000 AS msg_id, meas_id, object_id, report_id, seq AS pos FROM v_cfg WHERE event_type = 'click')
-, o AS (SELECT run_id, ts_ms // 3600000 AS msg_id, object_id, arg_max(earfcn, seq) AS earfcn FROM v_cfg WHERE event_type = 'view' GROUP BY ALL)
+, l AS (SELECT run_id, ts_ms // 3600000 AS msg_id, meas_id, object_id, report_id, seq AS pos FROM v_cfg WHERE event_type IN ('click', 'signup'))
+, o AS (SELECT run_id, ts_ms // 3600000 AS msg_id, object_id, arg_max(earfcn, seq) AS earfcn FROM v_cfg WHERE event_type IN ('view', 'error') GROUP BY ALL)
 , r AS (SELECT run_id, ts_ms // 3600000 AS msg_id, report_id, arg_max(['eventA3', 'eventA5', 'eventA2'][k % 3 + 1], seq) AS event_type FROM v_cfg WHERE event_type = 'purchase' GROUP BY ALL)
 SELECT l.run_id, l.msg_id, l.meas_id, l.object_id, l.report_id, l.pos, CAST(o.earfcn AS BIGINT) AS earfcn, r.event_type, CASE r.event_type WHEN 'eventA3' THEN 'a3' ELSE 'a5' END AS resolver
 FROM l JOIN o USING (run_id, msg_id, object_id) JOIN r USING (run_id, msg_id, report_id) WHERE r.event_type <> 'eventA2'
 """)
 def _(v):
     c = v.v_cfg.withColumn("msg_id", F.floor(F.col("ts_ms") / 3600000)).withColumn("pos", F.col("seq"))
-    links = c.where("event_type = 'click'").select("run_id", "msg_id", "meas_id", "object_id", "report_id", "pos")
-    objs = c.where("event_type = 'view'").select("run_id", "msg_id", "object_id", "pos", "earfcn")
+    links = c.where("event_type IN ('click', 'signup')").select("run_id", "msg_id", "meas_id", "object_id", "report_id", "pos")
+    objs = c.where("event_type IN ('view', 'error')").select("run_id", "msg_id", "object_id", "pos", "earfcn")
     kind = F.element_at(F.array(F.lit("eventA3"), F.lit("eventA5"), F.lit("eventA2")), (F.col("k") % 3 + 1).cast("int"))
     reps = c.where("event_type = 'purchase'").select("run_id", "msg_id", "report_id", "pos", kind.alias("event_type"))
     return N.meas_id_resolve(links, objs, reps)
@@ -92,21 +92,21 @@ def _(v):
 def reports(v):
     k, e = F.col("k"), F.col("seq")
     n = lambda i, m: F.struct(((k + i) % 7).alias("pci"), (F.lit(-140) + (e * m) % 97).cast("double").alias("rsrp"), F.lit(None).cast("double").alias("rsrq"))
-    return v.v_cfg.where("event_type = 'click'").select(
+    return v.v_cfg.where("event_type IN ('click', 'signup', 'purchase')").select(
         "run_id", "ts_ms", "seq", "meas_id", (k % 7).alias("serving_pci"), F.col("earfcn").alias("serving_earfcn"), (F.lit(-140) + e % 97).cast("double").alias("serving_rsrp"),
         F.lit(None).cast("double").alias("serving_rsrq"), F.array(n(1, 7), n(2, 13)).alias("neighbors"))
 
 
 def resolvers(v):
     k = F.col("k")
-    return v.v_cfg.where("event_type = 'view'").select(
+    return v.v_cfg.where("event_type IN ('view', 'error')").select(
         "run_id", "ts_ms", "seq", "meas_id", "object_id", "report_id", F.col("earfcn").alias("carrier_freq"), F.when(k % 3 == 0, 2.0).alias("offset_freq_db"),
         F.lit("RSRP").alias("trigger_quantity"), (k % 4).cast("double").alias("a3_offset_db"), F.when(k % 5 != 0, 1.0).alias("hysteresis_db"), F.lit(320).cast("long").alias("ttt_ms"),
         F.array(F.struct((k % 7).alias("pci"), F.lit(1.5).alias("cio_db"))).alias("cells"))
 
 
 MATCH = """
-, mr AS (SELECT * FROM v_cfg WHERE event_type = 'click'), rv AS (SELECT * FROM v_cfg WHERE event_type = 'view')
+, mr AS (SELECT * FROM v_cfg WHERE event_type IN ('click', 'signup', 'purchase')), rv AS (SELECT * FROM v_cfg WHERE event_type IN ('view', 'error'))
 , fi AS (SELECT run_id, meas_id, arg_min(seq, (ts_ms, seq)) AS fseq FROM rv GROUP BY run_id, meas_id)
 , bk AS (SELECT mr.*, rv.seq AS bseq FROM mr ASOF LEFT JOIN rv ON rv.run_id = mr.run_id AND rv.meas_id = mr.meas_id AND mr.ts_ms >= rv.ts_ms)
 , mt AS (SELECT bk.*, coalesce(bseq, fseq) AS cseq FROM bk JOIN fi ON fi.run_id = bk.run_id AND fi.meas_id = bk.meas_id)
@@ -148,7 +148,7 @@ def _(v):
 
 @query("K17_resolver_summary", "v_cfg", """
 SELECT run_id, ts_ms, seq, 'measId ' || meas_id || ' | reportConfig ' || report_id || ' | measObject ' || object_id || ' | EARFCN ' || earfcn || ' | A3 offset ' || (k % 4) || '.0 dB' || CASE WHEN k % 5 <> 0 THEN ' | Hys 1.0 dB' ELSE '' END
- || ' | TTT 320 ms' || CASE WHEN k % 3 = 0 THEN ' | offsetFreq 2.0 dB' ELSE '' END || ' | PCI ' || (k % 7) || ' CIO 1.5 dB' AS a3_resolver_summary FROM v_cfg WHERE event_type = 'view'
+ || ' | TTT 320 ms' || CASE WHEN k % 3 = 0 THEN ' | offsetFreq 2.0 dB' ELSE '' END || ' | PCI ' || (k % 7) || ' CIO 1.5 dB' AS a3_resolver_summary FROM v_cfg WHERE event_type IN ('view', 'error')
 """)
 def _(v):
     return N.resolver_summary(resolvers(v).withColumn("pos", F.col("meas_id")))
