@@ -310,24 +310,50 @@ def registry_match(names: DataFrame, keys: Sequence[str] = (), include_disabled:
     return best.select(*keys, "key", "b.name", "b.rank").withColumn("matched_by", F.when(F.col("rank") < 100, "exact").otherwise("regex"))
 
 
+# Rank of a metric by the first row of its technology with a word in its name; where marked, BOOST is added.
+METRIC_RANKS = {
+    "LTE": [(["rsrp"], 100, True), (["sinr"], 95, True), (["rsrq"], 90, True), (["mos"], 88, False), (["bler"], 75, False), (["throughput"], 70, False), (["lte", "ims"], 65, True)],
+    "5G NR": [(["ss-rsrp", "ssrsrp"], 100, True), (["sinr"], 95, True), (["rsrq"], 90, True), (["mos"], 88, False), (["bler"], 75, False), (["throughput"], 70, False), (["nr", "5g", "ims"], 65, True)],
+    "UMTS 3G": [(["rscp"], 100, True), (["ecno"], 95, True), (["mos"], 88, False), (["bler"], 80, False), (["tx"], 70, False), (["umts", "wcdma", "uarfcn", "psc"], 65, True)],
+}
+BOOST = (["mos", "volte", "ims"], 5)
+# Points of a name for words it contains or (with a leading dot) ends with.
+IDENTIFIER_POINTS = [
+    ("radio.lte.servingcell", 50), ("radio.lte.servingsystem", 40), ("lock", -100), ("override", -100), ("controlfunction", -80), ("device", -50),
+]
+IDENTIFIER_ENDS = [([".pci"], 30), ([".earfcn"], 30), ([".tac"], 30), ([".cellidentity", ".cellid"], 30)]
+# Points of an event for words in its name, whatever the technology and by technology.
+EVENT_POINTS = [(["call", "volte", "ims", "sip"], 8), (["drop", "fail", "reject", "release"], 6)]
+EVENT_POINTS_BY_TECH = {"LTE": (["lte", "enodeb", "rrc"], 4), "5G NR": (["nr", "5g", "gnodeb"], 4), "UMTS 3G": (["umts", "wcdma", "rnc"], 4)}
+# Labels; the first row applies of which each group has a word in the name, and no excluded word is in it.
+LABELS = [
+    ("RSRP", [["rsrp"]], ["neighbor"]), ("RSRQ", [["rsrq"]], ["neighbor"]), ("SINR", [["sinr"]], []),
+    ("Application throughput DL", [["data.http"], ["throughput"], ["download", "downlink"]], []), ("Application throughput UL", [["data.http"], ["throughput"], ["upload", "uplink"]], []),
+    ("DL throughput", [["radio.lte.servingcell"], ["pdsch"], ["throughput"]], []), ("UL throughput", [["radio.lte.servingcell"], ["pusch"], ["throughput"]], []),
+    ("DL throughput", [["downlink", "dl"], ["throughput"]], []), ("UL throughput", [["uplink", "ul"], ["throughput"]], []),
+    ("DL throughput", [["throughput"], ["down"]], []), ("UL throughput", [["throughput"], ["up"]], []),
+    ("Cellid", [["cellid", "cell identity", ".cell_id"]], []), ("Physical cell ID", [["physical cell id", ".pci"]], []), ("eNodeB ID", [["enodeb id", ".enodebid"]], []),
+    ("Tracking area code", [["tracking area code", ".tac"]], []), ("Downlink EARFCN", [["earfcn"]], []), ("Cell ID", [[" cell id", ".cell.id"]], []),
+    ("eNodeB ID", [["__derived_enodeb_id"]], []), ("Cell ID", [["__derived_cell_id"]], []),
+]
+
+
+def _holds(name: Column, words: Sequence[str]) -> Column:
+    """Whether the lower-cased name contains one of the words."""
+    return _any([F.lower(name).contains(w) for w in words])
+
+
+def _points(condition: Column, points: int) -> Column:
+    return F.when(condition, points).otherwise(0)
+
+
 def metric_rank(name: Column, tech: Column) -> Column:
     """How central a metric is for a technology."""
-    n = F.lower(name)
-    has = lambda *xs: _any([n.contains(x) for x in xs])
-    boost = F.when(has("mos", "volte", "ims"), 5).otherwise(0)
-    lte = (
-        F.when(has("rsrp"), boost + 100).when(has("sinr"), boost + 95).when(has("rsrq"), boost + 90).when(has("mos"), 88)
-        .when(has("bler"), 75).when(has("throughput"), 70).when(has("lte", "ims"), boost + 65).otherwise(boost)
-    )
-    nr = (
-        F.when(has("ss-rsrp", "ssrsrp"), boost + 100).when(has("sinr"), boost + 95).when(has("rsrq"), boost + 90)
-        .when(has("mos"), 88).when(has("bler"), 75).when(has("throughput"), 70).when(has("nr", "5g", "ims"), boost + 65).otherwise(boost)
-    )
-    umts = (
-        F.when(has("rscp"), boost + 100).when(has("ecno"), boost + 95).when(has("mos"), 88).when(has("bler"), 80)
-        .when(has("tx"), 70).when(has("umts", "wcdma", "uarfcn", "psc"), boost + 65).otherwise(boost)
-    )
-    return F.when(tech == "LTE", lte).when(tech == "5G NR", nr).when(tech == "UMTS 3G", umts).otherwise(boost).cast("long")
+    boost, out = _points(_holds(name, BOOST[0]), BOOST[1]), F
+    for technology, rows in METRIC_RANKS.items():
+        for words, rank, boosted in rows:
+            out = out.when((tech == technology) & _holds(name, words), boost + rank if boosted else F.lit(rank))
+    return out.otherwise(boost).cast("long")
 
 
 def metric_order(names: DataFrame, tech: Column, keys: Sequence[str] = ("run_id",)) -> DataFrame:
@@ -376,14 +402,13 @@ def core_metrics(ordered_names: DataFrame, keys: Sequence[str] = ("run_id",), ru
 
 
 def identifier_score(name: Column) -> Column:
-    n = F.lower(name)
-    w = lambda cond, v: F.when(cond, v).otherwise(0)
-    return (
-        w(n.contains("radio.lte.servingcell"), 50) + w(n.contains("radio.lte.servingsystem"), 40) + w(n.endswith(".pci"), 30)
-        + w(n.endswith(".earfcn"), 30) + w(n.endswith(".tac"), 30) + w(n.endswith(".cellidentity") | n.endswith(".cellid"), 30)
-        + w(n.contains("lock"), -100) + w(n.contains("override"), -100) + w(n.contains("controlfunction"), -80)
-        + w(n.contains("device"), -50)
-    ).cast("long")
+    """How likely a name is that of the serving cell's identifier."""
+    score = F.lit(0)
+    for word, points in IDENTIFIER_POINTS:
+        score = score + _points(_holds(name, [word]), points)
+    for ends, points in IDENTIFIER_ENDS:
+        score = score + _points(_any([F.lower(name).endswith(e) for e in ends]), points)
+    return score.cast("long")
 
 
 def app_throughput_score(name: Column) -> Column:
@@ -400,32 +425,24 @@ def app_direction(name: Column) -> Column:
 
 
 def event_score(name: Column, tech: Column) -> Column:
-    n = F.lower(name)
-    has = lambda *xs: _any([n.contains(x) for x in xs])
-    w = lambda cond, v: F.when(cond, v).otherwise(0)
-    return (
-        w(has("call", "volte", "ims", "sip"), 8) + w(has("drop", "fail", "reject", "release"), 6)
-        + w((tech == "LTE") & has("lte", "enodeb", "rrc"), 4) + w((tech == "5G NR") & has("nr", "5g", "gnodeb"), 4)
-        + w((tech == "UMTS 3G") & has("umts", "wcdma", "rnc"), 4)
-    ).cast("long")
+    """How telling an event is for a technology."""
+    score = F.lit(0)
+    for words, points in EVENT_POINTS:
+        score = score + _points(_holds(name, words), points)
+    for technology, (words, points) in EVENT_POINTS_BY_TECH.items():
+        score = score + _points((tech == technology) & _holds(name, words), points)
+    return score.cast("long")
 
 
 def friendly_label(name: Column) -> Column:
-    n = F.lower(name)
-    c = n.contains
-    down, up = c("download") | c("downlink"), c("upload") | c("uplink")
-    tp, cell = c("throughput"), c("radio.lte.servingcell")
-    return (
-        F.when(c("rsrp") & ~c("neighbor"), "RSRP").when(c("rsrq") & ~c("neighbor"), "RSRQ").when(c("sinr"), "SINR")
-        .when(c("data.http") & tp & down, "Application throughput DL").when(c("data.http") & tp & up, "Application throughput UL")
-        .when(cell & c("pdsch") & tp, "DL throughput").when(cell & c("pusch") & tp, "UL throughput")
-        .when((c("downlink") | c("dl")) & tp, "DL throughput").when((c("uplink") | c("ul")) & tp, "UL throughput")
-        .when(tp & c("down"), "DL throughput").when(tp & c("up"), "UL throughput")
-        .when(c("cellid") | c("cell identity") | c(".cell_id"), "Cellid").when(c("physical cell id") | c(".pci"), "Physical cell ID")
-        .when(c("enodeb id") | c(".enodebid"), "eNodeB ID").when(c("tracking area code") | c(".tac"), "Tracking area code")
-        .when(c("earfcn"), "Downlink EARFCN").when(c(" cell id") | c(".cell.id"), "Cell ID")
-        .when(n.startswith("__derived_enodeb_id"), "eNodeB ID").when(n.startswith("__derived_cell_id"), "Cell ID")
-    )
+    """Short label of a metric name; null where no row applies."""
+    out = F
+    for label, groups, excluded in LABELS:
+        applies = F.lit(True)
+        for words in groups:
+            applies = applies & _holds(name, words)
+        out = out.when(applies & ~_holds(name, excluded) if excluded else applies, label)
+    return out.otherwise(None)
 
 
 def default_metrics(names: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
