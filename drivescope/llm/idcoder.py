@@ -33,6 +33,7 @@ from drivescope.llm.neighbours import in_blocks
 U64 = np.uint64
 MAGIC, VERSION = b"DIDC", 1
 HEADER = struct.Struct("<4sBIIIHI")  # magic, version, documents, ids, vocabulary, lanes, checksum of what follows
+NO_ID = -(2**63)  # stands for a null id
 BLOCK_IDS, MAX_LANES, STEPS = 1 << 20, 4096, 64
 _PARTS, _LEAST = 12, 16  # flags share 2**12 parts, 16 at least each
 _HASH_BITS, _TRUST = 18, 3
@@ -330,11 +331,11 @@ def tokens(path: str) -> Tokens:
 
 
 def write_id_files(docs: DataFrame, vocabulary_file: str, path: str, end_id: int = 0, block_ids: int = BLOCK_IDS, id_col: str = "doc_id", text_col: str = "text", rows: int = 256) -> None:
-    """Writes the ids of all texts, ``end_id`` after each, in ascending order of whole-number ids; rows without id are an error.
+    """Writes the ids of all texts, ``end_id`` after each, in ascending order of whole-number ids, rows without id first.
 
     Null texts count as empty. Rows of one id are ordered by their text's checksum.
     """
-    d = id_and_text(docs, id_col, text_col).withColumn("id", F.coalesce(F.col("id").cast("long"), F.raise_error(F.lit("a document has no id")).cast("long")))
+    d = id_and_text(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
     dealt = in_blocks(d.withColumn("crc", F.crc32(F.encode("text", "UTF-8"))), "id", "crc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +359,7 @@ def write_id_files(docs: DataFrame, vocabulary_file: str, path: str, end_id: int
                         seq = seq + 1 if b == part else 0
                         ids, coded, size = [], [], 0
                     part = b
-                    ids.append(i)
+                    ids.append(NO_ID if i is None else i)
                     coded.append(got + end)
                     size += len(got) // 4 + 1
         if ids:
@@ -383,6 +384,6 @@ def read_id_files(spark: SparkSession, path: str, each: Callable[[np.ndarray], i
                 doc_ids, lengths, ids = unpack_block(block.as_py())
                 cuts = np.r_[0, np.cumsum(lengths)]
                 got = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids)) if each is None else pa.array([each(ids[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], type=pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(start.as_py() + cuts[:-1]), pa.array(lengths), got], ["id", "start", "n_tokens", "ids" if each is None else named])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=doc_ids == NO_ID), pa.array(start.as_py() + cuts[:-1]), pa.array(lengths), got], ["id", "start", "n_tokens", "ids" if each is None else named])
 
     return blocks.mapInArrow(run, "id long, start long, n_tokens long, " + ("ids array<int>" if each is None else f"{named} long"))
