@@ -64,6 +64,7 @@ def test_scenarios(drives, mode):
         for label, w in zip(labels, want):
             assert label in (w if isinstance(w, tuple) else (w,)), name
         assert all(r.reasons and (r.is_intra if kind == "intra" else r.is_inter) for r in got[log]), name
+        assert all(r.thresholds_used["serving_weak_rsrp_dbm"] == -102.0 and ("ping_pong_time_ms" in r.thresholds_used) == (kind == "intra") for r in got[log]), name
 
 
 def test_result_does_not_depend_on_layout(drives):
