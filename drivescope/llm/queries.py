@@ -22,7 +22,8 @@ from drivescope.llm.minmax import near_duplicates
 from drivescope.llm.mixing import mix, sized
 from drivescope.llm.quality import CUT_SCORE, ranked_documents
 from drivescope.llm.repeats import without_repeats
-from drivescope.operators.staging import staging_path
+from drivescope.llm.simhash import with_near_counts
+from drivescope.operators.staging import materialize, staging_path
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,9 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_likeness(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    shown = materialize(edited_likeness(table(spark, sf_dir, "documents")).withColumnRenamed("fingerprint", "shown"), "likeness")
+    counted = with_near_counts(shown.withColumn("fingerprint", F.conv("shown", 16, -10).cast("long")), radius=3, blocks=5)
+    return counted.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", F.col("shown").alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", "n_near", "n_equal")
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

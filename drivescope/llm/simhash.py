@@ -9,15 +9,17 @@ Defined results: null and empty texts have the fingerprint 0; equal texts have e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drivescope.llm import text as T
-from drivescope.llm.frames import each_batch, id_and_text
+from drivescope.llm.frames import each_batch, id_and_text, partitions
+from drivescope.operators.ordered import attach
 
 U64 = np.uint64
 LONG, SHORT, SHORT_BYTES = 4, 1, 7
@@ -85,6 +87,26 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return d.mapInArrow(each_batch(one), f"id {d.schema['id'].dataType.simpleString()}, fingerprint long")
 
 
+def _masks(radius: int, blocks: int | None = None) -> list[int]:
+    """The bits that each block table compares."""
+    blocks = blocks or radius + 3
+    if not radius < blocks <= 64:
+        raise ValueError("blocks must exceed the radius and be 64 at most")
+    borders = [round(64 * i / blocks) for i in range(blocks + 1)]
+    masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(borders, borders[1:], strict=False)]
+    return [sum(masks[i] for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
+
+
+def _signed(masks: list[int]) -> list[int]:
+    return [m - 2**64 if m >= 2**63 else m for m in masks]
+
+
+def _keyed(prints: DataFrame, signed: list[int]) -> DataFrame:
+    """``fingerprint, table, key``: each different fingerprint in each block table."""
+    one = prints.select("fingerprint").where("fingerprint is not null").distinct()
+    return one.select("fingerprint", F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(m)) for m in signed])).alias("table", "key"))
+
+
 def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
     """All pairs ``a < b`` of different fingerprints at most ``radius`` bits apart, with ``distance``.
 
@@ -92,17 +114,86 @@ def near_fingerprints(prints: DataFrame, radius: int = 3, blocks: int | None = N
     ``blocks - radius`` of them, so one table for each choice of that many blocks, keyed by their bits, finds every pair. A
     pair is reported by the first table in which it meets. Equal fingerprints count once: join copies by fingerprint.
     """
-    blocks = blocks or radius + 3
-    if not radius < blocks <= 64:
-        raise ValueError("blocks must exceed the radius and be 64 at most")
-    borders = [round(64 * i / blocks) for i in range(blocks + 1)]
-    masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(borders, borders[1:], strict=False)]
-    tables = [sum(masks[i] for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
-    signed = [m - 2**64 if m >= 2**63 else m for m in tables]
-    one = prints.select("fingerprint").where("fingerprint is not null").distinct()
-    keyed = one.select("fingerprint", F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(m)) for m in signed])).alias("table", "key"))
+    signed = _signed(_masks(radius, blocks))
+    keyed = _keyed(prints, signed)
     a, b = (keyed.select(F.col("fingerprint").alias(n), "table", "key") for n in "ab")
     distance: Column = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     earlier = F.array(*[F.lit(m) for m in signed])
     first = ~F.exists(F.slice(earlier, 1, F.col("table")), lambda m: F.col("a").bitwiseAND(m) == F.col("b").bitwiseAND(m))
     return a.join(b, ["table", "key"]).where((F.col("a") < F.col("b")) & (distance <= radius) & first).select("a", "b", distance.cast("int").alias("distance"))
+
+
+def _tile_counts(prints: np.ndarray, left: np.ndarray, same: bool, table: int, radius: int, masks: np.ndarray) -> np.ndarray:
+    """For each fingerprint of a tile, how many of the other side (all, where ``same``) are near and first meet in this table."""
+    a, b = (np.arange(len(prints)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
+    out = np.zeros(len(prints), dtype=np.int64)
+    step = max(1, (1 << 22) // max(1, len(b)))
+    for i in range(0, len(a), step):
+        x = prints[a[i : i + step], None] ^ prints[None, b]
+        rows, columns = np.nonzero((np.bitwise_count(x) <= radius) & (x != 0))
+        x = x[rows, columns]
+        first = np.ones(len(x), dtype=bool)
+        for m in masks[:table]:
+            first &= (x & m) != 0
+        out[a] += np.bincount(rows[first] + i, minlength=len(a))
+        if not same:
+            out[b] += np.bincount(columns[first], minlength=len(b))
+    return out
+
+
+def near_counts(prints: DataFrame, radius: int = 3, blocks: int | None = None, side: int = 8192) -> DataFrame:
+    """``fingerprint, n_near`` of each fingerprint that has different ones within ``radius``: how many. No pairs are written.
+
+    Tables and the first meeting as in ``near_fingerprints``. Each key's fingerprints are compared as arrays; a key with more
+    than ``side`` of them is cut into parts by hash, and each two parts are a tile of its own, so no key stays in one task.
+    """
+    masks = _masks(radius, blocks)
+    met = _keyed(prints, _signed(masks)).withColumn("met", F.count("*").over(Window.partitionBy("table", "key"))).where("met > 1")
+    parts = F.ceil(F.col("met") / side).cast("int")
+    own = F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(F.col("own"), p).alias("low"), F.greatest(F.col("own"), p).alias("high")))
+    dealt = met.withColumn("parts", parts).withColumn("own", own).select("fingerprint", "table", "key", "own", F.inline(tiles))
+    tile = ["table", "key", "low", "high"]
+    dealt = dealt.repartition(partitions(prints.sparkSession), *tile).sortWithinPartitions(*tile)
+    tables = np.array(masks, dtype=U64)
+
+    def counted(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        columns = {c: rows.column(c).to_numpy() for c in ("fingerprint", "own", *tile)}
+        new = np.logical_or.reduce([np.diff(columns[c]) != 0 for c in tile])
+        borders = np.r_[0, np.flatnonzero(new) + 1, len(new) + 1]
+        found = np.zeros(len(new) + 1, dtype=np.int64)
+        for i, j in zip(borders.tolist(), borders[1:].tolist(), strict=False):
+            low = columns["low"][i]
+            found[i:j] = _tile_counts(columns["fingerprint"][i:j].view(U64), columns["own"][i:j] == low, low == columns["high"][i], int(columns["table"][i]), radius, tables)
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(columns["fingerprint"][some]), pa.array(found[some])], ["fingerprint", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows from the begin of the tile that isn't complete
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = lambda r, at: [r.column(c)[at].as_py() for c in tile]
+            if held and ends(batch, 0) != ends(held[-1], held[-1].num_rows - 1):
+                yield from counted(pa.Table.from_batches(held))
+                held = []
+            begin = max(int(np.flatnonzero(np.diff(batch.column(c).to_numpy()))[-1:].max(initial=-1)) + 1 for c in tile)
+            if begin:
+                yield from counted(pa.Table.from_batches([*held, batch.slice(0, begin)]))
+                held = []
+            held.append(batch.slice(begin))
+        if held:
+            yield from counted(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, "fingerprint long, n long").groupBy("fingerprint").agg(F.sum("n").alias("n_near"))
+
+
+def with_near_counts(rows: DataFrame, radius: int = 3, blocks: int | None = None, spread: int = 32) -> DataFrame:
+    """Adds ``n_near``, different fingerprints within ``radius``, and ``n_equal``, other rows of the same fingerprint, to rows with ``fingerprint``, a long.
+
+    ``rows`` are read three times: materialise them. A fingerprint of many rows is dealt over ``spread`` tasks.
+    """
+    copies = rows.groupBy("fingerprint").agg((F.count("*") - 1).alias("n_equal")).where("n_equal > 0")
+    per_print = copies.join(near_counts(rows, radius, blocks), "fingerprint", "full")
+    many = attach(rows, per_print, ["fingerprint"], "left", by=["id"], spread=spread)
+    return many.withColumn("n_near", F.coalesce("n_near", F.lit(0))).withColumn("n_equal", F.coalesce("n_equal", F.lit(0)))

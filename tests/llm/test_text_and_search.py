@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from llm_fixtures import make
 
-from drivescope.llm import bitslice, bpe, edits, hilbert, idcoder, licenses, mixing, quality, simhash
+from drivescope.llm import bitslice, bpe, edits, hilbert, idcoder, licenses, mixing, quality, queries, simhash
 from drivescope.llm import text as T
 
 ODD = ["", " ", "\n\t ", "Σας ΟΔΥΣΣΕΥΣ İstanbul don't THE'S", "é ñ é", "<|endoftext|>x<|startoftext|> a <|endoftext|> b", "a\x1cb\u0085 c d e​f", "日本語 ½ ² Ⅷ १२३ 🙂👍🏽",
@@ -165,6 +165,36 @@ def test_block_tables_find_all_near_fingerprints(spark):
         simhash.near_fingerprints(df, 3, 3)
 
 
+@pytest.mark.parametrize("side", [8192, 3])
+def test_near_counts_equal_brute_force(spark, side):
+    rng = random.Random(4)
+    core = rng.getrandbits(64)
+    prints = [core ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(80)] + [0, 1 << 63, (1 << 63) | 7, 2**64 - 1]
+    prints += [p ^ sum(1 << b for b in rng.sample(range(64), d)) for p in [rng.getrandbits(64) for _ in range(20)] for d in (0, 0, 1, 2, 3, 4, 5)]
+    signed = [p - 2**64 if p >= 2**63 else p for p in prints]
+    df = spark.createDataFrame([(p,) for p in [*signed, None]], "fingerprint long")
+    for radius, blocks in ((0, None), (2, None), (3, None), (3, 5), (3, 4)):
+        got = {r.fingerprint: r.n_near for r in simhash.near_counts(df, radius, blocks, side).collect()}
+        want = {a: sum(a != b and ((a ^ b) & (2**64 - 1)).bit_count() <= radius for b in set(signed)) for a in set(signed)}
+        assert got == {a: n for a, n in want.items() if n}
+
+
+def test_op5_counts_near_and_equal_documents_of_the_whole_table(spark, tmp_path):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 11))) for _ in range(400)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(12)]
+    texts += [t + " and another ending" for t in texts[:6]] + [t.replace(t.split()[n], "changed", 1) for n, t in enumerate(texts[:6])] + texts[3:9] + [texts[0]] * 40 + ["", None]
+    make(spark, [(i * 7 % 1000, t, "en", "a") for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op5_simhash(spark, str(tmp_path)).collect()}
+    prints = simhash.fingerprints(pa.array([t or "" for t in texts], type=pa.string())).tolist()
+    assert len(got) == len(texts)
+    for i, p in enumerate(prints):
+        row = got[i * 7 % 1000]
+        assert row.fingerprint == f"{p:016x}"
+        assert (row.n_near, row.n_equal) == (sum(0 < (p ^ q).bit_count() <= 3 for q in set(prints)), prints.count(p) - 1)
+    assert any(r.n_near for r in got.values())
+
+
 def test_license_automata():
     a = licenses.compile_template("start [[maybe [[deep]] this]] {2} stop")
     for text, ok in (("start stop", True), ("start maybe this stop", True), ("start maybe deep this x y stop", True), ("start x y z stop", False), ("start deep this stop", True), ("start maybe stop", True),
