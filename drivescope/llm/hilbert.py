@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from drivescope.llm.frames import each_batch, in_global_order
 from drivescope.operators.staging import materialize
@@ -45,10 +46,22 @@ def hilbert_index(coordinates: np.ndarray, bits: int) -> np.ndarray:
 
 
 def text_order(column: Column) -> Column:
-    """A number that orders strings by their first seven bytes."""
+    """A number that orders strings by their first seven bytes; ``with_value_rank`` orders by all of them."""
     return F.conv(F.rpad(F.substring(F.hex(F.encode(column, "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("long")
 
 
+def with_value_rank(df: DataFrame, column: str, by: list[str], name: str, spread: int = 32) -> DataFrame:
+    """Adds ``name``: how many rows have a smaller value in ``column``, in the order of whole strings; null for nulls.
+
+    Rows of a value are dealt over ``spread`` tasks by a hash of ``by``. ``df`` is read twice.
+    """
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*by), F.lit(spread)))
+    parts = dealt.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value"), "_part").agg(F.count("*").alias("_count"))
+    placed = in_global_order(parts, [F.col("_value"), F.col("_part")], "values", total="_count")
+    ranks = placed.select("_value", F.col("_part").alias("_of"), F.min("before").over(Window.partitionBy("_value")).cast("long").alias(name))  # at most ``spread`` rows a value
+    return dealt.join(ranks, (F.col(column) == F.col("_value")) & (F.col("_part") == F.col("_of")), "left").drop("_part", "_value", "_of")
+
+
 def on_curve(df: DataFrame, dims: list[str], bits: int = 5, label: str = "curve") -> DataFrame:
     """Adds ``curve``, the place of each row's cell. ``dims`` name number columns of a narrow table.
 
@@ -70,10 +83,17 @@ def on_curve(df: DataFrame, dims: list[str], bits: int = 5, label: str = "curve"
 def hilbert_shards(df: DataFrame, dims: list[str], ties: list[str], shards: int = 40, bits: int = 5) -> DataFrame:
     """Adds ``curve``, ``shard`` (0 to ``shards - 1``) and ``slot`` (from 0, gapless in each shard) to a narrow table.
 
-    Counts of two shards differ by one at most. ``ties`` order the rows of a cell; end them with an id.
+    Counts of two shards differ by one at most. ``ties`` order the rows of a cell; end them with an id. ``dims`` are columns of
+    numbers, or of strings, which are ranked as wholes.
     """
     narrow = materialize(df, "shard-keys")
-    placed = in_global_order(on_curve(narrow, dims, bits), [F.col("curve"), *[F.col(t) for t in ties]], "curve")
+    ranked = {d: f"_rank_{i}" for i, d in enumerate(dims) if isinstance(narrow.schema[d].dataType, StringType)}
+    if ranked:
+        for d, name in ranked.items():
+            narrow = with_value_rank(narrow, d, ties, name)
+        narrow = materialize(narrow, "shard-ranks")
+    curve = on_curve(narrow, [ranked.get(d, d) for d in dims], bits).drop(*ranked.values())
+    placed = in_global_order(curve, [F.col("curve"), *[F.col(t) for t in ties]], "curve")
     n = max(1, narrow.count())
     shard = F.expr(f"cast((rank * {shards}) div {n} as int)")
     return placed.withColumn("shard", shard).withColumn("slot", F.col("rank") - F.expr(f"(shard * {n}L + {shards - 1}) div {shards}")).drop("rank")

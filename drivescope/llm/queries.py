@@ -15,7 +15,7 @@ from drivescope.llm.bitslice import top_k
 from drivescope.llm.bpe import bpe_encode
 from drivescope.llm.edits import edited_likeness
 from drivescope.llm.frames import id_and_text, table
-from drivescope.llm.hilbert import hilbert_shards, text_order
+from drivescope.llm.hilbert import hilbert_shards
 from drivescope.llm.idcoder import read_id_files, write_id_files
 from drivescope.llm.licenses import scan_licenses
 from drivescope.llm.minmax import near_duplicates
@@ -47,7 +47,7 @@ def op3_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     raw = F.encode("text", "UTF-8")
-    keys = id_and_text(docs, lang=text_order(docs["lang"]), source=text_order(docs["source"])).select(
+    keys = id_and_text(docs, lang="lang", source="source").select(
         "id", "lang", "source", (F.octet_length("text") + 16).cast("long").alias("size"), F.crc32(raw).alias("crc"))
     placed = hilbert_shards(keys, ["source", "lang", "size"], ["crc", "id"], shards=40)
     return placed.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")

@@ -276,6 +276,19 @@ def test_hilbert_shards(spark, odd, empty):
     assert hilbert.hilbert_shards(none, ["size"], ["id"]).count() == 0
 
 
+def test_sources_with_a_common_beginning_are_told_apart(spark, tmp_path):
+    sources = [f"https://example.org/{c}" for c in "abcd"]
+    rows = [(i, "x" * (i * 37 % 101), "en", sources[i % 4] if i % 9 else None) for i in range(400)]
+    df = make(spark, rows)
+    ranks = {r.source: r.rank_of for r in hilbert.with_value_rank(df, "source", ["doc_id"], "rank_of", spread=5).select("source", "rank_of").distinct().collect()}
+    assert ranks == {s: None if s is None else sum(r[3] is not None and r[3] < s for r in rows) for s in {r[3] for r in rows}}
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    of, by_shard = {i: s for i, _, _, s in rows}, collections.defaultdict(set)
+    for r in queries.op4_hilbert_shards(spark, str(tmp_path)).collect():
+        by_shard[r.shard].add(of[r.doc_id])
+    assert len(by_shard) == 40 and sum(len(s) for s in by_shard.values()) < 100  # 181 where all of them are one class
+
+
 def filled(sizes, cycle=3, most=3):
     """Targets by sharing again and again."""
     weights = {s: i % cycle + 1 for i, s in enumerate(sizes)}
