@@ -31,7 +31,7 @@ from drivescope.llm.frames import id_and_text
 from drivescope.llm.neighbours import in_blocks
 
 U64 = np.uint64
-MAGIC, VERSION = b"DIDC", 1
+MAGIC, VERSION = b"DIDC", 2
 HEADER = struct.Struct("<4sBIIIHI")  # magic, version, documents, ids, vocabulary, lanes, checksum of what follows
 NO_ID = -(2**63)  # stands for a null id
 BLOCK_IDS, MAX_LANES, STEPS = 1 << 20, 4096, 64
@@ -56,7 +56,6 @@ class Model:
         self.flags = np.tile(np.array([2, 1, 3], dtype=np.int64), (2 << 2 * _TRUST, 1))
         self.previous = np.full(lanes, vocabulary, dtype=np.int64)
         self.turned = self.previous * 0x9E3779B1
-        self.learners = slice(None, None, max(1, lanes // 1024))  # counts of flags look at some of the lanes
         self.step = 0
 
     def predict(self) -> None:
@@ -78,8 +77,7 @@ class Model:
 
     def learn(self, ids: np.ndarray, kind: np.ndarray, escaped: np.ndarray) -> None:
         """``kind``: 0 and 1 where order 2 or 1 was right, else 2."""
-        some = self.learners
-        self.flags += 2 * np.bincount(self.context[some] * 3 + kind[some], minlength=self.flags.size).reshape(self.flags.shape)
+        self.flags += 2 * np.bincount(self.context * 3 + kind, minlength=self.flags.size).reshape(self.flags.shape)
         if self.step % 64 == 0 and self.flags.max() > 1 << 20:
             self.flags = (self.flags >> 1) + 1
         new = ids << _TRUST | 1

@@ -89,6 +89,21 @@ def test_id_blocks_round_trip_and_checksum():
         idcoder.unpack_block(bytes(broken))
 
 
+def test_flags_learn_from_all_lanes():
+    lanes, rng = idcoder.MAX_LANES, np.random.default_rng(2)
+    model = idcoder.Model(lanes, 1000)
+    for _ in range(3):
+        model.predict()
+        ids, before = rng.integers(0, 9, lanes).astype(np.int32), model.flags.copy()
+        kind = np.where(model.two == ids, 0, np.where(model.one == ids, 1, 2))
+        want = np.zeros_like(before)
+        np.add.at(want, (model.context, kind), 2)
+        model.learn(ids, kind, kind == 2)
+        assert (model.flags - before == want).all() and want.sum() == 2 * lanes
+    ids = np.minimum(rng.zipf(1.3, lanes * idcoder.STEPS), 999).astype(np.int32)
+    assert (idcoder.unpack_block(idcoder.pack_block(np.array([1]), np.array([len(ids)]), ids, 1000))[2] == ids).all()
+
+
 def test_tokens_equal_the_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
