@@ -15,11 +15,14 @@ from drivescope.llm.bitslice import top_k
 from drivescope.llm.bpe import bpe_encode
 from drivescope.llm.edits import edited_likeness
 from drivescope.llm.frames import id_and_text, table
+from drivescope.llm.hadamard import cluster
 from drivescope.llm.hilbert import hilbert_shards
 from drivescope.llm.idcoder import read_id_files, write_id_files
+from drivescope.llm.infill import fill_in_middle, restored
 from drivescope.llm.licenses import scan_licenses
 from drivescope.llm.minmax import near_duplicates
 from drivescope.llm.mixing import mix, sized
+from drivescope.llm.prefixes import count_tokens
 from drivescope.llm.quality import CUT_SCORE, ranked_documents
 from drivescope.llm.repeats import without_repeats
 from drivescope.llm.simhash import with_near_counts
@@ -87,8 +90,26 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(sized(table(spark, sf_dir, "documents"))).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
 
 
+def op11_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limit = 4096
+    counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), budget=limit)
+    return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "n_chars", "kept_chars")
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"), seed=42, rate=50, spm_share=80)
+    return made.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op13_hadamard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, scale=1024, seed=3)[0].withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_quality, op3_minmax, op4_hilbert_shards, op5_simhash, op6_repeats, op7_id_files, op8_top_k, op9_license_scan, op10_mix)
+    f.__name__: f for f in (op1_bpe, op2_quality, op3_minmax, op4_hilbert_shards, op5_simhash, op6_repeats, op7_id_files, op8_top_k, op9_license_scan, op10_mix,
+                             op11_prefix_counts, op12_infill, op13_hadamard_clusters)
 }
 
-ORACLES: dict[str, str] = {"op3_minmax": sql.NEAR_DUPLICATES, "op6_repeats": sql.REPEATS, "op8_top_k": sql.TOP_K}
+ORACLES: dict[str, str] = {"op3_minmax": sql.NEAR_DUPLICATES, "op6_repeats": sql.REPEATS, "op8_top_k": sql.TOP_K,
+                            "op12_infill": sql.INFILL, "op13_hadamard_clusters": sql.clusters(rounds=10, k=8)}
