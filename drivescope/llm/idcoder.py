@@ -14,11 +14,11 @@ Files are Parquet tables of such blocks, one file for a range of document ids, s
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -211,6 +211,9 @@ def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # Bytes of Latin letters: A-Z, a-z, and of two-byte characters from U+00C0 on (two signs among them excepted below).
 _LETTERS = np.zeros(256, dtype=bool)
 _LETTERS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = True
+# Bytes with which white space beyond ASCII's usual six begins.
+_HINTS = np.zeros(256, dtype=bool)
+_HINTS[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class Tokens:
@@ -242,8 +245,11 @@ class Tokens:
         self.place, self.length = np.zeros(self.slots, dtype=np.int64), np.full(self.slots, -1, dtype=np.int32)
         self.ids, self.used = np.zeros(self.kept_ids, dtype=np.int32), 0
 
-    def whole(self, texts: list[str]) -> list[array]:
-        return [array("i", e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts in a row, and how many each has."""
+        lists = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        return np.fromiter(itertools.chain.from_iterable(lists), dtype=np.int32, count=int(sizes.sum())), sizes
 
     def stretches(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Byte spans of the stretches of documents ``data[offsets[i]:offsets[i + 1]]``, and each document's first one."""
@@ -279,16 +285,16 @@ class Tokens:
         starts, ends, first = self.stretches(data, offsets)
         keys = np.stack([T.piece_hashes(data, starts, ends, seed) for seed in (61, 62)], axis=1)
         slot = (keys[:, 0] & U64(self.slots - 1)).astype(np.int64)
-        known = (self.keys[slot] == keys).all(axis=1) & (self.length[slot] >= 0)
+        held = self.keys[slot]
+        known = (held[:, 0] == keys[:, 0]) & (held[:, 1] == keys[:, 1]) & (self.length[slot] >= 0)
         place, length = self.place[slot], self.length[slot].astype(np.int64)
         gaps = np.flatnonzero(~known)
         if len(gaps):
             _, chosen, back = np.unique(keys[gaps, 0], return_index=True, return_inverse=True)
             chosen = gaps[chosen]
             raw = data.tobytes()
-            got = self.whole([raw[a:b].decode() for a, b in zip(starts[chosen].tolist(), ends[chosen].tolist(), strict=True)])
-            sizes = np.array([len(g) for g in got], dtype=np.int64)
-            total = int(sizes.sum())
+            fresh, sizes = self.whole([raw[a:b].decode() for a, b in zip(starts[chosen].tolist(), ends[chosen].tolist(), strict=True)])
+            total = len(fresh)
             if self.used + total > len(self.ids):
                 held = self.ids
                 self._forget()
@@ -300,7 +306,6 @@ class Tokens:
             else:
                 pool = self.ids
             at = self.used + np.cumsum(sizes) - sizes
-            fresh = np.frombuffer(b"".join([g.tobytes() for g in got]), dtype=np.int32)
             self.ids[self.used : self.used + total] = fresh
             pool[self.used : self.used + total] = fresh
             self.used += total
@@ -312,9 +317,12 @@ class Tokens:
         flat = pool[np.repeat(place - ahead[:-1], length) + np.arange(ahead[-1])]
         cuts = ahead[first].tolist()
         out = [flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-        odd = [i for i, t in enumerate(strings) if self.odd(t) or any(s in t for s in self.special)]
-        for i, ids in zip(odd, self.whole([strings[i] for i in odd]), strict=True):
-            out[i] = ids.tobytes()
+        hinted = np.diff(np.searchsorted(np.flatnonzero(_HINTS[data]), offsets)).tolist()
+        odd = [i for i, t in enumerate(strings) if (hinted[i] and self.odd(t)) or any(s in t for s in self.special)]
+        if odd:
+            ids, sizes = self.whole([strings[i] for i in odd])
+            for i, part in zip(odd, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+                out[i] = part.tobytes()
         return out
 
 

@@ -1,12 +1,14 @@
 """Words and hashes of whole texts, vectorised over the bytes of an Arrow batch.
 
-A hash of a piece is a polynomial over the ring of 64-bit integers, read off prefix sums: ``(S[end] - S[start]) * B**-start``.
-The base is odd, hence invertible, so every word and every run of k words costs a few array operations, whatever its
-length. Byte values enter through a table of mixed numbers; results are mixed again, which makes all 64 bits usable.
+A hash of a piece takes eight bytes at a time through a bijective mixing, so pieces of up to eight bytes have different
+hashes and longer ones meet by chance only; pieces beyond ``LONG`` bytes, which are few, are digested one by one. Runs of words
+are hashed by halves: a run of 2n words from its two runs of n, any other length from the powers of two it consists of. No
+step is linear in the bytes, so no pattern of letters or words makes different texts meet.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +17,11 @@ import pyarrow as pa
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
+LONG = 64
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U64)  # the lowest n bytes
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 # ASCII white space: space and U+0009 to U+000D.
 SPACE_BYTES = np.zeros(256, dtype=bool)
 SPACE_BYTES[[32, *range(9, 14)]] = True
@@ -33,30 +39,6 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return z
 
 
-def byte_values(lower: bool) -> np.ndarray:
-    """A number for each byte; A-Z count as a-z where ``lower``."""
-    values = mix(np.arange(256, dtype=U64), 7)
-    if lower:
-        values[65:91] = values[97:123]
-    return values
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse, self.up, self.down = base, pow(base, -1, 2**64), None, None
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if self.up is None or len(self.up) < n:
-            size = max(n, CHUNK_BYTES // 4)
-            self.up, self.down = (np.cumprod(np.r_[U64(1), np.full(size - 1, b, dtype=U64)], dtype=U64) for b in (self.base, self.inverse))
-        return self.up, self.down
-
-
-_of_bytes, _of_words = _Powers(_BASE), _Powers(_STEP)
-
-
 @dataclass
 class Words:
     """The words of some whole documents: byte spans, and the first word of each document (one entry more than documents)."""
@@ -68,10 +50,8 @@ class Words:
     first: np.ndarray
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        up, down = _of_bytes.get(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, dtype=U64)
-        np.cumsum(byte_values(lower)[self.data] * up[: len(self.data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        """A hash for each word; A-Z count as a-z where ``lower``."""
+        return piece_hashes(LOWER[self.data] if lower else self.data, self.starts, self.ends, 7)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -79,29 +59,59 @@ class Words:
 
 def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
     """A hash for each span of bytes; other seeds are independent of each other."""
-    up, down = _of_bytes.get(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum(mix(np.arange(256, dtype=U64), seed)[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts], seed)
+    length = (ends - starts).astype(np.int64)
+    out = mix(length.astype(U64), seed)
+    if not len(out):
+        return out
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    short, at = np.flatnonzero(length <= LONG), 0
+    while len(short):
+        left = length[short] - at
+        block = eights[starts[short] + np.minimum(at, length[short])]
+        block &= _FIRST[np.minimum(left, 8)]
+        out[short] = mix(out[short] ^ block, seed)
+        short = short[left > 8]
+        at += 8
+    long = np.flatnonzero(length > LONG)
+    if len(long):
+        key, raw = seed.to_bytes(8, "little"), data.tobytes()
+        out[long] = np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=8, key=key).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]), dtype="<u8")
+    return out
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * U64(_BASE) + right)
 
 
 def run_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """A hash for each run of ``k`` consecutive words of the array, runs over document borders included."""
-    n = len(words)
-    if n < k:
+    n = len(words) - k + 1
+    if n <= 0:
         return np.zeros(0, dtype=U64)
-    up, down = _of_words.get(n + 1)
-    sums = np.zeros(n + 1, dtype=U64)
-    np.cumsum(words * up[:n], out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * down[: n - k + 1], seed + k)
+    power, size, out, done = words, 1, None, 0
+    while True:
+        if k & size:
+            part = power[done : done + n]
+            out, done = (part if out is None else _joined(out, part)), done + size
+        if done == k:
+            return mix(out, seed + k)
+        power, size = _joined(power[:-size], power[size:]), 2 * size
 
 
 def span_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash for each run of words ``starts[i]:ends[i]``, its length included."""
-    up, down = _of_words.get(len(words) + 1)
-    sums = np.zeros(len(words) + 1, dtype=U64)
-    np.cumsum(words * up[: len(words)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + mix((ends - starts).astype(U64), 11))
+    length, at = ends - starts, starts.copy()
+    out, power, size, longest = mix(length.astype(U64), 11), words, 1, int(length.max(initial=0))
+    while size <= longest:
+        some = np.flatnonzero(length & size)
+        out[some] = _joined(out[some], power[at[some]])
+        at[some] += size
+        if 2 * size <= longest:
+            power = _joined(power[:-size], power[size:])
+        size *= 2
+    return out
 
 
 def run_mask(first: np.ndarray, k: int) -> np.ndarray:
