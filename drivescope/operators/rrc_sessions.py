@@ -1,9 +1,16 @@
 """Generic RRC/call sessions from signalling rows: a state machine per correlation key.
 
-A row with an identity looks at its own key's sessions and state only; a row without one joins the only key with an open
-session. So in a log whose rows all have an identity the keys are independent, and each is a sequence of its own; a log with
-other rows is one sequence. Spark derives the flags, deals out the sequences and sorts them; the machine streams over the
-sorted batches and keeps only open sessions in memory. Sessions are numbered afterwards, by the row that opened them.
+A row with an identity looks at its own key's sessions and state only. A row without one joins the only named key with an open
+session, if there is exactly one, and the key of the anonymous rows otherwise. So keys run side by side, once it is known to
+which key each anonymous row belongs, and that is found by rounds: from the sessions of the last round the open ones are
+counted ahead of every anonymous row; rows that belong elsewhere move, and only the keys they touch run again. What a row
+belongs to depends on earlier rows alone, so every round settles at least the earliest row that was wrong, and rows that stand
+still are where the machine would have put them one by one. A log that hasn't settled after ``rounds`` runs as one sequence.
+
+A key's rows are cut into stretches, so that a key may hold a large share of a log: after a row that ends any session, once
+the last connection request is too old to count, nothing but the radio state reaches a later row, and Spark carries that
+along. Spark derives flags, owners and stretches; the machine streams over sorted stretches and keeps only open sessions.
+Sessions are numbered afterwards, by the row that opened them.
 """
 
 from __future__ import annotations
@@ -12,11 +19,12 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drivescope.functions import messages as M
 from drivescope.operators import ordered
+from drivescope.operators.staging import materialize
 
 ANON = "__ANON__"
 IDLE = ("IDLE", "CELL_PCH", "URA_PCH")
@@ -24,8 +32,11 @@ IDLE = ("IDLE", "CELL_PCH", "URA_PCH")
 OUTPUT = (
     "log_id long, key string, call_id string, imsi string, tmsi string, start_ts long, end_ts long, duration_ms long, start_trigger string, "
     "end_trigger string, end_type string, result_type string, drop boolean, setup_failure boolean, ignored boolean, incomplete boolean, has_connect boolean, "
-    "failure_code string, records long, opened_ts long, opened_seq long"
+    "failure_code string, records long, opened_ts long, opened_seq long, closed_seq long"
 )
+# Facts that end whatever session is open, alone or together.
+ENDINGS = (("rlf",), ("iu_release_abnormal",), ("rrc_release_abnormal",), ("rrc_release_normal",), ("cm_service_reject",), ("call_reject",), ("disconnect", "release"),
+           ("ho_failure", "release"), ("ho_failure", "rrc_release"), ("ho_failure", "iu_release"))
 
 
 @dataclass(frozen=True)
@@ -86,11 +97,11 @@ def _failure(seen: set) -> str:
 
 
 class _Log:
-    """Open sessions and radio state of one log."""
+    """Open sessions and radio state of a log, or of a stretch of one key's rows that begins in the state ``before``."""
 
-    def __init__(self, log_id, timers: Timers):
-        self.log_id, self.timers = log_id, timers
-        self.state: dict[str, str] = {}
+    def __init__(self, log_id, timers: Timers, key: str | None = None, before: str | None = None):
+        self.log_id, self.timers, self.whole = log_id, timers, key is None
+        self.state: dict[str, str] = {key: before} if before else {}
         self.pending: dict[str, int] = {}
         self.open: dict[str, _Session] = {}
 
@@ -110,7 +121,7 @@ class _Log:
         return None
 
     def feed(self, ts: int, seq: int, key: str, f: frozenset, rrc: str | None, ids: dict) -> dict | None:
-        if key == ANON:
+        if self.whole and key == ANON:
             named = [k for k in self.open if k != ANON]
             key = named[0] if len(named) == 1 else ANON
         was_idle = self.state.get(key, "IDLE").upper() in IDLE
@@ -138,9 +149,9 @@ class _Log:
             return None
         del self.open[key]
         s.end = ts
-        return self._row(s, *end)
+        return self._row(s, *end, seq)
 
-    def _row(self, s: _Session, trigger: str | None = None, kind: str | None = None) -> dict:
+    def _row(self, s: _Session, trigger: str | None = None, kind: str | None = None, closed: int | None = None) -> dict:
         ended, length = kind is not None, s.end - s.start
         lost = kind == "drop" or (kind == "loss" and s.connected)
         known_call = bool(s.ids.get("call_id"))
@@ -162,7 +173,7 @@ class _Log:
             "log_id": self.log_id, "opened_ts": s.opened[0], "opened_seq": s.opened[1], "key": s.key, "call_id": s.ids.get("call_id"), "imsi": s.ids.get("imsi"), "tmsi": s.ids.get("tmsi"), "start_ts": s.start,
             "end_ts": s.end, "duration_ms": length if ended else None, "start_trigger": s.trigger, "end_trigger": trigger, "end_type": end_type,
             "result_type": "RRC_SESSION_ABNORMAL_END" if drop else "RRC_SESSION", "drop": drop and s.connected, "setup_failure": failed, "ignored": short, "incomplete": long,
-            "has_connect": s.connected, "failure_code": _failure(s.seen) if failed else None, "records": s.records}
+            "has_connect": s.connected, "failure_code": _failure(s.seen) if failed else None, "records": s.records, "closed_seq": closed}
 
     def close(self) -> list[dict]:
         return [self._row(s) for s in self.open.values()]
@@ -178,31 +189,101 @@ def _machine(names: list[str], timers: Timers):
         flags: dict[int, frozenset] = {}
         for batch in batches:
             rows = []
-            cols = (batch[c].tolist() for c in ("log_id", "sequence", "ts_ms", "seq", "key", "mask", "rrc", "call_id", "imsi", "tmsi"))
-            for log_id, sequence, ts, seq, key, mask, rrc, call, imsi, tmsi in zip(*cols):
-                if log is None or now != (log_id, sequence):
+            cols = (batch[c].tolist() for c in ("log_id", "owner", "stretch", "before", "ts_ms", "seq", "key", "mask", "rrc", "call_id", "imsi", "tmsi"))
+            for log_id, owner, stretch, before, ts, seq, key, mask, rrc, call, imsi, tmsi in zip(*cols):
+                if log is None or now != (log_id, owner, stretch):
                     rows += log.close() if log else []
-                    log, now = _Log(log_id, timers), (log_id, sequence)
+                    log, now = _Log(log_id, timers, owner, before), (log_id, owner, stretch)
                 if mask not in flags:
                     flags[mask] = frozenset(n for i, n in enumerate(names) if mask >> i & 1)
-                done = log.feed(ts, seq, key, flags[mask], rrc, {"call_id": call, "imsi": imsi, "tmsi": tmsi})
+                done = log.feed(ts, seq, owner or key, flags[mask], rrc, {"call_id": call, "imsi": imsi, "tmsi": tmsi})
                 if done:
                     rows.append(done)
             if rows:
-                yield pd.DataFrame(rows, columns=_COLUMNS)
+                yield _frame(rows)
         if log and log.open:
-            yield pd.DataFrame(log.close(), columns=_COLUMNS)
+            yield _frame(log.close())
 
     return run
 
 
+def _frame(rows: list[dict]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_COLUMNS).astype({"duration_ms": "Int64", "closed_seq": "Int64"})
+
+
+def _has(names: list[str], *facts: str) -> Column:
+    bits = sum(1 << names.index(f) for f in facts)
+    return F.col("mask").bitwiseAND(F.lit(bits)) == bits
+
+
+def _in_stretches(rows: DataFrame, names: list[str], timers: Timers, block_ms: int) -> DataFrame:
+    """Adds ``before``, the radio state ahead of a row of its owner, and ``stretch``, the owner's stretch the row belongs to."""
+    ends = F.lit(False)
+    for facts in ENDINGS:
+        ends = ends | _has(names, *facts)
+    known = ordered.with_last_known(rows, ["log_id", "owner"], {"before": "rrc", "asked": F.when(_has(names, "rrc_connection_request"), F.col("ts_ms")), "ended": ends},
+                                    block_ms=block_ms, include_current=False)
+    cut = F.col("ended") & F.coalesce(F.col("ts_ms") - F.col("asked") > timers.rrc_nas_ms, F.lit(True))
+    return ordered.with_running_sum(known, ["log_id", "owner"], {"stretch": cut.cast("int")}, block_ms=block_ms).drop("asked", "ended")
+
+
+def _run(rows: DataFrame, names: list[str], timers: Timers, block_ms: int) -> DataFrame:
+    """Sessions of rows that know their owner."""
+    dealt = _in_stretches(rows, names, timers, block_ms).repartition("log_id", "owner", "stretch").sortWithinPartitions("log_id", "owner", "stretch", "ts_ms", "seq")
+    return dealt.mapInPandas(_machine(names, timers), OUTPUT)
+
+
+def _owners(anonymous: DataFrame, sessions: DataFrame, block_ms: int) -> DataFrame:
+    """The anonymous rows with the owner that these sessions give them: a running count of open named sessions and of their numbers."""
+    named = sessions.where(F.col("key") != ANON)
+    moves = F.array(F.struct(F.col("opened_ts").alias("ts_ms"), F.col("opened_seq").alias("seq"), F.lit(1).alias("sign")),
+                    F.struct(F.col("end_ts").alias("ts_ms"), F.col("closed_seq").alias("seq"), F.lit(-1).alias("sign")))
+    steps = named.select("log_id", F.col("opened_seq").alias("number"), F.explode(moves).alias("m")).where("m.seq is not null")
+    # An anonymous row stands ahead of what it causes itself.
+    steps = steps.select("log_id", F.col("m.ts_ms").alias("ts_ms"), (F.col("m.seq") * 2 + 1).alias("seq"), F.col("m.sign").alias("sign"), (F.col("m.sign") * F.col("number")).alias("number"))
+    asked = anonymous.select("log_id", "ts_ms", (F.col("seq") * 2).alias("seq"), F.lit(None).cast("int").alias("sign"), F.lit(0).cast("long").alias("number"))
+    marked = asked.unionByName(steps).withColumn("asks", F.col("sign").isNull())
+    at = ordered.with_running_sum(marked, ["log_id"], {"open": "sign", "only": "number"}, block_ms=block_ms).where("asks")
+    at = at.select("log_id", "ts_ms", (F.col("seq") / 2).cast("long").alias("seq"), F.when(F.col("open") == 1, F.col("only")).alias("only"))
+    sole = named.select("log_id", F.col("opened_seq").alias("only"), F.col("key").alias("sole"))
+    found = at.where("only is not null").join(sole, ["log_id", "only"], "left").select("log_id", "ts_ms", "seq", "sole")
+    return anonymous.join(found, ["log_id", "ts_ms", "seq"], "left").withColumn("new_owner", F.coalesce("sole", F.lit(ANON))).drop("sole")
+
+
+def _settled(rows: DataFrame, names: list[str], timers: Timers, rounds: int, block_ms: int) -> DataFrame:
+    """Sessions of all rows, each under its owner."""
+    named = rows.where(F.col("key") != ANON).withColumn("owner", F.col("key"))
+    anonymous = rows.where(F.col("key") == ANON).withColumn("owner", F.lit(ANON))
+    sessions = materialize(_run(named.unionByName(anonymous), names, timers, block_ms), "sessions")
+    for _ in range(rounds):
+        moved = materialize(_owners(anonymous, sessions, block_ms), "owners")
+        changed = moved.where("owner != new_owner")
+        touched = materialize(changed.select("log_id", F.explode(F.array("owner", "new_owner")).alias("owner")).distinct(), "touched")
+        if touched.isEmpty():
+            return sessions
+        anonymous = moved.withColumn("owner", F.col("new_owner")).drop("new_owner")
+        again = named.unionByName(anonymous).join(touched, ["log_id", "owner"], "left_semi")
+        kept = sessions.join(touched.withColumnRenamed("owner", "key"), ["log_id", "key"], "left_anti")
+        sessions = materialize(kept.select(*_COLUMNS).unionByName(_run(again.select(*named.columns), names, timers, block_ms)), "sessions")
+    late = materialize(_owners(anonymous, sessions, block_ms).where("owner != new_owner").select("log_id").distinct(), "late")
+    whole = _whole(rows.join(late, "log_id", "left_semi").select(*rows.columns), names, timers)
+    return sessions.join(late, "log_id", "left_anti").select(*_COLUMNS).unionByName(whole)
+
+
+def _whole(rows: DataFrame, names: list[str], timers: Timers) -> DataFrame:
+    """Sessions of logs that run as one sequence each."""
+    none = F.lit(None).cast("string")
+    dealt = rows.select("*", none.alias("owner"), F.lit(0).cast("long").alias("stretch"), none.alias("before")).repartition("log_id").sortWithinPartitions("log_id", "ts_ms", "seq")
+    return dealt.mapInPandas(_machine(names, timers), OUTPUT)
+
+
 def rrc_session_machine(
     rows: DataFrame, *, message: str = "message", details: str | None = None, state: str | None = None, rrc_cause: str | None = None, cs_cause: str | None = None,
-    timers: Timers = Timers(), extra_text: Sequence[str] = (), by_key: bool = True, block_ms: int = ordered.HOUR_MS,
+    timers: Timers = Timers(), extra_text: Sequence[str] = (), by_key: bool = True, rounds: int = 12, block_ms: int = ordered.HOUR_MS,
 ) -> DataFrame:
     """Sessions of every log from its time-ordered signalling rows (``log_id, ts_ms, seq`` and texts).
 
-    ``by_key=False`` runs every log as one sequence, with the same result.
+    ``seq`` numbers the rows of a log. ``by_key=False`` runs every log as one sequence, with the same result.
     """
     texts = [message, *([details] if details else []), *extra_text]
     flags = M.semantic_flags(M.envelope(*texts), rrc_cause, cs_cause)
@@ -212,14 +293,9 @@ def rrc_session_machine(
         mask = mask + F.when(flags[n], F.lit(1 << i)).otherwise(0)
     pool = F.concat_ws(" | ", *texts)
     d = rows.select(
-        F.col("log_id").cast("long").alias("log_id"), "ts_ms", "seq", M.call_id(pool).alias("call_id"), M.imsi(pool).alias("imsi"), M.tmsi(pool).alias("tmsi"), mask.alias("mask"),
+        F.col("log_id").cast("long").alias("log_id"), "ts_ms", F.col("seq").cast("long").alias("seq"), M.call_id(pool).alias("call_id"), M.imsi(pool).alias("imsi"), M.tmsi(pool).alias("tmsi"), mask.alias("mask"),
         M.rrc_state(message, state).alias("rrc")).where("ts_ms is not null")
     d = d.withColumn("key", M.correlation_key("call_id", "imsi", "tmsi"))
-    if by_key:
-        one = d.groupBy("log_id").agg(F.max(F.col("key") == ANON).alias("_one"))
-        d = ordered.attach(d, one, ["log_id"]).withColumn("sequence", F.when(F.col("_one"), "").otherwise(F.col("key"))).drop("_one")
-    else:
-        d = d.withColumn("sequence", F.lit(""))
-    d = d.repartition("log_id", "sequence").sortWithinPartitions("log_id", "sequence", "ts_ms", "seq")
-    found = ordered.with_row_number(d.mapInPandas(_machine(names, timers), OUTPUT), ["log_id"], "session_no", ts="opened_ts", seq="opened_seq", block_ms=block_ms)
-    return found.drop("opened_ts", "opened_seq")
+    found = _settled(materialize(d, "signalling"), names, timers, rounds, block_ms) if by_key else _whole(d, names, timers)
+    found = ordered.with_row_number(found, ["log_id"], "session_no", ts="opened_ts", seq="opened_seq", block_ms=block_ms)
+    return found.drop("opened_ts", "opened_seq", "closed_seq")

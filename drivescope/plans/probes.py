@@ -76,14 +76,14 @@ _NEEDS = {
 }
 
 
-def with_sql(views: list[str], body: str) -> str:
-    """SQL text: the named views, then ``body`` (a SELECT, or more CTEs starting with a comma)."""
+def with_sql(views: list[str], body: str, recursive: bool = False) -> str:
+    """SQL text: the named views, then ``body`` (a SELECT, or more CTEs starting with a comma, which may be recursive)."""
     names: list[str] = []
     for v in views:
         for n in [*_NEEDS.get(v, []), v]:
             if n not in names:
                 names.append(n)
-    return ("WITH " + ",\n".join(SQL[n] for n in names) + "\n" if names else "") + body.strip()
+    return (("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(SQL[n] for n in names) + "\n" if names else "") + body.strip()
 
 
 def _k():

@@ -28,7 +28,7 @@ class Views:
         return getattr(probes, name)(self)
 
 
-def query(name: str, views: str = "", sql: str | None = None):
+def query(name: str, views: str = "", sql: str | None = None, recursive: bool = False):
     """Register ``fn(views) -> DataFrame``; ``sql`` follows the named view definitions in a WITH clause."""
 
     def register(fn: Callable[[Views], DataFrame]):
@@ -40,7 +40,7 @@ def query(name: str, views: str = "", sql: str | None = None):
 
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = probes.with_sql(views.split(), sql)
+            ORACLES[name] = probes.with_sql(views.split(), sql, recursive)
         return fn
 
     return register

@@ -194,6 +194,57 @@ def _(v):
     return d.select("event_id", F.coalesce(m["trackingAreaCode"], m["releaseCause"], m["establishmentCause"]).alias("picked"), m["hasRedirectedCarrierInfo"].alias("redirected"))
 
 
-@query("K9_rrc_session_machine")
+BLOCK_MS = 5 * 86_400_000  # the probe's rows lie minutes apart
+
+
+# The machine row by row: a log's open sessions, busy keys and pending requests are lists that a recursion hands on.
+K9 = r"""
+, r AS (SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY ts_ms, seq) AS rn, ts_ms AS ts, seq, upper(message) AS m, upper(cause) AS c,
+   CASE WHEN k % 4 = 0 THEN CAST(k % 11 AS VARCHAR) END AS call_id, CASE WHEN k % 4 = 1 THEN '60400' || lpad(CAST(user_id AS VARCHAR), 6, '0') END AS imsi,
+   CASE WHEN k % 4 = 2 OR (k % 4 = 1 AND k % 3 = 0) THEN 'A1B2C' || (k % 10) END AS tmsi FROM v_msgs)
+, q AS MATERIALIZED (SELECT *, CASE WHEN call_id IS NOT NULL THEN 'CALL:' || call_id WHEN imsi IS NOT NULL THEN 'IMSI:' || imsi || coalesce('|TMSI:' || tmsi, '') WHEN tmsi IS NOT NULL THEN 'TMSI:' || tmsi ELSE '__ANON__' END AS own,
+   CASE WHEN m IN ('RRC_CONNECTION_RELEASE', 'PAGING') THEN true WHEN m IN ('CELL_UPDATE', 'RRC_CONNECTION_SETUP', 'RRC_CONNECTION_SETUP_COMPLETE') THEN false END AS to_idle FROM r)
+, w AS (
+ SELECT log_id, 0::BIGINT AS rn, CAST([] AS VARCHAR[]) AS busy, CAST([] AS STRUCT(k VARCHAR, t BIGINT)[]) AS asked,
+  CAST([] AS STRUCT(k VARCHAR, a BIGINT, z BIGINT, trig VARCHAR, ots BIGINT, oseq BIGINT, n BIGINT, cid VARCHAR, imsi VARCHAR, tmsi VARCHAR, conn BOOLEAN, disc BOOLEAN, cm BOOLEAN, ca BOOLEAN, rlf BOOLEAN)[]) AS live,
+  CAST(NULL AS STRUCT(k VARCHAR, a BIGINT, z BIGINT, trig VARCHAR, ots BIGINT, oseq BIGINT, n BIGINT, cid VARCHAR, imsi VARCHAR, tmsi VARCHAR, conn BOOLEAN, disc BOOLEAN, cm BOOLEAN, ca BOOLEAN, rlf BOOLEAN)) AS gone, CAST(NULL AS VARCHAR) AS ending
+ FROM (SELECT DISTINCT log_id FROM q)
+ UNION ALL
+ SELECT log_id, rn, busy2, CASE WHEN trig IS NULL THEN asked2 ELSE [x FOR x IN asked2 IF x.k <> key] END,
+  CASE WHEN s IS NULL THEN live WHEN ending IS NULL THEN list_append([x FOR x IN live IF x.k <> key], s) ELSE [x FOR x IN live IF x.k <> key] END, CASE WHEN ending IS NOT NULL THEN s END, ending
+ FROM (SELECT *, CASE WHEN s IS NULL THEN NULL WHEN m = 'RADIO LINK FAILURE' THEN 'RADIO_LINK_FAILURE' WHEN m = 'IU RELEASE' AND bad THEN 'IU_RELEASE_ABNORMAL' WHEN m = 'RRC_CONNECTION_RELEASE' AND bad THEN 'RRC_CONNECTION_RELEASE_ABNORMAL'
+    WHEN s.conn AND m = 'IU RELEASE' AND NOT s.disc THEN 'MSC_RELEASE_WITHOUT_DISCONNECT' WHEN m = 'RRC_CONNECTION_RELEASE' AND (contains(c, 'NORMAL') OR s.disc) THEN 'RRC_CONNECTION_RELEASE_NORMAL'
+    WHEN m IN ('CM_SERVICE_REJECT', 'CALL_REJECT') THEN m WHEN m = 'RAB RELEASE' AND NOT s.conn THEN 'RAB_RELEASE' WHEN m = 'IU RELEASE' AND NOT s.conn THEN 'IU_RELEASE'
+    WHEN NOT was_idle AND NOT list_contains(busy2, key) THEN CASE WHEN s.disc THEN 'RETURN_TO_IDLE' ELSE 'RRC_IDLE_TRANSITION' END END AS ending
+  FROM (SELECT *, contains(c, 'ABNORMAL') OR contains(c, 'ERROR') AS bad, CASE WHEN s0 IS NOT NULL THEN struct_pack(k := key, a := least(s0.a, ts), z := greatest(s0.z, ts), trig := s0.trig, ots := s0.ots, oseq := s0.oseq, n := s0.n + 1,
+     cid := coalesce(s0.cid, call_id), imsi := coalesce(s0.imsi, imsi), tmsi := coalesce(s0.tmsi, tmsi), conn := s0.conn OR m = 'CONNECT', disc := s0.disc OR m = 'DISCONNECT', cm := s0.cm OR m = 'CM_SERVICE_REJECT', ca := s0.ca OR m = 'CALL_REJECT',
+     rlf := s0.rlf OR (m = 'RADIO LINK FAILURE' AND NOT s0.conn)) END AS s
+   FROM (SELECT *, CASE WHEN held IS NOT NULL THEN held WHEN trig IS NOT NULL THEN struct_pack(k := key, a := CASE WHEN trig LIKE '%PLUS%' THEN pend ELSE ts END, z := CASE WHEN trig LIKE '%PLUS%' THEN pend ELSE ts END, trig := trig, ots := ts,
+      oseq := seq, n := 0::BIGINT, cid := NULL::VARCHAR, imsi := NULL::VARCHAR, tmsi := NULL::VARCHAR, conn := false, disc := false, cm := false, ca := false, rlf := false) END AS s0
+    FROM (SELECT *, CASE WHEN held IS NOT NULL THEN NULL WHEN was_idle AND m IN ('CM_SERVICE_REQUEST', 'SETUP', 'RAB_ASSIGNMENT_REQUEST', 'CALL_PROCEEDING') THEN m
+       WHEN m IN ('CM_SERVICE_REQUEST', 'SETUP', 'CALL_PROCEEDING') AND ts - pend BETWEEN 0 AND 18000000 THEN 'RRC_CONNECTION_REQUEST_PLUS_NAS_CC' END AS trig
+     FROM (SELECT *, ([x.t FOR x IN asked2 IF x.k = key])[1] AS pend
+      FROM (SELECT *, CASE WHEN held IS NULL AND was_idle AND m = 'RRC_CONNECTION_REQUEST' THEN list_append([x FOR x IN asked IF x.k <> key], struct_pack(k := key, t := ts)) ELSE asked END AS asked2
+       FROM (SELECT *, NOT list_contains(busy, key) AS was_idle, CASE WHEN to_idle IS NULL THEN busy WHEN to_idle THEN [x FOR x IN busy IF x <> key] WHEN list_contains(busy, key) THEN busy ELSE list_append(busy, key) END AS busy2,
+          ([x FOR x IN live IF x.k = key])[1] AS held
+        FROM (SELECT w.busy, w.asked, w.live, q.*, CASE WHEN own = '__ANON__' AND len([x FOR x IN live IF x.k <> '__ANON__']) = 1 THEN ([x.k FOR x IN live IF x.k <> '__ANON__'])[1] ELSE own END AS key
+         FROM w JOIN q ON q.log_id = w.log_id AND q.rn = w.rn + 1)))))))))
+, e AS (SELECT log_id, gone AS s, ending FROM w WHERE ending IS NOT NULL
+  UNION ALL SELECT log_id, unnest(live), NULL FROM w WHERE rn = (SELECT max(x.rn) FROM q x WHERE x.log_id = w.log_id))
+, f AS (SELECT log_id, s.*, ending, s.z - s.a AS len, CASE WHEN ending IN ('RADIO_LINK_FAILURE', 'IU_RELEASE_ABNORMAL', 'RRC_CONNECTION_RELEASE_ABNORMAL') THEN 'loss' WHEN ending = 'MSC_RELEASE_WITHOUT_DISCONNECT' THEN 'drop'
+   WHEN ending IN ('RRC_CONNECTION_RELEASE_NORMAL', 'RETURN_TO_IDLE', 'RRC_IDLE_TRANSITION') THEN 'normal' WHEN ending IS NOT NULL THEN 'fail' END AS kind FROM e)
+, g AS (SELECT *, coalesce(kind = 'drop' OR (kind = 'loss' AND conn), false) AS lost, ending IS NOT NULL AND NOT conn AND len < 7200000 AS short, ending IS NOT NULL AND NOT conn AND len > 108000000 AS late,
+   ending IS NOT NULL AND NOT conn AND len BETWEEN 7200000 AND 108000000 AS failed FROM f)
+SELECT log_id, k AS key, cid AS call_id, imsi, tmsi, a AS start_ts, z AS end_ts, CASE WHEN ending IS NOT NULL THEN len END AS duration_ms, trig AS start_trigger, ending AS end_trigger,
+ CASE WHEN short THEN 'IGNORED_SHORT_ATTEMPT' WHEN late THEN 'INCOMPLETE_OR_ONGOING' WHEN failed THEN 'CALL_SETUP_FAILURE' WHEN lost THEN CASE WHEN cid IS NOT NULL THEN 'DROP' ELSE 'RRC_SESSION_ABNORMAL_END' END
+  WHEN kind = 'normal' THEN 'NORMAL' WHEN kind IS NOT NULL THEN 'CALL_SETUP_FAILURE' END AS end_type,
+ CASE WHEN lost AND cid IS NOT NULL THEN 'RRC_SESSION_ABNORMAL_END' ELSE 'RRC_SESSION' END AS result_type, lost AND cid IS NOT NULL AND conn AS "drop", failed AS setup_failure, short AS ignored, late AS incomplete, conn AS has_connect,
+ CASE WHEN failed THEN CASE WHEN cm AND ca THEN 'CORE_NAS_REJECT' WHEN rlf THEN 'EARLY_RADIO_FAILURE' ELSE 'UNKNOWN_FAILURE' END END AS failure_code, n AS records,
+ row_number() OVER (PARTITION BY log_id ORDER BY ots, oseq) AS session_no
+FROM g
+"""
+
+
+@query("K9_rrc_session_machine", "v_msgs", K9, recursive=True)
 def _(v):
-    return rrc_sessions.rrc_session_machine(v.v_msgs, details="details", rrc_cause="cause", timers=rrc_sessions.Timers(18_000_000, 7_200_000, 108_000_000))
+    return rrc_sessions.rrc_session_machine(v.v_msgs, details="details", rrc_cause="cause", timers=rrc_sessions.Timers(18_000_000, 7_200_000, 108_000_000), block_ms=BLOCK_MS)

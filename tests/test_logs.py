@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from drivescope.operators import radio, rrc_sessions, sessions
 from drivescope.sources import nmf, tables
 
@@ -164,14 +166,32 @@ def test_sessions_by_key_equal_sessions_by_log(spark):
     rng = random.Random(8)
     texts = ["CM_SERVICE_REQUEST", "SETUP", "CONNECT", "DISCONNECT RELEASE", "RRC_CONNECTION_RELEASE", "RRC_CONNECTION_REQUEST", "RAB_ASSIGNMENT_REQUEST", "RADIO LINK FAILURE", "CALL_REJECT", "PAGING", "IU RELEASE"]
     rows = []
-    for log in range(4):
+    for log, (keys, anonymous) in enumerate([(4, 0), (1, 0.5), (2, 0.3), (4, 0.2), (3, 1), (1, 0.1)]):
         for i in range(250):
-            who = f" call id: {rng.randrange(4)}" if log != 3 or rng.random() < 0.8 else ""
-            rows.append((log, 10_000 * log + 700 * i, i, rng.choice(texts) + who, rng.choice([None, "normal", "abnormal"])))
-    d = spark.createDataFrame(rows, "log_id long, ts_ms long, seq long, message string, cause string")
-    one, many = (sorted(str(sorted(r.asDict().items())) for r in rrc_sessions.rrc_session_machine(d, rrc_cause="cause", by_key=by_key, block_ms=5_000).collect()) for by_key in (False, True))
-    assert one == many and len(one) > 100
+            who = f" call id: {rng.randrange(keys)}" if rng.random() >= anonymous else ""
+            rows.append((log, 10_000 * log + 700 * (i // 2), i, rng.choice(texts) + who, rng.choice([None, None, "IDLE", "CELL_DCH", "URA_PCH"]), rng.choice([None, "normal", "abnormal"])))
+    d = spark.createDataFrame(rows, "log_id long, ts_ms long, seq long, message string, state string, cause string")
+
+    def found(**more):
+        return sorted(str(sorted(r.asDict().items())) for r in rrc_sessions.rrc_session_machine(d, state="state", rrc_cause="cause", block_ms=5_000, **more).collect())
+
+    one = found(by_key=False)
+    assert len(one) > 100 and any("__ANON__" in r for r in one)
+    assert found() == one  # anonymous rows settle
+    assert found(rounds=1) == one  # what hasn't settled runs as one sequence
     numbers = {}
-    for r in rrc_sessions.rrc_session_machine(d, rrc_cause="cause").collect():
+    for r in rrc_sessions.rrc_session_machine(d, state="state", rrc_cause="cause").collect():
         numbers.setdefault(r.log_id, []).append(r.session_no)
-    assert set(numbers) == set(range(4)) and all(sorted(n) == list(range(1, len(n) + 1)) for n in numbers.values())
+    assert set(numbers) == set(range(6)) and all(sorted(n) == list(range(1, len(n) + 1)) for n in numbers.values())
+
+
+def test_a_long_key_runs_in_many_stretches(spark):
+    texts = ["CM_SERVICE_REQUEST", "CONNECT", "RADIO LINK FAILURE", "PAGING"]
+    d = spark.range(4000).selectExpr("1L AS log_id", "id * 10000 AS ts_ms", "id AS seq", f"concat(array({', '.join(repr(t) for t in texts)})[id % 4], ' call id: 7') AS message", "CAST(NULL AS string) AS state")
+    flags = rrc_sessions.M.semantic_flags(rrc_sessions.M.envelope("message"), None, None)
+    names, mask = list(flags), sum((F.when(c, F.lit(1 << i)).otherwise(0).cast("long") for i, c in enumerate(flags.values())), F.lit(0))
+    rows = d.select("log_id", "ts_ms", "seq", mask.alias("mask"), F.col("state").alias("rrc"), F.lit("CALL:7").alias("owner"))
+    stretches = rrc_sessions._in_stretches(rows, names, rrc_sessions.Timers(), 3_600_000)
+    assert stretches.groupBy("stretch").count().agg(F.count("*"), F.max("count")).first()[:] == (1001, 4)
+    got = rrc_sessions.rrc_session_machine(d, state="state")
+    assert got.count() == 1000 and got.where("`drop` AND records = 3").count() == 1000
