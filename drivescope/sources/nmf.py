@@ -88,22 +88,38 @@ def absolute_time(records: DataFrame, keys: Sequence[str] = KEYS, rollover_ms: i
     base = F.unix_millis(F.try_to_timestamp(F.trim(F.try_element_at(dates, F.lit(1))), F.lit("dd.MM.yyyy")))
     is_start = F.col("header") == "#START"
     tod = F.when(~is_start & F.trim(part(1)).rlike(_TOD2), S.time_of_day_ms(part(1)))
-    # Narrow rows only: where a log's base and day change, as steps of (line, segment, base, day).
-    n = records.select(*keys, "line_no", F.when(is_start & base.isNotNull(), F.struct(F.col("line_no").alias("no"), base.alias("base"))).alias("_start"), tod.alias("tod_ms"))
-    order = {"ts": "line_no", "seq": "line_no", "block_ms": LINE_BLOCK}
-    n = ordered.with_last_known(n.where("_start is not null or tod_ms is not null"), keys, {"_seg": "_start"}, **order)
-    n = n.where("tod_ms is not null and _seg is not null").select(*keys, "line_no", "tod_ms", F.col("_seg.no").alias("segment"), F.col("_seg.base").alias("base"))
-    by = [*keys, "segment"]
-    n = ordered.with_neighbors(n, by, previous={"_prev": "tod_ms"}, **order)
-    n = n.withColumn("_fell", F.coalesce((F.col("tod_ms") < F.col("_prev") - rollover_ms).cast("int"), F.lit(0)))
-    n = ordered.with_running_sum(n, by, {"day": "_fell"}, **order).withColumn("_block", ordered.block_of("line_no", LINE_BLOCK))
-    step = F.struct("line_no", "segment", "base", "day")
-    new = F.col("_prev").isNull() | (F.col("_fell") > 0)
-    blocks = n.groupBy(*keys, "_block").agg(F.array_sort(F.collect_list(F.when(new, step))).alias("_own"))  # changes are few
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = F.last(F.when(F.size("_own") > 0, F.element_at("_own", -1)), ignorenulls=True).over(earlier)
-    blocks = blocks.select(*keys, "_block", F.concat(F.array_compact(F.array(carried)), F.col("_own")).alias("_steps"))
-    d = records.withColumn("tod_ms", tod).where("tod_ms is not null").withColumn("_block", ordered.block_of("line_no", LINE_BLOCK))
+    start = F.when(is_start & base.isNotNull(), F.struct(F.col("line_no").alias("no"), base.alias("base")))
+    block = ordered.block_of("line_no", LINE_BLOCK)
+    # Narrow rows, once: what a block of lines does to the state (segment, base, day, time of day), as a summary that composes.
+    n = records.select(*keys, block.alias("_block"), "line_no", start.alias("_start"), tod.alias("tod_ms")).where("_start is not null or tod_ms is not null")
+    inside = Window.partitionBy(*keys, "_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = inside.rowsBetween(Window.unboundedPreceding, -1)
+    n = n.withColumn("_seg", F.last("_start", ignorenulls=True).over(inside)).withColumn(
+        "_prev", F.last(F.when(F.col("tod_ms").isNotNull(), F.struct("line_no", "tod_ms")), ignorenulls=True).over(ahead))
+    same = F.coalesce(F.col("_prev.line_no") > F.col("_seg.no"), F.col("_seg").isNull() & F.col("_prev").isNotNull())
+    n = n.withColumn("_fell", F.coalesce((same & (F.col("tod_ms") < F.col("_prev.tod_ms") - rollover_ms)).cast("long"), F.lit(0)))
+    n = n.withColumn("_falls", F.sum("_fell").over(inside)).withColumn("_at_start", F.last(F.when(F.col("_start").isNotNull(), F.col("_falls")), ignorenulls=True).over(inside))
+    n = n.withColumn("day", F.col("_falls") - F.coalesce("_at_start", F.lit(0)))
+    # The part of a block ahead of its first start belongs to the segment that is open when the block begins.
+    head, timed = F.col("_seg").isNull(), F.col("tod_ms").isNotNull()
+    after = F.coalesce(F.col("line_no") > F.col("_seg.no"), F.lit(True))
+    blocks = n.groupBy(*keys, "_block").agg(
+        F.array_sort(F.collect_list(F.when((F.col("_fell") > 0) | F.col("_start").isNotNull(), F.struct("line_no", "_seg", "day")))).alias("_changes"),  # changes are few
+        F.min_by("tod_ms", F.when(head & timed, F.col("line_no"))).alias("_first"), F.sum(F.when(head, F.col("_fell")).otherwise(0)).alias("_head_falls"),
+        F.max_by(F.struct("_seg", "day", F.when(timed & after, F.col("tod_ms")).alias("tod_ms")), "line_no").alias("_end"))
+    over = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.last("_end.tod_ms", ignorenulls=False).over(over))
+    crossed = F.coalesce((F.col("_first") < F.col("_before") - rollover_ms).cast("long"), F.lit(0))
+    blocks = blocks.withColumn("_crossed", crossed).withColumn("_sum", F.coalesce(F.sum(F.col("_crossed") + F.col("_head_falls")).over(over), F.lit(0)))
+    mark = F.when(F.col("_end._seg").isNotNull(), F.struct(F.col("_end._seg").alias("seg"), (F.col("_end.day") - F.col("_sum") - F.col("_crossed") - F.col("_head_falls")).alias("shift")))
+    blocks = blocks.withColumn("_open", F.last(mark, ignorenulls=True).over(over))
+    carried = F.col("_sum") + F.col("_open.shift") + F.col("_crossed")
+    step = lambda no, seg, day: F.struct(no.alias("line_no"), seg["no"].alias("segment"), seg["base"].alias("base"), day.alias("day"))
+    first = F.when(F.col("_open").isNotNull(), step(F.lit(0).cast("long"), F.col("_open.seg"), carried))
+    own = F.transform("_changes", lambda x: F.when(x["_seg"].isNotNull(), step(x["line_no"], x["_seg"], x["day"])).when(
+        F.col("_open").isNotNull(), step(x["line_no"], F.col("_open.seg"), carried + x["day"])))
+    blocks = blocks.select(*keys, "_block", F.array_compact(F.concat(F.array(first), own)).alias("_steps"))
+    d = records.withColumn("tod_ms", tod).where("tod_ms is not null").withColumn("_block", block)
     d = d.join(blocks, [*keys, "_block"]).withColumn("_at", F.try_element_at(F.filter("_steps", lambda x: x["line_no"] <= F.col("line_no")), F.lit(-1)))
     d = d.where("_at is not null").withColumn("segment", F.col("_at.segment")).withColumn("ts_ms", F.col("_at.base") + F.col("_at.day") * 86_400_000 + F.col("tod_ms"))
     return d.select(*records.columns, "tod_ms", "segment", "ts_ms")

@@ -71,6 +71,36 @@ def test_steps_of_time(spark):
         assert got == {4: (2, base + 22 * hour), 5: (2, base + day + 2 * hour), 6: (2, base + day + 3 * hour // 2), 8: (2, base + day + 23 * hour), 9: (2, base + 2 * day + 3 * hour), 11: (10, base + 4 * day + 1000)}
 
 
+def test_time_of_random_logs_in_any_block(spark):
+    rng, rows, want = random.Random(5), [], {}
+    for log in range(6):
+        base = seg = prev = None
+        day = 0
+        for no in range(1, 120):
+            kind = rng.random()
+            if kind < 0.06:
+                base, seg, prev, day = 1769904000000 + 86_400_000 * (no % 28), no, None, 0
+                rows.append((log, no, f'#START,x,"{no % 28 + 1:02d}.02.2026"'))
+            elif kind < 0.1:
+                rows.append((log, no, rng.choice(["#START,none", "no time", "A,25,x"])))
+            else:
+                h = rng.choice([0, 1, 5, 9, 17, 22, 23])
+                tod = h * 3_600_000
+                rows.append((log, no, f"A,{h:02d}:00:00,x"))
+                if base is not None:
+                    day += prev is not None and tod < prev - 6 * 3_600_000
+                    prev = tod
+                    want[log, no] = (seg, base + day * 86_400_000 + tod)
+    lines = spark.createDataFrame(rows, "log_id long, line_no long, raw string").repartition(5)
+    kept = nmf.LINE_BLOCK
+    try:
+        for nmf.LINE_BLOCK in (1, 3, 17, 1_000_000):
+            got = {(r.log_id, r.line_no): (r.segment, r.ts_ms) for r in nmf.absolute_time(nmf.parse_records(lines)).collect()}
+            assert got == want
+    finally:
+        nmf.LINE_BLOCK = kept
+
+
 def test_fields_with_odd_quotes(spark):
     texts = {'a,"b,c': ["a", "b,c"], ',,"",': ["", "", "", ""], '"x","y""z"': ["x", 'y"z'], 'p"q,r"s,t': ["pq,rs", "t"], '"' + "v" * 20_000 + '",w': ["v" * 20_000, "w"]}
     rows = spark.createDataFrame([(t,) for t in texts], "raw string").select("raw", nmf.split_csv(nmf.F.col("raw")).alias("parts")).collect()
