@@ -91,7 +91,9 @@ def absolute_time(records: DataFrame, keys: Sequence[str] = KEYS, rollover_ms: i
     start = F.when(is_start & base.isNotNull(), F.struct(F.col("line_no").alias("no"), base.alias("base")))
     block = ordered.block_of("line_no", LINE_BLOCK)
     # Narrow rows, once: what a block of lines does to the state (segment, base, day, time of day), as a summary that composes.
-    n = records.select(*keys, block.alias("_block"), "line_no", start.alias("_start"), tod.alias("tod_ms")).where("_start is not null or tod_ms is not null")
+    # A filter on what is read off the fields would be pushed down with a split of the text for each field; it stops at a row id.
+    once = F.monotonically_increasing_id().alias("_once")
+    n = records.select(*keys, block.alias("_block"), "line_no", start.alias("_start"), tod.alias("tod_ms"), once).where("_once >= 0 and (_start is not null or tod_ms is not null)").drop("_once")
     inside = Window.partitionBy(*keys, "_block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     ahead = inside.rowsBetween(Window.unboundedPreceding, -1)
     n = n.withColumn("_seg", F.last("_start", ignorenulls=True).over(inside)).withColumn(
@@ -119,7 +121,7 @@ def absolute_time(records: DataFrame, keys: Sequence[str] = KEYS, rollover_ms: i
     own = F.transform("_changes", lambda x: F.when(x["_seg"].isNotNull(), step(x["line_no"], x["_seg"], x["day"])).when(
         F.col("_open").isNotNull(), step(x["line_no"], F.col("_open.seg"), carried + x["day"])))
     blocks = blocks.select(*keys, "_block", F.array_compact(F.concat(F.array(first), own)).alias("_steps"))
-    d = records.withColumn("tod_ms", tod).where("tod_ms is not null").withColumn("_block", block)
+    d = records.select("*", tod.alias("tod_ms"), once).where("_once >= 0 and tod_ms is not null").drop("_once").withColumn("_block", block)
     d = d.join(blocks, [*keys, "_block"]).withColumn("_at", F.try_element_at(F.filter("_steps", lambda x: x["line_no"] <= F.col("line_no")), F.lit(-1)))
     d = d.where("_at is not null").withColumn("segment", F.col("_at.segment")).withColumn("ts_ms", F.col("_at.base") + F.col("_at.day") * 86_400_000 + F.col("tod_ms"))
     return d.select(*records.columns, "tod_ms", "segment", "ts_ms")
