@@ -191,14 +191,14 @@ def _(v):
 
 
 @query("A7_scheduler_at_time", "v_kpi v_points", SCHED + """
-, t AS (SELECT log_id AS run_id, seq AS time_id, ts_ms FROM v_points WHERE event_type = 'click')
+, t AS (SELECT log_id AS run_id, seq AS time_id, ts_ms FROM v_points)
 , c AS (SELECT t.run_id, time_id, field, value_num AS value, name AS metric, abs(sf.ts_ms - t.ts_ms) AS delta_ms,
    row_number() OVER (PARTITION BY time_id, field ORDER BY abs(sf.ts_ms - t.ts_ms), sf.ts_ms, sf.seq) AS rn
    FROM t JOIN sf ON t.run_id = sf.run_id AND abs(sf.ts_ms - t.ts_ms) <= 3600000)
 SELECT run_id, time_id, field, value, metric, delta_ms FROM c WHERE rn = 1
 """)
 def _(v):
-    times = v.v_points.where("event_type = 'click'").select(F.col("log_id").alias("run_id"), F.col("seq").alias("time_id"), "ts_ms")
+    times = v.v_points.select(F.col("log_id").alias("run_id"), F.col("seq").alias("time_id"), "ts_ms")
     return catalog.scheduler_at_time(sched_samples(v), times, 3600000)
 
 
@@ -349,9 +349,9 @@ INFO_NAMES = ["Pocket.General.Device.MaxNumCarriers", "Radio.Lte.ServingSystem.M
 @query("A28_run_info", "v_kpi", f"""
 , s AS (SELECT run_id, ts_ms, seq, CASE WHEN run_id = 4 AND seq % 6 = 3 THEN 'Radio.Lte.Other' ELSE {INFO_NAMES}[seq % 6 + 1] END AS name, CAST(k % 5 AS DOUBLE) AS v, k FROM v_kpi)
 , c AS (SELECT run_id, ts_ms, 'Cat ' || (k % 10 + 1) AS cat, CASE WHEN k % 3 = 0 THEN '2x2' END AS mimo, seq,
-   1 + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS score FROM v_kpi WHERE k % 5 = 3 AND run_id < 2)
+   1 + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS score FROM v_kpi WHERE k % 5 = 3 AND run_id <> 3)
 , cb AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, ts_ms DESC, seq) AS rn FROM c)
-, sib AS (SELECT run_id, arg_max(8000 + k, (ts_ms, seq)) AS tac FROM v_kpi WHERE k % 5 = 4 AND run_id = 3 GROUP BY run_id)
+, sib AS (SELECT run_id, arg_max(8000 + k, (ts_ms, seq)) AS tac FROM v_kpi WHERE k % 5 = 4 AND run_id <> 2 GROUP BY run_id)
 , k AS (SELECT run_id, CAST(arg_max(v, (ts_ms, seq)) FILTER (WHERE name LIKE '%MaxNumCarriers') AS BIGINT) AS n, max(v) FILTER (WHERE name LIKE '%Rank4%') AS r4, max(v) FILTER (WHERE name LIKE '%Rank2%') AS r2 FROM s GROUP BY run_id)
 , md AS (SELECT run_id, name, CAST(v AS BIGINT) AS v, row_number() OVER (PARTITION BY run_id, name ORDER BY count(*) DESC, v) AS rn FROM s WHERE name LIKE '%Tac' GROUP BY run_id, name, v)
 , kt AS (SELECT run_id, arg_min(v, CASE WHEN name LIKE '%System.Tac' THEN 0 ELSE 1 END) AS t FROM md WHERE rn = 1 AND v <> 0 GROUP BY run_id)
@@ -367,7 +367,7 @@ def _(v):
     name = F.when((F.col("run_id") == 4) & (F.col("seq") % 6 == 3), "Radio.Lte.Other").otherwise(name)  # a run without rank 4
     samples = v.v_kpi.select("run_id", "ts_ms", "seq", name.alias("name"), (k % 5).cast("double").alias("value_num"))
     p = lambda i, val: F.struct(F.lit(i).alias("param_id"), val.alias("param_value"))
-    is_cap, is_sib = (k % 5 == 3) & (F.col("run_id") < 2), (k % 5 == 4) & (F.col("run_id") == 3)
+    is_cap, is_sib = (k % 5 == 3) & (F.col("run_id") != 3), (k % 5 == 4) & (F.col("run_id") != 2)  # a run without either shows what is inferred
     event = F.when(is_cap, "Message.Layer3.Errc.DcchUl.UeCapabilityInformation").when(is_sib, "Message.Layer3.Errc.Sib.SystemInformationBlockType1").otherwise("Message.Other")
     params = F.when(is_sib, F.array(p("sib1_summary", F.concat(F.lit('{"trackingAreaCode": "0x'), F.hex(F.lit(8000) + k), F.lit('"}'))))).otherwise(F.array(p("ue_cap_info_summary", F.concat(
             F.lit('{"ueCategory": '), (k % 10 + 1).cast("string"), F.when(k % 3 == 0, ', "mimoCapability": "2x2"').otherwise(""), F.lit("}")))))

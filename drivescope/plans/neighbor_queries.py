@@ -12,10 +12,10 @@ def r6(c):
 
 
 def times(v):
-    return v.v_points.where("event_type = 'click'").select(F.col("log_id").alias("run_id"), F.col("seq").alias("time_id"), "ts_ms")
+    return v.v_points.select(F.col("log_id").alias("run_id"), F.col("seq").alias("time_id"), "ts_ms")
 
 
-TIMES = ", tm AS (SELECT log_id AS run_id, seq AS time_id, ts_ms FROM v_points WHERE event_type = 'click')"
+TIMES = ", tm AS (SELECT log_id AS run_id, seq AS time_id, ts_ms FROM v_points)"
 
 SERVING_NAMES = ["Radio.Lte.ServingCellTotal.Pci", "Radio.Lte.ServingCell[8].Rsrp", "Radio.Lte.ServingCellTotal.Rsrp", "Radio.Lte.ServingCell[8].CellIdentity"]
 SRV = TIMES + f"""
@@ -326,12 +326,12 @@ def asked(v):
     t = times(v)
     reps = N.decode_reports(report_json(v))
     hints = v.v_cfg.where("event_type = 'purchase'").select("run_id", "ts_ms", "seq", (F.col("k") % 7).alias("pci"), "earfcn")
-    exact = reps.where("k % 9 = 1").select("run_id", F.col("seq").alias("time_id"), "ts_ms")
+    exact = reps.select("run_id", F.col("seq").alias("time_id"), "ts_ms")
     return N.neighbors_at_time(t.unionByName(exact).dropDuplicates(["run_id", "time_id"]), reps, v.v_cfg, object_ops(v), hints, 3600000)
 
 
 @query("J15_neighbors_at_time", "v_cfg v_points", TIMES + """
-, q AS (SELECT * FROM tm UNION SELECT run_id, seq, ts_ms FROM v_cfg WHERE event_type = 'click' AND k % 9 = 1)
+, q AS (SELECT * FROM tm UNION SELECT run_id, seq, ts_ms FROM v_cfg WHERE event_type = 'click')
 , qd AS (SELECT run_id, time_id, min(ts_ms) AS ts_ms FROM q GROUP BY ALL)
 , io AS (SELECT run_id, meas_id, ts_ms, arg_max(op, (seq, op <> 'remove')) AS op, arg_max(object_id, (seq, op <> 'remove')) AS object_id FROM v_cfg GROUP BY ALL)
 , fi AS (SELECT run_id, min(ts_ms) AS f FROM v_cfg GROUP BY run_id), fo AS (SELECT run_id, min(ts_ms) AS f FROM v_cfg WHERE event_type IN ('view', 'error') GROUP BY run_id)
@@ -369,7 +369,7 @@ def _(v):
 
 @query("J15_serving_decoded", "v_cfg v_points", TIMES + """
 , mr AS (SELECT run_id, ts_ms, seq, CASE WHEN k % 4 <> 0 AND seq % 110 <= 97 THEN CAST(-140 + seq % 110 AS DOUBLE) END AS rsrp FROM v_cfg WHERE event_type = 'click')
-, q AS (SELECT * FROM tm UNION SELECT run_id, seq, ts_ms FROM v_cfg WHERE event_type = 'click' AND k % 9 = 1)
+, q AS (SELECT * FROM tm UNION SELECT run_id, seq, ts_ms FROM v_cfg WHERE event_type = 'click')
 , qd AS (SELECT run_id, time_id, min(ts_ms) AS ts_ms FROM q GROUP BY ALL)
 , ht AS (SELECT run_id, ts_ms, max(seq) AS seq FROM v_cfg WHERE event_type = 'purchase' GROUP BY ALL)
 , h AS (SELECT qd.*, ht.seq AS hseq FROM qd ASOF LEFT JOIN ht ON ht.run_id = qd.run_id AND qd.ts_ms >= ht.ts_ms)
