@@ -299,26 +299,40 @@ def pair_by_position(
     pairs = timejoin.interval_join(times.select(*tid, "ts_ms"), tag_fields(samples, NEIGHBOR_CANDIDATES, keys), keys, tol, tol).select(
         *tid, F.col("row.field").alias("field"), F.col("row.ts_ms").alias("t"), F.coalesce("row.idx", F.lit(0)).alias("idx"), F.col("row.seq").alias("seq"),
         F.col("row.value_num").alias("v"))
-    pairs = materialize(pairs, "window")
-    b = materialize(bucket_by_time(pairs, [*tid, "field"], span), "buckets")
-    inside = pairs.where("v is not null").join(b, [*tid, "field"]).where("t >= anchor and t <= last_t")
-    w = Window.partitionBy(*tid, "field", "bucket").orderBy("t", "idx", "seq")
-    inside = inside.withColumn("pos", F.row_number().over(w) - 1).select(*tid, "field", "bucket", "center", "pos", "v")
-    pci = inside.where("field = 'pci'").select(*tid, "bucket", "center", "pos", F.bround("v", 0).cast("long").alias("pci"))
-    pb = b.where("field = 'pci'").select(*tid, F.col("bucket").alias("pb"), F.col("center").alias("pc"))
-    ob = b.where("field <> 'pci'").select(*tid, "field", "bucket", "center")
-    near = pb.join(ob, tid).where(F.abs(F.col("center") - F.col("pc")) <= span).groupBy(*tid, "pb", "field").agg(
-        F.min_by("bucket", F.struct(F.abs(F.col("center") - F.col("pc")), "bucket")).alias("bucket"))
-    vals = near.join(inside.where("field <> 'pci'").drop("center"), [*tid, "field", "bucket"]).groupBy(*tid, "pb", "pos").agg(
-        *[F.max(F.when(F.col("field") == f, F.col("v"))).alias(f) for f in ("rsrp", "rsrq", "cinr", "earfcn")])
-    rows = pci.join(vals.withColumnRenamed("pb", "bucket"), [*tid, "bucket", "pos"], "left").withColumn("earfcn", F.bround("earfcn", 0).cast("long"))
-    if scale is not None:
-        rows = ordered.attach(rows, scale.select(*keys, "scale_div"), keys, "left", by=("bucket", "pos", "time_id"))
-        rows = rows.withColumn("earfcn", F.when((F.col("scale_div") == 2) & (F.col("earfcn") % 2 == 0), F.floor(F.col("earfcn") / 2)).otherwise(F.col("earfcn"))).drop("scale_div")
+    # One shuffle by asked time. A field's list holds the samples of one tolerance window, its buckets a few spans.
+    lists = pairs.repartition(*[F.col(c) for c in tid]).groupBy(*tid, "field").agg(F.array_sort(F.collect_list(F.struct("t", "idx", "seq", "v"))).alias("_s"))
+    anchors = F.aggregate("_s", F.array().cast("array<bigint>"), lambda acc, x: F.when(
+        (F.size(acc) == 0) | (x["t"] - F.try_element_at(acc, F.lit(-1)) > span), F.concat(acc, F.array(x["t"]))).otherwise(acc))
+
+    def bucket(anchor: Column, i: Column) -> Column:
+        """Centre of a bucket and its values in order."""
+        held = F.filter("_s", lambda x: (x["t"] >= anchor) & F.coalesce(x["t"] < F.get("_anchors", i + 1), F.lit(True)))
+        total = F.aggregate(held, F.lit(0).cast("long"), lambda acc, x: acc + x["t"])
+        return F.struct(F.bround(total / F.size(held), 0).cast("long").alias("center"), F.transform(F.filter(held, lambda x: x["v"].isNotNull()), lambda x: x["v"]).alias("vals"))
+
+    lists = lists.withColumn("_anchors", anchors).select(*tid, "field", F.transform("_anchors", bucket).alias("_b"))
+    fields = ("rsrp", "rsrq", "cinr", "earfcn")
+    wide = lists.groupBy(*tid).agg(*[F.any_value(F.when(F.col("field") == f, F.col("_b")), True).alias(f) for f in ("pci", *fields)])
+    rows = wide.select(*tid, *fields, F.posexplode("pci").alias("bucket", "_p"))
+
+    def nearest(field: str) -> Column:
+        """Values of the bucket of ``field`` that lies nearest to the PCI's."""
+        apart = F.transform(field, lambda x, i: F.struct(F.abs(x["center"] - F.col("_p.center")).alias("apart"), i.alias("bucket"), x["vals"].alias("vals")))
+        return F.coalesce(F.array_min(F.filter(apart, lambda x: x["apart"] <= span))["vals"], F.array().cast("array<double>"))
+
+    # Values of equal positions belong together.
+    zipped = F.arrays_zip(F.col("_p.vals").alias("pci"), *[F.col(f"_{f}").alias(f) for f in fields])
+    rows = rows.select(*tid, "bucket", "_p", *[nearest(f).alias(f"_{f}") for f in fields])
+    rows = rows.select(*tid, "bucket", F.col("_p.center").alias("center"), F.posexplode(zipped).alias("pos", "_z")).select(*tid, "bucket", "center", "pos", "_z.*")
+    rows = rows.where("pci is not null").withColumn("pci", F.bround("pci", 0).cast("long")).withColumn("earfcn", F.bround("earfcn", 0).cast("long"))
     low = F.lit(float("-inf"))
     score = F.struct(F.col("rsrp").isNotNull().cast("int"), F.coalesce("rsrp", low), F.coalesce("cinr", low), -F.col("center"), -F.col("bucket"), -F.col("pos"))
     best = rows.groupBy(*tid, "pci").agg(F.max_by(F.struct("rsrp", "rsrq", "cinr", "earfcn", F.col("center").alias("bucket_ts"), F.col("pos").alias("pair_index")), score).alias("r"))
-    return rank_neighbors(best.select(*tid, "pci", "r.*"), tid, [F.coalesce("rsrp", F.lit(-9999.0)), F.coalesce("cinr", F.lit(-9999.0))])
+    best = best.select(*tid, "pci", "r.*")
+    if scale is not None:
+        best = ordered.attach(best, scale.select(*keys, "scale_div"), keys, "left", by=("time_id", "pci"))
+        best = best.withColumn("earfcn", F.when((F.col("scale_div") == 2) & (F.col("earfcn") % 2 == 0), F.floor(F.col("earfcn") / 2)).otherwise(F.col("earfcn"))).drop("scale_div")
+    return rank_neighbors(best, tid, [F.coalesce("rsrp", F.lit(-9999.0)), F.coalesce("cinr", F.lit(-9999.0))])
 
 
 def rank_neighbors(rows: DataFrame, group: Sequence[str], signals: Sequence[Column], tie: Sequence[Column | str] = ("pci",)) -> DataFrame:
