@@ -162,6 +162,41 @@ def interval_join(
     return a.join(r, cond, how).drop("_bucket", "_row_bucket", "_row_ts", *[f"_k_{k}" for k in keys])
 
 
+def window_pairs(
+    anchors: DataFrame,
+    rows: DataFrame,
+    keys: Sequence[str],
+    before_ms: int,
+    after_ms: int,
+    *,
+    anchor_ts: str = "ts_ms",
+    row_ts: str = "ts_ms",
+    row: str = "row",
+    bucket: str = "_bucket",
+) -> DataFrame:
+    """The pairs of ``interval_join``, all pairs of an anchor in one task, so what follows per anchor needs no further shuffle.
+
+    An anchor lies in one bucket as long as the window; a row is copied to the buckets whose anchors can ask for it, two
+    at most. Group or window the result by ``[*keys, bucket, ...]``. Both sides are dealt over the configured number of
+    partitions: their bytes say little about the number of pairs, so they aren't merged into fewer tasks. Rows without
+    time, and anchors without time or rows, give no pair.
+    """
+    width = before_ms + after_ms + 1
+    parts = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = anchors.withColumn(bucket, block_of(anchor_ts, width)).repartition(parts, *keys, bucket)
+    r = rows.where(F.col(row_ts).isNotNull()).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.explode(F.sequence(block_of(F.col(row_ts) - after_ms, width), block_of(F.col(row_ts) + before_ms, width))).alias("_row_bucket"),
+        F.col(row_ts).alias("_row_ts"),
+        F.struct(*rows.columns).alias(row),
+    ).repartition(parts, *[f"_k_{k}" for k in keys], "_row_bucket")
+    cond = F.col(bucket) == F.col("_row_bucket")
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"_k_{k}"))
+    cond = cond & F.col("_row_ts").between(F.col(anchor_ts) - before_ms, F.col(anchor_ts) + after_ms)
+    return a.join(r.hint("merge"), cond).drop("_row_bucket", "_row_ts", *[f"_k_{k}" for k in keys])
+
+
 def reduce_window(
     anchors: DataFrame,
     rows: DataFrame,

@@ -102,3 +102,17 @@ def test_dips_and_downsample(spark):
     kept = sorted(r.seq for r in series.downsample(d, ["run_id", "name"], 4, block_ms=2000).collect())
     assert kept == [round(i * 8 / 3) for i in range(4)]
     assert sorted(r.seq for r in series.downsample(d, ["run_id"], 2).collect()) == [0, 8]
+
+
+@pytest.mark.parametrize("before, after", [(0, 0), (7, 20), (400, 30)])
+def test_window_pairs_hold_every_pair_once_and_need_no_shuffle(spark, table, rows, before, after):
+    anchors = table.where("seq % 3 = 0 or ts_ms is null").select("k", "ts_ms", F.col("seq").alias("a"))
+    samples = table.unionByName(spark.createDataFrame([(0, None, 9001, 1.0)], table.schema))
+    pairs = timejoin.window_pairs(anchors, samples, ["k"], before, after)
+    got = sorted((r.a, r.s) for r in pairs.select("a", F.col("row.seq").alias("s")).collect())
+    want = sorted((a[2], b[2]) for a in rows if a[2] % 3 == 0 for b in rows if a[0] == b[0] and a[1] - before <= b[1] <= a[1] + after)
+    assert got == want
+    counted = pairs.groupBy("k", "_bucket", "a").count()
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2, plan  # one for each side, none for the pairs
+    assert {r.a: r["count"] for r in counted.collect()} == {a: sum(1 for x in want if x[0] == a) for a in {x[0] for x in want}}
