@@ -158,14 +158,18 @@ def metric_catalog(samples: DataFrame, declarations: DataFrame | None = None, ke
 
 
 def event_catalog(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Per event name: count, first and last time, sorted distinct parameter ids."""
-    base = events.groupBy(*keys, "event_name").agg(
-        F.count("*").alias("count"), F.min("ts_ms").alias("first_seen"), F.max("ts_ms").alias("last_seen"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(
-            F.filter(F.transform("params", lambda p: p["param_id"]), lambda x: x.isNotNull())
-        )))).alias("param_ids"),
-    )
-    return base
+    """Per event name: count, first and last time, sorted distinct parameter ids.
+
+    Two steps that both combine map-side: per (name, id), where the row without id stands for the event itself, then per
+    name. A frequent event never gathers more than its distinct ids in one task. Names and times may be null.
+    """
+    ids = F.filter(F.transform("params", lambda p: p["param_id"]), lambda x: x.isNotNull())
+    rows = events.select(*keys, "event_name", "ts_ms", F.explode(F.concat(F.array(F.lit(None)), F.coalesce(F.array_distinct(ids), F.array()))).alias("_id"))
+    per_id = rows.groupBy(*keys, "event_name", "_id").agg(F.count("*").alias("_n"), F.min("ts_ms").alias("_from"), F.max("ts_ms").alias("_to"))
+    itself = F.col("_id").isNull()
+    return per_id.groupBy(*keys, "event_name").agg(
+        F.sum(F.when(itself, F.col("_n"))).alias("count"), F.min("_from").alias("first_seen"), F.max("_to").alias("last_seen"),
+        F.array_sort(F.collect_list("_id")).alias("param_ids"))
 
 
 def kpi_type_summary(catalog: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

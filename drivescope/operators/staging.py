@@ -9,7 +9,12 @@ from __future__ import annotations
 
 import uuid
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from drivescope.operators.ordered import attach
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -34,3 +39,15 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = staging_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def attach_sized(df: DataFrame, per_key: DataFrame, keys: Sequence[str], by: Sequence[str], most: int = 100_000) -> DataFrame:
+    """Joins one small row a key to many rows, by the number of keys.
+
+    The rows of the keys are staged and counted. Up to ``most`` of them go to every executor and ``df`` stays where it is;
+    beyond that the rows of a key are dealt over tasks by a hash of ``by`` (``ordered.attach``).
+    """
+    staged = materialize(per_key, "per_key")
+    if staged.count() <= most:
+        return df.join(F.broadcast(staged), list(keys))
+    return attach(df, staged, keys, by=by)

@@ -36,6 +36,29 @@ def _(v):
     return d.select("seq", "lat", "lon", when.alias("time"), "level", "sc", "rnc", "cid", "throughput_dl", F.size("neighbors").cast("long").alias("n_neighbors"))
 
 
+@query("S10_read_exports", "v_points", """
+SELECT seq, CASE WHEN k % 5 <> 0 THEN lat END AS lat, lon, CASE seq % 3 WHEN 1 THEN '12:00:00' WHEN 0 THEN 'fraction' END AS time, CASE WHEN seq % 4 <> 2 THEN rsrp - 0.5 END AS level, pci AS sc,
+ CASE WHEN k % 2 = 0 THEN k ELSE (29000000 + k) >> 16 END AS rnc, CASE WHEN k % 2 = 0 THEN k + 7 ELSE (29000000 + k) & 65535 END AS cid, CASE WHEN seq % 4 <> 3 THEN k / 4 * 1000 END AS throughput_dl,
+ CASE WHEN seq % 4 = 1 THEN '' ELSE 'N1 ' || n1_pci END || CASE WHEN seq % 4 <> 1 AND k % 3 = 0 THEN ',' ELSE '' END || CASE WHEN k % 3 = 0 THEN 'M1 ' || n2_pci ELSE '' END AS neighbors
+FROM v_points WHERE k % 5 <> 0 OR seq % 3 <> 2
+""")
+def _(v):
+    """Four kinds of files in one folder: all columns, another order, other spellings, fewer columns."""
+    d, path = export(v), staging.staging_path(v.spark, "exports")
+    names = ["seq", *[c for c in d.columns if c != "seq"]]
+    without = lambda *gone: [c for c in names if c not in gone]
+    kinds = [names, without("LTE N1 PCI", "LTE N1 RSRP"), [*reversed(without("Serving RSRP"))], without("DL Throughput")]
+    for i, kind in enumerate(kinds):
+        out = d.where(F.col("seq") % 4 == i).select(*[F.col(f"`{c}`") for c in kind])
+        if i == 3:
+            out = out.withColumnsRenamed({"Serving SC": "Primary PCI", "Time Stamp": "Timestamp", "Latitude": "lat", "Longitude": "x"})
+        out.write.option("header", True).csv(f"{path}/{i}")
+    d = tables.read_tabular(v.spark, path, ["seq"])
+    when = F.when(F.col("time").rlike(r"^\d\d:\d\d:\d\d\.\d{3}$"), "fraction").otherwise(F.col("time"))
+    cells = F.array_join(F.transform("neighbors", lambda n: F.concat(n["role"], F.lit(" "), n["pci"].cast("string"))), ",")
+    return d.select(F.col("seq").cast("long").alias("seq"), "lat", "lon", when.alias("time"), "level", "sc", "rnc", "cid", "throughput_dl", cells.alias("neighbors"))
+
+
 @query("C1_resolve_columns", "v_points", """
 SELECT 'sc' AS field, 'Serving SC' AS header, count(pci) AS present FROM v_points UNION ALL SELECT 'level', 'Serving RSRP', count(rsrp) FROM v_points UNION ALL SELECT 'freq', 'EARFCN', count(earfcn) FROM v_points
 UNION ALL SELECT 'cell_id', 'CellID', count(*) FROM v_points UNION ALL SELECT 'throughput_dl', 'DL Throughput', count(*) FROM v_points UNION ALL SELECT 'time', 'Time Stamp', count(*) FROM v_points

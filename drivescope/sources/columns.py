@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,23 +20,27 @@ SERVING_WORDS = ["serving", "bestactive"]
 HARMLESS_WORDS = ["meas", "class", "phase", "pass", "alias"]
 
 
-def _other_cells(words: Sequence[str]) -> re.Pattern[str]:
-    """Headers of cells other than the serving one: one of the words, a lone "as", or a numbered neighbour."""
-    either = lambda xs: "(?:" + "|".join(map(re.escape, xs)) + ")" if xs else "(?!)"
-    return re.compile(rf"(?!.*{either(SERVING_WORDS)})(?:.*{either(words)}|(?!.*{either(HARMLESS_WORDS)}).*as|.*\bn\d)")
+NUMBERED_NEIGHBOR = re.compile(r"\bn\d")
+
+
+def is_other_cell(key: str, words: Sequence[str] = ()) -> bool:
+    """Does a header name a cell other than the serving one? The words are those of other cells for the field in question."""
+    holds = lambda texts: any(t in key for t in texts)
+    about_active_set = holds(["as"]) and not holds(HARMLESS_WORDS)
+    about_others = about_active_set or holds(words) or NUMBERED_NEIGHBOR.search(key) is not None
+    return about_others and not holds(SERVING_WORDS)
 
 
 def resolve_column(columns: Sequence[str], candidates: Sequence[str], exclusions: Sequence[str] = ()) -> str | None:
-    """The column of the best match: by rank of the candidate, equality before containment, place. Runs once on the driver."""
-    barred, found = _other_cells(exclusions), []
-    for place, column in enumerate(columns):
-        key = header_key(column)
-        if barred.match(key):
-            continue
-        for rank, candidate in enumerate(candidates):
-            if candidate in key or header_key(candidate) == key:
-                found.append((rank, key not in (candidate, header_key(candidate)), place))
-    return columns[min(found)[2]] if found else None
+    """The column of the best match: by rank of the candidate, equality before containment, place. Runs once a header."""
+    open_keys = [(place, header_key(c)) for place, c in enumerate(columns) if not is_other_cell(header_key(c), exclusions)]
+    for candidate in candidates:
+        spellings = {candidate, header_key(candidate)}
+        equal = [place for place, key in open_keys if key in spellings]
+        holding = [place for place, key in open_keys if candidate in key]
+        if equal or holding:
+            return columns[(equal or holding)[0]]
+    return None
 
 
 # Candidate headers of the primary columns, and words that disqualify a header.
@@ -95,31 +99,64 @@ def neighbor_columns(columns: Sequence[str]) -> dict[tuple[str, str], dict[str,
     return slots
 
 
-def tabular_points(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Export rows to points: primary fields, RNC/CID, throughput in kbps, neighbours; rows need a position or a time."""
-    cols = resolve_columns([c for c in df.columns if c not in keep])
-    q = lambda c: F.col(f"`{c}`")
-    number = lambda f: S.to_number(q(cols[f]), decimal_comma=True) if f in cols else F.lit(None).cast("double")
-    cell = q(cols["cell_id"]).cast("string") if "cell_id" in cols else F.lit(None).cast("string")
+_SLOT_FIELDS = {"pci": "long", "earfcn": "long", "rsrp": "double", "rsrq": "double"}
+
+
+def _as_points(df: DataFrame, keep: Sequence[Column], text: Callable[[str], Column], neighbors: Column) -> DataFrame:
+    """Points of raw fields; ``text`` gives the raw value of a primary field, null where a row has none."""
+    number = lambda f: S.to_number(text(f), decimal_comma=True)
+    cell = text("cell_id").cast("string")
     halves = [F.regexp_extract(cell, r"^\s*(\d+)\s*/\s*(\d+)\s*$", i) for i in (1, 2)]
     long_id = F.when(~cell.contains("/"), F.regexp_extract(cell, r"^\s*(\d+)", 1).try_cast("long"))
-    slots = []
-    for (label, rat), f in neighbor_columns(df.columns).items():
-        v = lambda x: S.to_number(q(f[x]), True) if x in f else F.lit(None).cast("double")  # noqa: E731, B023
-        slots.append(F.struct(F.lit(label).alias("role"), F.lit(rat).alias("rat"), v("pci").cast("long").alias("pci"), v("earfcn").cast("long").alias("earfcn"),
-                              v("rsrp").alias("rsrp"), v("rsrq").alias("rsrq")))
-    neighbors = F.filter(F.array(*slots), lambda n: n["pci"].isNotNull() | n["earfcn"].isNotNull()) if slots else F.array()
-    lat, lon = number("lat"), number("lon")
-    when = time_text(q(cols["time"])) if "time" in cols else F.lit(None).cast("string")
     d = df.select(
-        *keep, lat.alias("lat"), lon.alias("lon"), when.alias("time"), number("level").alias("level"), number("ecno").alias("ecno"), number("sc").cast("long").alias("sc"),
-        number("freq").alias("freq"), (q(cols["band"]).cast("string") if "band" in cols else F.lit(None).cast("string")).alias("band"), cell.alias("cell_id"),
+        *keep, number("lat").alias("lat"), number("lon").alias("lon"), time_text(text("time")).alias("time"), number("level").alias("level"),
+        number("ecno").alias("ecno"), number("sc").cast("long").alias("sc"), number("freq").alias("freq"), text("band").cast("string").alias("band"), cell.alias("cell_id"),
         F.when(halves[0] != "", halves[0].try_cast("long")).when(long_id > 65535, S.long_cid_rnc(long_id)).alias("rnc"),
         F.when(halves[1] != "", halves[1].try_cast("long")).when(long_id > 65535, S.long_cid_cell(long_id)).otherwise(long_id).alias("cid"),
-        (number("throughput_dl") * 1000).alias("throughput_dl"), (number("throughput_ul") * 1000).alias("throughput_ul"), neighbors.alias("neighbors"))
+        (number("throughput_dl") * 1000).alias("throughput_dl"), (number("throughput_ul") * 1000).alias("throughput_ul"),
+        F.filter(neighbors, lambda n: n["pci"].isNotNull() | n["earfcn"].isNotNull()).alias("neighbors"))
     return d.where((F.col("lat").isNotNull() & F.col("lon").isNotNull()) | F.col("time").isNotNull())
 
 
+def _slot(role: Column, rat: Column, text: Callable[[str], Column]) -> Column:
+    values = [S.to_number(text(f), True).cast(t).alias(f) for f, t in _SLOT_FIELDS.items()]
+    return F.struct(role.alias("role"), rat.alias("rat"), *values)
+
+
+def tabular_points(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Export rows to points: primary fields, RNC/CID, throughput in kbps, neighbours; rows need a position or a time."""
+    cols = resolve_columns([c for c in df.columns if c not in keep])
+    raw = lambda c: F.col(f"`{c}`") if c else F.lit(None).cast("string")
+    slots = [_slot(F.lit(label), F.lit(rat), lambda x, f=f: raw(f.get(x))) for (label, rat), f in neighbor_columns(df.columns).items()]
+    none = F.array().cast("array<struct<role:string,rat:string,pci:bigint,earfcn:bigint,rsrp:double,rsrq:double>>")
+    return _as_points(df, [raw(c).alias(c) for c in keep], lambda f: raw(cols.get(f)), F.array(*slots) if slots else none)
+
+
+#: What a header says: the place of each field (kept columns as ``keep <name>``), and the places of each neighbour's fields.
+PLACES = "fields map<string,int>, slots array<struct<role:string,rat:string,pci:int,earfcn:int,rsrp:int,rsrq:int>>"
+
+
+def header_places(names: Sequence[str | None], keep: Sequence[str] = ()) -> dict:
+    """``PLACES`` of one header row; of columns with the same name the first counts."""
+    names = [(n or "").strip() for n in names]
+    place = {n: i for i, n in reversed(list(enumerate(names)))}
+    fields = {f: place[c] for f, c in resolve_columns([n for n in names if n not in keep]).items()}
+    fields |= {f"keep {k}": place[k] for k in keep if k in place}
+    slots = [{"role": label, "rat": rat, **{x: place[f[x]] if x in f else None for x in _SLOT_FIELDS}} for (label, rat), f in neighbor_columns(names).items()]
+    return {"fields": fields, "slots": slots}
+
+
+def positional_points(df: DataFrame, keep: Sequence[str] = (), parts: str = "parts", places: str = "places") -> DataFrame:
+    """Rows of split fields to points, each row by the ``places`` of its own file's header; see ``tabular_points``."""
+    def at(place: Column) -> Column:
+        value = F.get(F.col(parts), place)
+        return F.when(F.trim(value) != "", value)
+
+    text = lambda f: at(F.try_element_at(F.col(places)["fields"], F.lit(f)))
+    slots = F.transform(F.col(places)["slots"], lambda s: _slot(s["role"], s["rat"], lambda f: at(s[f])))
+    return _as_points(df, [text(f"keep {k}").alias(k) for k in keep], text, slots)
+
+
 # Spellings per field of points and events, first usable value counts.
 ALIASES = {
     "time": ["ts", "timestamp", "time", "Time"], "lat": ["lat", "latitude", "Latitude"], "lon": ["lon", "lng", "longitude", "Longitude", "Lng"],

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from drivescope.functions import scalars as S
 from drivescope.operators import ordered, timejoin
-from drivescope.operators.staging import materialize
+from drivescope.operators.staging import attach_sized, materialize
 
 LINE_BLOCK = 1_000_000
 KEYS = ("log_id",)
@@ -34,7 +34,7 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     before = Window.partitionBy("log_id").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     splits = d.groupBy("log_id", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     splits = splits.select("log_id", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
-    d = d.join(F.broadcast(splits), ["log_id", "_start"])  # a row for each split of the scan
+    d = attach_sized(d, splits, ["log_id", "_start"], by=["_id"])  # a row for each split of the scan
     return d.select("log_id", (F.col("_id") + F.col("_shift")).alias("line_no"), "raw")
 
 
@@ -42,12 +42,15 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 _FIELD = r',((?:[^,"]++|"(?:[^"]++|"")*+"?)*+)'
 
 
+# A quoted stretch, its closing quote missing at the end of a line at most; two quotes in it stand for one.
+_QUOTED = r'"((?:[^"]|"")*+)"?'
+
+
 def split_csv(line: Column) -> Column:
-    """Comma split that respects quotes; quotes are removed, a doubled quote inside quotes becomes one."""
-    quoted = F.transform(
-        F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), F.lit(1)),
-        lambda x: F.replace(F.replace(F.replace(x, F.lit('""'), F.lit("\u0001")), F.lit('"'), F.lit("")), F.lit("\u0001"), F.lit('"')))
-    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ","))
+    """Comma split that respects quotes; quotes are removed, a doubled quote inside quotes becomes one, ``""`` is empty."""
+    fields = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), F.lit(1))
+    unquoted = F.transform(fields, lambda x: F.replace(F.regexp_replace(x, _QUOTED, "$1"), F.lit('""'), F.lit('"')))
+    return F.when(F.contains(line, F.lit('"')), unquoted).otherwise(F.split(line, ","))
 
 
 def parse_records(lines: DataFrame) -> DataFrame:

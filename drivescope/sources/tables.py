@@ -8,13 +8,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drivescope.functions import scalars as S
-from drivescope.sources.columns import tabular_points
+from drivescope.operators.staging import attach_sized, materialize
+from drivescope.sources.columns import PLACES, header_places, positional_points, tabular_points
+from drivescope.sources.nmf import split_csv
 
 
-def read_tabular(spark: SparkSession, path: str, keep: Sequence[str] = ()) -> DataFrame:
-    """An export saved as CSV (with header) or Parquet, as points."""
-    df = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.option("header", True).csv(path)
-    return tabular_points(df, keep)
+def read_tabular(spark: SparkSession, path: str | Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Exports saved as CSV or Parquet, as points. CSV files may differ in columns and their order: see ``read_exports``."""
+    if isinstance(path, str) and path.rstrip("/").endswith(".parquet"):
+        return tabular_points(spark.read.parquet(path), keep)
+    return read_exports(spark, path, keep)
+
+
+def file_headers(lines: DataFrame) -> DataFrame:
+    """``file, header``: the first line of each file that isn't blank.
+
+    The first pass keeps one number for each split of the scan, so it combines where the text is read; the second picks the
+    lines those numbers name.
+    """
+    first = lines.groupBy("file", "_start").agg(F.min("_id").alias("_id"))
+    first = materialize(first.groupBy("file").agg(F.min(F.struct("_start", "_id")).alias("f")).select("file", "f.*"), "first_lines")
+    named = lines.join(first, ["file", "_start", "_id"], "left_semi") if first.count() > 100_000 else lines.join(F.broadcast(first), ["file", "_start", "_id"], "left_semi")
+    return named.select("file", F.col("value").alias("header"))
+
+
+def read_exports(spark: SparkSession, path: str | Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """CSV exports as points, each file read by its own header, so a folder may mix exports of different columns and orders.
+
+    The columns are resolved once for each distinct header; rows then take their fields by position. A line equal to its
+    file's header is no row (exports that were appended to each other repeat it). Quoted fields may hold commas, but no line
+    breaks. Blank lines and files give nothing, short rows have nulls, fields beyond the header are ignored.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"),
+        F.regexp_replace("value", "^\ufeff", "").alias("value")).where(F.trim("value") != "")
+    headers = materialize(file_headers(lines), "headers")
+    resolve = F.udf(lambda names: header_places(names, keep), PLACES)
+    places = headers.select("header").distinct().select("header", resolve(split_csv(F.col("header"))).alias("places"))
+    d = attach_sized(lines, headers.join(places, "header"), ["file"], by=["_start", "_id"], most=10_000)
+    rows = d.where(F.col("value") != F.col("header")).select(split_csv(F.col("value")).alias("parts"), "places")
+    return positional_points(rows, keep)
 
 
 def read_track(spark: SparkSession, path: str, row_tag: str = "trkpt", one_per_line: bool = False) -> DataFrame:
