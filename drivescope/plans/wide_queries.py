@@ -37,9 +37,10 @@ def _(v):
 
 
 @query("S10_read_exports", "v_points", """
-SELECT seq, CASE WHEN k % 5 <> 0 THEN lat END AS lat, lon, CASE seq % 3 WHEN 1 THEN '12:00:00' WHEN 0 THEN 'fraction' END AS time, CASE WHEN seq % 4 <> 2 THEN rsrp - 0.5 END AS level, pci AS sc,
+SELECT seq, CASE WHEN k % 5 <> 0 THEN lat END AS lat, lon, CASE seq % 3 WHEN 1 THEN '12:00:00' WHEN 0 THEN 'fraction' END AS time, rsrp - 0.5 AS level, pci AS sc,
  CASE WHEN k % 2 = 0 THEN k ELSE (29000000 + k) >> 16 END AS rnc, CASE WHEN k % 2 = 0 THEN k + 7 ELSE (29000000 + k) & 65535 END AS cid, CASE WHEN seq % 4 <> 3 THEN k / 4 * 1000 END AS throughput_dl,
- CASE WHEN seq % 4 = 1 THEN '' ELSE 'N1 ' || n1_pci END || CASE WHEN seq % 4 <> 1 AND k % 3 = 0 THEN ',' ELSE '' END || CASE WHEN k % 3 = 0 THEN 'M1 ' || n2_pci ELSE '' END AS neighbors
+ CASE WHEN seq % 4 = 1 THEN CASE WHEN k % 3 = 0 THEN 'M1 ' || n2_pci ELSE '' END WHEN seq % 4 = 2 THEN CASE WHEN k % 3 = 0 THEN 'M1 ' || n2_pci || ',' ELSE '' END || 'N1 ' || n1_pci
+ ELSE 'N1 ' || n1_pci || CASE WHEN k % 3 = 0 THEN ',M1 ' || n2_pci ELSE '' END END AS neighbors
 FROM v_points WHERE k % 5 <> 0 OR seq % 3 <> 2
 """)
 def _(v):
@@ -47,7 +48,7 @@ def _(v):
     d, path = export(v), staging.staging_path(v.spark, "exports")
     names = ["seq", *[c for c in d.columns if c != "seq"]]
     without = lambda *gone: [c for c in names if c not in gone]
-    kinds = [names, without("LTE N1 PCI", "LTE N1 RSRP"), [*reversed(without("Serving RSRP"))], without("DL Throughput")]
+    kinds = [names, without("LTE N1 PCI", "LTE N1 RSRP"), [*reversed(names)], without("DL Throughput")]
     for i, kind in enumerate(kinds):
         out = d.where(F.col("seq") % 4 == i).select(*[F.col(f"`{c}`") for c in kind])
         if i == 3:
