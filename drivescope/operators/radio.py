@@ -67,6 +67,48 @@ def device_series_counts(mimo_rows: DataFrame, tx: DataFrame, bler: DataFrame, k
     return out.fillna(0)
 
 
+def radio_series(
+    anchors: DataFrame, servers: DataFrame, tx: DataFrame, bler: DataFrame, *, anchor_id: Sequence[str] = ("device_id", "call_id"),
+    end: str = "end_ts", window_ms: int = 20_000, keys: Sequence[str] = KEYS,
+) -> DataFrame:
+    """The samples of the window before each anchor's end as ordered lists, one row per anchor.
+
+    ``server_series`` (best servers), ``server_runs`` (the first sample of each run of one code and channel), ``tx_series``
+    and ``bler_series``. A list holds what one window holds, an empty one where there is nothing; rows of one time stay in
+    their order. The three tables share one timeline, so each anchor's samples meet in one task and are sorted once. Anchors
+    without end have no window and are left out; anchor ids are unique.
+    """
+    aid = list(anchor_id)
+    none = lambda t: F.lit(None).cast(t)
+    server = F.struct("ts_ms", "psc", "uarfcn", "rscp", "ecno")
+    power = F.struct("ts_ms", "tx")
+    errors = F.struct("ts_ms", "bler_max", "bler_mean")
+    kind = {n: d.select(x.alias("x")).schema["x"].dataType for n, d, x in (("server", servers, server), ("power", tx, power), ("errors", bler, errors))}
+
+    def line(rows: DataFrame, seq: str, **own: Column) -> DataFrame:
+        return rows.select(*keys, "ts_ms", F.col(seq).cast("long").alias("seq"), *[own.get(n, none(t)).alias(n) for n, t in kind.items()])
+
+    rows = line(servers, "row_seq", server=server).unionByName(line(tx.where("tx is not null"), "seq", power=power)).unionByName(line(bler, "seq", errors=errors))
+    a = anchors.where(F.col(end).isNotNull()).select(*dict.fromkeys([*aid, *keys]), F.col(end).alias("_end"))
+    one = list(dict.fromkeys([*keys, "_bucket", *aid]))
+    w = Window.partitionBy(*one).orderBy(F.col("row.ts_ms"), F.col("row.seq"))
+    d = timejoin.window_pairs(a, rows, keys, window_ms, 0, anchor_ts="_end")
+    cell = F.struct("row.server.psc", "row.server.uarfcn")
+    d = d.withColumn("_cell", F.when(F.col("row.server").isNotNull(), cell))
+    d = d.withColumn("_before", F.last("_cell", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    begins = F.col("_cell").isNotNull() & ~F.col("_cell").eqNullSafe(F.col("_before"))
+
+    def listed(value: str, where: Column | None = None) -> Column:
+        item = F.struct(F.col("row.ts_ms").alias("t"), F.col("row.seq").alias("s"), F.col(f"row.{value}").alias("v"))
+        there = F.col(f"row.{value}").isNotNull()
+        return F.transform(F.array_sort(F.collect_list(F.when(there if where is None else there & where, item))), lambda x: x["v"])
+
+    lists = {"server_series": listed("server"), "server_runs": listed("server", begins), "tx_series": listed("power"), "bler_series": listed("errors")}
+    found = d.groupBy(*one).agg(*[c.alias(n) for n, c in lists.items()]).select(*aid, *lists)
+    d = a.select(*aid).join(found, aid, "left")
+    return d.select(*aid, *[F.coalesce(n, F.array().cast(found.schema[n].dataType)).alias(n) for n in lists])
+
+
 def radio_snapshot(
     anchors: DataFrame, servers: DataFrame, tx: DataFrame, bler: DataFrame, *, anchor_id: Sequence[str] = ("device_id", "call_id"),
     end: str = "end_ts", window_ms: int = 10_000, keys: Sequence[str] = KEYS,

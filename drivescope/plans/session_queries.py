@@ -273,6 +273,60 @@ def _(v):
                     F.col("closest_mobility.seq").alias("closest_mobility"))
 
 
+def thousandths(c):
+    return F.round(c * 1000).cast("long").cast("string")
+
+
+def as_text(name, item):
+    """A list as text, entries behind each other, so that whole lists are compared."""
+    return F.array_join(F.transform(name, item), ";")
+
+
+SERIES = BEST + f"""
+, sv AS (SELECT s.device_id, s.call_id, b.scan_ms, b.scan, b.psc, scan_ms || ' ' || psc || ' 3032 ' || CAST(round(rscp * 1000) AS BIGINT) || ' ' || CAST(round(ecno * 1000) AS BIGINT) AS x
+   FROM s JOIN bs b ON b.device_id = s.device_id AND b.scan_ms BETWEEN s.end_ts - {WINDOW} AND s.end_ts)
+, sl AS (SELECT device_id, call_id, string_agg(x, ';' ORDER BY scan_ms, scan) AS servers FROM sv GROUP BY ALL)
+, sr AS (SELECT device_id, call_id, string_agg(x, ';' ORDER BY scan_ms, scan) AS runs FROM (SELECT *, lag(psc) OVER (PARTITION BY device_id, call_id ORDER BY scan_ms, scan) AS p FROM sv) WHERE p IS DISTINCT FROM psc GROUP BY ALL)
+, st AS (SELECT s.device_id, s.call_id, string_agg(r.ts_ms || ' ' || CAST(tx AS BIGINT), ';' ORDER BY r.ts_ms, r.seq) AS tx FROM s JOIN v_radio r ON r.device_id = s.device_id AND r.event_type = 'click'
+   AND r.ts_ms BETWEEN s.end_ts - {WINDOW} AND s.end_ts GROUP BY ALL)
+, sb AS (SELECT s.device_id, s.call_id, string_agg(r.ts_ms || ' ' || CAST(round(bler * 1000) AS BIGINT) || ' ' || CAST(round(bler * 500) AS BIGINT), ';' ORDER BY r.ts_ms, r.seq) AS bler FROM s JOIN v_radio r ON r.device_id = s.device_id
+   AND r.event_type = 'view' AND r.ts_ms BETWEEN s.end_ts - {WINDOW} AND s.end_ts GROUP BY ALL)
+"""
+
+
+def series(v, s):
+    servers = materialize(radio.best_server(mimo(v)), "servers")
+    return radio.radio_series(s, servers, tx_rows(v), bler_rows(v), window_ms=WINDOW)
+
+
+def server_text(name):
+    return as_text(name, lambda x: F.concat_ws(" ", x["ts_ms"], x["psc"], x["uarfcn"], thousandths(x["rscp"]), thousandths(x["ecno"])))
+
+
+@query("A31_radio_series", "v_calls v_radio", K1 + SERIES + """
+SELECT s.device_id, s.call_id, coalesce(servers, '') AS servers, coalesce(tx, '') AS tx, coalesce(bler, '') AS bler
+FROM s LEFT JOIN sl USING (device_id, call_id) LEFT JOIN st USING (device_id, call_id) LEFT JOIN sb USING (device_id, call_id) WHERE result_type = 'CALL_SETUP_FAILURE' AND end_ts IS NOT NULL
+""")
+def _(v):
+    s = materialize(sessions.session_outcome(sessions.call_sessions(v.v_calls)).where("result_type = 'CALL_SETUP_FAILURE'"), "sessions")
+    return series(v, s).select(
+        "device_id", "call_id", server_text("server_series").alias("servers"),
+        as_text("tx_series", lambda x: F.concat_ws(" ", x["ts_ms"], x["tx"].cast("long"))).alias("tx"),
+        as_text("bler_series", lambda x: F.concat_ws(" ", x["ts_ms"], thousandths(x["bler_max"]), thousandths(x["bler_mean"]))).alias("bler"))
+
+
+@query("K19_session_timelines", "v_calls v_radio v_devents", K1 + TIMELINE + SERIES + """
+, ev_l AS (SELECT device_id, call_id, string_agg(ts_ms || ' ' || header, ';' ORDER BY ts_ms, seq) AS events FROM tl GROUP BY ALL)
+SELECT s.device_id, s.call_id, coalesce(events, '') AS events, coalesce(servers, '') AS servers, coalesce(runs, '') AS server_runs
+FROM s LEFT JOIN ev_l USING (device_id, call_id) LEFT JOIN sl USING (device_id, call_id) LEFT JOIN sr USING (device_id, call_id)
+""")
+def _(v):
+    s = materialize(sessions.session_outcome(sessions.call_sessions(v.v_calls)), "sessions")
+    d = sessions.session_timelines(s, sessions.session_timeline(s, v.v_devents, bucket_ms=BUCKET), series(v, s))
+    return d.select("device_id", "call_id", as_text("event_timeline", lambda e: F.concat_ws(" ", e["ts_ms"], e["header"])).alias("events"),
+                    server_text("server_series").alias("servers"), server_text("server_runs").alias("server_runs"))
+
+
 @query("K8_setup_failure_deep_analysis", "v_calls v_devents", CTX + """
 SELECT a.device_id, a.call_id, coalesce(regexp_matches(upper(e.raw), 'RELEASE|REJECT|FAIL'), false) AS release_near_end, coalesce(regexp_matches(upper(m.raw), 'HO|HANDOVER'), false) AS mobility_near_end,
  CASE WHEN a.cad_cause = 102 THEN 'timer' WHEN coalesce(regexp_matches(upper(e.raw), 'RELEASE|REJECT|FAIL'), false) THEN 'release' ELSE 'none' END AS kind

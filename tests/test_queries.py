@@ -27,7 +27,7 @@ def plain(rows):
     def value(x):
         return None if x is None else (math.nan if x != x else float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else x
 
-    return sorted((tuple(value(x) for x in r) for r in rows), key=lambda r: tuple((x is None, str(type(x)), x or 0) for x in r))
+    return sorted((tuple(value(x) for x in r) for r in rows), key=lambda r: tuple((x is None, str(type(x)), 0 if x is None else x) for x in r))
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
