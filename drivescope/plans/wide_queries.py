@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from drivescope.functions import decoded as D
-from drivescope.operators import rrc_sessions, sites, staging
+from drivescope.operators import catalog, rrc_sessions, sites, staging
 from drivescope.plans import probes
 from drivescope.plans.registry import query
 from drivescope.sources import columns, tables
@@ -131,6 +131,33 @@ def _(v):
     return tables.read_analysis(v.spark, path).select(F.col("run_id").cast("long").alias("run_id"), "name", "n", "result_key")
 
 
+@query("S15_series_store", "v_kpi", """
+SELECT run_id, name, count(*) AS n, count(value_num) AS n_numbers, min(ts_ms) AS first_ts, max(ts_ms) AS last_ts, min(seq) AS first_seq FROM v_kpi WHERE run_id <> 2 OR idx = 3 GROUP BY run_id, name
+""")
+def _(v):
+    """The whole table stored, one run of it written again with fewer rows, everything read back."""
+    path = staging.staging_path(v.spark, "series")
+    tables.write_series(v.v_kpi, path)
+    tables.write_series(v.v_kpi.where("run_id = 2 and idx = 3"), path)
+    return tables.read_series(v.spark, path).groupBy("run_id", "name").agg(
+        F.count("*").alias("n"), F.count("value_num").alias("n_numbers"), F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"), F.min("seq").alias("first_seq"))
+
+
+@query("S17_stored_series", "v_kpi", """
+, busy AS (SELECT run_id FROM v_kpi WHERE value_str IS NOT NULL GROUP BY run_id HAVING count(*) >= (SELECT avg(n) FROM (SELECT count(*) AS n FROM v_kpi WHERE value_str IS NOT NULL GROUP BY run_id)))
+SELECT run_id, ts_ms, seq, value_num FROM v_kpi WHERE name = 'Radio.Lte.ServingCell[0].Rsrp' AND idx = 3 AND value_num IS NOT NULL AND run_id IN (SELECT run_id FROM busy)
+""")
+def _(v):
+    """A signal of the runs with at least the usual number of texts, read from the store by a table of runs."""
+    path = staging.staging_path(v.spark, "series")
+    tables.write_series(v.v_kpi, path)
+    counts = v.v_kpi.where("value_str is not null").groupBy("run_id").agg(F.count("*").alias("n"))
+    busy = counts.join(counts.agg(F.avg("n").alias("usual")), F.col("n") >= F.col("usual"))
+    name = "Radio.Lte.ServingCell[0].Rsrp"
+    found = tables.read_series(v.spark, path, [name], busy)
+    return catalog.signal_series(found, name, idx=3).select("run_id", "ts_ms", "seq", "value_num")
+
+
 # ---- sites and regions --------------------------------------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from drivescope.functions import scalars as S
 from drivescope.operators.staging import attach_sized, materialize
@@ -74,3 +75,36 @@ def write_analysis(df: DataFrame, path: str, partition: Sequence[str] = ("run_id
 
 def read_analysis(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def write_series(samples: DataFrame, path: str, *, run: str = "run_id", order: Sequence[str] = ("name", "ts_ms", "seq"), rows_per_file: int = 5_000_000) -> None:
+    """Store samples so that a series is found without reading the rest: a folder for each run, sorted by name and time.
+
+    Rows are dealt by ranges of (run, name, time), so a large run spreads over many files and each file holds few names;
+    row groups are small enough for their minima and maxima to tell names apart. Writing a run again replaces it, other runs
+    stay. Rows without run, name or time are stored as well. An empty table changes nothing.
+    """
+    laid = samples.repartitionByRange(run, *order).sortWithinPartitions(run, *order)
+    laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file).option(
+        "parquet.block.size", 16 << 20).partitionBy(run).parquet(path)
+
+
+def read_series(
+    spark: SparkSession, path: str, names: Sequence[str] | None = None, runs: Sequence[int] | DataFrame | None = None,
+    between_ms: tuple[int, int] | None = None, *, run: str = "run_id", run_type: str = "bigint",
+) -> DataFrame:
+    """Samples of a store of ``write_series``: runs choose folders, names and times choose row groups.
+
+    ``runs`` is a list or a table with the run column; folders are pruned by a table when the query runs. An empty list
+    gives no rows, None all of them.
+    """
+    schema = spark.read.parquet(path).schema
+    typed = StructType([StructField(f.name, DataType.fromDDL(run_type)) if f.name == run else f for f in schema.fields])
+    d = spark.read.schema(typed).parquet(path)
+    if names is not None:
+        d = d.where(F.col("name").isin(*names))
+    if between_ms is not None:
+        d = d.where(F.col("ts_ms").between(*between_ms))
+    if isinstance(runs, DataFrame):
+        return d.join(runs.select(run), [run], "left_semi").select(*d.columns)
+    return d if runs is None else d.where(F.col(run).isin(*runs))
