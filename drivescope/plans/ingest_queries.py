@@ -210,14 +210,31 @@ def _(v):
     return nmf.event_1a_history(nmf.parse_records(lines(v, identity_line()))).drop("log_id")
 
 
-@query("S13_container_metadata", "ev", """
+CONTAINERS = """
 , e AS (SELECT user_id % 5 AS log_id, event_id, k, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY user_id % 5) AS n FROM ev)
 SELECT log_id, CASE WHEN log_id = 3 THEN '#PRO' ELSE 'NMFS' END AS signature, CASE WHEN log_id = 3 THEN 'text_fallback' ELSE 'metadata_plus_plaintext' END AS decode_mode, CASE WHEN log_id = 3 THEN 0 ELSE 2 + count(*) FILTER (WHERE k % 10 = 0) END AS metadata_count,
  CASE WHEN log_id = 3 THEN 0 ELSE count(*) FILTER (WHERE k % 10 <> 0 AND k % 3 <> 0) END AS record_count, log_id <> 3 AS has_start, false AS has_stop FROM e GROUP BY log_id
-""")
+"""
+
+
+@query("S13_container_metadata", "ev", CONTAINERS)
 def _(v):
     body = F.when(k() % 10 == 0, F.concat(F.lit("#NOTE,"), s(k()))).when(k() % 3 == 0, "plain words").otherwise(csv("GPS", F.col("tod"), "", s(k())))
     d = lines(v, body).withColumn("raw", F.when(F.col("line_no") == 0, "#START,00:00:00.000,,\"16.12.2025\"").otherwise(F.col("raw")))
     head = d.select("log_id").distinct().select("log_id", F.lit(-1).cast("long").alias("line_no"), F.when(F.col("log_id") == 3, "#PRODUCT,x").otherwise("NMFS\u0001#PRODUCT,x").alias("raw"))
     d = head.unionByName(d).withColumn("line_no", F.col("line_no") + 2)
     return nmf.container_metadata(d).drop("tags")
+
+
+@query("S13_read_containers", "ev", CONTAINERS)
+def _(v):
+    """The containers written as files whose payload holds NUL and lone CR bytes, then read back as binary files."""
+    words = F.lit("plain\u0000\r#words\rGPS,a,b")
+    body = F.when(k() % 10 == 0, F.concat(F.lit("#NOTE,"), s(k()), F.lit("\r"))).when(k() % 3 == 0, words).otherwise(csv("GPS", F.col("tod"), "", F.lit("\u0000\u0002"), s(k())))
+    d = lines(v, body).withColumn("raw", F.when(F.col("line_no") == 0, "#START,00:00:00.000,,\"16.12.2025\"").otherwise(F.col("raw")))
+    head = d.select("log_id").distinct().select("log_id", F.lit(-1).cast("long").alias("line_no"), F.when(F.col("log_id") == 3, "#PRODUCT,x").otherwise("NMFS\u0001#PRODUCT,x").alias("raw"))
+    path = staging_path(v.spark, "containers")
+    rows = head.unionByName(d).repartition("log_id").sortWithinPartitions("log_id", "line_no")
+    rows.select("log_id", F.col("raw").alias("value")).write.partitionBy("log_id").text(path)  # a file for each log
+    found = nmf.container_metadata(nmf.read_containers(v.spark, path)).drop("tags")
+    return found.withColumn("log_id", F.regexp_extract("log_id", r"log_id=(\d+)", 1).cast("long"))

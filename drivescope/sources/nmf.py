@@ -22,13 +22,13 @@ KEYS = ("log_id",)
 # ---- lines --------------------------------------------------------------------------------------------------------------
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Lines of text files with their file and number: ``log_id, line_no, raw``.
+def read_lines(spark: SparkSession, paths: str | Sequence[str], line_sep: str | None = None) -> DataFrame:
+    """Lines of text files with their file and number: ``log_id, line_no, raw``. Lines end at CR, LF or both, or at ``line_sep``.
 
     A file may be split over many tasks; a line's number is the lines of the splits before it plus its place in its own. Only
     a row for each split is gathered and sent back, the text stays where it is read.
     """
-    d = spark.read.text(paths).select(
+    d = (spark.read.option("lineSep", line_sep) if line_sep else spark.read).text(paths).select(
         F.col("_metadata.file_path").alias("log_id"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"),
         F.col("value").alias("raw"))
     before = Window.partitionBy("log_id").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
@@ -38,6 +38,22 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return d.select("log_id", (F.col("_id") + F.col("_shift")).alias("line_no"), "raw")
 
 
+def read_containers(spark: SparkSession, path: str, most_bytes: int = 64 << 20) -> DataFrame:
+    """Lines of binary containers, ``log_id, line_no, raw``: bytes as Latin-1, lines end at LF or CR LF, a lone CR or NUL is payload.
+
+    Files up to ``most_bytes`` are read whole, a task holds one of them. Larger ones are read as splits of text, so none has
+    to fit into memory; there bytes beyond ASCII, which no mark holds, become replacement characters. Empty lines are left
+    out but for the first; an empty file gives one empty line.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("*", F.col("_metadata.file_path").alias("log_id"))
+    pieces = F.posexplode(F.split(F.decode("content", "ISO-8859-1"), r"\r?\n")).alias("_at", "raw")
+    d = files.where(F.col("length") <= most_bytes).select("log_id", pieces).select("log_id", (F.col("_at") + 1).cast("long").alias("line_no"), "raw")
+    large = [r.log_id for r in files.where(F.col("length") > most_bytes).select("log_id").collect()]  # names of files, not what they hold
+    if large:
+        d = d.unionByName(read_lines(spark, large, "\n").withColumn("raw", F.regexp_replace("raw", r"\r$", "")))
+    return d.where("raw <> '' or line_no = 1")
+
+
 # A comma and the field behind it: plain characters and quoted stretches; a quote that isn't closed runs to the end.
 _FIELD = r',((?:[^,"]++|"(?:[^"]++|"")*+"?)*+)'
 

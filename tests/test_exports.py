@@ -67,3 +67,16 @@ def test_other_cells_are_not_the_serving_one():
     assert [columns.is_other_cell(columns.header_key(h), ["active", "set", "neighbor"]) for h in headers] == [True, True, True, False, False]
     assert columns.resolve_column(["Neighbor SC", "PCI x", "Serving PCI"], ["servingpci", "pci"], ["neighbor"]) == "Serving PCI"
     assert columns.resolve_column([], ["pci"]) is None
+
+
+def test_containers_are_read_as_bytes_whatever_their_size(spark, tmp_path):
+    payload = b"NMFS\x01\x00#PRODUCT,x\r\n#START,10:00:00.000,,\"16.12.2025\"\r\nGPS,10:00:00.000,,-6.8\x00,34.0\r\n\xff\xfe\rGPS,1,2\r\n\r\n#STOP,10:00:10.000,,\"16.12.2025\"\n"
+    (tmp_path / "a.nmfs").write_bytes(payload)
+    (tmp_path / "b.nmfs").write_bytes(b"GPS,10:00:00.000,,-6.8,34.0\n")
+    (tmp_path / "c.nmfs").write_bytes(b"")
+    for most in (1 << 20, 40):
+        d = nmf.read_containers(spark, str(tmp_path), most)
+        got = {r.log_id[-6:-5]: r for r in nmf.container_metadata(d).collect()}
+        assert (got["a"].signature, got["a"].decode_mode, got["a"].metadata_count, got["a"].record_count) == ("NMFS", "metadata_plus_plaintext", 3, 1)
+        assert got["a"].has_start and got["a"].has_stop and got["b"].decode_mode == "text_fallback"
+        assert sorted(r.line_no for r in d.where("log_id like '%a.nmfs'").collect()) == [1, 2, 3, 4, 6]
