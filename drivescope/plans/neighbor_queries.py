@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from drivescope.operators import catalog
 from drivescope.operators import neighbors as N
+from drivescope.operators import reconfigurations as R
 from drivescope.plans.registry import query
 
 
@@ -154,6 +155,55 @@ def _(v):
     return N.resolver_summary(resolvers(v).withColumn("pos", F.col("meas_id")))
 
 
+def reconfiguration_json(v):
+    """Every row of the configuration probe as the text of a decoded message: three wrappings, two links, one text cut short in eleven."""
+    k, e = F.col("k"), F.col("seq")
+    event = F.when(k % 3 == 0, F.format_string('{"eventA3":{"a3-Offset":%d,"reportOnLeave":false}}', k % 4)).when(k % 3 == 1, '{"eventA5":{"a5-Threshold1":40}}').otherwise('{"eventA2":{}}')
+    offset = F.when(k % 5 != 0, F.format_string('"offsetFreq":"dB%d",', k % 6 - 2)).otherwise("")
+    config = F.format_string(
+        '{"measIdToAddModList":[{"measId":%d,"measObjectId":%d,"reportConfigId":%d},{"measId":%d,"measObjectId":9,"reportConfigId":9},{"measId":31,"measObjectId":30,"reportConfigId":9}],'
+        '"measObjectToAddModList":[{"measObjectId":%d,"measObject":{"measObjectEUTRA":{"carrierFreq":%d,%s"cellsToAddModList":[{"cellIndex":1,"physCellId":%d,"cellIndividualOffset":"dB-3"}]}}},'
+        '{"measObjectId":9,"measObject":{"measObjectUTRA":{"carrierFreq":10663}}}],"reportConfigToAddModList":[{"reportConfigId":%d,"reportConfig":{"reportConfigEUTRA":{"triggerType":{"event":'
+        '{"eventId":%s,"hysteresis":2,"timeToTrigger":"ms320"}},"triggerQuantity":"rsrp"}}},{"reportConfigId":9,"reportConfig":{"reportConfigEUTRA":{"triggerType":{"event":{"eventId":'
+        '{"eventA3":{"a3-Offset":4}},"timeToTrigger":"ms100"}}}}}]}',
+        F.col("meas_id"), F.col("object_id"), F.col("report_id"), F.col("meas_id") + 8, F.col("object_id"), F.col("earfcn"), offset, k % 504, F.col("report_id"), event)
+    mobility = F.when(e % 2 == 0, '"mobilityControlInfo":{"targetPhysCellId":7},').otherwise("")
+    body = F.when(k % 7 == 0, F.concat(F.lit("{"), mobility, F.lit('"x":1}'))).otherwise(F.concat(F.lit("{"), mobility, F.lit('"measConfig":'), config, F.lit("}")))
+    inner = F.concat(F.lit('{"criticalExtensions":{"c1":{"rrcConnectionReconfiguration-r8":'), body, F.lit("}}}"))
+    whole = F.concat(F.lit('{"message":{"c1":{"rrcConnectionReconfiguration":'), inner, F.lit("}}}"))
+    text = F.when(e % 3 == 0, whole).when(e % 3 == 1, inner).otherwise(body)
+    return v.v_cfg.select("run_id", "ts_ms", "seq", F.when(k % 11 == 5, F.left(text, F.length(text) - 1)).otherwise(text).alias("decoded"))
+
+
+@query("K17_reconfiguration_properties", "v_cfg", """
+, m AS (SELECT *, k % 7 <> 0 AS cfg, k % 3 = 0 AS first_is_a3, 'measId ' || (meas_id + 8) || ' | reportConfig 9 | measObject 9 | EARFCN 10663 | A3 offset 4.0 dB | TTT 100 ms' AS second FROM v_cfg WHERE k % 11 <> 5)
+, o AS (SELECT *, CASE WHEN k % 5 <> 0 THEN (k % 6 - 2) || '.0' END AS ofs FROM m)
+SELECT run_id, ts_ms, seq, CASE WHEN cfg THEN 'Yes' ELSE 'No' END AS meas_config_present, CASE WHEN cfg THEN CASE WHEN first_is_a3 THEN (k % 4) || '.0' ELSE '4.0' END END AS a3_offset_db,
+ CASE WHEN cfg AND first_is_a3 THEN '2.0' END AS hysteresis_db, CASE WHEN cfg THEN CASE WHEN first_is_a3 THEN '320' ELSE '100' END END AS ttt_ms, CASE WHEN cfg THEN CAST(CASE WHEN first_is_a3 THEN meas_id ELSE meas_id + 8 END AS VARCHAR) END AS meas_id,
+ CASE WHEN cfg THEN CAST(CASE WHEN first_is_a3 THEN object_id ELSE 9 END AS VARCHAR) END AS meas_object_id, CASE WHEN cfg THEN CAST(CASE WHEN first_is_a3 THEN report_id ELSE 9 END AS VARCHAR) END AS report_config_id,
+ CASE WHEN cfg THEN 'EVENTA3' END AS event_type, CASE WHEN cfg AND first_is_a3 THEN ofs END AS offset_freq_db,
+ CASE WHEN cfg THEN CASE WHEN first_is_a3 THEN 'measId ' || meas_id || ' | reportConfig ' || report_id || ' | measObject ' || object_id || ' | EARFCN ' || earfcn || ' | A3 offset ' || (k % 4) || '.0 dB | Hys 2.0 dB | TTT 320 ms'
+   || coalesce(' | offsetFreq ' || ofs || ' dB', '') || ' | PCI ' || (k % 504) || ' CIO -3.0 dB || ' ELSE '' END || second END AS a3_resolver_summary,
+ nullif(concat_ws(' | ', CASE WHEN cfg THEN 'measConfig' END, CASE WHEN seq % 2 = 0 THEN 'mobilityControlInfo' END, CASE WHEN cfg THEN 'A3 resolvers ' || CASE WHEN first_is_a3 THEN 2 ELSE 1 END END), '') AS summary FROM o
+""")
+def _(v):
+    p = F.col("properties")
+    named = {n: p[f"rrc_recfg_{n}"].alias(n) for n in ("meas_config_present", "a3_offset_db", "hysteresis_db", "ttt_ms", "meas_id", "meas_object_id", "report_config_id", "event_type", "offset_freq_db", "a3_resolver_summary")}
+    d = R.reconfiguration_properties(R.read_reconfigurations(reconfiguration_json(v)))
+    return d.select("run_id", "ts_ms", "seq", *named.values(), p["rrc_message_summary"].alias("summary"))
+
+
+@query("K17_resolvers_from_json", "v_cfg", """
+, m AS (SELECT * FROM v_cfg WHERE k % 11 <> 5 AND k % 7 <> 0)
+SELECT run_id, ts_ms, seq, meas_id, object_id, report_id, CAST(earfcn AS BIGINT) AS carrier_freq, CASE WHEN k % 5 <> 0 THEN CAST(k % 6 - 2 AS DOUBLE) END AS offset_freq_db, 'RSRP' AS trigger_quantity,
+ CAST(k % 4 AS DOUBLE) AS a3_offset_db, 2.0::DOUBLE AS hysteresis_db, 320::BIGINT AS ttt_ms, (k % 504) || ' -3.0' AS cells FROM m WHERE k % 3 = 0
+UNION ALL SELECT run_id, ts_ms, seq, meas_id + 8, 9, 9, 10663, NULL, 'RSRP', 4.0, NULL, 100, '' FROM m
+""")
+def _(v):
+    d = R.resolver_rows(R.read_reconfigurations(reconfiguration_json(v)))
+    return d.withColumn("cells", F.array_join(F.transform("cells", lambda c: F.concat_ws(" ", c["pci"].cast("string"), c["cio_db"].cast("string"))), ";"))
+
+
 @query("A32_decode_diagnostics", "v_cfg", """
 , d AS (SELECT *, CASE event_type WHEN 'click' THEN 'm' WHEN 'view' THEN 'r' ELSE 'x' END AS t, k % 4 <> 0 AS ok FROM v_cfg)
 SELECT run_id, count(*) AS candidates, count(*) FILTER (WHERE t = 'm') AS reports_seen, count(*) FILTER (WHERE t = 'm' AND ok) AS reports_decoded, count(*) FILTER (WHERE t = 'm' AND NOT ok) AS reports_failed, count(*) FILTER (WHERE t = 'r') AS reconfig_seen,
