@@ -393,6 +393,34 @@ LTE_CORE = {
 }
 
 
+# Radio slots of other technologies; what isn't listed (throughput) is as for LTE.
+CORE_BY_TECH = {
+    "5G NR": LTE_CORE | {"rsrp": (["ss-rsrp", "ssrsrp", "rsrp"], ["servingcell"], ["neighbor"]), "rsrq": (["ss-rsrq", "ssrsrq", "rsrq"], ["servingcell"], ["neighbor"]),
+                         "sinr": (["ss-sinr", "sinr"], [], [])},
+    "UMTS 3G": LTE_CORE | {"rsrp": (["rscp", "rsrp"], [], []), "rsrq": (["ecno", "rsrq"], [], []), "sinr": (["sinr"], [], [])},
+}
+
+
+def core_metrics_by_tech(ordered_names: DataFrame, tech: Column, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Core slots by the run's technology: ``slot, place, name, score``; a name that wins several slots keeps the first.
+
+    Technologies without rules of their own, null too, are read as LTE. Partial bests meet before the shuffle, so a hot run
+    costs no more than its slots.
+    """
+    scored = []
+    for place, slot in enumerate(LTE_CORE):
+        s = F
+        for technology, rules in CORE_BY_TECH.items():
+            s = s.when(tech == technology, keyword_score(F.col("name"), *rules[slot]))
+        s = s.otherwise(keyword_score(F.col("name"), *LTE_CORE[slot]))
+        scored.append(F.when(s.isNotNull(), F.struct(F.lit(place).cast("long").alias("place"), F.lit(slot).alias("slot"), s.alias("score"))))
+    d = ordered_names.withColumn("_s", F.explode(F.array_compact(F.array(*scored))))
+    best = d.groupBy(*keys, F.col("_s.slot").alias("slot"), F.col("_s.place").alias("place")).agg(
+        F.min_by(F.struct("name", F.col("_s.score").alias("score")), F.struct(-F.col("_s.score"), F.col("position"))).alias("b"))
+    return best.select(*keys, "slot", "place", "b.*").groupBy(*keys, "name").agg(F.min_by(F.struct("slot", "place", "score"), "place").alias("b")).select(
+        *keys, "b.slot", "b.place", "name", "b.score")
+
+
 def core_metrics(ordered_names: DataFrame, keys: Sequence[str] = ("run_id",), rules: Mapping = LTE_CORE) -> DataFrame:
     """The best-scoring name per core slot; on equal scores the earlier one in ``position``."""
     scored = []

@@ -175,40 +175,100 @@ def _points(*rules: tuple[Column, int]) -> Column:
     return total
 
 
-# Points for many pilots, mean pilots and serving switches, by profile.
+def cell_corroboration(
+    anchors: DataFrame, cells: DataFrame, *, anchor_id: Sequence[str] = ("device_id", "call_id"), end: str = "end_ts", window_ms: int = 10_000,
+    keys: Sequence[str] = KEYS,
+) -> DataFrame:
+    """Dominance as a second source sees it: cell measurements ``ts_ms, pilots_a, pilots_b, gap`` in the window before each anchor's end.
+
+    Gaps exist where levels of two pilots of the first kind are known. Anchors without end or rows have counts of 0; the reason
+    says why no gap is there.
+    """
+    aid = list(anchor_id)
+    a = anchors.where(F.col(end).isNotNull()).select(*dict.fromkeys([*aid, *keys]), F.col(end).alias("_end"))
+    r = lambda name: F.col(f"row.{name}")
+    levels = F.coalesce(r("pilots_a"), F.lit(0)) > 0
+    gap = F.when(levels, r("gap"))
+    g = timejoin.interval_join(a, cells, keys, window_ms, 0, anchor_ts="_end").groupBy(*aid).agg(
+        F.count("*").alias("cell_rows"), F.count_if(levels).alias("cell_level_rows"), F.count_if(~levels & (r("pilots_b") > 0)).alias("cell_other_rows"),
+        F.count(gap).alias("cell_gaps"), F.median(gap).alias("cell_gap_median"), F.count_if(gap < 3).alias("_low"))
+    counts = ["cell_rows", "cell_level_rows", "cell_other_rows", "cell_gaps"]
+    d = anchors.select(*aid).join(g, aid, "left").fillna(0, counts)
+    c = F.col
+    share = lambda n, m: F.when(c(m) > 0, c(n) / c(m))
+    reason = F.when(c("cell_gaps") > 0, None).when(c("cell_rows") == 0, CELL_REASONS["no rows"]).when(
+        (c("cell_level_rows") == 0) & (c("cell_other_rows") > 0), CELL_REASONS["no levels"]).otherwise(CELL_REASONS["one pilot"])
+    return d.withColumn("cell_gap_low_ratio", share("_low", "cell_gaps")).withColumn("cell_coverage", share("cell_gaps", "cell_rows")).withColumn(
+        "cell_reason", reason).drop("_low")
+
+
+# Why a second source tells nothing.
+CELL_REASONS = {
+    "no rows": "no UMTS CELLMEAS rows in window",
+    "no levels": "neighbor RSCP unavailable (unsupported CELLMEAS subtype)",
+    "one pilot": "no >=2 subtype-A pilots per timestamp",
+}
+
+
+# By profile, the points for three pilots, for the mean of pilots and for switches, and the last two's limits.
 DOMINANCE_POINTS = {"default": (20, 10, 20), "extended": (10, 5, 15)}
+PILOTS_MEAN = {"default": 2.0, "extended": 2.5}
+SWITCHES = {"default": 2, "extended": 3}
 
 
 def pilot_pollution_score(snapshot: DataFrame, profile: str = "default") -> DataFrame:
-    """Dominance and interference scores, their levels, and the final label of each snapshot."""
+    """Dominance and interference scores, their levels, and the final label of each snapshot.
+
+    The ``extended`` profile asks for more pilots and switches, needs a weak-dominance signature (median gap below 3 dB, more
+    than 30 % of gaps below 3 dB) before it speaks of overlap, and has a guard: under strong dominance (median gap 6 dB or
+    more, at most 20 % of gaps below 3 dB) the dominance score ends at 20 and overlap is ruled out. With the columns of
+    :func:`cell_corroboration` it also says whether the second source agrees.
+    """
     c = F.col
-    available = c("two_pilot_rows") > 0
-    evidence = F.coalesce(available & (c("gap_coverage") >= 0.30), F.lit(False))
+    extended = profile == "extended"
+    known = lambda x: F.coalesce(x, F.lit(False))
+    available = known(c("two_pilot_rows") > 0)
+    evidence = known(available & (c("gap_coverage") >= 0.30))
     many, mean, switching = DOMINANCE_POINTS[profile]
     dominance = F.when(available, F.least(F.lit(100), _points(
         (evidence & (c("gap_median") < 2), 30), (evidence & (c("gap_low_ratio") > 0.70), 30), (evidence & (c("gap_std") > 2), 10),
-        (c("pilots_max") >= 3, many), (c("pilots_mean") >= 2, mean), (c("psc_switches") > 2, switching))))
+        (c("pilots_max") >= 3, many), (c("pilots_mean") >= PILOTS_MEAN[profile], mean), (c("psc_switches") > SWITCHES[profile], switching))))
+    guard = known(evidence & (c("gap_median") >= 6) & (c("gap_low_ratio") <= 0.20)) if extended else F.lit(False)
+    signature = known(evidence & (c("gap_median") < 3) & (c("gap_low_ratio") > 0.30)) if extended else evidence
     interference = _points((c("bler_max") >= 80, 40), (c("ecno_median") <= -12, 30), (c("rscp_median") >= -90, 20), (c("tx_p90") <= 18, 10))
     d = (
-        snapshot.withColumn("dominance_available", available).withColumn("dominance_evidence", evidence)
-        .withColumn("dominance_score", dominance.cast("long")).withColumn("interference_score", interference.cast("long"))
+        snapshot.withColumn("dominance_available", available).withColumn("dominance_evidence", evidence).withColumn("strong_dominance", guard)
+        .withColumn("overlap_signature", signature)
+        .withColumn("dominance_score", F.when(c("strong_dominance"), F.least(F.lit(20), dominance)).otherwise(dominance).cast("long"))
+        .withColumn("interference_score", interference.cast("long"))
     )
-    dom, itf = c("dominance_score"), c("interference_score")
-    signature = F.coalesce((c("bler_max") >= 80) & (c("rscp_median") >= -90) & (c("tx_p90") <= 18), F.lit(False))
+    dom, itf, strong = c("dominance_score"), c("interference_score"), c("strong_dominance")
+    collapse = known((c("bler_max") >= 80) & (c("rscp_median") >= -90) & (c("tx_p90") <= 18))
     share = c("strong_share")
-    hot = (itf >= 60) & (F.coalesce(share >= 0.30, F.lit(False)) | signature)
-    weak = c("dominance_evidence") & (dom >= 60) & F.coalesce(share < 0.30, F.lit(False))
-    overlap = c("dominance_evidence") & (dom >= 35)
+    guarded = strong & (itf >= 60)
+    hot = (itf >= 60) & (known(share >= 0.30) | collapse)
+    weak = c("overlap_signature") & (dom >= 60) & known(share < 0.30)
+    overlap = c("overlap_signature") & (dom >= 35)
     quiet = ~c("dominance_evidence") & (itf < 60)
+    coverage = F.when(c("rscp_median") > -85, "strong").when(c("rscp_median") > -95, "fair").otherwise("weak") if extended else F.lit("weak")
     label = (
-        F.when(hot & c("dominance_evidence"), "Pilot Pollution / DL Interference").when(hot, "DL Interference (dominance evidence unavailable)")
-        .when(weak, "High overlap / poor dominance under weak coverage").when(overlap, "Overlap risk")
+        F.when(guarded, "DL Interference (strong dominance, overlap unlikely)")
+        .when(hot & c("dominance_evidence"), "Pilot Pollution / DL Interference").when(hot, "DL Interference (dominance evidence unavailable)")
+        .when(weak, F.concat(F.lit("High overlap / poor dominance under "), coverage, F.lit(" coverage"))).when(overlap, "Overlap risk")
+        .when(strong, "Low overlap risk (strong dominance)")
         .when(quiet, "Dominance unavailable / low interference risk").otherwise("Low overlap risk")
     )
-    score = F.when(hot, itf).when(weak | overlap, dom).when(quiet, itf).otherwise(F.when(c("dominance_available"), dom).otherwise(itf))
+    score = F.when(guarded, dom).when(hot, itf).when(weak | overlap | strong, dom).when(quiet, itf).otherwise(F.when(c("dominance_available"), dom).otherwise(itf))
     d = d.withColumn("pollution_label", label).withColumn("pollution_score", score)
-    return (
+    d = (
         d.withColumn("dominance_level", F.when(c("dominance_available"), _level(dom)).otherwise("N/A")).withColumn("interference_level", _level(itf))
         .withColumn("pollution_level", F.when(c("dominance_available"), _level(c("pollution_score"))).otherwise("N/A"))
         .withColumn("pollution_detected", c("pollution_score") >= 35)
     )
+    if not extended:
+        return d.drop("strong_dominance", "overlap_signature")
+    if "cell_gaps" not in snapshot.columns:
+        return d
+    both = available & (c("cell_gaps") > 0) & c("gap_median").isNotNull()
+    near = known((F.abs(c("cell_gap_median") - c("gap_median")) <= 1.5) & (F.abs(c("cell_gap_low_ratio") - c("gap_low_ratio")) <= 0.20))
+    return d.withColumn("cell_agreement", F.when(~both, "n/a").when(near, "agree").otherwise("disagree"))

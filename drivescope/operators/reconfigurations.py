@@ -65,8 +65,7 @@ def _report(v: Column) -> Column:
 def read_reconfigurations(messages: DataFrame, json: str = "decoded") -> DataFrame:
     """Adds ``body, config`` (VARIANT), ``objects``, ``reports``, ``links`` and ``resolved`` (links whose object and report the message holds)."""
     d = messages.withColumn("parsed", F.try_parse_json(F.col(json))).where("parsed is not null")
-    known = [F.when(_at(F.col("parsed"), path).isNotNull(), _at(F.col("parsed"), path)) for path in BODIES]
-    d = d.withColumn("body", F.coalesce(*known)).withColumn("config", _at(F.col("body"), "$.measConfig"))
+    d = d.withColumn("body", F.coalesce(*[_at(F.col("parsed"), path) for path in BODIES])).withColumn("config", _at(F.col("body"), "$.measConfig"))
     d = (d.withColumn("objects", F.filter(F.transform(_items(F.col("config"), "measObjectToAddModList"), _object), lambda o: o["object_id"].isNotNull()))
           .withColumn("reports", F.filter(F.transform(_items(F.col("config"), "reportConfigToAddModList"), _report), lambda r: r["report_id"].isNotNull()))
           .withColumn("links", F.filter(F.transform(_items(F.col("config"), "measIdToAddModList"), lambda x: F.struct(

@@ -261,6 +261,41 @@ def _(v):
     return catalog.core_metrics(catalog.metric_order(v.v_kpi.select("run_id", "name").distinct(), F.lit("LTE")))
 
 
+CORE_RENAMED = {1: [("Radio.Lte", "Radio.Nr"), ("RsSinr", "Ss-Sinr"), ("Rsrp", "Ss-Rsrp"), ("Rsrq", "Ss-Rsrq")], 2: [("Radio.Lte", "Radio.Wcdma"), ("RsSinr", "Sinr"), ("Rsrp", "Rscp"), ("Rsrq", "EcNo")]}
+
+
+def _renamed(text, number):
+    for old, new in CORE_RENAMED[number]:
+        text = f"replace({text}, '{old}', '{new}')"
+    return text
+
+
+@query("A16_core_metrics_by_tech", "v_kpi", f"""
+, n AS (SELECT DISTINCT run_id, CASE run_id % 3 WHEN 1 THEN {_renamed('name', 1)} WHEN 2 THEN {_renamed('name', 2)} ELSE name END AS name FROM v_kpi)
+, rules(tech, place, slot, words, prefer, avoid) AS (VALUES
+  (0, 0, 'rsrp', ['rsrp'], ['servingcell'], ['neighbor']), (0, 1, 'rsrq', ['rsrq'], ['servingcell'], ['neighbor']), (0, 2, 'sinr', ['rs-sinr', 'sinr'], ['servingcell'], ['neighbor']),
+  (1, 0, 'rsrp', ['ss-rsrp', 'ssrsrp', 'rsrp'], ['servingcell'], ['neighbor']), (1, 1, 'rsrq', ['ss-rsrq', 'ssrsrq', 'rsrq'], ['servingcell'], ['neighbor']), (1, 2, 'sinr', ['ss-sinr', 'sinr'], [], []),
+  (2, 0, 'rsrp', ['rscp', 'rsrp'], [], []), (2, 1, 'rsrq', ['ecno', 'rsrq'], [], []), (2, 2, 'sinr', ['sinr'], [], []))
+, through(place, slot, words, prefer, avoid) AS (VALUES
+  (3, 'dl', ['dl throughput', 'downlink throughput', 'throughput dl', 'throughput_dl', 'dl rate', 'pdsch.throughput'], ['servingcell', 'pdsch'], ['neighbor', 'http download']),
+  (4, 'ul', ['ul throughput', 'uplink throughput', 'throughput ul', 'throughput_ul', 'ul rate', 'pusch.throughput'], ['servingcell', 'pusch'], ['neighbor', 'http upload']))
+, every AS (SELECT * FROM rules UNION ALL SELECT t.tech, through.* FROM through, (VALUES (0), (1), (2)) t(tech))
+, sc AS (SELECT run_id, slot, place, name, len(list_filter(words, lambda w: contains(lower(name), w))) AS hits, 8 * len(list_filter(prefer, lambda w: contains(lower(name), w))) - 12 * len(list_filter(avoid, lambda w: contains(lower(name), w)))
+   + CASE WHEN contains(lower(name), 'servingcell') THEN 6 ELSE 0 END - CASE WHEN contains(lower(name), 'neighbor') THEN 10 ELSE 0 END AS extra FROM n JOIN every ON every.tech = n.run_id % 3)
+, bs AS (SELECT run_id, slot, place, arg_min(name, (-10 * hits - extra, name)) AS name, max(10 * hits + extra) AS score FROM sc WHERE hits > 0 AND 10 * hits + extra >= 0 GROUP BY run_id, slot, place)
+SELECT run_id, arg_min(slot, place) AS slot, CAST(min(place) AS BIGINT) AS place, name, CAST(arg_min(score, place) AS BIGINT) AS score FROM bs GROUP BY run_id, name
+""")
+def _(v):
+    name, run = F.col("name"), F.col("run_id")
+    other = {i: name for i in CORE_RENAMED}
+    for i, pairs in CORE_RENAMED.items():
+        for old, new in pairs:
+            other[i] = F.replace(other[i], F.lit(old), F.lit(new))
+    names = v.v_kpi.select("run_id", F.when(run % 3 == 1, other[1]).when(run % 3 == 2, other[2]).otherwise(name).alias("name")).distinct()
+    tech = F.when(run % 3 == 1, "5G NR").when(run % 3 == 2, "UMTS 3G").otherwise("LTE")
+    return catalog.core_metrics_by_tech(names.withColumn("position", F.col("name")), tech)
+
+
 @query("A16_labels_and_scores", "v_kpi", """
 SELECT name, CASE WHEN n LIKE '%rsrp' AND n NOT LIKE '%neighbor%' THEN 'RSRP' WHEN n LIKE '%rsrq' THEN 'RSRQ' WHEN n LIKE '%sinr' THEN 'SINR'
   WHEN n = 'data.http.download.throughput' THEN 'Application throughput DL' WHEN n = 'data.http.upload.throughput' THEN 'Application throughput UL'

@@ -168,6 +168,35 @@ def _(v):
         "device_id", "call_id", "dominance_score", "interference_score", "pollution_score", "pollution_label", "pollution_level", "interference_level")
 
 
+@query("A27_extended_profile", "v_calls v_radio", SNAP + f"""
+, cr AS (SELECT fs.device_id, fs.call_id, r.seq % 3 AS a, r.k % 2 AS b, CASE WHEN r.seq % 3 = 2 THEN (r.seq % 17) / 2.0 END AS gap FROM fs JOIN v_radio r ON r.device_id = fs.device_id AND r.event_type <> 'click' AND r.ts_ms BETWEEN end_ts - {W} AND end_ts)
+, cs AS (SELECT device_id, call_id, count(*) AS cell_rows, count(*) FILTER (WHERE a > 0) AS lv, count(*) FILTER (WHERE a = 0 AND b > 0) AS ot, count(gap) AS cell_gaps, median(gap) AS cm, count(*) FILTER (WHERE gap < 3) AS cl FROM cr GROUP BY ALL)
+, e1 AS (SELECT sn.*, coalesce(cell_rows, 0) AS cell_rows, coalesce(cell_gaps, 0) AS cell_gaps, coalesce(lv, 0) AS lv, coalesce(ot, 0) AS ot, cm, cl / nullif(cell_gaps, 0) AS cell_low, gap_low_count / nullif(two_pilot_rows, 0) AS low,
+   coalesce(avail AND coverage >= 0.3, false) AS ev FROM sn LEFT JOIN cs USING (device_id, call_id))
+, e2 AS (SELECT *, coalesce(ev AND gap_median >= 6 AND low <= 0.2, false) AS guard, coalesce(ev AND gap_median < 3 AND low > 0.3, false) AS sig,
+   CASE WHEN avail THEN CASE WHEN ev AND gap_median < 2 THEN 30 ELSE 0 END + CASE WHEN ev AND low > 0.7 THEN 30 ELSE 0 END + CASE WHEN ev AND gap_std > 2 THEN 10 ELSE 0 END + CASE WHEN pilots_max >= 3 THEN 10 ELSE 0 END
+     + CASE WHEN pilots_mean >= 2.5 THEN 5 ELSE 0 END + CASE WHEN psc_switches > 3 THEN 15 ELSE 0 END END AS d0,
+   CASE WHEN bler_max >= 80 THEN 40 ELSE 0 END + CASE WHEN ecno_median <= -12 THEN 30 ELSE 0 END + CASE WHEN rscp_median >= -90 THEN 20 ELSE 0 END + CASE WHEN tx_p90 <= 18 THEN 10 ELSE 0 END AS itf FROM e1)
+, e3 AS (SELECT *, CASE WHEN guard THEN least(d0, 20) ELSE d0 END AS dom FROM e2)
+, e4 AS (SELECT *, CASE WHEN itf >= 60 AND guard THEN 'DL Interference (strong dominance, overlap unlikely)'
+   WHEN itf >= 60 AND (coalesce(strong_share >= 0.3, false) OR coalesce(bler_max >= 80 AND rscp_median >= -90 AND tx_p90 <= 18, false)) THEN CASE WHEN ev THEN 'Pilot Pollution / DL Interference' ELSE 'DL Interference (dominance evidence unavailable)' END
+   WHEN sig AND dom >= 60 AND coalesce(strong_share < 0.3, false) THEN 'High overlap / poor dominance under ' || CASE WHEN rscp_median > -85 THEN 'strong' WHEN rscp_median > -95 THEN 'fair' ELSE 'weak' END || ' coverage'
+   WHEN sig AND dom >= 35 THEN 'Overlap risk' WHEN guard THEN 'Low overlap risk (strong dominance)' WHEN NOT ev AND itf < 60 THEN 'Dominance unavailable / low interference risk' ELSE 'Low overlap risk' END AS label FROM e3)
+, e5 AS (SELECT *, CASE WHEN label LIKE 'DL Interference (strong%' THEN dom WHEN label LIKE 'Pilot%' OR label LIKE 'DL%' OR label LIKE 'Dominance unavailable%' THEN itf WHEN avail THEN dom ELSE itf END AS score FROM e4)
+SELECT device_id, call_id, CAST(dom AS BIGINT) AS dominance_score, CAST(itf AS BIGINT) AS interference_score, CAST(score AS BIGINT) AS pollution_score, label AS pollution_label, CASE WHEN avail THEN {LEVEL.format('score')} ELSE 'N/A' END AS pollution_level,
+ guard AS strong_dominance, cell_rows, cell_gaps, CASE WHEN NOT avail OR cell_gaps = 0 OR gap_median IS NULL THEN 'n/a' WHEN abs(cm - gap_median) <= 1.5 AND abs(cell_low - low) <= 0.2 THEN 'agree' ELSE 'disagree' END AS cell_agreement,
+ CASE WHEN cell_gaps > 0 THEN NULL WHEN cell_rows = 0 THEN 'no UMTS CELLMEAS rows in window' WHEN lv = 0 AND ot > 0 THEN 'neighbor RSCP unavailable (unsupported CELLMEAS subtype)' ELSE 'no >=2 subtype-A pilots per timestamp' END AS cell_reason FROM e5
+""")
+def _(v):
+    e = F.col("seq")
+    cells = v.v_radio.where("event_type <> 'click'").select("device_id", "ts_ms", "seq", (e % 3).alias("pilots_a"), (F.col("k") % 2).alias("pilots_b"), F.when(e % 3 == 2, (e % 17) / 2).alias("gap"))
+    s = materialize(sessions.session_outcome(sessions.call_sessions(v.v_calls)).where("result_type in ('CALL_SETUP_FAILURE', 'DROP_CALL') and end_ts is not null"), "sessions")
+    servers = materialize(radio.best_server(mimo(v)), "servers")
+    snap = radio.radio_snapshot(s, servers, tx_rows(v), bler_rows(v), window_ms=WINDOW)
+    d = radio.pilot_pollution_score(snap.join(radio.cell_corroboration(s, cells, window_ms=WINDOW), ["device_id", "call_id"]), "extended")
+    return d.select("device_id", "call_id", "dominance_score", "interference_score", "pollution_score", "pollution_label", "pollution_level", "strong_dominance", "cell_rows", "cell_gaps", "cell_agreement", "cell_reason")
+
+
 TIMELINE = """
 , tl AS (SELECT s.device_id, s.call_id, s.end_ts, e.ts_ms, e.header, e.raw, min(e.seq) AS seq FROM s JOIN v_devents e ON e.device_id = s.device_id AND e.ts_ms BETWEEN s.start_ts AND s.end_ts
    AND (e.header NOT IN ('CAD', 'CAF') OR e.call_id = s.call_id) GROUP BY ALL)
@@ -241,7 +270,7 @@ def _(v):
     return sessions.session_export(analysed(v)).drop("failure_cause")
 
 
-CTX = K1 + f"""
+CTX_OF = f"""
 , a AS (SELECT * FROM s WHERE result_type = 'CALL_SETUP_FAILURE' AND end_ts IS NOT NULL)
 , n AS (SELECT a.device_id, a.call_id, a.end_ts, e.ts_ms, e.seq, e.header, e.raw FROM a JOIN v_devents e ON e.device_id = a.device_id AND abs(e.ts_ms - a.end_ts) <= {AROUND})
 , c AS (SELECT device_id, call_id, count(*) AS events_in_window, count(*) FILTER (WHERE ts_ms <= end_ts) AS last_n, min(seq) FILTER (WHERE ts_ms <= end_ts) AS last_first,
@@ -252,6 +281,8 @@ CTX = K1 + f"""
 , cm AS (SELECT a.device_id, a.call_id, rr.seq AS closest_mobility FROM a ASOF LEFT JOIN rr ON rr.device_id = a.device_id AND a.end_ts >= rr.ts_ms)
 """
 
+CTX = K1 + CTX_OF
+
 
 def context(v):
     s = materialize(sessions.session_outcome(sessions.call_sessions(v.v_calls)), "sessions")
@@ -338,6 +369,28 @@ def _(v):
     return d.select("device_id", "call_id", "release_near_end", "mobility_near_end", kind.alias("kind"))
 
 
+@query("K8_deep_scores", "v_calls v_radio v_devents", SNAP + CTX_OF + """
+, dt AS (SELECT x.device_id, x.call_id, bool_or(regexp_matches(upper(e.raw), 'DIRECT_TRANSFER')) AS direct, bool_or(regexp_matches(upper(e.raw), 'NO[_\\s-]?RESOURCE|ADMISSION|CONGEST|POWER LIMIT|CODE LIMIT|CE FULL|CHANNEL ALLOCATION FAILURE|NO RADIO RESOURCE')) AS busy
+   FROM (SELECT device_id, call_id, seq FROM n WHERE ts_ms <= end_ts UNION SELECT device_id, call_id, seq FROM f) x JOIN v_devents e ON e.seq = x.seq GROUP BY ALL)
+, z AS (SELECT a.device_id, a.call_id, a.cad_cause, a.cad_status, a.caf_reason, a.end_ts_caf, a.end_ts_cad, a.end_ts_care, sn.* EXCLUDE (device_id, call_id), coalesce(dt.direct, false) AS direct, coalesce(dt.busy, false) AS busy,
+   coalesce(regexp_matches(upper(e.raw), 'RELEASE|REJECT|FAIL'), false) AS rel, coalesce(regexp_matches(upper(m.raw), 'HO|HANDOVER'), false) AS mob, coalesce(rscp_median > -85 AND ecno_median > -10 AND tx_p90 < 20 AND bler_max < 5, false) AS ok
+   FROM a LEFT JOIN sn USING (device_id, call_id) LEFT JOIN dt USING (device_id, call_id) LEFT JOIN c USING (device_id, call_id) LEFT JOIN cm USING (device_id, call_id) LEFT JOIN v_devents e ON e.seq = closest_release LEFT JOIN v_devents m ON m.seq = closest_mobility)
+, y AS (SELECT *, CASE WHEN tx_p90 >= 21 AND (coalesce(rscp_median <= -95, false) OR coalesce(ecno_median <= -16, false) OR coalesce(bler_max >= 20, false)) THEN 'SETUP_FAIL_UL_COVERAGE'
+   WHEN (coalesce(bler_evidence, false) OR coalesce(bler_max >= 95, false)) AND bler_max >= 80 AND (tx_p90 IS NULL OR tx_p90 <= 18) AND rscp_median >= -90 THEN 'SETUP_FAIL_DL_INTERFERENCE' WHEN cad_cause = 102 THEN 'SETUP_TIMEOUT'
+   WHEN ok AND coalesce(bler_evidence, false) AND (caf_reason IS NOT NULL OR cad_status IS NOT NULL OR cad_cause IS NOT NULL) THEN 'SETUP_FAIL_SIGNALING_OR_CORE' ELSE 'SETUP_FAIL_UNKNOWN' END AS category FROM z)
+, b AS (SELECT *, category = 'SETUP_FAIL_DL_INTERFERENCE' AS dl FROM y)
+SELECT device_id, call_id, category, direct AS direct_transfer, busy AS congestion_near_end, CASE WHEN end_ts_caf IS NOT NULL THEN 'CAF' WHEN end_ts_cad IS NOT NULL THEN 'CAD' WHEN end_ts_care IS NOT NULL THEN 'CARE' ELSE 'UNKNOWN' END AS terminal_marker,
+ CASE WHEN dl THEN concat_ws(';', 'bler_very_high=50', CASE WHEN tx_p90 <= 18 THEN 'uplink_not_limited=20' END, 'coverage_acceptable=15', CASE WHEN ecno_median <= -12 THEN 'ecno_degraded=15' END)
+  ELSE concat_ws(';', CASE WHEN ok THEN 'radio_healthy=40' END, CASE WHEN rel THEN 'immediate_release=25' END, 'no_connection=15', CASE WHEN NOT mob THEN 'no_mobility=10' END, CASE WHEN NOT busy THEN 'no_congestion=10' END) END AS breakdown,
+ CAST(CASE WHEN dl THEN 65 + CASE WHEN tx_p90 <= 18 THEN 20 ELSE 0 END + CASE WHEN ecno_median <= -12 THEN 15 ELSE 0 END
+  ELSE CASE WHEN ok THEN 40 ELSE 0 END + CASE WHEN rel THEN 25 ELSE 0 END + 15 + CASE WHEN mob THEN 0 ELSE 10 END + CASE WHEN busy THEN 0 ELSE 10 END END AS BIGINT) AS deep_score FROM b
+""")
+def _(v):
+    d = sessions.setup_failure_deep_analysis(sessions.classify_sessions(context(v)))
+    parts = F.transform(F.map_entries("deep_breakdown"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return d.select("device_id", "call_id", "category", "direct_transfer", "congestion_near_end", "terminal_marker", F.array_join(parts, ";").alias("breakdown"), "deep_score")
+
+
 TABULAR = ["CALL ATTEMPT", "CONNECT", "DROP CALL", "CALL BLOCKED", "SESSION OK"]
 
 
