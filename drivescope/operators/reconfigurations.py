@@ -7,7 +7,7 @@ last counts; a message without measConfig has empty lists.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,60 +26,78 @@ BODIES = (
 EVENTS = {"eventA3": "EVENTA3", "eventA5": "EVENTA5", "eventA2": "EVENTA2", "eventA1": "EVENTA1", "eventA4": "EVENTA4", "eventA6": "EVENTA6"}
 
 
-def _at(v: Column, path: str, kind: str = "variant") -> Column:
-    return F.try_variant_get(v, path, kind)
-
+# The lists of a measurement configuration.
+_LISTS = (
+    "struct<measIdToAddModList:array<struct<measId:bigint,measObjectId:bigint,reportConfigId:bigint>>,"
+    "measObjectToAddModList:array<struct<measObjectId:bigint,measObject:struct<measObjectEUTRA:struct<carrierFreq:bigint,offsetFreq:string,"
+    "cellsToAddModList:array<struct<physCellId:bigint,cellIndividualOffset:string>>>,measObjectUTRA:struct<carrierFreq:bigint>,measObjectGERAN:variant>>>,"
+    "reportConfigToAddModList:array<struct<reportConfigId:bigint,reportConfig:struct<reportConfigEUTRA:struct<triggerQuantity:string,triggerType:struct<event:struct<"
+    "eventId:struct<eventA1:variant,eventA2:variant,eventA3:struct<`a3-Offset`:double>,eventA4:variant,eventA5:variant,eventA6:variant>,"
+    "hysteresis:double,timeToTrigger:string>>>>>>>"
+)
 
-def _items(v: Column, name: str) -> Column:
-    return F.coalesce(_at(v, f"$.{name}", "array<variant>"), F.expr("cast(array() as array<variant>)"))
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once a row, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
-def _number(v: Column, path: str) -> Column:
-    return _at(v, path, "string").try_cast("double")
 
+def _object(x: Column) -> Column:
+    eutra, utra, geran = (x["measObject"][f"measObject{rat}"] for rat in ("EUTRA", "UTRA", "GERAN"))
+    cells = F.transform(F.filter(eutra["cellsToAddModList"], lambda c: c.isNotNull()), lambda c: F.struct(
+        c["physCellId"].alias("pci"), S.enum_db(c["cellIndividualOffset"]).alias("cio_db")))
+    return F.struct(
+        x["measObjectId"].alias("object_id"), F.when(eutra.isNotNull(), "LTE").when(utra.isNotNull(), "UTRA").when(geran.isNotNull(), "GERAN").otherwise("UNKNOWN").alias("rat"),
+        F.coalesce(eutra["carrierFreq"], utra["carrierFreq"]).alias("carrier_freq"), S.enum_db(eutra["offsetFreq"]).alias("offset_freq_db"),
+        F.coalesce(cells, F.array().cast("array<struct<pci:bigint,cio_db:double>>")).alias("cells"))
 
-def _object(v: Column) -> Column:
-    def rat(name: str) -> Column:
-        return _at(v, f"$.measObject.measObject{name}")
 
-    eutra, utra, geran = rat("EUTRA"), rat("UTRA"), rat("GERAN")
-    cells = F.transform(_items(eutra, "cellsToAddModList"), lambda c: F.struct(
-        _at(c, "$.physCellId", "bigint").alias("pci"), S.enum_db(_at(c, "$.cellIndividualOffset", "string")).alias("cio_db")))
+def _report(x: Column) -> Column:
+    body = x["reportConfig"]["reportConfigEUTRA"]
+    event = body["triggerType"]["event"]
+    kind = F.coalesce(*[F.when(event["eventId"][name].isNotNull(), label) for name, label in EVENTS.items()])
     return F.struct(
-        _at(v, "$.measObjectId", "bigint").alias("object_id"),
-        F.when(eutra.isNotNull(), "LTE").when(utra.isNotNull(), "UTRA").when(geran.isNotNull(), "GERAN").otherwise("UNKNOWN").alias("rat"),
-        F.coalesce(_at(eutra, "$.carrierFreq", "bigint"), _at(utra, "$.carrierFreq", "bigint")).alias("carrier_freq"),
-        S.enum_db(_at(eutra, "$.offsetFreq", "string")).alias("offset_freq_db"), cells.alias("cells"))
+        x["reportConfigId"].alias("report_id"), kind.alias("event_type"), F.upper(body["triggerQuantity"]).alias("trigger_quantity"),
+        event["eventId"]["eventA3"]["a3-Offset"].alias("a3_offset_db"), event["hysteresis"].alias("hysteresis_db"), S.enum_ms(event["timeToTrigger"]).alias("ttt_ms"))
 
 
-def _report(v: Column) -> Column:
-    body = _at(v, "$.reportConfig.reportConfigEUTRA")
-    event = _at(body, "$.triggerType.event")
-    kind = F.coalesce(*[F.when(_at(event, f"$.eventId.{name}").isNotNull(), label) for name, label in EVENTS.items()])
-    return F.when(body.isNotNull(), F.struct(
-        _at(v, "$.reportConfigId", "bigint").alias("report_id"), kind.alias("event_type"), F.upper(_at(body, "$.triggerQuantity", "string")).alias("trigger_quantity"),
-        F.when(kind == "EVENTA3", _number(event, "$.eventId.eventA3['a3-Offset']")).alias("a3_offset_db"), _number(event, "$.hysteresis").alias("hysteresis_db"),
-        S.enum_ms(_at(event, "$.timeToTrigger", "string")).alias("ttt_ms")))
+def _resolved(x: Column) -> Column:
+    def last(items: Column, key: str, value: Column) -> Column:
+        return F.try_element_at(F.filter(items, lambda y: y[key] == value), F.lit(-1))
 
+    joined = F.transform(x["links"], lambda y: F.struct(
+        y["meas_id"].alias("meas_id"), y["object_id"].alias("object_id"), y["report_id"].alias("report_id"),
+        last(x["objects"], "object_id", y["object_id"]).alias("object"), last(x["reports"], "report_id", y["report_id"]).alias("report")))
+    return F.filter(joined, lambda y: y["object"].isNotNull() & y["report"].isNotNull())
 
-def read_reconfigurations(messages: DataFrame, json: str = "decoded") -> DataFrame:
-    """Adds ``body, config`` (VARIANT), ``objects``, ``reports``, ``links`` and ``resolved`` (links whose object and report the message holds)."""
-    d = messages.withColumn("parsed", F.try_parse_json(F.col(json))).where("parsed is not null")
-    d = d.withColumn("body", F.coalesce(*[_at(F.col("parsed"), path) for path in BODIES])).withColumn("config", _at(F.col("body"), "$.measConfig"))
-    d = (d.withColumn("objects", F.filter(F.transform(_items(F.col("config"), "measObjectToAddModList"), _object), lambda o: o["object_id"].isNotNull()))
-          .withColumn("reports", F.filter(F.transform(_items(F.col("config"), "reportConfigToAddModList"), _report), lambda r: r["report_id"].isNotNull()))
-          .withColumn("links", F.filter(F.transform(_items(F.col("config"), "measIdToAddModList"), lambda x: F.struct(
-              _at(x, "$.measId", "bigint").alias("meas_id"), _at(x, "$.measObjectId", "bigint").alias("object_id"), _at(x, "$.reportConfigId", "bigint").alias("report_id"))),
-              lambda x: x["meas_id"].isNotNull() & x["object_id"].isNotNull() & x["report_id"].isNotNull())))
-    last = lambda items, key, value: F.try_element_at(F.filter(items, lambda y: y[key] == value), F.lit(-1))
-    joined = F.transform("links", lambda x: F.struct(
-        x["meas_id"].alias("meas_id"), x["object_id"].alias("object_id"), x["report_id"].alias("report_id"),
-        last("objects", "object_id", x["object_id"]).alias("object"), last("reports", "report_id", x["report_id"]).alias("report")))
-    return d.withColumn("resolved", F.filter(joined, lambda x: x["object"].isNotNull() & x["report"].isNotNull()))
 
+def read_reconfigurations(messages: DataFrame, json: str = "decoded") -> DataFrame:
+    """Adds ``parsed, body, config`` (VARIANT) and ``read``: ``links``, ``objects``, ``reports`` and ``resolved``, the links whose object and report the message holds.
 
-def _a3(resolved: Column | str = "resolved") -> Column:
-    return F.filter(resolved, lambda x: x["report"]["event_type"] == "EVENTA3")
+    The text is parsed once, and all lists leave the configuration in one cast.
+    """
+    once = lambda value: F.explode_outer(F.array(value))  # noqa: E731  (a value behind a generator isn't computed again where it is named)
+    d = messages.withColumn("parsed", once(F.try_parse_json(F.col(json)))).where("parsed is not null")
+    d = d.withColumn("body", F.coalesce(*[F.try_variant_get(F.col("parsed"), path, "variant") for path in BODIES]))
+    d = d.withColumn("config", F.try_variant_get(F.col("body"), "$.measConfig", "variant"))
+    some = lambda items, empty: F.coalesce(items, F.expr(f"from_json('[]', '{empty}')"))
+    links = lambda c: F.filter(F.transform(c["measIdToAddModList"], lambda x: F.struct(
+        x["measId"].alias("meas_id"), x["measObjectId"].alias("object_id"), x["reportConfigId"].alias("report_id"))),
+        lambda x: x["meas_id"].isNotNull() & x["object_id"].isNotNull() & x["report_id"].isNotNull())
+    objects = lambda c: F.transform(F.filter(c["measObjectToAddModList"], lambda x: x["measObjectId"].isNotNull()), _object)
+    reports = lambda c: F.transform(F.filter(
+        c["reportConfigToAddModList"], lambda x: x["reportConfigId"].isNotNull() & x["reportConfig"]["reportConfigEUTRA"].isNotNull()), _report)
+    lists = F.try_variant_get(F.col("config"), "$", _LISTS)
+    read = _let(lists, lambda c: F.struct(
+        some(links(c), "array<struct<meas_id:bigint,object_id:bigint,report_id:bigint>>").alias("links"),
+        some(objects(c), "array<struct<object_id:bigint,rat:string,carrier_freq:bigint,offset_freq_db:double,cells:array<struct<pci:bigint,cio_db:double>>>>").alias("objects"),
+        some(reports(c), "array<struct<report_id:bigint,event_type:string,trigger_quantity:string,a3_offset_db:double,hysteresis_db:double,ttt_ms:bigint>>").alias("reports")))
+    read = _let(read, lambda r: F.struct(r["links"].alias("links"), r["objects"].alias("objects"), r["reports"].alias("reports"), _resolved(r).alias("resolved")))
+    return d.withColumn("read", once(read))
+
+
+def _a3() -> Column:
+    return F.filter("read.resolved", lambda x: x["report"]["event_type"] == "EVENTA3")
 
 
 def resolver_rows(read: DataFrame, keys: Sequence[str] = neighbors.RUN) -> DataFrame:
@@ -109,7 +127,7 @@ def _told(x: Column) -> Column:
 def reconfiguration_properties(read: DataFrame, keys: Sequence[str] = neighbors.RUN) -> DataFrame:
     """Flat properties of every reconfiguration: its parts as JSON, the first A3 link's values, all A3 links as text, a summary."""
     d = read.withColumn("_a3", _a3()).withColumn("_f", F.try_element_at("_a3", F.lit(1)))
-    has = lambda name: _at(F.col("body"), f"$.{name}").isNotNull()
+    has = lambda name: F.try_variant_get(F.col("body"), f"$.{name}", "variant").isNotNull()
     some = F.size("_a3") > 0
     configured = F.col("config").isNotNull()
     bits = F.concat_ws(" | ", F.when(configured, "measConfig"), F.when(has("mobilityControlInfo"), "mobilityControlInfo"),
@@ -118,7 +136,7 @@ def reconfiguration_properties(read: DataFrame, keys: Sequence[str] = neighbors.
     props = {
         "rrc_message_id": F.lit("rrc_reconfiguration"), "rrc_recfg_full_decoded": F.lit("Yes"), "rrc_recfg_full_json": F.to_json("parsed"),
         "rrc_recfg_meas_config_present": F.when(configured, "Yes").otherwise("No"), "rrc_recfg_meas_config_json": F.coalesce(F.to_json("config"), F.lit("{}")),
-        "rrc_recfg_meas_resolver_json": F.to_json(F.struct("links", "objects", "reports", F.col("_a3").alias("a3"))),
+        "rrc_recfg_meas_resolver_json": F.to_json(F.struct("read.links", "read.objects", "read.reports", F.col("_a3").alias("a3"))),
         "rrc_recfg_a3_offset_db": text("report.a3_offset_db"), "rrc_recfg_hysteresis_db": text("report.hysteresis_db"), "rrc_recfg_ttt_ms": text("report.ttt_ms"),
         "rrc_recfg_meas_id": text("meas_id"), "rrc_recfg_meas_object_id": text("object_id"), "rrc_recfg_report_config_id": text("report_id"),
         "rrc_recfg_event_type": text("report.event_type"), "rrc_recfg_offset_freq_db": text("object.offset_freq_db"),

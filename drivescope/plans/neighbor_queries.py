@@ -156,7 +156,7 @@ def _(v):
 
 
 def reconfiguration_json(v):
-    """Every row of the configuration probe as the text of a decoded message: three wrappings, two links, one text cut short in eleven."""
+    """Every row of the configuration probe as the text of a decoded message: three wrappings, two links, one text in 97 cut short."""
     k, e = F.col("k"), F.col("seq")
     event = F.when(k % 3 == 0, F.format_string('{"eventA3":{"a3-Offset":%d,"reportOnLeave":false}}', k % 4)).when(k % 3 == 1, '{"eventA5":{"a5-Threshold1":40}}').otherwise('{"eventA2":{}}')
     offset = F.when(k % 5 != 0, F.format_string('"offsetFreq":"dB%d",', k % 6 - 2)).otherwise("")
@@ -172,11 +172,11 @@ def reconfiguration_json(v):
     inner = F.concat(F.lit('{"criticalExtensions":{"c1":{"rrcConnectionReconfiguration-r8":'), body, F.lit("}}}"))
     whole = F.concat(F.lit('{"message":{"c1":{"rrcConnectionReconfiguration":'), inner, F.lit("}}}"))
     text = F.when(e % 3 == 0, whole).when(e % 3 == 1, inner).otherwise(body)
-    return v.v_cfg.select("run_id", "ts_ms", "seq", F.when(k % 11 == 5, F.left(text, F.length(text) - 1)).otherwise(text).alias("decoded"))
+    return v.v_cfg.select("run_id", "ts_ms", "seq", F.left(text, F.length(text) - F.when(k % 97 == 5, 1).otherwise(0)).alias("decoded"))
 
 
 @query("K17_reconfiguration_properties", "v_cfg", """
-, m AS (SELECT *, k % 7 <> 0 AS cfg, k % 3 = 0 AS first_is_a3, 'measId ' || (meas_id + 8) || ' | reportConfig 9 | measObject 9 | EARFCN 10663 | A3 offset 4.0 dB | TTT 100 ms' AS second FROM v_cfg WHERE k % 11 <> 5)
+, m AS (SELECT *, k % 7 <> 0 AS cfg, k % 3 = 0 AS first_is_a3, 'measId ' || (meas_id + 8) || ' | reportConfig 9 | measObject 9 | EARFCN 10663 | A3 offset 4.0 dB | TTT 100 ms' AS second FROM v_cfg WHERE k % 97 <> 5)
 , o AS (SELECT *, CASE WHEN k % 5 <> 0 THEN (k % 6 - 2) || '.0' END AS ofs FROM m)
 SELECT run_id, ts_ms, seq, CASE WHEN cfg THEN 'Yes' ELSE 'No' END AS meas_config_present, CASE WHEN cfg THEN CASE WHEN first_is_a3 THEN (k % 4) || '.0' ELSE '4.0' END END AS a3_offset_db,
  CASE WHEN cfg AND first_is_a3 THEN '2.0' END AS hysteresis_db, CASE WHEN cfg THEN CASE WHEN first_is_a3 THEN '320' ELSE '100' END END AS ttt_ms, CASE WHEN cfg THEN CAST(CASE WHEN first_is_a3 THEN meas_id ELSE meas_id + 8 END AS VARCHAR) END AS meas_id,
@@ -194,7 +194,7 @@ def _(v):
 
 
 @query("K17_resolvers_from_json", "v_cfg", """
-, m AS (SELECT * FROM v_cfg WHERE k % 11 <> 5 AND k % 7 <> 0)
+, m AS (SELECT * FROM v_cfg WHERE k % 97 <> 5 AND k % 7 <> 0)
 SELECT run_id, ts_ms, seq, meas_id, object_id, report_id, CAST(earfcn AS BIGINT) AS carrier_freq, CASE WHEN k % 5 <> 0 THEN CAST(k % 6 - 2 AS DOUBLE) END AS offset_freq_db, 'RSRP' AS trigger_quantity,
  CAST(k % 4 AS DOUBLE) AS a3_offset_db, 2.0::DOUBLE AS hysteresis_db, 320::BIGINT AS ttt_ms, (k % 504) || ' -3.0' AS cells FROM m WHERE k % 3 = 0
 UNION ALL SELECT run_id, ts_ms, seq, meas_id + 8, 9, 9, 10663, NULL, 'RSRP', 4.0, NULL, 100, '' FROM m
