@@ -3,7 +3,9 @@
 A template is text with markup: ``[[ ... ]]`` may be absent, ``{n}`` stands for up to n words of any kind (a holder's name, a
 year). It compiles into a chain automaton over words; a text is accepted where all mandatory words follow each other exactly,
 with nothing between them but what the markup allows. The words of a batch are numbers, and a number looked up in a sorted
-array says where a template may begin; automata run from those places only.
+array says where a template may begin; automata run from those places only, to their longest match. Of the templates accepted
+at one place the longest match counts, so ``MIT-0`` behind an SPDX mark isn't taken for ``MIT``. Phrases and templates may
+have any number of words, one included.
 
 Words are runs of ASCII letters and digits and of all non-ASCII characters, A-Z as a-z. Defined results: null and empty
 texts have no words, no labels and score 0; a template met twice counts once; ids may repeat or be null.
@@ -69,9 +71,21 @@ TEMPLATES = {
     ),
     "bsd-2-text": _BSD.replace("<3>", ""),
     "bsd-text": _BSD.replace("<3>", "[[3]] neither the name of {12} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    "all-rights-reserved": "[[copyright]] [[c]] [[{8}]] all rights reserved",
+    "lgpl-notice": "under the terms of the gnu lesser general public license [[as published by the free software foundation]] [[either]] version {1}",
+    "agpl-notice": "under the terms of the gnu affero general public license [[as published by the free software foundation]] [[either]] version {1}",
+    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "all-rights-reserved": "all rights reserved",
 }
 
+# Public identifiers that may stand behind an SPDX mark.
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0",
+    "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only",
+    "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "Unlicense", "Zlib",
+)
+TEMPLATES |= {f"spdx-{x.lower()}": "spdx license identifier " + re.sub("[^a-z0-9]+", " ", x.lower()) for x in SPDX}
+
 
 @dataclass
 class Automaton:
@@ -90,18 +104,25 @@ class Automaton:
                     todo.append(t)
         return states
 
-    def first_words(self) -> set[bytes]:
-        return {self.words[s] for s in self.closure({0}) if s < len(self.words) and self.words[s] is not None}
-
-    def run(self, words: list[bytes]) -> tuple[bool, float]:
-        """Whether the words from the start on are accepted, and the best share of mandatory words reached."""
-        end, states, best = len(self.words), self.closure({0}), 0
-        for word in words:
+    def next_words(self) -> dict[bytes, set[bytes | None]]:
+        """For each first word what may follow it; None where any word or none may."""
+        out: dict[bytes, set[bytes | None]] = {}
+        end = len(self.words)
+        for s in self.closure({0}):
+            if s < end and self.words[s] is not None:
+                out.setdefault(self.words[s], set()).update(None if t == end else self.words[t] for t in self.closure({s + 1}))
+        return out
+
+    def run(self, words: list[bytes]) -> tuple[bool, float, int]:
+        """Whether words from the start on are accepted, the best share of mandatory words reached, and the longest match's length."""
+        end, states, best, length = len(self.words), self.closure({0}), 0, 0
+        for i, word in enumerate(words, 1):
             states = self.closure({s + 1 for s in states if s < end and self.words[s] in (None, word)})
-            best = max(best, *states) if states else best
-            if end in states or not states:
+            if not states:
                 break
-        return end in states, sum(self.mandatory[:best]) / max(1, sum(self.mandatory))
+            best = max(best, *states)
+            length = i if end in states else length
+        return length > 0, sum(self.mandatory[:best]) / max(1, sum(self.mandatory)), length
 
 
 def compile_template(markup: str) -> Automaton:
@@ -128,41 +149,46 @@ class Scanner:
     """Phrases and automata over the words of whole texts."""
 
     def __init__(self, phrases: dict[str, str], templates: dict[str, str]):
-        self.phrases = [(tuple(p.encode() for p in phrase.split()), label) for phrase, label in phrases.items()]
+        self.phrases = [(tuple(p.encode() for p in phrase.split()), label) for phrase, label in phrases.items() if phrase.split()]
         self.automata = {label: compile_template(markup) for label, markup in templates.items()}
         self.starts: dict[bytes, list[str]] = {}
+        follow: dict[bytes, set[bytes | None]] = {words[0]: set() for words, _ in self.phrases}
+        for words, _ in self.phrases:
+            follow[words[0]].add(words[1] if len(words) > 1 else None)
         for label, automaton in self.automata.items():
-            for word in automaton.first_words():
+            for word, after in automaton.next_words().items():
                 self.starts.setdefault(word, []).append(label)
-        known = sorted({words[0] for words, _ in self.phrases} | set(self.starts))
-        numbers = self.numbers(known)
-        order = np.argsort(numbers)
-        self.known, self.by_number = numbers[order], [known[i] for i in order]
-        seconds = sorted({words[1] for words, _ in self.phrases} | {w for a in self.automata.values() for s in a.closure({0}) if s < len(a.words) and a.words[s] is not None
-                                                                    for t in a.closure({s + 1}) if t < len(a.words) and (w := a.words[t]) is not None})
-        self.seconds = np.sort(self.numbers(seconds))
+                follow.setdefault(word, set()).update(after)
+        free = [w for w, after in follow.items() if None in after]
+        seconds = {w for after in follow.values() for w in after if w is not None}
+        self.known, self.free, self.seconds = (np.sort(self.numbers(sorted(x))) for x in (follow, free, seconds))
+        self.phrase_words = max([len(words) for words, _ in self.phrases], default=0)
+        self.reach = max([self.phrase_words, *[len(a.words) for a in self.automata.values()]])
+
+    @staticmethod
+    def among(numbers: np.ndarray, h: np.ndarray) -> np.ndarray:
+        if not len(numbers):
+            return np.zeros(len(h), dtype=bool)
+        return numbers[np.minimum(np.searchsorted(numbers, h), len(numbers) - 1)] == h
 
     @staticmethod
     def numbers(words: list[bytes]) -> np.ndarray:
+        if not words:
+            return np.zeros(0, dtype=T.U64)
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
         return T.words_of(data, np.r_[0, np.cumsum([len(w) for w in words])], WORD_BYTES).hashes(lower=True)
 
     def scan(self, w: T.Words) -> list[tuple[int, list[tuple[int, str]], dict[str, float]]]:
-        """(document, phrase places and labels, best share by template) for documents that hold a first and a second word."""
+        """(document, phrase places and labels, best share by template) for documents that hold a first word and what may follow it."""
         h = w.hashes(lower=True)
-        if len(h) < 2:
-            return []
-        slot = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        after = np.minimum(np.searchsorted(self.seconds, h), len(self.seconds) - 1)
-        hit = self.known[slot] == h
-        hit[:-1] &= (self.seconds[after] == h)[1:]
-        hit[-1] = False
+        followed = self.among(self.free, h)
+        followed[:-1] |= self.among(self.seconds, h)[1:]
+        hit = self.among(self.known, h) & followed
         found: dict[int, tuple[list[tuple[int, str]], dict[str, float]]] = {}
-        reach = 2 + max([len(p) for p, _ in self.phrases] + [len(a.words) for a in self.automata.values()])
         for i in np.flatnonzero(hit).tolist():
             doc = int(np.searchsorted(w.first, i, side="right")) - 1
-            stop = min(int(w.first[doc + 1]), i + reach)
-            words = [bytes(w.data[w.starts[j] : w.ends[j]]).lower() for j in range(i, min(stop, i + 4))]
+            stop = min(int(w.first[doc + 1]), i + self.reach)
+            words = [bytes(w.data[w.starts[j] : w.ends[j]]).lower() for j in range(i, min(stop, i + max(1, self.phrase_words)))]
             places, shares = found.setdefault(doc, ([], {}))
             for phrase, label in self.phrases:
                 if tuple(words[: len(phrase)]) == phrase:
@@ -170,9 +196,11 @@ class Scanner:
             labels = self.starts.get(words[0], ())
             if labels:
                 words += [bytes(w.data[w.starts[j] : w.ends[j]]).lower() for j in range(i + len(words), stop)]
-            for label in labels:
-                accepted, share = self.automata[label].run(words)
-                shares[label] = max(shares.get(label, 0.0), 1.0 if accepted else min(share, 0.99))
+            ran = {label: self.automata[label].run(words) for label in labels}
+            longest = max([length for _, _, length in ran.values()], default=0)
+            for label, (accepted, share, length) in ran.items():
+                won = accepted and length == longest
+                shares[label] = max(shares.get(label, 0.0), 1.0 if won else min(share, 0.99))
         return [(doc, *x) for doc, x in found.items()]
 
 

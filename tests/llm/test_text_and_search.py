@@ -235,6 +235,28 @@ def test_license_scan(spark, odd, empty):
     assert all(r.labels == "" and r.score < 1 for r in licenses.scan_licenses(odd).collect())
 
 
+def test_phrases_and_templates_of_any_length(spark):
+    """One word, five and seven words; none at all; words that any word may follow; the longest match at a place."""
+    phrases = {"copyleft": "one", "a b c d e": "five", "a b c d e f g": "seven", "end": "last"}
+    templates = {"single": "solo", "gap": "foo {2} bar", "tail": "head [[and tail]]", "short": "x y", "long": "x y z", "other": "x {1} z"}
+    rows = [(1, "a copyleft", "en", "a"), (2, "A b c d e f g", "en", "a"), (3, "a b c d", "en", "a"), (4, "end", "en", "a"), (5, "the end", "en", "a"), (6, "solo", "en", "a"), (7, "foo q bar foo q q q bar", "en", "a"),
+            (8, "head and tail", "en", "a"), (9, "x y", "en", "a"), (10, "x y z", "en", "a"), (11, "", "en", "a"), (12, "a b c d e x y z x y", "en", "a")]
+    got = {r.id: r for r in licenses.scan_licenses(make(spark, rows), phrases, templates).collect()}
+    assert {i: r.base_labels for i, r in got.items() if r.n_base} == {1: "one", 2: "five,seven", 4: "last", 5: "last", 12: "five"}
+    assert (got[2].n_base, got[5].first_word) == (2, 1)
+    assert {i: r.labels for i, r in got.items() if r.labels != r.base_labels} == {6: "single", 7: "gap", 8: "tail", 9: "short", 10: "long,other", 12: "five,long,other,short"}
+    assert licenses.compile_template("head [[and tail]]").run(b"head and tail x".split()) == (True, 1.0, 3)
+    none = licenses.scan_licenses(make(spark, rows), {}, {}).collect()
+    assert all((r.n_base, r.labels, r.score) == (0, "", 0.0) for r in none)
+
+
+def test_spdx_marks(spark):
+    marks = {"MIT": "spdx-mit", "MIT-0": "spdx-mit-0", "GPL-2.0-or-later": "spdx-gpl-2.0-or-later", "GPL-2.0": "spdx-gpl-2.0", "Apache-2.0": "spdx-apache-2.0", "Nothing-1.0": ""}
+    rows = [(i, f"# SPDX-License-Identifier: {x}\nimport os", "en", "a") for i, x in enumerate(marks)]
+    got = {r.id: r.labels for r in licenses.scan_licenses(make(spark, rows)).collect()}
+    assert [got[i] for i in range(len(marks))] == list(marks.values())
+
+
 def test_license_texts_are_read_to_their_end(spark):
     """Against the published texts: whole ones are accepted, those with an altered, cut or added part aren't."""
     head = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
