@@ -187,8 +187,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
              .mapInArrow(_index_block, "dims int, block long, least long, bits int, ids binary, slices binary"))
     asked = (placed.where("asks").withColumn("asked_block", F.pmod(spread, F.col("asked_blocks"))).repartition("dims", "asked_block")
              .sortWithinPartitions("dims", "asked_block").select("dims", "asked_block", "id", "q").mapInArrow(_ask_block, "dims int, asked_block long, asked binary"))
-    index = index.join(sizes, "dims").withColumn("asked_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asked_blocks") - 1))).drop("blocks", "asked_blocks")
+    # The index stays one row a block; packed queries go to every block of their length.
     asked = asked.join(sizes, "dims").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks", "asked_blocks")
-    best = index.join(asked, ["dims", "block", "asked_block"]).select("dims", "bits", "least", "ids", "slices", "asked").mapInArrow(_search(k), "query_id long, id long, score long")
+    best = index.join(asked.drop("asked_block"), ["dims", "block"]).select("dims", "bits", "least", "ids", "slices", "asked").mapInArrow(_search(k), "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
