@@ -238,3 +238,22 @@ def _(v):
     rows.select("log_id", F.col("raw").alias("value")).write.partitionBy("log_id").text(path)  # a file for each log
     found = nmf.container_metadata(nmf.read_containers(v.spark, path)).drop("tags")
     return found.withColumn("log_id", F.regexp_extract("log_id", r"log_id=(\d+)", 1).cast("long"))
+
+
+@query("S9_sticky_states", "ev", """
+, r AS (SELECT user_id % 5 AS log_id, event_id AS line_no, ts_ms, k % 5 AS t, k, event_id AS e FROM ev WHERE k % 5 < 4)
+, x AS (SELECT *, CASE WHEN t = 0 THEN CAST((e % 27 - 3) || '.5' AS DOUBLE) END AS tx, CASE WHEN t = 0 THEN k % 3 END AS tpc, CASE WHEN t = 1 THEN e % 40 + 0.25::DOUBLE END AS nb,
+   CASE WHEN t = 2 AND e % 2500 <= 2000 THEN CAST(e % 2500 AS DOUBLE) END AS ta,
+   CASE WHEN t = 3 AND k % 2 = 0 THEN CAST(CASE WHEN e % 20 BETWEEN 1 AND 15 THEN e % 20 WHEN e % 17 BETWEEN 1 AND 15 THEN e % 17 END AS DOUBLE) END AS cqi FROM r)
+SELECT log_id, line_no, last_value(tx IGNORE NULLS) OVER w AS tx, last_value(tpc IGNORE NULLS) OVER w AS tpc, last_value(nb IGNORE NULLS) OVER w AS node_b_tx, last_value(ta IGNORE NULLS) OVER w AS timing_advance,
+ last_value(cqi IGNORE NULLS) OVER w AS cqi_dl FROM x WINDOW w AS (PARTITION BY log_id ORDER BY ts_ms, line_no ROWS UNBOUNDED PRECEDING)
+""")
+def _(v):
+    e, t = F.col("event_id").cast("string"), F.col("k") % 5
+    raw = (
+        F.when(t == 0, F.format_string("TXPC,,,5,%d.5,%d", F.col("event_id") % 27 - 3, F.col("k") % 3)).when(t == 1, F.format_string("RXPC,,,5,,%d.25", F.col("event_id") % 40))
+        .when(t == 2, F.format_string("TAD,,,7,%d", F.col("event_id") % 2500))
+        .when(t == 3, F.format_string("CQI,,,%d,,,,%d,%d", F.when(F.col("k") % 2 == 0, 7).otherwise(5), F.col("event_id") % 20, F.col("event_id") % 17)).otherwise(F.concat(F.lit("OTHER,"), e))
+    )
+    d = v.ev.select((F.col("user_id") % 5).alias("log_id"), F.col("event_id").alias("line_no"), "ts_ms", F.split(raw, ",").alias("parts"))
+    return nmf.sticky_states(d.withColumn("header", F.col("parts")[0])).select("log_id", "line_no", *nmf.STICKY)

@@ -536,11 +536,34 @@ def event_1a_history(records: DataFrame) -> DataFrame:
     return d.select(*base, F.explode(F.filter(F.transform(starts, run), lambda r: r.isNotNull())).alias("r")).select(*base, "r.*")
 
 
+STICKY = ("tx", "tpc", "node_b_tx", "timing_advance", "cqi_dl")
+
+
+def sticky_states(records: DataFrame, keys: Sequence[str] = KEYS, block_ms: int = ordered.HOUR_MS) -> DataFrame:
+    """At each power, timing-advance and channel-quality row the latest value of every kind known by then.
+
+    Values that can't be (an advance beyond 0 to 2000, a quality beyond 1 to 15, a quality of another technology than LTE) leave
+    the known one as it is.
+    """
+    h = F.col("header")
+    strict = lambda i, lo, hi: F.when(F.trim(part(i)).try_cast("double").between(lo, hi), F.trim(part(i)).try_cast("double"))
+    advance = num(part(4))
+    values = {
+        "tx": F.when(h == "TXPC", num(part(4))), "tpc": F.when(h == "TXPC", integer(part(5))), "node_b_tx": F.when(h == "RXPC", num(part(5))),
+        "timing_advance": F.when((h == "TAD") & advance.between(0, 2000), advance),
+        "cqi_dl": F.when((h == "CQI") & (integer(part(3)) == 7), F.coalesce(strict(7, 1, 15), strict(8, 1, 15))),
+    }
+    d = records.where(h.isin("TXPC", "RXPC", "TAD", "CQI"))
+    base = [c for c in records.columns if c not in ("parts", "raw", "header", *values)]
+    d = d.select(*base, *[v.alias(n) for n, v in values.items()])
+    return ordered.with_last_known(d, keys, {n: n for n in values}, seq="line_no", block_ms=block_ms)
+
+
 def measurement_points(cells: DataFrame, gps: DataFrame, identities: DataFrame, states: DataFrame, keys: Sequence[str] = KEYS, block_ms: int = ordered.HOUR_MS) -> DataFrame:
     """Cell measurements with the position, identity and sticky radio state known at their time; rows without position are dropped."""
     g = gps.select(*keys, "ts_ms", F.col("line_no").alias("seq"), "lat", "lon", "alt", "speed")
     i = identities.where("event is null").select(*keys, "ts_ms", F.col("line_no").alias("seq"), "rat", "cid", "rnc", "lac", "psc")
     d = timejoin.asof_backward(cells, g, keys, left_seq="line_no", value="gps", block_ms=block_ms).where("gps is not null")
     d = timejoin.asof_backward(d, i, keys, left_seq="line_no", value="identity", block_ms=block_ms)
-    s = states.select(*keys, "ts_ms", F.col("line_no").alias("seq"), "tx", "tpc")
+    s = states.select(*keys, "ts_ms", F.col("line_no").alias("seq"), *[c for c in STICKY if c in states.columns])
     return timejoin.asof_backward(d, s, keys, left_seq="line_no", value="state", block_ms=block_ms)

@@ -163,6 +163,15 @@ def test_points_carry_position_identity_and_power(spark, tmp_path):
     assert (p[0].identity.cid, p[0].identity.lac, p[0].identity.psc, p[0].state.tx) == (40112233, 7100, 23, 12.5)
 
 
+def test_points_carry_the_latest_value_of_every_kind(spark, tmp_path):
+    text = '#START,21:05:00.000,,"24.12.2025"\n' + "\n".join([
+        "CHI,21:05:00.400,,5,0,0,40112233,7100,23", "TXPC,21:05:00.500,,5,12.5,1", "TAD,21:05:00.600,,7,31", "TAD,21:05:00.700,,7,2001", "CQI,21:05:00.800,,7,0,0,0,16,9", "CQI,21:05:00.900,,5,0,0,0,3,3",
+        "RXPC,21:05:01.000,,5,0,33.5", "TXPC,21:05:01.200,,5,x,2", "GPS,21:05:01.900,,-8.25,31.5,350,,,,", CELL]) + "\n"
+    r = records(spark, tmp_path, a=text)
+    (p,) = nmf.measurement_points(nmf.umts_cellmeas(r), nmf.gps_rows(r), nmf.identity_track(r), nmf.sticky_states(r)).collect()
+    assert {c: p.state[c] for c in nmf.STICKY} == {"tx": 12.5, "tpc": 2, "node_b_tx": 33.5, "timing_advance": 31.0, "cqi_dl": 9.0}
+
+
 def test_container(spark):
     lines = ["NMFS\x01\x00\x00Q#PRODUCT,,,\"HANDHELD\"", "#START,10:00:00.000,,\"16.12.2025\"", "CHI,10:00:00.000,,7,0,0,0,0,0,40112233,7100",
              "GPS,10:00:00.000,,-8.25,31.5,10,0,0,20", "#STOP,10:00:10.000,,\"16.12.2025\""]

@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 SF = os.environ.get("DRIVESCOPE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUICK = ["W3_detect_dips", "J1_nearest_join", "J6_preferred_report", "A13_mismatch_verdict", "K13_ho_classify_intra", "A27_pilot_pollution_score", "K16_evaluate_a3", "J17_pair_by_position",
-         "S2_absolute_time", "J13_serving_site_lookup", "K17_reconfiguration_properties", "K17_resolvers_from_json", "A16_core_metrics_by_tech", "A27_extended_profile", "K8_deep_scores"]
+         "S2_absolute_time", "S9_sticky_states", "J13_serving_site_lookup", "K17_reconfiguration_properties", "K17_resolvers_from_json", "A16_core_metrics_by_tech", "A27_extended_profile", "K8_deep_scores"]
 CHECKED = sorted(entry.oracle_sql()) if os.environ.get("DRIVESCOPE_ALL") else QUICK
 
 
