@@ -213,18 +213,102 @@ def reduce_window(
 ) -> DataFrame:
     """Interval join reduced straight back to one row per anchor; anchors without rows are kept.
 
-    ``aggs`` are aggregates over anchor columns and ``row.*``; the pairs are combined map-side before the shuffle.
+    ``aggs`` are aggregates over anchor columns and ``row.*``; the pairs are combined map-side before the shuffle. All pairs are
+    formed: where only nearest rows are asked, ``reduce_nearest`` does without them.
     """
     pairs = interval_join(
         anchors, rows, keys, before_ms, after_ms, anchor_ts=anchor_ts, row_ts=row_ts, how="left", row=row,
         condition=condition,
     )
-    keep = [c for c in anchors.columns if c not in anchor_id]
+    return _per_anchor(pairs, anchors.columns, anchor_id, aggs)
+
+
+def _per_anchor(pairs: DataFrame, columns: Sequence[str], anchor_id: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
+    """One row per anchor, its own columns kept."""
+    keep = [c for c in columns if c not in anchor_id]
     return pairs.groupBy(*anchor_id).agg(
         *([F.first(F.struct(*keep)).alias("_anchor")] if keep else []), *[c.alias(n) for n, c in aggs.items()]
     ).select(*anchor_id, *[F.col(f"_anchor.{c}").alias(c) for c in keep], *aggs)
 
 
+def nearest_pairs(
+    anchors: DataFrame,
+    rows: DataFrame,
+    keys: Sequence[str],
+    before_ms: int,
+    after_ms: int,
+    classes: Sequence[Column | None] = (None,),
+    *,
+    anchor_ts: str = "ts_ms",
+    row_ts: str = "ts_ms",
+    row: str = "row",
+    ties: Sequence[str] = ("seq",),
+    match: tuple[str, str] | None = None,
+    unknown_matches: bool = False,
+) -> DataFrame:
+    """Those pairs of ``interval_join`` that can be the nearest: of each class the last row up to the anchor and the first from it on.
+
+    A class is a condition on the columns of ``rows`` (None: all of them); of rows of one time the first by ``ties`` is taken.
+    An anchor has two pairs a class at most however many rows its window holds, and one without row if it holds none. Both
+    sides share a timeline per (key, bucket); as in ``window_pairs``, rows are copied to two buckets at most.
+
+    ``match`` names a whole number of each side: a row counts if its value is null or the anchor's. An anchor without value
+    matches rows without value only, or every row with ``unknown_matches``. Anchors stand once for either kind of row then,
+    so reduce the result by anchor.
+    """
+    width = before_ms + after_ms + 1
+    part = [f"_k{i}" for i in range(len(keys))]
+    rtype = rows.select(F.struct(*rows.columns).alias("r")).schema["r"].dataType
+    atype = anchors.select(F.struct(*anchors.columns).alias("a")).schema["a"].dataType
+    none = lambda t: F.lit(None).cast(t)
+    tie, is_in = [f"_tie{i}" for i in range(len(ties))], [f"_is{i}" for i in range(len(classes))]
+    a = anchors.select(
+        *[F.col(k).alias(n) for k, n in zip(keys, part, strict=True)], block_of(anchor_ts, width).alias("_b"), F.col(anchor_ts).alias("_t"), F.lit(1).alias(_SIDE),
+        *[none(rows.schema[c].dataType).alias(n) for c, n in zip(ties, tie, strict=True)], *[F.lit(False).alias(n) for n in is_in],
+        F.struct(*anchors.columns).alias("_a"), none(rtype).alias("_r"))
+    reach = F.sequence(block_of(F.col(row_ts) - after_ms, width), block_of(F.col(row_ts) + before_ms, width))
+    r = rows.where(F.col(row_ts).isNotNull()).dropna(subset=list(keys)).select(
+        *[F.col(k).alias(n) for k, n in zip(keys, part, strict=True)], F.explode(reach).alias("_b"), F.col(row_ts).alias("_t"), F.lit(0).alias(_SIDE),
+        *[F.col(c).alias(n) for c, n in zip(ties, tie, strict=True)],
+        *[(F.lit(True) if c is None else F.coalesce(c, F.lit(False))).alias(n) for c, n in zip(classes, is_in, strict=True)],
+        none(atype).alias("_a"), F.struct(*rows.columns).alias("_r"))
+    if match is not None:
+        lane = lambda kind, value=F.lit(None): F.struct(F.lit(kind).alias("kind"), value.cast("long").alias("value"))
+        own, given = F.col(f"_a.{match[0]}"), F.col(f"_r.{match[1]}")
+        a = a.withColumn("_lane", F.explode(F.when(own.isNull(), F.array(lane(2 if unknown_matches else 0))).otherwise(F.array(lane(0), lane(1, own)))))
+        held = F.when(given.isNull(), lane(0)).otherwise(lane(1, given))
+        r = r.withColumn("_lane", F.explode(F.array(held, lane(2))) if unknown_matches else held)
+    part += ["_b"] if match is None else ["_b", "_lane"]
+    # rows before the anchor of their time either way, the first of a time last
+    late = [F.desc(n) for n in tie]
+    back = Window.partitionBy(*part).orderBy("_t", _SIDE, *late).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*part).orderBy(F.desc("_t"), _SIDE, *late).rowsBetween(Window.unboundedPreceding, 0)
+    held = [F.when(F.col(n), F.struct(F.col("_t").alias("t"), F.col("_r").alias("r"))) for n in is_in]
+    found = {f"_{side}{i}": F.last(c, ignorenulls=True).over(w) for side, w in (("back", back), ("ahead", ahead)) for i, c in enumerate(held)}
+    d = a.unionByName(r).withColumns(found).where(F.col(_SIDE) == 1)
+    near = lambda x: x.isNotNull() & x["t"].between(F.col("_t") - before_ms, F.col("_t") + after_ms)
+    return d.select("_a", F.explode_outer(F.filter(F.array(*found), near)).alias("_x")).select("_a.*", F.col("_x.r").alias(row))
+
+
+def reduce_nearest(
+    anchors: DataFrame,
+    rows: DataFrame,
+    keys: Sequence[str],
+    before_ms: int,
+    after_ms: int,
+    anchor_id: Sequence[str],
+    aggs: Mapping[str, Column],
+    classes: Sequence[Column | None] = (None,),
+    *,
+    row: str = "row",
+    **how,
+) -> DataFrame:
+    """``reduce_window`` over the pairs of ``nearest_pairs``: the same result for aggregates that take, of each class, a nearest
+    row up to the anchor or from it on."""
+    pairs = nearest_pairs(anchors, rows, keys, before_ms, after_ms, classes, row=row, **how)
+    return _per_anchor(pairs, anchors.columns, anchor_id, aggs)
+
+
 def nearest_event(anchor_ts: Column, row: str = "row", ts: str = "ts_ms", seq: str = "seq", where: Column | None = None) -> Column:
     """Aggregate: the row closest to the anchor, the earlier one on a tie."""
     t = F.col(f"{row}.{ts}")

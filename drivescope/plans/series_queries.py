@@ -289,10 +289,10 @@ FROM v_points p LEFT JOIN b ON b.point_seq = p.seq AND rn = 1
 """
 
 
-def _reduce_marks(v, cls, before, after, agg, condition=None):
+def _reduce_marks(v, cls, before, after, agg, classes=(None,), match=None):
     pts = v.v_points.select(F.col("seq").alias("point_seq"), "log_id", "device_id", "ts_ms", "pci")
-    marks = v.v_marks.where(F.col("class") == cls)
-    d = timejoin.reduce_window(pts, marks, ["log_id", "device_id"], before, after, ["point_seq"], {"best": agg}, condition=condition)
+    marks = v.v_marks.where(F.col("class") == cls).select("log_id", "device_id", "ts_ms", "seq", "tgt_pci", "exact_a3")
+    d = timejoin.reduce_nearest(pts, marks, ["log_id", "device_id"], before, after, ["point_seq"], {"best": agg}, classes, match=match)
     return d.select("point_seq", "ts_ms", F.col("best.seq").alias("event_seq"), (F.col("best.ts_ms") - F.col("ts_ms")).alias("delta_ms"))
 
 
@@ -300,8 +300,7 @@ def _reduce_marks(v, cls, before, after, agg, condition=None):
     cls="ho_command", rng="abs(m.ts_ms - p.ts_ms) <= 7200000", extra="AND (m.tgt_pci IS NULL OR m.tgt_pci = p.pci)",
     order="abs(m_ts - ts_ms), m_ts, m_seq"))
 def _(v):
-    ok = F.col("row.tgt_pci").isNull() | (F.col("row.tgt_pci") == F.col("pci"))
-    return _reduce_marks(v, "ho_command", 7200000, 7200000, timejoin.nearest_event(F.col("ts_ms")), ok)
+    return _reduce_marks(v, "ho_command", 7200000, 7200000, timejoin.nearest_event(F.col("ts_ms")), match=("pci", "tgt_pci"))
 
 
 @query("J5_first_event_after", "v_points v_marks", MARK_PAIRS.format(
@@ -315,7 +314,8 @@ def _(v):
     order="CASE WHEN exact_a3 THEN 0 ELSE 1 END, CASE WHEN m_ts <= ts_ms THEN 0 ELSE 1 END, abs(m_ts - ts_ms), m_ts, m_seq"))
 def _(v):
     agg = timejoin.preferred_report(F.col("ts_ms"), F.col("row.exact_a3"))
-    return _reduce_marks(v, "measurement_report", 7200000, 7200000, agg)
+    exact = F.coalesce("exact_a3", F.lit(False))
+    return _reduce_marks(v, "measurement_report", 7200000, 7200000, agg, [exact, ~exact])
 
 
 @query("S9_carry_forward", "v_radio", """

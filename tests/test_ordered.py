@@ -116,3 +116,24 @@ def test_window_pairs_hold_every_pair_once_and_need_no_shuffle(spark, table, row
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2, plan  # one for each side, none for the pairs
     assert {r.a: r["count"] for r in counted.collect()} == {a: sum(1 for x in want if x[0] == a) for a in {x[0] for x in want}}
+
+
+@pytest.mark.parametrize("before, after", [(20, 5), (0, 90), (400, 400)])
+def test_nearest_pairs_give_what_all_pairs_give_but_two_a_class(spark, table, before, after):
+    """Windows full of rows: an anchor keeps its nearest rows only, and every nearest-row aggregate is that of all pairs."""
+    anchors = table.where("seq % 3 = 0").select("k", "ts_ms", F.col("seq").alias("a"), F.when(F.col("seq") % 9 != 0, F.col("seq") % 4).alias("cell"))
+    anchors = anchors.unionByName(spark.createDataFrame([(None, 50, 9002, 1), (0, None, 9003, 1)], anchors.schema))
+    samples = table.select("k", "ts_ms", "seq", F.when(F.col("seq") % 5 != 0, F.col("seq") % 4).alias("cell"), (F.col("seq") % 7 == 1).alias("exact"))
+    samples = samples.unionByName(spark.createDataFrame([(None, 50, 9004, 1, True), (0, None, 9005, 1, True)], samples.schema))
+    near, at = F.col("exact"), F.col("ts_ms")
+    aggs = {"nearest": timejoin.nearest_event(at), "first": timejoin.first_event_after(at, after), "best": timejoin.preferred_report(at, F.col("row.exact"))}
+    seqs = lambda d: sorted((r.a, *(r[n] and r[n].seq for n in aggs)) for r in d.collect())
+    got = timejoin.reduce_nearest(anchors, samples, ["k"], before, after, ["a"], aggs, [near, ~near])
+    assert seqs(got) == seqs(timejoin.reduce_window(anchors, samples, ["k"], before, after, ["a"], aggs))
+    pairs = timejoin.nearest_pairs(anchors, samples, ["k"], before, after, [near, ~near]).groupBy("a").count()
+    assert pairs.agg(F.max("count")).head()[0] <= 4
+    own, given = F.col("cell"), F.col("row.cell")
+    for unknown in (False, True):
+        ok = given.isNull() | (given == own) | (own.isNull() if unknown else F.lit(False))
+        got = timejoin.reduce_nearest(anchors, samples, ["k"], before, after, ["a"], aggs, [near, ~near], match=("cell", "cell"), unknown_matches=unknown)
+        assert seqs(got) == seqs(timejoin.reduce_window(anchors, samples, ["k"], before, after, ["a"], aggs, condition=ok))
