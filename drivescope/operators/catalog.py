@@ -257,10 +257,15 @@ def scheduler_limitations(fields: DataFrame, payload: DataFrame, runs: DataFrame
 
 def scheduler_at_time(samples: DataFrame, times: DataFrame, window_ms: int = 2000, keys: Sequence[str] = ("run_id",)) -> DataFrame:
     """Nearest value of each field around each asked time (table: keys, time_id, ts_ms)."""
-    pairs = timejoin.interval_join(times, scheduler_samples(samples), keys, max(1, window_ms), max(1, window_ms))
+    s = scheduler_samples(samples).select(*keys, "field", "ts_ms", "seq", "name", "value_num")
+    fields = s.groupBy(*keys).agg(F.collect_set("field").alias("field"))
+    # one anchor a time and field, so only the nearest samples of the field meet it
+    asked = ordered.attach(times.select(*keys, "time_id", "ts_ms"), fields, keys, by=("ts_ms", "time_id")).withColumn("field", F.explode("field"))
+    near = max(1, window_ms)
+    pairs = timejoin.nearest_pairs(asked, s, [*keys, "field"], near, near).where("row is not null")
     t = F.col("row.ts_ms")
     order = F.struct(F.abs(t - F.col("ts_ms")), t, F.col("row.seq"))
-    return pairs.groupBy(*keys, "time_id", F.col("row.field").alias("field")).agg(
+    return pairs.groupBy(*keys, "time_id", "field").agg(
         F.min_by(F.struct(F.col("row.value_num").alias("value"), F.col("row.name").alias("metric"),
                           F.abs(t - F.col("ts_ms")).alias("delta_ms")), order).alias("b")
     ).select(*keys, "time_id", "field", "b.*")

@@ -49,11 +49,15 @@ def nearest_in_window(
     tol = max(1, tolerance_ms)
     tagged = tag_fields(samples, candidates, keys)
     chosen = tagged.select(*keys, "field", "name").distinct()
-    pairs = timejoin.interval_join(times, tagged.where("value_num is not null"), keys, tol, tol)
+    # one anchor a time and field, so only the nearest samples of the field meet it
+    asked = ordered.attach(times.select(*keys, "time_id", "ts_ms"), chosen.groupBy(*keys).agg(F.collect_set("field").alias("field")), keys, by=("ts_ms", "time_id"))
+    row = tagged.where("value_num is not null").select(
+        *keys, "field", "ts_ms", F.coalesce("idx", F.lit(0)).alias("idx"), "seq", "value_num")
     t = F.col("row.ts_ms")
-    order = F.struct(F.abs(t - F.col("ts_ms")), t, F.coalesce("row.idx", F.lit(0)), F.col("row.seq"))
-    best = pairs.groupBy(*keys, "time_id", F.col("row.field").alias("field")).agg(
-        F.min_by(F.struct(F.col("row.value_num").alias("value"), F.abs(t - F.col("ts_ms")).alias("delta_ms"), t.alias("sample_ts")), order).alias("b"))
+    order = F.struct(F.abs(t - F.col("ts_ms")), t, F.col("row.idx"), F.col("row.seq"))
+    pairs = timejoin.nearest_pairs(asked.withColumn("field", F.explode("field")), row, [*keys, "field"], tol, tol, ties=("idx", "seq"))
+    best = pairs.groupBy(*keys, "time_id", "field").agg(
+        F.min_by(F.struct(F.col("row.value_num").alias("value"), F.abs(t - F.col("ts_ms")).alias("delta_ms"), t.alias("sample_ts")), F.when(t.isNotNull(), order)).alias("b"))
     return times.select(*keys, "time_id").join(chosen, list(keys)).join(best, [*keys, "time_id", "field"], "left").select(
         *keys, "time_id", "field", F.col("name").alias("metric"), "b.value", "b.delta_ms", "b.sample_ts")
 
@@ -210,10 +214,10 @@ def neighbors_at_time(
     r = materialize(meas_config_state(r, renamed, "object_id", [f"obj_{c}" for c in obj], keys, block_ms).drop("time_id"), "reports")
     has = F.size("row.neighbors") > 0
     dt = F.abs(F.col("row.ts_ms") - F.col("ts_ms"))
-    d = timejoin.reduce_window(times, r, keys, window_ms, window_ms, [*keys, "time_id"], {
+    d = timejoin.reduce_nearest(times, r, keys, window_ms, window_ms, [*keys, "time_id"], {
         "exact_first": F.min_by("row", F.when(dt == 0, F.col("row.seq"))), "exact_with": F.min_by("row", F.when((dt == 0) & has, F.col("row.seq"))),
         "nearest": F.min_by("row", F.when(has, F.struct(dt, F.col("row.ts_ms"), F.col("row.seq")))),
-    })
+    }, [None, F.size("neighbors") > 0])
     d = timejoin.asof_backward(d, hints, keys, left_seq="time_id", value="hint", block_ms=block_ms)
     source = F.coalesce("exact_first", "nearest")
     d = d.withColumn("_src", source).withColumn("_exact", F.coalesce("exact_with", "exact_first"))
@@ -239,14 +243,15 @@ def neighbors_at_time(
             _type_of(F.col("rat"), F.col("obj_rat"), F.col("obj_earfcn"), F.col("serving_earfcn")).alias("type"), F.lit(label).alias("source"),
             F.abs(F.col("_mt") - F.col("ts_ms")).alias("delta_ms"), F.lit(layer).alias("layer"), "pos")
 
-    first = object_ops.groupBy(*keys).agg(F.min("ts_ms").alias("_first"))
-    state = config_validity(object_ops, "object_id", [*obj, "cells"], keys, block_ms)
-    # open intervals end with the last asked time; the config table is small, its rows per bucket are the live objects
-    horizon = times.groupBy(*keys).agg(F.max("ts_ms").alias("_last"))
-    state = state.join(horizon, keys).withColumn("_end", F.coalesce(F.col("valid_to") - 1, F.greatest("_last", "valid_from")))
+    # the state of each object a run ever has, at each asked time: a run has a few dozen objects, however often they change
+    first = object_ops.groupBy(*keys).agg(F.min("ts_ms").alias("_first"), F.collect_set(F.struct("object_id")).alias("_o"))
+    rank = F.when(F.col("op") == "remove", 0).otherwise(1)
+    state = object_ops.where("ts_ms is not null").groupBy(*keys, "object_id", "ts_ms").agg(
+        F.max_by(F.struct("op", "seq", *obj, "cells"), F.struct(F.col("seq"), rank)).alias("o")).select(*keys, "object_id", "ts_ms", "o.*")
     asked = ordered.attach(d.select(*keys, "time_id", "ts_ms", "serving_earfcn"), first, keys, by=("ts_ms", "time_id")).withColumn("_at", F.greatest("ts_ms", "_first"))
-    conf = timejoin.span_join(state, asked.drop("_first"), keys, "valid_from", "_end", block_ms, row_ts="_at")
-    conf = conf.select(*keys, F.col("row.time_id").alias("time_id"), F.col("row.serving_earfcn").alias("serving_earfcn"), *obj, F.posexplode("cells").alias("pos", "cell"))
+    asked = asked.select(*keys, "time_id", "serving_earfcn", "_at", F.explode("_o").alias("_o")).select("*", "_o.object_id").drop("_o")
+    conf = timejoin.asof_backward(asked, state, [*keys, "object_id"], left_ts="_at", left_seq="time_id", value="_state", block_ms=block_ms).where("_state.op <> 'remove'")
+    conf = conf.select(*keys, "time_id", "serving_earfcn", *[F.col(f"_state.{c}").alias(c) for c in obj], F.posexplode("_state.cells").alias("pos", "cell"))
     num = F.col("cell").try_cast("long")
     conf = conf.select(
         *keys, "time_id", "rat", F.when(F.col("rat") == "LTE", num).alias("pci"), F.when(F.col("rat") == "UTRA", num).alias("psc"),
