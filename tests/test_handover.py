@@ -78,3 +78,17 @@ def test_result_does_not_depend_on_layout(drives):
 def test_effective_delta(spark):
     row = spark.range(1).select(S.effective_delta(F.lit(-100.0), F.lit(-95.0)).alias("a"), S.effective_delta(F.lit(-100.0), F.lit(-95.0), F.lit(2.0), F.lit(0.0)).alias("b")).first()
     assert (row.a, row.b) == (5.0, 3.0)
+
+
+def test_returns_are_found_by_rounds(spark):
+    """Many returns lie too far away before one is near enough; the first near one counts, too late ones and other ways don't."""
+    at = lambda no, t, a, b, lat: (1, 1, no, t, t, a, b, (lat, 0.0), (lat, 0.0))
+    hos = [at(0, 0, 1, 2, 0.0), *[at(i, i, 2, 1, 5.0 + i) for i in range(1, 40)], at(40, 40, 2, 1, None), at(41, 41, 2, 1, 0.0), at(42, 42, 1, 2, 50.0), at(43, 900, 2, 1, 50.0)]
+    hos += [(None, 1, 50, 1, 1, 1, 2, (0.0, 0.0), (0.0, 0.0)), (None, 1, 51, 2, 2, 2, 1, (0.0, 0.0), (0.0, 0.0)), at(60, 1000, None, 2, 0.0), at(61, 1001, 2, None, 0.0)]
+    geo = "struct<lat:double,lon:double>"
+    d = spark.createDataFrame(hos, f"log_id long, device_id long, transition_no long, start_ts long, complete_ts long, source_pci long, target_pci long, source {geo}, target {geo}")
+    d = d.withColumn("command_ts", F.lit(None).cast("long"))
+    cfg = replace(H.HoConfig(), ping_pong_time_ms=500, ping_pong_distance_m=1000.0)
+    for width in (2, 16):
+        got = {r.first_no: (r.second_no, r.delta_ms) for r in H.ping_pong(d, cfg, width=width).collect()}
+        assert got == {0: (40, 40), 40: (42, 2)}  # the position of 40 is unknown
