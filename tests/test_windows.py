@@ -133,3 +133,60 @@ def test_handover_evidence_without_pairs(spark, monkeypatch):
         if h["report_ts"] is not None:
             mine["a3_like_ts"] = r["a3_like_ts"]
         assert mine == want, h
+
+
+def test_call_flags_and_timeline_equal_a_look_at_all_entries(spark, monkeypatch):
+    """Entries of other calls, repeated entries, unknown headers and ends before the start; no timeline is formed for the flags."""
+    from drivescope.operators import sessions
+
+    rng = random.Random(3)
+    maybe = lambda x, share=0.1: None if rng.random() < share else x
+    heads, raws = ["CAA", "CAD", "RRC", "SHO", "L3SM"], ["HANDOVER x", "ADMISSION", "REJECT", "Paging", "SETUP"]
+    events = [(maybe(rng.randint(1, 3)), maybe(rng.randint(0, 9)), maybe(rng.randint(0, 60)), i, maybe(rng.choice(heads)), maybe(rng.choice(raws))) for i in range(160)]
+    calls = [(rng.randint(1, 4), i, maybe(rng.randint(0, 50)), maybe(rng.randint(0, 60))) for i in range(40)] + [(None, 99, 0, 60)]
+    e = spark.createDataFrame(events, "device_id long, call_id long, ts_ms long, seq long, header string, raw string")
+    s = spark.createDataFrame(calls, "device_id long, call_id long, start_ts long, end_ts long")
+    timeline = sessions.session_timeline(s, e, bucket_ms=7)
+    want = {}
+    for d, c, start, end in calls:
+        for dev, call, t, seq, head, raw in events:
+            if None in (d, start, end, t) or dev != d or not start <= t <= end or not (call == c or (head is not None and head not in sessions.CALL_HEADERS)):
+                continue
+            want[d, c, t, head, raw] = min(seq, want.get((d, c, t, head, raw), seq))
+    assert {(r.device_id, r.call_id, r.ts_ms, r.header, r.raw): r.seq for r in timeline.collect()} == want and timeline.count() == len(want)
+    order = lambda rows: sorted((tuple(r) for r in rows), key=lambda r: (r[0], r[1]))
+    flags = order(sessions.timeline_flags(timeline).collect())
+    monkeypatch.setattr(timejoin, "span_join", lambda *a, **k: pytest.fail("whole timelines"))
+    assert len(flags) > 10 and order(sessions.session_flags(s, e, block_ms=9).collect()) == flags
+
+
+def test_radio_windows_without_pairs(spark, monkeypatch):
+    """Power and block errors of a window with nulls, ties and repeated times."""
+    from drivescope.operators import radio
+
+    rng = random.Random(4)
+    maybe = lambda x, share=0.15: None if rng.random() < share else x
+    tx = [(maybe(rng.randint(1, 2)), maybe(rng.randint(0, 300)), i, maybe(float(rng.randint(-5, 20)))) for i in range(250)]
+    bler = [(maybe(rng.randint(1, 2)), maybe(rng.randint(0, 300)), i, maybe(float(rng.randint(0, 100))), maybe(rng.randint(0, 100) / 4)) for i in range(120)]
+    calls = [(rng.randint(1, 3), i, maybe(rng.randint(-20, 340))) for i in range(60)]
+    servers = spark.createDataFrame([], "device_id long, ts_ms long, row_seq long, psc long, rscp double, ecno double, rssi double, cell_id long, uarfcn long, pilots long, gap double")
+    joined, plain = [], timejoin.interval_join
+    monkeypatch.setattr(timejoin, "interval_join", lambda a, rows, *x, **k: joined.append(rows.columns) or plain(a, rows, *x, **k))
+    d = radio.radio_snapshot(
+        spark.createDataFrame(calls, "device_id long, call_id long, end_ts long"), servers, spark.createDataFrame(tx, "device_id long, ts_ms long, seq long, tx double"),
+        spark.createDataFrame(bler, "device_id long, ts_ms long, seq long, bler_max double, bler_mean double"), window_ms=40)
+    got = {r.call_id: r for r in d.collect()}
+    assert joined == [servers.columns]
+    assert set(got) == {c for _, c, end in calls if end is not None}
+    for dev, c, end in calls:
+        if end is None:
+            continue
+        inside = lambda rows: sorted((r for r in rows if r[0] == dev and r[1] is not None and end - 40 <= r[1] <= end), key=lambda r: r[1:3])
+        p, b = [r for r in inside(tx) if r[3] is not None], inside(bler)
+        worst, mean = [r[3] for r in b if r[3] is not None], [r[4] for r in b if r[4] is not None]
+        r = got[c]
+        assert (r.tx_count, r.tx_last, r.last_tx_ts, r.tx_max) == ((len(p), p[-1][3], p[-1][1], max(x[3] for x in p)) if p else (0, None, None, None))
+        assert r.tx_p90 == (sorted(x[3] for x in p)[math.ceil(0.9 * len(p)) - 1] if p else None)
+        assert (r.bler_rows, r.bler_max) == (len(b), max(worst, default=None))
+        assert r.bler_mean == (pytest.approx(sum(mean) / len(mean)) if mean else None)
+        assert r.bler_trend == (b[-1][4] - b[0][4] if b and None not in (b[-1][4], b[0][4]) else None)
