@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from drivescope.functions import scalars as S
-from drivescope.operators import ordered, timejoin
+from drivescope.operators import ordered, ranges, timejoin
 from drivescope.operators.staging import materialize
 
 RUN = ("run_id",)
@@ -269,26 +272,159 @@ def neighbors_at_time(
 # ---- neighbours from KPI samples ------------------------------------------------------------------------------------------
 
 
-def bucket_by_time(pairs: DataFrame, group: Sequence[str], span_ms: int = 80, ts: str = "t") -> DataFrame:
-    """Anchored buckets per group: a new one starts when a row lies more than ``span_ms`` after the current anchor.
+def _per_asked_time(times: DataFrame, samples: DataFrame, tolerance_ms: int, keys: Sequence[str], order: Sequence[str], figures: Callable, schema: str) -> DataFrame:
+    """``figures(asked, rows, lo, hi)`` over the rows [lo, hi) of each asked time's window, the rows sorted by ``order``.
 
-    The fold runs over the distinct millisecond stamps of a group with their counts, so a group's list is bounded by
-    the length of its time window, not by its rows. Returns (group, bucket, anchor, last_t, center, items).
+    One asked row a (keys, time_id), its rows counted in ``_times``: its samples stand as often. Where a ``time_id`` has several
+    times, its windows are put together first; only these form pairs.
     """
-    span = max(1, span_ms)
-    stamps = pairs.groupBy(*group, ts).agg(F.count("*").alias("n")).groupBy(*group).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col("n")))).alias("_s"))
-    zero = F.array().cast("array<struct<anchor:bigint,last_t:bigint,total:bigint,n:bigint>>")
+    tid = [*keys, "time_id"]
+    known = " and ".join(f"`{c}` is not null" for c in [*keys, "ts_ms"])
+    asked = times.where(known).groupBy(*tid).agg(F.min("ts_ms").alias("_first"), F.max("ts_ms").alias("_last"), F.count("*").alias("_times"), F.collect_list("ts_ms").alias("_all"))
+    asked = materialize(asked.withColumn("_all", F.when(F.col("_first") != F.col("_last"), F.col("_all"))), "asked")
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        t, at = _longs(right["ts_ms"]), _longs(left["_first"])
+        return figures(left, right, np.searchsorted(t, at - tolerance_ms), np.searchsorted(t, at + tolerance_ms, "right"))
+
+    names = ", ".join(f"`{n}` {times.schema[n].dataType.simpleString()}" for n in tid)
+    schema = f"{names}, {schema}"
+    found = ranges.per_stretch(asked.where("_all is null").drop("_all", "_last"), samples, keys, tolerance_ms, tolerance_ms, answer, schema, anchor_ts="_first", order=order)
+    apart = asked.where("_all is not null").select(*tid, F.explode("_all").alias("ts_ms"))
+    if apart.isEmpty():
+        return found
+    pairs = timejoin.interval_join(apart, samples, keys, tolerance_ms, tolerance_ms).drop("ts_ms").select(*tid, *[F.col(f"row.{c}").alias(c) for c in samples.columns if c not in keys])
+
+    def whole(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in order], null_placement="at_start"))
+        left = rows.slice(0, 1).select(tid).append_column("_times", pa.array([1], pa.int64()))
+        return figures(left, rows, np.array([0]), np.array([len(rows)]))
+
+    return found.unionByName(pairs.groupBy(*tid).applyInArrow(whole, schema))
+
+
+def _longs(column: pa.ChunkedArray) -> np.ndarray:
+    return column.cast(pa.int64()).fill_null(0).to_numpy()
 
-    def step(acc, x):
-        tail = F.try_element_at(acc, F.lit(-1))
-        fresh = F.struct(x["t"].alias("anchor"), x["t"].alias("last_t"), (x["t"] * x["n"]).alias("total"), x["n"].alias("n"))
-        grown = F.struct(tail["anchor"].alias("anchor"), x["t"].alias("last_t"), (tail["total"] + x["t"] * x["n"]).alias("total"), (tail["n"] + x["n"]).alias("n"))
-        opens = (F.size(acc) == 0) | (x["t"] - tail["anchor"] > span)
-        return F.when(opens, F.concat(acc, F.array(fresh))).otherwise(F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown)))
 
-    b = stamps.select(*group, F.posexplode(F.aggregate("_s", zero, step)).alias("bucket", "b"))
-    return b.select(*group, "bucket", "b.anchor", "b.last_t", F.bround(F.col("b.total") / F.col("b.n"), 0).cast("long").alias("center"), F.col("b.n").alias("items"))
+def _by_field(rows: pa.Table) -> dict[str | None, np.ndarray]:
+    """Places of the rows of each field."""
+    coded = rows["field"].combine_chunks().dictionary_encode(null_encoding="encode")
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    return {f: np.flatnonzero(codes == i) for i, f in enumerate(coded.dictionary.to_pylist())}
+
+
+def bucket_by_time(times: DataFrame, samples: DataFrame, tolerance_ms: int = 200, span_ms: int = 80, keys: Sequence[str] = RUN) -> DataFrame:
+    """Anchored buckets of the samples around each asked time, per ``field``: a new one starts when a sample lies more than ``span_ms``
+    after the current anchor.
+
+    Windows are ranges of samples sorted once (``ranges``), so no pair of time and sample is formed. Returns (keys, time_id, field,
+    bucket, anchor, last_t, center, items).
+    """
+    keys, span = list(keys), max(1, span_ms)
+    names = [*keys, "time_id", "field", "bucket", "anchor", "last_t", "center", "items"]
+
+    def figures(asked: pa.Table, rows: pa.Table, lo: np.ndarray, hi: np.ndarray) -> pa.Table:
+        at, n, out = _longs(rows["ts_ms"]), _longs(asked["_times"]), []
+        for field, places in _by_field(rows).items():
+            t, first, last = at[places], np.searchsorted(places, lo), np.searchsorted(places, hi)
+            for i, (of, start, end) in enumerate(ranges.anchored(t, first, last, span)):
+                ids = asked.select([*keys, "time_id"]).take(pa.array(of))
+                out.append(pa.table([
+                    *ids.columns, pa.array([field], pa.string()).take(pa.array(np.zeros(len(of), np.int64))), pa.array(np.full(len(of), i, np.int32)), ranges.whole(t[start]),
+                    ranges.whole(t[end - 1]), ranges.whole(ranges.centers(t, start, end, n[of])), ranges.whole((end - start) * n[of])], names=names))
+        return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in zip(names, [
+            *[asked.schema.field(c).type for c in [*keys, "time_id"]], pa.string(), pa.int32(), *[pa.int64()] * 4], strict=True)})
+
+    s = samples.select(*keys, "ts_ms", "field")
+    return _per_asked_time(times.select(*keys, "time_id", "ts_ms"), s, tolerance_ms, keys, ["ts_ms"], figures, "field string, bucket int, anchor long, last_t long, center long, items long")
+
+
+_PAIR_FIELDS = ("rsrp", "rsrq", "cinr", "earfcn")
+
+
+def _best_pairs(asked: pa.Table, rows: pa.Table, lo: np.ndarray, hi: np.ndarray, span: int, ids: Sequence[str], at_once: int = 1 << 20) -> pa.Table:
+    """The best pair of positions of each asked time and PCI (``pair_by_position``); ``at_once`` pairs are held at a time."""
+    at, n, codes = (_longs(c) for c in (rows["ts_ms"], asked["_times"], rows["_pci"]))
+    valid, value = rows["v"].is_valid().to_numpy(), rows["v"].to_numpy()
+    wide = int(at.max() - at.min()) + 1 if len(at) else 1
+    held, buckets = {}, {}
+    none = np.empty(0, np.int64)
+    fields = _by_field(rows)
+    for field in ("pci", *_PAIR_FIELDS):
+        places = fields.get(field, none)
+        t = at[places]
+        # values of a bucket: those known, from the first known one at its start on
+        upto = np.concatenate([[0], np.cumsum(valid[places])])
+        found = [*ranges.anchored(t, np.searchsorted(places, lo), np.searchsorted(places, hi), span)]
+        of, start, end, i = (np.concatenate(x) for x in zip(*[(of, s, e, np.full(len(of), k)) for k, (of, s, e) in enumerate(found)], strict=True)) if found else (none,) * 4
+        order = np.lexsort((i, of))
+        of, start, end = of[order], start[order], end[order]
+        buckets[field] = of, ranges.centers(t, start, end, n[of]), upto[start], upto[end] - upto[start]
+        held[field] = (codes if field == "pci" else value)[places[valid[places]]]
+    of, center, start, length = buckets["pci"]
+    near = {}
+    for field in _PAIR_FIELDS:
+        o_of, o_center, o_start, o_length = buckets[field]
+        if not len(o_of):
+            near[field] = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
+            continue
+        zero = at.min()
+        place = np.searchsorted(o_of * wide + o_center - zero, of * wide + center - zero)
+        best, least = np.full(len(of), -1), np.full(len(of), span + 1)
+        for x in (place - 1, place):  # the earlier one of two as near
+            there = np.clip(x, 0, len(o_of) - 1)
+            apart = np.where((x == there) & (o_of[there] == of), np.abs(o_center[there] - center), span + 1)
+            best, least = np.where(apart < least, there, best), np.minimum(apart, least)
+        near[field] = np.where(best < 0, 0, o_start[best]), np.where(best < 0, 0, o_length[best])
+    names, code = np.unique(held["pci"], return_inverse=True)
+    level, quality = held["rsrp"], held["cinr"]
+    rank = np.unique(level, return_inverse=True)[1] + 1
+    grades, grade = np.unique(np.append(quality, -np.inf), return_inverse=True)
+    out = []
+    # steps of whole asked times, a bounded number of pairs (or one time) each
+    upto = np.concatenate([[0], np.cumsum(length)])
+    edges = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
+    most, first = max(1, 4 * at_once // max(1, len(names))), 0
+    while first < len(edges) - 1:
+        last = min(max(int(np.searchsorted(upto[edges], upto[edges[first]] + at_once, "right")) - 1, first + 1), first + most, len(edges) - 1)
+        b = np.arange(edges[first], edges[last])
+        b, first = b[length[b] > 0], last
+        if not len(b):
+            continue
+        bucket = np.repeat(b, length[b])
+        begin = np.cumsum(length[b]) - length[b]
+        pos = np.arange(len(bucket)) - np.repeat(begin, length[b])
+        here, local = of[b], np.cumsum(np.diff(of[b], prepend=of[b[0]]) != 0)
+
+        def taken(field: str, values: np.ndarray, missing: float, bucket=bucket, pos=pos, b=b) -> np.ndarray:
+            if not len(values):
+                return np.full(len(bucket), missing)
+            s, size = (np.repeat(x[b], length[b]) for x in near[field])
+            return np.where(pos < size, values[np.minimum(s + pos, len(values) - 1)], missing)
+
+        score = taken("rsrp", rank, 0) * len(grades) + taken("cinr", grade[:-1], grade[-1])
+        slot = np.repeat(local, length[b]) * len(names) + code[start[bucket] + pos]
+        best = np.full((int(local[-1]) + 1) * len(names), -1)
+        np.maximum.at(best, slot, score)
+        hit = np.flatnonzero(score == best[slot])[::-1]
+        best[:] = -1
+        best[slot[hit]] = hit  # the first of equal ones is written last
+        x = best[best >= 0]
+        bucket, pos = bucket[x], pos[x]
+        values = []
+        for field in _PAIR_FIELDS:
+            s, size = near[field][0][bucket], near[field][1][bucket]
+            known = pos < size
+            found = np.zeros(len(x))
+            found[known] = held[field][(s + pos)[known]]
+            values.append(ranges.real(found, known))
+        out.append(pa.table([*asked.select(ids).take(pa.array(of[bucket])).columns, ranges.whole(names[code[start[bucket] + pos]]), *values,
+                             ranges.whole(center[bucket]), pa.array((pos * n[of[bucket]]).astype(np.int32))], names=[*ids, "pci", *_PAIR_FIELDS, "bucket_ts", "pair_index"]))
+    if out:
+        return pa.concat_tables(out)
+    empty = {**{c: asked.schema.field(c).type for c in ids}, "pci": pa.int64(), **dict.fromkeys(_PAIR_FIELDS, pa.float64()), "bucket_ts": pa.int64(), "pair_index": pa.int32()}
+    return pa.table({c: pa.array([], t) for c, t in empty.items()})
 
 
 def pair_by_position(
@@ -296,44 +432,23 @@ def pair_by_position(
 ) -> DataFrame:
     """Neighbours estimated from the flat sample streams: PCIs paired by position with the nearest bucket of each other field.
 
-    Best row per PCI, ranked N1, N2, .. by level. ``scale`` (keys, scale_div) halves doubled EARFCNs.
+    Best row per PCI, ranked N1, N2, .. by level. ``scale`` (keys, scale_div) halves doubled EARFCNs. Windows are ranges of samples
+    sorted once; a task pairs the positions of a bounded number of asked times at once and only the best of each PCI leave it.
     """
     keys = list(keys)
     tol, span = max(20, tolerance_ms), max(20, bucket_ms)
     tid = [*keys, "time_id"]
-    pairs = timejoin.interval_join(times.select(*tid, "ts_ms"), tag_fields(samples, NEIGHBOR_CANDIDATES, keys), keys, tol, tol).select(
-        *tid, F.col("row.field").alias("field"), F.col("row.ts_ms").alias("t"), F.coalesce("row.idx", F.lit(0)).alias("idx"), F.col("row.seq").alias("seq"),
-        F.col("row.value_num").alias("v"))
-    # One shuffle by asked time. A field's list holds the samples of one tolerance window, its buckets a few spans.
-    lists = pairs.repartition(*[F.col(c) for c in tid]).groupBy(*tid, "field").agg(F.array_sort(F.collect_list(F.struct("t", "idx", "seq", "v"))).alias("_s"))
-    anchors = F.aggregate("_s", F.array().cast("array<bigint>"), lambda acc, x: F.when(
-        (F.size(acc) == 0) | (x["t"] - F.try_element_at(acc, F.lit(-1)) > span), F.concat(acc, F.array(x["t"]))).otherwise(acc))
-
-    def bucket(anchor: Column, i: Column) -> Column:
-        """Centre of a bucket and its values in order."""
-        held = F.filter("_s", lambda x: (x["t"] >= anchor) & F.coalesce(x["t"] < F.get("_anchors", i + 1), F.lit(True)))
-        total = F.aggregate(held, F.lit(0).cast("long"), lambda acc, x: acc + x["t"])
-        return F.struct(F.bround(total / F.size(held), 0).cast("long").alias("center"), F.transform(F.filter(held, lambda x: x["v"].isNotNull()), lambda x: x["v"]).alias("vals"))
-
-    lists = lists.withColumn("_anchors", anchors).select(*tid, "field", F.transform("_anchors", bucket).alias("_b"))
-    fields = ("rsrp", "rsrq", "cinr", "earfcn")
-    wide = lists.groupBy(*tid).agg(*[F.any_value(F.when(F.col("field") == f, F.col("_b")), True).alias(f) for f in ("pci", *fields)])
-    rows = wide.select(*tid, *fields, F.posexplode("pci").alias("bucket", "_p"))
-
-    def nearest(field: str) -> Column:
-        """Values of the bucket of ``field`` that lies nearest to the PCI's."""
-        apart = F.transform(field, lambda x, i: F.struct(F.abs(x["center"] - F.col("_p.center")).alias("apart"), i.alias("bucket"), x["vals"].alias("vals")))
-        return F.coalesce(F.array_min(F.filter(apart, lambda x: x["apart"] <= span))["vals"], F.array().cast("array<double>"))
-
-    # Values of equal positions belong together.
-    zipped = F.arrays_zip(F.col("_p.vals").alias("pci"), *[F.col(f"_{f}").alias(f) for f in fields])
-    rows = rows.select(*tid, "bucket", "_p", *[nearest(f).alias(f"_{f}") for f in fields])
-    rows = rows.select(*tid, "bucket", F.col("_p.center").alias("center"), F.posexplode(zipped).alias("pos", "_z")).select(*tid, "bucket", "center", "pos", "_z.*")
-    rows = rows.where("pci is not null").withColumn("pci", F.bround("pci", 0).cast("long")).withColumn("earfcn", F.bround("earfcn", 0).cast("long"))
-    low = F.lit(float("-inf"))
-    score = F.struct(F.col("rsrp").isNotNull().cast("int"), F.coalesce("rsrp", low), F.coalesce("cinr", low), -F.col("center"), -F.col("bucket"), -F.col("pos"))
-    best = rows.groupBy(*tid, "pci").agg(F.max_by(F.struct("rsrp", "rsrq", "cinr", "earfcn", F.col("center").alias("bucket_ts"), F.col("pos").alias("pair_index")), score).alias("r"))
-    best = best.select(*tid, "pci", "r.*")
+    v = F.col("value_num").cast("double")
+    s = tag_fields(samples, NEIGHBOR_CANDIDATES, keys).select(
+        *keys, "ts_ms", F.coalesce("idx", F.lit(0)).alias("idx"), "seq", F.coalesce(F.isnan(v), F.lit(False)).alias("_nan"), v.alias("v"), "field",
+        F.when(F.col("field") == "pci", F.bround(v, 0).cast("long")).alias("_pci"))
+
+    def figures(asked: pa.Table, rows: pa.Table, lo: np.ndarray, hi: np.ndarray) -> pa.Table:
+        return _best_pairs(asked, rows, lo, hi, span, tid)
+
+    best = _per_asked_time(times.select(*tid, "ts_ms"), s, tol, keys, ["ts_ms", "idx", "seq", "_nan", "v"], figures,
+                           "pci long, rsrp double, rsrq double, cinr double, earfcn double, bucket_ts long, pair_index int")
+    best = best.withColumn("earfcn", F.bround("earfcn", 0).cast("long"))
     if scale is not None:
         best = ordered.attach(best, scale.select(*keys, "scale_div"), keys, "left", by=("time_id", "pci"))
         best = best.withColumn("earfcn", F.when((F.col("scale_div") == 2) & (F.col("earfcn") % 2 == 0), F.floor(F.col("earfcn") / 2)).otherwise(F.col("earfcn"))).drop("scale_div")

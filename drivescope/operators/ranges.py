@@ -7,7 +7,7 @@ that reach out of it, and numpy answers all ranges at once, in the number of sam
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -133,3 +133,26 @@ def of_one_kind(*columns: np.ndarray) -> list[np.ndarray]:
         codes = np.unique(codes * (int(own.max()) + 1) + own, return_inverse=True)[1]
     order = np.argsort(codes, kind="stable")
     return np.split(order, np.flatnonzero(np.diff(codes[order])) + 1)
+
+
+def anchored(t: np.ndarray, lo: np.ndarray, hi: np.ndarray, span: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Buckets of the ranges [lo, hi) of sorted times, the first of every range, then the second and so on: (range, start, end).
+
+    A bucket reaches from its anchor, the first time that no bucket holds yet, to the last one ``span`` behind it at most.
+    """
+    asked = np.flatnonzero(lo < hi)
+    start = lo[asked]
+    while len(asked):
+        end = np.minimum(np.searchsorted(t, t[start] + span, "right"), hi[asked])
+        yield asked, start, end
+        more = end < hi[asked]
+        asked, start = asked[more], end[more]
+
+
+def centers(t: np.ndarray, start: np.ndarray, end: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Means of the ranges of times, every time counted ``times`` times, halves to even. Sums of milliseconds need all bits of a long."""
+    first = t[0] if len(t) else 0
+    upto = np.concatenate([[0], np.cumsum(t - first)])
+    n = (end - start) * times
+    total = (upto[end] - upto[start]).astype(np.longdouble) * times + n.astype(np.longdouble) * first
+    return np.rint(total.astype(np.float64) / n).astype(np.int64)

@@ -4,10 +4,11 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from drivescope.operators import handover as H
-from drivescope.operators import ranges, timejoin
+from drivescope.operators import neighbors, ranges, timejoin
 
 NEIGHBOR = "pci long, earfcn long, eci string, rsrp double, rsrq double, sinr double"
 POINT = f"log_id long, device_id long, seq long, ts_ms long, pci long, earfcn long, rsrp double, rsrq double, sinr double, neighbors array<struct<{NEIGHBOR}>>"
@@ -190,3 +191,82 @@ def test_radio_windows_without_pairs(spark, monkeypatch):
         assert (r.bler_rows, r.bler_max) == (len(b), max(worst, default=None))
         assert r.bler_mean == (pytest.approx(sum(mean) / len(mean)) if mean else None)
         assert r.bler_trend == (b[-1][4] - b[0][4] if b and None not in (b[-1][4], b[0][4]) else None)
+
+
+def _anchored(rows, span):
+    """Buckets of sorted rows, (time, ...) each, as lists."""
+    out = []
+    for r in rows:
+        if not out or r[0] - out[-1][0][0] > span:
+            out.append([])
+        out[-1].append(r)
+    return out
+
+
+def _asked_and_sampled(spark):
+    """Asked times, one of them three times and one id with two times, and samples with nulls, ties and unknown values."""
+    rng = random.Random(11)
+    asked = [(run, i, rng.randint(0, 900)) for run in (1, 2) for i in range(25)] + [(1, 90, 300)] * 3 + [(2, 91, 100), (2, 91, 130), (2, 92, None), (3, 93, 100)]
+    names = ["Pci", "Rsrp", "Rsrq", "Cinr", "Earfcn"]
+    nan = float("nan")
+    value = {"Pci": lambda: rng.choice([None, 1.0, 2.0, 2.5, 3.5]), "Rsrp": lambda: rng.choice([None, -90.0, -80.0, -80.0, nan]), "Rsrq": lambda: float(rng.randint(-19, -3)),
+             "Cinr": lambda: rng.choice([None, 1.0, 2.0]), "Earfcn": lambda: rng.choice([2640.0, 6101.0])}
+    samples = [(rng.choice([1, 1, 2, None]), rng.choice([rng.randint(0, 900), rng.randint(0, 90) * 10]), i, rng.choice([None, 0, 1, 2]), f"Radio.Lte.Neighbor[64].{n}", value[n]())
+               for i, n in ((i, rng.choice(names)) for i in range(900))]
+    times = spark.createDataFrame(asked, "run_id long, time_id long, ts_ms long")
+    return asked, samples, times, spark.createDataFrame(samples, "run_id long, ts_ms long, seq long, idx long, name string, value_num double")
+
+
+def _windows_of(asked, samples, reach):
+    """The samples of each (run, id), one list a field, in order; a sample stands once for every asked time that holds it."""
+    found = {}
+    for run, i, t in asked:
+        for r in samples:
+            if t is not None and r[0] == run and abs(r[1] - t) <= reach:
+                v = r[5]
+                found.setdefault((run, i), {}).setdefault(r[4].split(".")[-1].lower(), []).append(
+                    (r[1], r[3] or 0, r[2], (0, 0.0) if v is None else (2, 0.0) if v != v else (1, v), v))
+    return {k: {f: sorted(x, key=lambda y: y[:4]) for f, x in d.items()} for k, d in found.items()}
+
+
+def test_buckets_around_asked_times(spark):
+    asked, samples, times, rows = _asked_and_sampled(spark)
+    want = set()
+    for (run, i), fields in _windows_of(asked, samples, 70).items():
+        for f, x in fields.items():
+            want |= {(run, i, f, n, b[0][0], b[-1][0], round(sum(y[0] for y in b) / len(b)), len(b)) for n, b in enumerate(_anchored(x, 25))}
+    got = neighbors.bucket_by_time(times, neighbors.tag_fields(rows, neighbors.NEIGHBOR_CANDIDATES), 70, 25).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 500
+
+
+def test_pairs_by_position_around_asked_times(spark):
+    asked, samples, times, rows = _asked_and_sampled(spark)
+    low, want = float("-inf"), {}
+    for key, fields in _windows_of(asked, samples, 70).items():
+        def cut(f, fields=fields):
+            return [(round(sum(y[0] for y in b) / len(b)), [y[4] for y in b if y[4] is not None]) for b in _anchored(fields.get(f, []), 25)]
+
+        of = {f: cut(f) for f in ("rsrp", "rsrq", "cinr", "earfcn")}
+        for n, (center, values) in enumerate(cut("pci")):
+            near = {f: min(((abs(c - center), j, v) for j, (c, v) in enumerate(b) if abs(c - center) <= 25), default=(0, 0, []))[2] for f, b in of.items()}
+            for pos, pci in enumerate(values):
+                at = {f: v[pos] if pos < len(v) else None for f, v in near.items()}
+                level = at["rsrp"]
+                score = (level is not None, (0, low) if level is None else (1, 0.0) if level != level else (0, level), low if at["cinr"] is None else at["cinr"], -center, -n, -pos)
+                of_pci = want.setdefault((*key, round(pci)), (score, None))
+                if of_pci[1] is None or score > of_pci[0]:
+                    want[*key, round(pci)] = score, (*[str(at[f]) for f in ("rsrp", "rsrq", "cinr")], None if at["earfcn"] is None else round(at["earfcn"]), center, pos)
+    got = neighbors.pair_by_position(times, rows, None, 70, 25).collect()
+    assert {(r.run_id, r.time_id, r.pci): (str(r.rsrp), str(r.rsrq), str(r.cinr), r.earfcn, r.bucket_ts, r.pair_index) for r in got} == {k: v for k, (_, v) in want.items()}
+    assert len(got) == len(want) > 100
+
+
+def test_steps_of_pairs_give_the_same():
+    rng = np.random.default_rng(2)
+    n = 400
+    v = rng.integers(0, 4, n).astype(float)
+    rows = pa.table({"ts_ms": np.sort(rng.integers(0, 500, n)), "field": rng.choice(["pci", "rsrp", "rsrq", "cinr", "earfcn"], n), "v": v, "_pci": v.astype(int)})
+    asked = pa.table({"time_id": np.arange(40), "_times": rng.integers(1, 3, 40)})
+    lo = np.sort(rng.integers(0, n, 40))
+    found = [neighbors._best_pairs(asked, rows, lo, np.minimum(lo + 150, n), 30, ["time_id"], at_once).to_pylist() for at_once in (1 << 20, 100, 1)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
