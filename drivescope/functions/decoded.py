@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,11 +17,16 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``; the value is computed once a row however often it stands there, which a lambda would repeat for every entry."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def keyed_values(json: Column | str) -> Column:
     """Every scalar of a JSON text with its key, in document order: array<struct<key, value>>."""
-    t = _c(json)
-    part = lambda i: F.regexp_extract_all(t, F.lit(_PAIR), F.lit(i))
-    return F.zip_with(part(1), F.zip_with(part(2), part(3), lambda a, b: F.when(a != "", a).otherwise(b)), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    part = lambda t, i: F.regexp_extract_all(t, F.lit(_PAIR), F.lit(i))
+    return _once(_c(json), lambda t: F.zip_with(
+        part(t, 1), F.zip_with(part(t, 2), part(t, 3), lambda a, b: F.when(a != "", a).otherwise(b)), lambda k, v: F.struct(k.alias("key"), v.alias("value"))))
 
 
 def first_value(pairs: Column, *keys: str) -> Column:
@@ -36,23 +43,26 @@ def has_key(json: Column | str, key: str) -> Column:
 
 def rlf_report_summary(json: Column | str) -> Column:
     """struct(has_report, root_cause, causes map, timers map) of a UE-information message."""
-    t = _c(json)
-    at = F.regexp_instr(t, F.lit(r'(?i)"[^"]*rlf_report[^"]*"\s*:'))
-    scope = F.when(at > 0, F.substr(t, at)).otherwise(t)
-    pairs = keyed_values(scope)
-    causes = F.transform(F.filter(pairs, lambda p: F.lower(p["key"]).contains("cause") & ~F.lower(F.trim(p["value"])).isin(
-        "", "none", "null", "n/a", "na", "-", "0")), lambda p: F.trim(p["value"]))
-    count = F.map_from_entries(F.transform(F.array_distinct(causes), lambda c: F.struct(c, F.size(F.filter(causes, lambda x: x == c)).cast("long"))))
+    found = lambda t: F.regexp_instr(t, F.lit(r'(?i)"[^"]*rlf_report[^"]*"\s*:'))
+    scope = lambda t, at: F.when(at > 0, F.substr(t, at)).otherwise(t)
+    spoken = lambda p: F.lower(p["key"]).contains("cause") & ~F.lower(F.trim(p["value"])).isin("", "none", "null", "n/a", "na", "-", "0")
     k = lambda p: F.regexp_replace(F.lower(p["key"]), "[_-]", "")
-    name = lambda p: (
-        F.when(k(p).contains("timeconnfailure"), "timeConnFailureMs").when(k(p).contains("timesincefailure"), "timeSinceFailureMs")
-        .when(k(p).contains("timesincerlf"), "timeSinceRlfMs").when(k(p).contains("reest") & k(p).contains("time"), "reestablishmentTimeMs")
-        .when(k(p).contains("t310"), "t310").when(k(p).contains("t311"), "t311").when(k(p).contains("t312"), "t312").when(k(p).contains("t301"), "t301")
-        .when(k(p).contains("t304"), "t304").when(k(p).contains("timer"), p["key"]))
-    named = F.filter(F.transform(pairs, lambda p: F.struct(name(p).alias("key"), p["value"].try_cast("long").alias("value"))), lambda p: p["key"].isNotNull() & p["value"].isNotNull())
-    keys = F.transform(named, lambda p: p["key"])
-    timers = F.map_from_entries(F.filter(named, lambda p, i: F.array_position(keys, p["key"]) == i + 1))
-    return F.struct((at > 0).alias("has_report"), F.try_element_at(causes, F.lit(1)).alias("root_cause"), count.alias("causes"), timers.alias("timers"))
+    name = lambda p, k: (
+        F.when(k.contains("timeconnfailure"), "timeConnFailureMs").when(k.contains("timesincefailure"), "timeSinceFailureMs")
+        .when(k.contains("timesincerlf"), "timeSinceRlfMs").when(k.contains("reest") & k.contains("time"), "reestablishmentTimeMs")
+        .when(k.contains("t310"), "t310").when(k.contains("t311"), "t311").when(k.contains("t312"), "t312").when(k.contains("t301"), "t301")
+        .when(k.contains("t304"), "t304").when(k.contains("timer"), p["key"]))
+    entry = lambda p: _once(k(p), lambda x: F.struct(name(p, x).alias("key"), p["value"].try_cast("long").alias("value")))
+    named = lambda pairs: F.filter(F.transform(pairs, entry), lambda p: p["key"].isNotNull() & p["value"].isNotNull())
+    counted = lambda causes: F.map_from_entries(
+        F.transform(F.array_distinct(causes), lambda c: F.struct(c, F.size(F.filter(causes, lambda x: x == c)).cast("long"))))
+    first = lambda entries: _once(F.transform(entries, lambda p: p["key"]), lambda keys: F.map_from_entries(
+        F.filter(entries, lambda p, i: F.array_position(keys, p["key"]) == i + 1)))
+    summary = lambda at, pairs: _once(
+        F.transform(F.filter(pairs, spoken), lambda p: F.trim(p["value"])), lambda causes: F.struct(
+            (at > 0).alias("has_report"), F.try_element_at(causes, F.lit(1)).alias("root_cause"), counted(causes).alias("causes"),
+            _once(named(pairs), first).alias("timers")))
+    return _once(_c(json), lambda t: _once(found(t), lambda at: _once(keyed_values(scope(t, at)), lambda pairs: summary(at, pairs))))
 
 
 def band_combinations(json: Column | str) -> Column:

@@ -70,3 +70,15 @@ def test_reports_are_evaluated_by_the_message_that_holds_their_id(spark, read):
 def test_empty_table(read):
     none = read.limit(0).select("run_id", "ts_ms", "seq", "decoded")
     assert R.reconfiguration_properties(R.read_reconfigurations(none)).count() == 0 and R.resolver_rows(R.read_reconfigurations(none)).count() == 0
+
+
+def test_rlf_summary_reads_a_text_once(spark):
+    from drivescope.functions import decoded
+
+    texts = [None, "", "{}", '{"cause":"x","t310":5}', '{"cause":"early","rlf_Report-r9":{"Cause":" a ","cause":"none","cause_b":"a","c-cause":"b","t310-r9":7,"T310":8,"my-timer":"x","xTimer":3,"time_ConnFailure":-4}}']
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", decoded.rlf_report_summary("t").alias("s"))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 3
+    got = {r.i: r.s for r in d.collect()}
+    assert [got[i] and tuple(got[i]) for i in range(5)] == [
+        (None, None, None, None), (False, None, {}, {}), (False, None, {}, {}), (False, "x", {"x": 1}, {"t310": 5}),
+        (True, "a", {"a": 2, "b": 1}, {"t310": 7, "xTimer": 3, "timeConnFailureMs": -4})]
