@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -300,10 +301,15 @@ def params_map(params: Column | str) -> Column:
     return F.map_from_entries(F.transform(first, lambda x: F.struct(F.trim(x["param_id"]), x["param_value"])))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once a row, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def param_ci(params: Column | str, name: str) -> Column:
     """Value of the first parameter with this id, case-insensitive."""
     hit = F.filter(_c(params), lambda x: F.lower(F.trim(x["param_id"])) == name.lower())
-    return F.when(F.size(hit) > 0, hit[0]["param_value"])
+    return F.try_element_at(hit, F.lit(1))["param_value"]
 
 
 def neighbor_metric_index(name: Column | str) -> Column:

@@ -70,9 +70,9 @@ def split_csv(line: Column) -> Column:
 
 
 def parse_records(lines: DataFrame) -> DataFrame:
-    """Records of all non-blank lines."""
+    """Records of all non-blank lines. The fields stand behind a generator, so a filter on them doesn't split the line again."""
     raw = F.trim("raw")
-    d = lines.withColumn("raw", raw).where("raw <> ''").withColumn("parts", split_csv(F.col("raw")))
+    d = lines.withColumn("raw", raw).where("raw <> ''").withColumn("parts", F.explode(F.array(split_csv(F.col("raw")))))
     return d.withColumn("header", F.upper(F.trim(F.col("parts")[0])))
 
 
@@ -85,13 +85,18 @@ def part(i: int) -> Column:
     return F.try_element_at("parts", F.lit(i + 1))
 
 
+def _leading(c: Column, pattern: str) -> Column:
+    """What the pattern finds, or null: a cast of an empty text would cost an exception."""
+    return F.try_element_at(F.regexp_extract_all(F.trim(c), F.lit(pattern), F.lit(1)), F.lit(1))
+
+
 def num(c: Column) -> Column:
     """Leading number of a field, as a lenient reader takes it."""
-    return F.regexp_extract(F.trim(c), r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1).try_cast("double")
+    return _leading(c, r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)").try_cast("double")
 
 
 def integer(c: Column) -> Column:
-    return F.regexp_extract(F.trim(c), r"^([+-]?\d+)", 1).try_cast("long")
+    return _leading(c, r"^([+-]?\d+)").try_cast("long")
 
 
 _TOD2 = r"^(\d{2}):(\d{2}):(\d{2})(?:\.(\d{1,3}))?$"
@@ -232,21 +237,37 @@ def _near(a: Column, b: Column) -> Column:
     return F.coalesce(F.abs(a - b) < 1, F.lit(False))
 
 
-def _tuple_at(k: Column, need_network: bool, top_sc: int) -> Column:
+def _networks() -> Column:
+    """Positions (from 0) of the fields that look like a network, five digits."""
+    return F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.trim(F.try_element_at("parts", i + 1)).rlike("^[0-9]{5}$"))
+
+
+def _tuple_at(k: Column, top_sc: int) -> Column:
     """Neighbour tuple at position ``k`` (from 0) or null: set type, network, frequency, code and three levels."""
     at = lambda j: F.try_element_at("parts", (k + j + 1).cast("int"))
-    set_type, freq, sc = integer(at(0)), num(at(2)), integer(at(3))
-    x1, x2, x3 = num(at(4)), num(at(5)), num(at(6))
     level = lambda v: v.between(-120, -50)
     quality = lambda v: v.between(-30, 0)
-    first, second = level(x1) & quality(x3), quality(x1) & level(x3)
-    ok = set_type.between(0, 3) & (freq > 2000) & sc.between(0, top_sc)
-    if need_network:
-        ok = ok & F.trim(at(1)).rlike("^[0-9]{5}$")
-    block = lambda sub, rscp, ecno: F.struct(
-        F.when(set_type <= 1, 0).otherwise(set_type).cast("long").alias("prio"), k.cast("long").alias("k"), set_type.alias("set_type"), freq.alias("freq"), sc.alias("sc"),
-        rscp.alias("rscp"), ecno.alias("ecno"), F.when(x2.between(-130, -50), x2).alias("rssi"), F.lit(sub).alias("subtype"))
-    return F.when(ok & first, block("A", x1, x3)).when(ok & second, block("B", x3, x1))
+
+    def found(x):
+        set_type, freq, sc, x1, x2, x3 = (x[n] for n in ("set_type", "freq", "sc", "x1", "x2", "x3"))
+        first, second = level(x1) & quality(x3), quality(x1) & level(x3)
+        ok = set_type.between(0, 3) & (freq > 2000) & sc.between(0, top_sc)
+        block = lambda sub, rscp, ecno: F.struct(
+            F.when(set_type <= 1, 0).otherwise(set_type).cast("long").alias("prio"), k.cast("long").alias("k"), set_type.alias("set_type"), freq.alias("freq"), sc.alias("sc"),
+            rscp.alias("rscp"), ecno.alias("ecno"), F.when(x2.between(-130, -50), x2).alias("rssi"), F.lit(sub).alias("subtype"))
+        return F.when(ok & first, block("A", x1, x3)).when(ok & second, block("B", x3, x1))
+
+    return S.once(F.struct(
+        integer(at(0)).alias("set_type"), num(at(2)).alias("freq"), integer(at(3)).alias("sc"), num(at(4)).alias("x1"), num(at(5)).alias("x2"), num(at(6)).alias("x3")), found)
+
+
+def _tuples(places: Column, top_sc: int) -> Column:
+    return F.filter(F.transform(places, lambda k: _tuple_at(k, top_sc)), lambda b: b.isNotNull())
+
+
+def _network_tuples(networks: Column, top_sc: int) -> Column:
+    """The tuples whose network is among these fields."""
+    return _tuples(F.transform(F.filter(networks, lambda i: (i >= 1) & (i <= F.size("parts") - 6)), lambda i: i - 1), top_sc)
 
 
 def _dedupe(blocks: Column) -> Column:
@@ -260,10 +281,9 @@ def umts_cellmeas(records: DataFrame) -> DataFrame:
     """Serving cell and neighbours of UMTS cell-measurement rows; neighbours as an array, serving cell marked."""
     d = records.where((F.col("header") == "CELLMEAS") & (integer(part(3)) == 5))
     n = F.size("parts")
-    scan = lambda ks, net: F.filter(F.transform(ks, lambda k: _tuple_at(k, net, 512)), lambda b: b.isNotNull())
-    span = F.when(n >= 7, F.sequence(F.lit(0), n - 7)).otherwise(F.array().cast("array<int>"))
     steps = F.when(n >= 22, F.sequence(F.lit(15), n - 7, F.lit(8))).otherwise(F.array().cast("array<int>"))
-    d = d.withColumn("_b", scan(span, True)).withColumn("_b", F.when(F.size("_b") > 0, F.col("_b")).otherwise(scan(steps, False)))
+    d = d.withColumn("_net", F.explode(F.array(_networks()))).withColumn("_b", F.explode(F.array(_network_tuples(F.col("_net"), 512))))
+    d = d.withColumn("_b", F.when(F.size("_b") > 0, F.col("_b")).otherwise(_tuples(steps, 512)))
     d = d.withColumn("_b", _dedupe(F.col("_b")))
     freq = num(part(7))
     d = d.withColumn("serving_freq", F.when(freq > 0, freq)).withColumn("_field", num(part(8)))
@@ -272,11 +292,12 @@ def umts_cellmeas(records: DataFrame) -> DataFrame:
 
     def serving_at(k):
         at = lambda j: F.try_element_at("parts", (k + j + 1).cast("int"))
-        hit = F.trim(at(0)).rlike("^[0-9]{5}$") & _near(num(at(1)), sf) & integer(at(2)).between(0, 512) & (num(at(3)) >= -35)
-        return F.when(hit, F.struct(integer(at(2)).alias("sc"), num(at(3)).alias("ecno")))
+        hit = lambda x: _near(x["freq"], sf) & x["sc"].between(0, 512) & (x["ecno"] >= -35)
+        read = F.struct(num(at(1)).alias("freq"), integer(at(2)).alias("sc"), num(at(3)).alias("ecno"))
+        return S.once(read, lambda x: F.when(hit(x), F.struct(x["sc"].alias("sc"), x["ecno"].alias("ecno"))))
 
-    places = F.when(n >= 4, F.sequence(F.lit(0), n - 4)).otherwise(F.array().cast("array<int>"))
-    d = d.withColumn("_m", F.try_element_at(F.filter(F.transform(places, serving_at), lambda x: x.isNotNull()), F.lit(1)))
+    places = F.filter("_net", lambda i: i <= n - 4)
+    d = d.withColumn("_m", F.explode_outer(F.array(F.try_element_at(F.filter(F.transform(places, serving_at), lambda x: x.isNotNull()), F.lit(1)))))
     pick = lambda cond: F.try_element_at(F.filter("_b", cond), F.lit(1))
     known = F.coalesce(pick(lambda b: _near(b["freq"], sf) & (b["sc"] == F.col("_m.sc"))), pick(lambda b: b["sc"] == F.col("_m.sc")))
     on = F.filter("_b", lambda b: _near(b["freq"], sf))
@@ -288,7 +309,7 @@ def umts_cellmeas(records: DataFrame) -> DataFrame:
     wide = F.col("serving_rscp") - F.col("serving_ecno")
     d = d.withColumn("rssi", F.when(F.abs(F.col("_field") - wide) <= 4, F.col("_field")).otherwise(wide))
     nb = F.transform("_b", lambda b: b.withField("is_serving", _near(b["freq"], sf) & F.coalesce(b["sc"] == F.col("serving_sc"), F.lit(False))))
-    d = d.withColumn("neighbors", nb).withColumn("band", S.band_from_uarfcn("serving_freq")).drop("_b", "_m", "_s", "_field", "parts", "raw", "header")
+    d = d.withColumn("neighbors", nb).withColumn("band", S.band_from_uarfcn("serving_freq")).drop("_b", "_net", "_m", "_s", "_field", "parts", "raw", "header")
     # a filter on the parsed arrays would be pushed into the scan of the fields and evaluate it again and again
     return materialize(d, "cells")
 
@@ -331,12 +352,16 @@ def lte_cellmeas(records: DataFrame) -> DataFrame:
 
     def block(k):
         at = lambda j: F.try_element_at("parts", (k + j + 1).cast("int"))
-        code, freq, pci, rsrp, rsrq = integer(at(0)), num(at(2)), integer(at(3)), num(at(5)), num(at(6))
-        ok = code.between(0, 20) & (freq > 0) & (freq < 100000) & (F.abs(freq - F.round(freq)) < 0.01) & pci.between(0, 503)
-        ok = ok & (rsrp < -20) & (rsrp > -140) & (rsrq <= 5) & (rsrq > -40)
-        return F.when(ok, F.struct(
-            k.cast("long").alias("k"), F.round(freq).cast("long").alias("freq"), pci.alias("pci"), rsrp.alias("rsrp"), rsrq.alias("rsrq"), num(at(4)).alias("raw_power"),
-            F.coalesce(num(at(10)), num(at(8))).alias("sinr"), integer(at(7)).alias("cell_id"), integer(at(1)).alias("band_code")))
+
+        def found(x):
+            freq, pci, rsrp, rsrq = (x[n] for n in ("freq", "pci", "rsrp", "rsrq"))
+            ok = x["code"].between(0, 20) & (freq > 0) & (freq < 100000) & (F.abs(freq - F.round(freq)) < 0.01) & pci.between(0, 503)
+            ok = ok & (rsrp < -20) & (rsrp > -140) & (rsrq <= 5) & (rsrq > -40)
+            return F.when(ok, F.struct(
+                k.cast("long").alias("k"), F.round(freq).cast("long").alias("freq"), pci.alias("pci"), rsrp.alias("rsrp"), rsrq.alias("rsrq"), num(at(4)).alias("raw_power"),
+                F.coalesce(num(at(10)), num(at(8))).alias("sinr"), integer(at(7)).alias("cell_id"), integer(at(1)).alias("band_code")))
+
+        return S.once(F.struct(integer(at(0)).alias("code"), num(at(2)).alias("freq"), integer(at(3)).alias("pci"), num(at(5)).alias("rsrp"), num(at(6)).alias("rsrq")), found)
 
     d = d.withColumn("_b", F.filter(F.transform(starts, block), lambda b: b.isNotNull()))
     first = F.try_element_at("_b", F.lit(1))
@@ -354,9 +379,7 @@ def lte_cellmeas(records: DataFrame) -> DataFrame:
 def cellmeas_dominance(records: DataFrame) -> DataFrame:
     """Dominance evidence of UMTS cell measurements: gap between the two strongest subtype-A cells, counts per subtype."""
     d = records.where((F.col("header") == "CELLMEAS") & (integer(part(3)) == 5))
-    n = F.size("parts")
-    span = F.when(n >= 7, F.sequence(F.lit(0), n - 7)).otherwise(F.array().cast("array<int>"))
-    d = d.withColumn("_all", F.filter(F.transform(span, lambda k: _tuple_at(k, True, 511)), lambda b: b.isNotNull()))
+    d = d.withColumn("_all", F.explode(F.array(_network_tuples(_networks(), 511))))
     d = d.withColumn("_b", _dedupe(F.col("_all")))
     levels = F.sort_array(F.transform(F.filter("_b", lambda b: b["subtype"] == "A"), lambda b: b["rscp"]), asc=False)
     count = lambda s: F.size(F.filter("_b", lambda b: b["subtype"] == s)).cast("long")
