@@ -655,28 +655,34 @@ def run_info(samples: DataFrame, events: DataFrame, keys: Sequence[str] = ("run_
     """UE category, MIMO and CA capability, TAC of each run: decoded messages first, KPI fallbacks second."""
     keys = list(keys)
     name, text = F.lower("event_name"), lambda p: S.param_ci("params", p)
+    once = lambda value: F.explode_outer(F.array(value))  # noqa: E731  (a filter on what is read isn't pushed below a generator and computed again there)
     # capability messages
     summary = F.coalesce(text("ue_cap_info_summary"), text("rrc_message_summary"))
     js = lambda k: F.get_json_object("_sum", f"$.{k}")
-    combos = F.coalesce(F.from_json(js("supportedBandCombinations"), "array<string>"), F.array().cast("array<string>"))
-    cat_no = js("ueCategory").try_cast("long")
+    asked = ("ueCategoryLabel", "ueCategory", "mimoCapability", "maxNumCarriers", "supportedBandCombinations", "caCapability")
+    read = lambda k: F.col(f"_read.{k}")
+    combos = F.coalesce(F.from_json(read("supportedBandCombinations"), "array<string>"), F.array().cast("array<string>"))
+    cat_no = read("ueCategory").try_cast("long")
+    found = F.struct(
+        F.coalesce(_usable(read("ueCategoryLabel")), F.when(cat_no.between(1, 64), F.concat(F.lit("Cat "), cat_no.cast("string")))).alias("cat"),
+        _usable(read("mimoCapability")).alias("mimo"),
+        F.coalesce(ca_label(read("maxNumCarriers").try_cast("long"), combos), _usable(read("caCapability"))).alias("ca"))
     cap = (
-        events.where(name.contains("uecapabilityinformation")).withColumn("_sum", summary).where("_sum is not null")
-        .withColumn("cat", F.coalesce(_usable(js("ueCategoryLabel")), F.when(cat_no.between(1, 64), F.concat(F.lit("Cat "), cat_no.cast("string")))))
-        .withColumn("mimo", _usable(js("mimoCapability")))
-        .withColumn("ca", F.coalesce(ca_label(js("maxNumCarriers").try_cast("long"), combos), _usable(js("caCapability"))))
+        events.where(name.contains("uecapabilityinformation")).withColumn("_sum", once(summary)).where("_sum is not null")
+        .select(*keys, "ts_ms", "seq", once(F.struct(*[js(k).alias(k) for k in asked])).alias("_read"))
+        .select(*keys, "ts_ms", "seq", once(found).alias("_found")).select(*keys, "ts_ms", "seq", "_found.*")
         .withColumn("score", sum([F.col(c).isNotNull().cast("int") for c in ("mimo", "ca")], F.col("cat").isNotNull().cast("int")))
         .where("score > 0")
         .groupBy(*keys)
         .agg(F.max_by(F.struct("cat", "mimo", "ca", "ts_ms"), F.struct("score", "ts_ms", -F.col("seq"))).alias("cap"))
     )
     # tracking area from system information
-    tac = F.coalesce(
-        S.parse_tac(text("sib1_tac")), S.parse_tac(text("trackingAreaCode")),
-        *[S.parse_tac(F.get_json_object(text(p), "$.trackingAreaCode")) for p in ("sib1_summary", "rrc_message_summary")],
-    )
+    places = F.array(
+        text("sib1_tac"), text("trackingAreaCode"), *[F.get_json_object(text(p), "$.trackingAreaCode") for p in ("sib1_summary", "rrc_message_summary")])
     is_sib1 = name.contains("systeminformationblocktype1") | name.contains("sib1") | (F.lower(text("rrc_message_id")) == "sib1")
-    sib = events.where(is_sib1).withColumn("_tac", tac).where("_tac is not null").groupBy(*keys).agg(
+    told = F.transform(F.filter(places, lambda x: x.isNotNull()), lambda x: S.once(F.upper(F.trim(x)), S.parse_tac))
+    tac = F.try_element_at(F.filter(told, lambda x: x.isNotNull()), F.lit(1))
+    sib = events.where(is_sib1).select(*keys, "ts_ms", "seq", once(tac).alias("_tac")).where("_tac is not null").groupBy(*keys).agg(
         F.max_by("_tac", F.struct("ts_ms", "seq")).alias("sib_tac")
     )
     # KPI fallbacks

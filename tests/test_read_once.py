@@ -49,3 +49,11 @@ def test_cells_are_read_at_networks_only(spark):
     (r,) = nmf.label_neighbors(nmf.umts_cellmeas(nmf.parse_records(spark.createDataFrame([(1, 1, CELL)], LINES)))).collect()
     assert (r.serving_sc, r.serving_ecno, r.serving_rscp) == (7, -6.5, -71.0)
     assert [(n.label, n.sc, n.rscp, n.ecno) for n in r.neighbors] == [("A2", 47, -80.0, -8.0), ("D1", 90, -90.0, -7.0)]
+
+
+def test_messages_are_read_once(spark):
+    cap, sib = json.dumps({"ueCategory": 6, "mimoCapability": "2x2"}), json.dumps({"trackingAreaCode": "0x20AA"})
+    rows = [(1, 0, 0, "UeCapabilityInformation", [("UE_CAP_INFO_SUMMARY ", cap)]), (1, 1, 1, "Sib1", [("sib1_tac", "zz"), ("sib1_summary", sib)]), (1, 2, 2, "Sib1", None), (1, 3, 3, "Other", [("rrc_message_id", None)])]
+    d = catalog.run_info(spark.createDataFrame([], SAMPLES), spark.createDataFrame(rows, EVENTS))
+    assert times(d, r"get_json_object\(") <= 10
+    assert [(r.ue_category, r.mimo_capability, r.tac) for r in d.collect()] == [("Cat 6", "2x2", 8362)]
