@@ -182,8 +182,11 @@ ALIASES = {
 }
 
 
-def aliased(df: DataFrame, names: Sequence[str], props: str | None = None) -> Column:
-    """First usable value among the spellings: own columns (any case), then the property map (any case)."""
+Lookup = Callable[[str], Column]
+
+
+def aliased(df: DataFrame, names: Sequence[str], props: str | None = None, lookup: Lookup | None = None) -> Column:
+    """First usable value among the spellings: own columns (any case), then the property map (any case), read by ``lookup`` if given."""
     picks = []
     by_low = {c.lower(): c for c in reversed(df.columns)}
     for n in names:
@@ -196,10 +199,23 @@ def aliased(df: DataFrame, names: Sequence[str], props: str | None = None) -> Co
         return F.try_element_at(hit, F.lit(1))["value"]
 
     if props:
-        picks += [from_props(n) for n in names]
+        picks += [(lookup or from_props)(n) for n in names]
     return F.coalesce(*picks) if picks else F.lit(None).cast("string")
 
 
+def _with_properties(props: str | None, body: Callable[[Lookup | None], Column]) -> Column:
+    """``body(lookup)``, where ``lookup`` finds usable values in a property map whose keys are lowered once a row."""
+    if not props:
+        return body(None)
+    usable = F.filter(F.map_entries(props), lambda e: F.trim(e["value"]) != "")
+    split = S.once(usable, lambda es: F.struct(F.transform(es, lambda e: F.lower(e["key"])).alias("keys"), F.transform(es, lambda e: e["value"]).alias("texts")))
+
+    def at(found: Column) -> Lookup:
+        return lambda name: F.get(found["texts"], F.array_position(found["keys"], name.lower()).cast("int") - 1)
+
+    return S.once(split, lambda found: body(at(found)))
+
+
 _LONG = ("pci", "earfcn")
 _TEXT = ("eci", "name", "band")
 _BOOL = ("measurement_gap", "session_active", "volte_call_active")
@@ -208,7 +224,7 @@ _BOOL = ("measurement_gap", "session_active", "volte_call_active")
 def normalize_points(df: DataFrame, keys: Sequence[str] = ("log_id", "device_id", "seq"), props: str | None = None, mapping: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Rows of any spelling to points with typed serving, configuration and neighbour columns; rows without time are dropped."""
     m = {**ALIASES, **(mapping or {})}
-    get = lambda f: aliased(df, m[f], props)
+    get = lambda f: F.col(f"_t.{f}")
     fields = ["pci", "earfcn", "eci", "name", "rsrp", "rsrq", "sinr", "band", "a2_threshold", "a3_offset", "a4_threshold", "a5_threshold1", "a5_threshold2", "ttt_ms",
               "hysteresis_db", "serving_cio", "target_cio", "measurement_gap", "l3_filter_coeff", "session_active", "volte_call_active"]
 
@@ -217,30 +233,34 @@ def normalize_points(df: DataFrame, keys: Sequence[str] = ("log_id", "device_id"
         return S.to_int(v) if f in _LONG else v if f in _TEXT else F.coalesce(F.lower(v).isin("true", "1", "yes"), F.lit(False)) if f in _BOOL else S.to_number(v)
 
     nb = F.col("neighbors") if "neighbors" in df.columns else header_neighbors(df, props)
-    d = df.select(*keys, S.parse_ts(get("time")).alias("ts_ms"), S.to_number(get("lat")).alias("lat"), S.to_number(get("lon")).alias("lon"),
-                  S.normalize_tech(get("tech")).alias("tech"), *[typed(f).alias(f) for f in fields], nb.alias("neighbors"))
+    texts = _with_properties(props, lambda lookup: F.struct(*[aliased(df, m[f], props, lookup).alias(f) for f in ("time", "lat", "lon", "tech", *fields)]))
+    # behind a generator, so the columns and the filter on time don't read the texts again
+    d = df.select(*keys, F.explode(F.array(F.struct(texts.alias("t"), nb.alias("n")))).alias("_r")).select(*keys, F.col("_r.t").alias("_t"), F.col("_r.n").alias("neighbors"))
+    d = d.select(*keys, S.parse_ts(get("time")).alias("ts_ms"), S.to_number(get("lat")).alias("lat"), S.to_number(get("lon")).alias("lon"),
+                 S.normalize_tech(get("tech")).alias("tech"), *[typed(f).alias(f) for f in fields], "neighbors")
     return d.where("ts_ms is not null")
 
 
 def header_neighbors(df: DataFrame, props: str | None = None) -> Column:
     """Neighbours from columns or properties named like ``A1 PCI`` or ``M2 RSRP``."""
     pat = r"(?i)^([AMDN]\d+)\s+(PCI|SC|EARFCN|FREQ|RSRP|RSCP|RSRQ|ECNO|SINR|ECGI|ECI|CELL NAME|NAME)$"
-    entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    entry = lambda k, v: F.struct(*[F.upper(F.regexp_extract(k, pat, i)).alias(n) for i, n in ((1, "role"), (2, "field"))], v.alias("value"))
     own = [entry(F.lit(c), F.col(f"`{c}`").cast("string")) for c in df.columns if re.match(pat, c)]
-    pairs = F.array(*own) if own else F.array().cast("array<struct<key:string,value:string>>")
+    pairs = F.array(*own) if own else F.array().cast("array<struct<role:string,field:string,value:string>>")
     if props:
-        more = F.transform(F.filter(F.map_entries(props), lambda e: e["key"].rlike(pat)), lambda e: entry(e["key"], e["value"]))
-        pairs = F.concat(pairs, F.coalesce(more, F.array().cast("array<struct<key:string,value:string>>")))
-    roles = F.array_distinct(F.transform(pairs, lambda e: F.upper(F.regexp_extract(e["key"], pat, 1))))
+        more = F.filter(F.transform(F.map_entries(props), lambda e: entry(e["key"], e["value"])), lambda e: e["role"] != "")
+        pairs = F.concat(pairs, F.coalesce(more, F.array().cast("array<struct<role:string,field:string,value:string>>")))
 
-    def cell(role):
-        mine = F.filter(pairs, lambda e: F.upper(F.regexp_extract(e["key"], pat, 1)) == role)
-        val = lambda *names: F.try_element_at(F.filter(mine, lambda e: F.upper(F.regexp_extract(e["key"], pat, 2)).isin(*names)), F.lit(-1))["value"]
-        return F.struct(role.alias("role"), S.to_int(val("PCI", "SC")).alias("pci"), S.to_int(val("EARFCN", "FREQ")).alias("earfcn"), val("ECGI", "ECI").alias("eci"),
-                        val("CELL NAME", "NAME").alias("name"), S.to_number(val("RSRP", "RSCP")).alias("rsrp"), S.to_number(val("RSRQ", "ECNO")).alias("rsrq"),
-                        S.to_number(val("SINR")).alias("sinr"))
+    def cell(role, mine):
+        val = lambda *names: F.try_element_at(F.filter(mine, lambda e: e["field"].isin(*names)), F.lit(-1))["value"]
+        number = lambda to, *names: S.once(val(*names), lambda x: to(x))
+        return F.struct(role.alias("role"), number(S.to_int, "PCI", "SC").alias("pci"), number(S.to_int, "EARFCN", "FREQ").alias("earfcn"), val("ECGI", "ECI").alias("eci"),
+                        val("CELL NAME", "NAME").alias("name"), number(S.to_number, "RSRP", "RSCP").alias("rsrp"), number(S.to_number, "RSRQ", "ECNO").alias("rsrq"),
+                        number(S.to_number, "SINR").alias("sinr"))
 
-    return F.filter(F.transform(roles, cell), lambda n: n["pci"].isNotNull() | n["earfcn"].isNotNull())
+    cells = S.once(pairs, lambda es: F.transform(
+        F.array_distinct(F.transform(es, lambda e: e["role"])), lambda role: S.once(F.filter(es, lambda e: e["role"] == role), lambda mine: cell(role, mine))))
+    return F.filter(cells, lambda n: n["pci"].isNotNull() | n["earfcn"].isNotNull())
 
 
 def normalize_events(df: DataFrame, keys: Sequence[str] = ("log_id", "device_id", "seq"), props: str | None = None, mapping: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
@@ -248,9 +268,14 @@ def normalize_events(df: DataFrame, keys: Sequence[str] = ("log_id", "device_id"
     from drivescope.functions.messages import classify_event_name
 
     m = {**ALIASES, **(mapping or {})}
-    get = lambda f: aliased(df, m[f], props)
-    msg = F.coalesce(aliased(df, ["message"]), aliased(df.select(props), ["Message"], props) if props else F.lit(None).cast("string"), get("kind"))
-    d = df.select(
+    get = lambda f: F.col(f"_t.{f}")
+    fields = ["time", "lat", "lon", "kind", "subtype", "src_pci", "src_earfcn", "tgt_pci", "tgt_earfcn", "a3_offset", "hysteresis_db", "ttt_ms", "serving_cio", "target_cio", "a3_json"]
+    texts = _with_properties(props, lambda lookup: F.struct(
+        *[aliased(df, m[f], props, lookup).alias(f) for f in fields], aliased(df, ["message"]).alias("own_message"),
+        (aliased(df.select(props), ["Message"], props, lookup) if props else F.lit(None).cast("string")).alias("message")))
+    d = df.select(*keys, F.explode(F.array(texts)).alias("_t"))  # behind a generator, so the columns and the filter on time don't read the texts again
+    msg = F.coalesce(get("own_message"), get("message"), get("kind"))
+    d = d.select(
         *keys, S.parse_ts(get("time")).alias("ts_ms"), S.to_number(get("lat")).alias("lat"), S.to_number(get("lon")).alias("lon"), F.coalesce(F.trim(get("kind")), F.lit("event")).alias("kind"),
         F.trim(get("subtype")).alias("subtype"), F.trim(msg).alias("message"), *[S.to_int(get(f)).alias(f) for f in ("src_pci", "src_earfcn", "tgt_pci", "tgt_earfcn")],
         *[S.to_number(get(f)).alias(f) for f in ("a3_offset", "hysteresis_db", "ttt_ms", "serving_cio", "target_cio")], get("a3_json").alias("a3_json"))

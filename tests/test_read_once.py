@@ -57,3 +57,14 @@ def test_messages_are_read_once(spark):
     d = catalog.run_info(spark.createDataFrame([], SAMPLES), spark.createDataFrame(rows, EVENTS))
     assert times(d, r"get_json_object\(") <= 10
     assert [(r.ue_category, r.mimo_capability, r.tac) for r in d.collect()] == [("Cat 6", "2x2", 8362)]
+
+
+def test_properties_are_read_once(spark):
+    rows = [(1, 1, 1, 5, {"serving rsrp": " ", "Serving RSRP": "-90", "A1 pci": "7", "a1 RSRP": "-95.5", "M1 RSRP": "-99", "a2 EARFCN": "1320", "SC": "12"}), (1, 1, 2, 6, None), (1, 1, 3, None, {"SC": "1"})]
+    d = columns.normalize_points(spark.createDataFrame(rows, "log_id long, device_id long, seq long, ts long, props map<string,string>"), props="props")
+    assert times(d, r"map_entries\(") <= 2
+    got = {r.seq: (r.rsrp, r.pci, sorted((n.role, n.pci, n.earfcn, n.rsrp) for n in r.neighbors)) for r in d.collect()}
+    assert got == {1: (-90.0, 12, [("A1", 7, None, -95.5), ("A2", None, 1320, None)]), 2: (None, None, [])}
+    e = columns.normalize_events(spark.createDataFrame([(1, 1, 1, 5, {"Message": "Handover Complete", "ho target pci": "9"})], "log_id long, device_id long, seq long, ts long, props map<string,string>"), props="props")
+    assert times(e, r"map_entries\(") == 1
+    assert [(r["class"], r.tgt_pci) for r in e.collect()] == [("ho_complete", 9)]
