@@ -272,11 +272,12 @@ def neighbors_at_time(
 # ---- neighbours from KPI samples ------------------------------------------------------------------------------------------
 
 
-def _per_asked_time(times: DataFrame, samples: DataFrame, tolerance_ms: int, keys: Sequence[str], order: Sequence[str], figures: Callable, schema: str) -> DataFrame:
+def _per_asked_time(times: DataFrame, samples: DataFrame, tolerance_ms: int, keys: Sequence[str], order: Sequence[str], figures: Callable, schema: str, near_ms: int | None = None) -> DataFrame:
     """``figures(asked, rows, lo, hi)`` over the rows [lo, hi) of each asked time's window, the rows sorted by ``order``.
 
     One asked row a (keys, time_id), its rows counted in ``_times``: its samples stand as often. Where a ``time_id`` has several
-    times, its windows are put together first; only these form pairs.
+    times, its windows are put together first; only these form pairs, and with ``near_ms`` their rows tell in ``_near`` whether
+    they lie that near to their time.
     """
     tid = [*keys, "time_id"]
     known = " and ".join(f"`{c}` is not null" for c in [*keys, "ts_ms"])
@@ -293,7 +294,8 @@ def _per_asked_time(times: DataFrame, samples: DataFrame, tolerance_ms: int, key
     apart = asked.where("_all is not null").select(*tid, F.explode("_all").alias("ts_ms"))
     if apart.isEmpty():
         return found
-    pairs = timejoin.interval_join(apart, samples, keys, tolerance_ms, tolerance_ms).drop("ts_ms").select(*tid, *[F.col(f"row.{c}").alias(c) for c in samples.columns if c not in keys])
+    near = [] if near_ms is None else [(F.abs(F.col("row.ts_ms") - F.col("ts_ms")) <= near_ms).alias("_near")]
+    pairs = timejoin.interval_join(apart, samples, keys, tolerance_ms, tolerance_ms).select(*tid, *[F.col(f"row.{c}").alias(c) for c in samples.columns if c not in keys], *near)
 
     def whole(rows: pa.Table) -> pa.Table:
         rows = rows.take(pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in order], null_placement="at_start"))
@@ -496,48 +498,174 @@ def merge_neighbor_sources(rows: DataFrame, serving: DataFrame, group: Sequence[
     return rank_neighbors(m, group, [signal, F.col("_w")], ["pci", "key"]).drop("_w", "serving_pci", "serving_earfcn")
 
 
+def _rounded(values: np.ndarray) -> np.ndarray:
+    """``floor(value + 0.5)`` as Spark has it in a long: NaN is 0, what a long can't hold its largest or smallest."""
+    x = np.floor(values + 0.5)
+    inside = (x >= -(2.0**63)) & (x < 2.0**63)
+    most, least = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+    return np.where(inside, np.where(inside, x, 0).astype(np.int64), np.where(x > 0, most, np.where(x < 0, least, 0)))
+
+
+def _tenths(values: np.ndarray) -> np.ndarray:
+    """Rounded to one decimal as Spark does, halves of the written number away from zero."""
+    size = np.abs(values)
+    plain = np.isfinite(values) & (size < 2.0**49)
+    k = np.floor(np.where(plain, size, 0) * 10)
+    out = (k + (size >= (2 * k + 1) / 20)) / 10
+    return np.where(plain, np.where(values < 0, -out, out) + 0.0, values)
+
+
+def _grid_groups(asked: pa.Table, rows: pa.Table, lo: np.ndarray, hi: np.ndarray, near_ms: int, bucket_ms: int, ids: Sequence[str], at_once: int = 1 << 20) -> pa.Table:
+    """The ranked groups of each asked point (``grid_bucket_neighbors``); ``at_once`` slots are held at a time."""
+    known = asked["time_id"].is_valid().to_numpy()  # a point without id never has enough
+    if "_near" in rows.column_names:  # the pairs of one point
+        close = rows["_near"].to_numpy()
+        pcis = _rounded(rows["v"].to_numpy()[close & pc.equal(rows["field"], "pci").to_numpy()])
+        enough = known & (len(np.unique(pcis)) >= 2)
+        if enough[0]:
+            rows = rows.filter(rows["_near"])
+            hi = np.array([len(rows)])
+        at, v, fields = _longs(rows["ts_ms"]), rows["v"].to_numpy(), _by_field(rows)
+    else:
+        at, v, fields = _longs(rows["ts_ms"]), rows["v"].to_numpy(), _by_field(rows)
+        places = fields.get("pci", np.empty(0, np.int64))
+        pcis = _rounded(v[places])
+        ends = np.append(np.flatnonzero(np.diff(pcis)) + 1, len(pcis))
+        middle = _longs(asked["_first"])
+        first_near, last_near = np.searchsorted(at, middle - near_ms), np.searchsorted(at, middle + near_ms, "right")
+        first, last = np.searchsorted(places, first_near), np.searchsorted(places, last_near)
+        enough = known & (first < last)
+        enough[enough] = ends[np.searchsorted(ends, first[enough], "right")] < last[enough]
+        lo, hi = np.where(enough, first_near, lo), np.where(enough, last_near, hi)
+    none = np.empty(0, np.int64)
+    places = {f: fields.get(f, none) for f in ("pci", *_PAIR_FIELDS)}
+    value = {f: v[x] for f, x in places.items()}
+    n = _longs(asked["_times"])
+    copies, halved = (int(rows[c][0].as_py()) if len(rows) else 0 for c in ("_copies", "_halved"))
+    # a piece is what a window holds of one bucket: a range of places of each field, paired from their starts on
+    bucket = at // bucket_ms
+    edges = np.append(np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1 if len(at) else 0)), len(at))
+    w = np.flatnonzero(lo < hi)
+    first, last = np.searchsorted(edges, lo[w], "right") - 1, np.searchsorted(edges, hi[w] - 1, "right") - 1
+    of = np.repeat(w, last - first + 1)
+    u = np.arange(len(of)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + np.repeat(first, last - first + 1)
+    begin, end = np.maximum(lo[of], edges[u]), np.minimum(hi[of], edges[u + 1])
+    start = {f: np.searchsorted(x, begin) for f, x in places.items()}
+    size = {f: np.searchsorted(x, end) - start[f] for f, x in places.items()}
+    backed = np.zeros(len(lo), bool)
+    backed[of[size["pci"] > 0]] = True
+    backed = backed[of]
+    names, code = np.unique(_rounded(value["pci"]), return_inverse=True)
+    whole = _rounded(value["earfcn"])
+    half = np.where(whole % 2 == 0, whole // 2, whole)
+    channels = np.unique(np.concatenate([whole, half]))
+    votes = [(c, k) for c, k in ((np.searchsorted(channels, whole), copies - halved), (np.searchsorted(channels, half), halved)) if k]
+    out = []
+
+    def steps(length: np.ndarray, most: int):
+        """Slots of whole windows, a bounded number of slots and windows (or one window) each: (piece, position)."""
+        kept = np.flatnonzero(length)
+        cuts = np.append(np.flatnonzero(np.diff(of[kept], prepend=-1)), len(kept))
+        upto, first = np.concatenate([[0], np.cumsum(length[kept])])[cuts], 0
+        while first < len(cuts) - 1:
+            last = min(max(int(np.searchsorted(upto, upto[first] + at_once, "right")) - 1, first + 1), first + most, len(cuts) - 1)
+            b, first = kept[cuts[first]:cuts[last]], last
+            piece = np.repeat(b, length[b])
+            yield piece, np.arange(len(piece)) - np.repeat(np.cumsum(length[b]) - length[b], length[b])
+
+    def held(field: str, piece: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which slots have the field, and their places in it."""
+        there = pos < size[field][piece]
+        return there, (start[field][piece] + pos)[there]
+
+    def ranked(window: np.ndarray, pci: pa.Array, means: Sequence[pa.Array], count: np.ndarray, pos: np.ndarray, bucket_no: np.ndarray, channel: pa.Array) -> None:
+        means = [pa.array(_tenths(m.fill_null(0).to_numpy(zero_copy_only=False)), mask=m.is_null().to_numpy(zero_copy_only=False)) for m in means]
+        level = means[0].fill_null(-999.0).to_numpy(zero_copy_only=False)
+        nan = np.isnan(level)
+        order = np.lexsort((bucket_no, pos, pci.fill_null(0).to_numpy(zero_copy_only=False), -count, -np.where(nan, 0, level), ~nan, window))
+        window = window[order]
+        rank = np.arange(len(window)) - np.maximum.accumulate(np.where(np.diff(window, prepend=-1) != 0, np.arange(len(window)), 0)) + 1
+        columns = [pci, *means, pa.array(count), pa.array(pos.astype(np.int32)), pa.array(bucket_no), channel]
+        out.append(pa.table([*asked.select(ids).take(pa.array(window)).columns, pa.array(~enough[window]), *[c.take(pa.array(order)) for c in columns], pa.array(rank)],
+                            names=[*ids, "expanded", "pci", "rsrp", "rsrq", "cinr", "sample_count", "source_pos", "first_bucket", "earfcn", "rank"]))
+
+    for piece, pos in steps(np.where(backed, size["pci"], 0), max(1, 4 * at_once // max(1, len(names) * max(1, len(channels))))):
+        turn = np.cumsum(np.diff(of[piece], prepend=of[piece[0]]) != 0)
+        cells = (int(turn[-1]) + 1) * len(names)
+        slot = turn * len(names) + code[start["pci"][piece] + pos]
+        count = np.bincount(slot, minlength=cells)
+        x = np.flatnonzero(count)
+        lead = np.zeros(cells, np.int64)
+        lead[slot[::-1]] = np.arange(len(slot))[::-1]  # the first slot is written last
+        lead = lead[x]
+        means = []
+        for field in _PAIR_FIELDS[:3]:
+            there, where = held(field, piece, pos)
+            some = np.bincount(slot[there], minlength=cells)[x]
+            total = np.bincount(slot[there], value[field][where], cells)[x]
+            means.append(pa.array(total / np.maximum(some, 1), mask=some == 0))
+        window = of[piece[lead]]
+        channel = pa.nulls(len(x), pa.int64())
+        if len(channels):
+            there, where = held("earfcn", piece, pos)
+            found = sum(k * np.bincount(slot[there] * len(channels) + c[where], minlength=cells * len(channels)) for c, k in votes).reshape(cells, -1)[x]
+            channel = pa.array(channels[found.argmax(1)], mask=(found.max(1) == 0) | ~known[window])
+        ranked(window, pa.array(names[x % len(names)]), means, count[x] * n[window] * copies, pos[lead] * n[window], bucket[edges[u[piece[lead]]]], channel)
+    # points whose window holds no PCI: each position of a bucket is a group
+    for piece, pos in steps(np.where(backed, 0, np.max(list(size.values()), axis=0)), len(of)):
+        times = n[of[piece]]
+        piece, pos, turn = np.repeat(piece, times), np.repeat(pos, times), np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        found = {}
+        for field in _PAIR_FIELDS:
+            there, where = held(field, piece, pos)
+            kept = np.zeros(len(pos), np.float64 if field != "earfcn" else np.int64)
+            if field == "earfcn":
+                kept[there] = half[where] if 2 * halved > copies else whole[where] if 2 * halved < copies else np.minimum(whole, half)[where]
+                there = there & known[of[piece]]
+            else:
+                kept[there] = value[field][where]
+            found[field] = pa.array(kept, mask=~there)
+        window = of[piece]
+        ranked(window, pa.nulls(len(pos), pa.int64()), [found[f] for f in _PAIR_FIELDS[:3]], np.full(len(pos), copies), pos * n[window] + turn, bucket[edges[u[piece]]], found["earfcn"])
+    if out:
+        return pa.concat_tables(out)
+    empty = {**{c: asked.schema.field(c).type for c in ids}, "expanded": pa.bool_(), "pci": pa.int64(), "rsrp": pa.float64(), "rsrq": pa.float64(), "cinr": pa.float64(),
+             "sample_count": pa.int64(), "source_pos": pa.int32(), "first_bucket": pa.int64(), "earfcn": pa.int64(), "rank": pa.int64()}
+    return pa.table({c: pa.array([], t) for c, t in empty.items()})
+
+
 def grid_bucket_neighbors(
     points: DataFrame, samples: DataFrame, scale: DataFrame | None = None, base_tol_ms: int = 200, expanded_tol_ms: int = 500, bucket_ms: int = 80,
     keys: Sequence[str] = RUN,
 ) -> DataFrame:
     """Neighbour context of each track point: samples in floor-aligned buckets, paired by position, voted and averaged per PCI.
 
-    The window widens from ``base_tol_ms`` to ``expanded_tol_ms`` for points that see fewer than two PCIs.
+    The window widens from ``base_tol_ms`` to ``expanded_tol_ms`` for points that see fewer than two PCIs. Windows are ranges of
+    samples sorted once; a task pairs the positions of a bounded number of points at once and only the ranked groups leave it.
     """
     keys = list(keys)
-    pid = [*keys, "point_id"]
+    tid = [*keys, "time_id"]
     wide = max(base_tol_ms, expanded_tol_ms)
-    s = samples.withColumn("field", S.neighbor_metric_field("name")).where("field is not null and value_num is not null")
-    pairs = timejoin.interval_join(points.select(*pid, "ts_ms"), s, keys, wide, wide).select(
-        *pid, (F.abs(F.col("row.ts_ms") - F.col("ts_ms")) <= base_tol_ms).alias("near"), F.col("row.field").alias("field"), F.col("row.ts_ms").alias("t"),
-        F.coalesce(F.col("row.idx").cast("long") if "idx" in s.columns else F.lit(None).cast("long"), S.neighbor_metric_index(F.col("row.name"))).alias("idx"), F.col("row.seq").alias("seq"),
-        F.col("row.value_num").alias("v"))
-    pairs = materialize(pairs, "context")
-    count = pairs.where("near and field = 'pci'").groupBy(*pid).agg((F.count_distinct(F.floor(F.col("v") + 0.5)) >= 2).alias("enough"))
-    d = pairs.join(count, pid, "left").where("near or not coalesce(enough, false)")
-    d = d.withColumn("bucket", F.floor(F.col("t") / bucket_ms)).withColumn("expanded", ~F.coalesce("enough", F.lit(False)))
-    w = Window.partitionBy(*pid, "bucket", "field").orderBy("t", "idx", "seq")
-    d = d.withColumn("pos", F.row_number().over(w) - 1)
-    slots = d.groupBy(*pid, "expanded", "bucket", "pos").agg(*[F.max(F.when(F.col("field") == f, F.col("v"))).alias(f) for f in ("pci", "rsrp", "rsrq", "cinr", "earfcn")])
-    whole = Window.partitionBy(*pid, "bucket")
-    slots = slots.withColumn("_any", F.count("pci").over(whole)).where("_any = 0 or pci is not null")
-    slots = slots.withColumn("pci", F.floor(F.col("pci") + 0.5)).withColumn("earfcn", F.floor(F.col("earfcn") + 0.5))
+    idx = F.coalesce(F.col("idx").cast("long") if "idx" in samples.columns else F.lit(None).cast("long"), S.neighbor_metric_index(F.col("name")))
+    s = samples.withColumn("field", S.neighbor_metric_field("name")).where("field is not null and value_num is not null").select(
+        *keys, "ts_ms", idx.alias("idx"), "seq", "field", F.col("value_num").cast("double").alias("v"))
+    copies, halved = F.lit(1), F.lit(0)
     if scale is not None:
-        slots = ordered.attach(slots, scale.select(*keys, "scale_div"), keys, "left", by=("bucket", "pos", "point_id")).withColumn(
-            "earfcn", F.when((F.col("scale_div") == 2) & (F.col("earfcn") % 2 == 0), F.floor(F.col("earfcn") / 2)).otherwise(F.col("earfcn"))).drop("scale_div")
+        per_key = scale.groupBy(*keys).agg(F.count("*").alias("_c"), F.count(F.when(F.col("scale_div") == 2, 1)).alias("_h"))
+        s = ordered.attach(s, per_key, keys, "left")
+        copies, halved = F.coalesce("_c", copies), F.coalesce("_h", halved)
+    s = s.select(*keys, "ts_ms", "idx", "seq", "field", "v", copies.cast("long").alias("_copies"), halved.cast("long").alias("_halved"))
+
+    def figures(asked: pa.Table, rows: pa.Table, lo: np.ndarray, hi: np.ndarray) -> pa.Table:
+        return _grid_groups(asked, rows, lo, hi, base_tol_ms, bucket_ms, tid)
+
+    rows = _per_asked_time(points.select(*keys, F.col("point_id").alias("time_id"), "ts_ms"), s, wide, keys, ["ts_ms", "idx", "seq", "v"], figures,
+                           "expanded boolean, pci long, rsrp double, rsrq double, cinr double, sample_count long, source_pos int, first_bucket long, earfcn long, rank long", base_tol_ms)
     group = F.when(F.col("pci").isNotNull(), F.concat(F.lit("pci:"), F.col("pci").cast("string"))).otherwise(
-        F.concat(F.lit("pos:"), F.col("bucket").cast("string"), F.lit(":"), F.col("pos").cast("string")))
-    slots = slots.withColumn("group_key", group)
-    mean = lambda c: F.round(F.avg(c), 1).alias(c)
-    rows = slots.groupBy(*pid, "expanded", "group_key").agg(
-        F.max("pci").alias("pci"), mean("rsrp"), mean("rsrq"), mean("cinr"), F.count("*").alias("sample_count"),
-        F.min_by("pos", F.struct("bucket", "pos")).alias("source_pos"), F.min("bucket").alias("first_bucket"))
-    votes = slots.where("earfcn is not null").groupBy(*pid, "group_key", "earfcn").agg(F.count("*").alias("_c")).groupBy(*pid, "group_key").agg(
-        F.min_by("earfcn", F.struct(-F.col("_c"), F.col("earfcn"))).alias("earfcn"))
-    rows = rows.join(votes, [*pid, "group_key"], "left")
-    backed = Window.partitionBy(*pid)
-    rows = rows.withColumn("_b", F.count("pci").over(backed)).where("_b = 0 or pci is not null").drop("_b")
-    return rank_neighbors(rows, pid, [F.coalesce("rsrp", F.lit(-999.0)), F.col("sample_count")], ["pci", "source_pos", "first_bucket"])
+        F.concat(F.lit("pos:"), F.col("first_bucket").cast("string"), F.lit(":"), F.col("source_pos").cast("string")))
+    return rows.select(
+        *keys, F.col("time_id").alias("point_id"), group.alias("group_key"), "expanded", "pci", "rsrp", "rsrq", "cinr", "sample_count", "source_pos", "first_bucket", "earfcn",
+        "rank", F.concat(F.lit("N"), F.col("rank").cast("string")).alias("label"))
 
 
 # ---- A3 evaluation --------------------------------------------------------------------------------------------------------
