@@ -305,8 +305,7 @@ def _per_asked_time(times: DataFrame, samples: DataFrame, tolerance_ms: int, key
     return found.unionByName(pairs.groupBy(*tid).applyInArrow(whole, schema))
 
 
-def _longs(column: pa.ChunkedArray) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(0).to_numpy()
+_longs = ranges.longs
 
 
 def _by_field(rows: pa.Table) -> dict[str | None, np.ndarray]:

@@ -23,6 +23,16 @@ def block_of(ts: Column | str, block_ms: int) -> Column:
     return F.floor(ts / F.lit(block_ms)).cast("long")
 
 
+def span_widths(anchors: DataFrame, start: str, end: str) -> list[int]:
+    """Lengths of time buckets for the spans from ``start`` to ``end``: the longest, an eighth of it and so on down to an hour, without those too short for any span."""
+    length = F.col(end) - F.col(start)
+    shortest, longest = anchors.where(length >= 0).agg(F.min(length), F.max(length)).first()
+    widths = [(longest or 0) + 1]
+    while widths[-1] // 8 >= HOUR_MS and widths[-1] // 8 > shortest:
+        widths.append(widths[-1] // 8)
+    return widths
+
+
 def _as_col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 

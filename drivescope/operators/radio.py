@@ -137,9 +137,7 @@ def _window_figures(
     return ranges.per_stretch(anchors, rows.select(*dict.fromkeys([*keys, *order, *values])), keys, window_ms, 0, answer, f"{ids}, {schema}", anchor_ts="_end", order=order)
 
 
-def _counted(flags: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    upto = np.concatenate([[0], np.cumsum(flags)])
-    return upto[hi] - upto[lo]
+_counted = ranges.counted
 
 
 def _power(columns: dict, valid: dict, t: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> dict[str, pa.Array]:

@@ -45,6 +45,43 @@ def per_stretch(
     return a.groupBy(*by).cogroup(r.groupBy(*by)).applyInArrow(run, schema)
 
 
+def per_span(
+    anchors: DataFrame, rows: DataFrame, keys: Sequence[str], start: str, end: str, widths: Sequence[int], answer: Answer, schema: str, *, row_ts: str = "ts_ms",
+    order: Sequence[str] = ("ts_ms", "seq"),
+) -> DataFrame:
+    """``per_stretch`` for anchors with a span of their own: ``answer`` gets all rows from ``start`` to ``end`` of its anchors, among others.
+
+    Stretches are as long as the ``widths`` (``ordered.span_widths``), an anchor lies in one of the shortest that its span fits in; a
+    row is copied to two of each length. Anchors without key or span and rows without time or key take no part.
+    """
+    length = F.col(end) - F.col(start)
+    width = F.coalesce(*[F.when(length < w, F.lit(w)) for w in sorted(widths)]).cast("long")
+    there = lambda d, *names: d.where(" and ".join(f"`{c}` is not null" for c in dict.fromkeys([*keys, *names])))
+    by = [*keys, "_width", "_stretch"]
+    parts = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = there(anchors, start, end).where(length >= 0).withColumn("_width", width).withColumn("_stretch", F.floor(F.col(end) / F.col("_width")).cast("long")).repartition(parts, *by)
+    copies = F.array(*[F.struct(F.lit(w).cast("long").alias("w"), (block_of(row_ts, w) + i).cast("long").alias("s")) for w in widths for i in (0, 1)])
+    r = there(rows, row_ts).withColumn("_at", F.explode(copies)).select(*rows.columns, F.col("_at.w").alias("_width"), F.col("_at.s").alias("_stretch")).repartition(parts, *by)
+    ordering = [(c, "ascending") for c in order]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pc.sort_indices(right, sort_keys=ordering, null_placement="at_start")) if left.num_rows else right.slice(0, 0)
+        return answer(left, right)
+
+    return a.groupBy(*by).cogroup(r.groupBy(*by)).applyInArrow(run, schema)
+
+
+def longs(column: pa.ChunkedArray) -> np.ndarray:
+    """Values as longs, 0 for null."""
+    return column.cast(pa.int64()).fill_null(0).to_numpy()
+
+
+def counted(flags: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """How many flags each range [lo, hi) holds."""
+    upto = np.concatenate([[0], np.cumsum(flags)])
+    return upto[hi] - upto[lo]
+
+
 def numbers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Values as doubles, NaN for null; times and ids below 2^53 stay exact."""
     return column.cast(pa.float64()).to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.cast(pa.float64()).to_numpy()

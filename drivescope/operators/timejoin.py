@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from drivescope.operators.ordered import HOUR_MS, attach, block_of, with_last_known
+from drivescope.operators.ordered import HOUR_MS, attach, block_of, span_widths, with_last_known
 
 _SIDE = "_side"
 
@@ -377,19 +377,16 @@ def span_join(
 
 def with_rows_around(
     anchors: DataFrame, rows: DataFrame, keys: Sequence[str], start: str, end: str, columns: Sequence[str], anchor_id: Sequence[str], *,
-    name: str = "around", row_ts: str = "ts_ms",
+    name: str = "around", row_ts: str = "ts_ms", widths: Sequence[int] | None = None,
 ) -> DataFrame:
     """Each anchor with the array ``name``: its rows from ``start`` to ``end`` among others around them, as structs of time ``t`` and ``r``.
 
     Entries are sorted by time, then by ``columns``; ``cut`` takes a span. No pair is formed or shuffled: a bucket's rows become one
     array, which every anchor of the bucket reads in place, so join and reduce anything else before. Buckets are as wide as the
     longest span, or an eighth of that for shorter ones and so on down to an hour; a row is copied to two buckets of each width.
-    Anchors with an unknown key or id, or without a span, get null. Both sides are dealt over the configured number of partitions.
+    ``widths`` gives them (``ordered.span_widths``); without, all that ``anchors`` come from runs once more to find them. Anchors with an unknown key or id, or without a span, get null. Both sides are dealt over the configured number of partitions.
     """
-    longest = anchors.agg(F.max(F.col(end) - F.col(start))).first()[0]
-    widths = [max(0, longest or 0) + 1]
-    while widths[-1] // 8 >= HOUR_MS:
-        widths.append(widths[-1] // 8)
+    widths = span_widths(anchors, start, end) if widths is None else widths
     known = " and ".join(f"`{c}` is not null" for c in dict.fromkeys([*keys, *anchor_id]))
     width = F.coalesce(*[F.when(F.col(end) - F.col(start) < w, F.lit(w)) for w in reversed(widths)])
     width = F.when(F.expr(known) & (F.col(start) <= F.col(end)), width).otherwise(F.lit(0)).cast("long")
