@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from drivescope.operators import ordered, sessions
+from drivescope.operators import ordered, sessions, timejoin
 
 HOUR = 3_600_000
 
@@ -52,3 +52,15 @@ def test_widths_fit_their_spans(spark):
     assert spans(64 * HOUR - 1, 0, None) == [64 * HOUR, 8 * HOUR, HOUR]
     assert spans(64 * HOUR - 1, 8 * HOUR) == [64 * HOUR] and spans(64 * HOUR - 1, 8 * HOUR - 1) == [64 * HOUR, 8 * HOUR]
     assert spans(None) == spans(-5) == [1]
+
+
+def test_long_arrays_are_dealt_over_more_tasks(spark):
+    rows = spark.range(400).selectExpr("id % 2 as device_id", "id * 100000 as ts_ms", "id as seq")
+    anchors = spark.range(40).selectExpr("id % 2 as device_id", "id as call_id", "id * 900000 as start_ts", "id * 900000 + 3000000 as end_ts")
+
+    def around(**how):
+        d = timejoin.with_rows_around(anchors, rows, ["device_id"], "start_ts", "end_ts", ["seq"], ["device_id", "call_id"], **how)
+        return d.rdd.getNumPartitions(), sorted((r.call_id, [x.r.seq for x in r.around if r.start_ts <= x.t <= r.end_ts]) for r in d.collect())
+
+    (few, want), (many, got) = around(), around(at_once=16, size=400)
+    assert (few, many) == (4, 50) and got == want and all(len(x) in (15, 16) for _, x in want[:40] if x)
